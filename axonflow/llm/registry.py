@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from axonflow.llm import chat, exact_dedup, warc
+from axonflow.llm import chat, exact_dedup, minhash, warc
 
-MODULES = (warc, chat, exact_dedup)
+MODULES = (warc, minhash, chat, exact_dedup)
 
 
 def queries():
