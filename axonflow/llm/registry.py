@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from axonflow.llm import chat, exact_dedup, minhash, warc
+from axonflow.llm import bpe, chat, exact_dedup, minhash, packing, warc
 
-MODULES = (warc, minhash, chat, exact_dedup)
+MODULES = (warc, bpe, packing, minhash, chat, exact_dedup)
 
 
 def queries():
