@@ -54,3 +54,9 @@ def drop_table(df: DataFrame) -> None:
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(conf).delete(path, True)
+
+
+def without(docs: DataFrame, dropped: DataFrame, name: str, max_rows: int = 1_000_000) -> DataFrame:
+    """Rows of ``docs`` whose doc_id is not in ``dropped`` (doc_id); broadcast only if these are few."""
+    ids = broadcast_if_small(materialize(dropped.select("doc_id").distinct(), name), max_rows)
+    return docs.join(ids, "doc_id", "left_anti").select(*docs.columns)

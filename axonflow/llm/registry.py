@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from axonflow.llm import bpe, chat, exact_dedup, minhash, packing, secrets, toxicity, warc
+from axonflow.llm import bpe, chat, exact_dedup, hamming, line_dedup, minhash, packing, secrets, toxicity, warc
 
-MODULES = (warc, secrets, bpe, packing, minhash, chat, toxicity, exact_dedup)
+MODULES = (warc, hamming, line_dedup, secrets, bpe, packing, minhash, chat, toxicity, exact_dedup)
 
 
 def queries():
