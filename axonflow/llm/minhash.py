@@ -7,10 +7,13 @@
 3. ``BANDS`` bands of ``SLOTS / BANDS`` values are the bucket keys. A pair at the threshold 0.8 shares no band with
    probability (1 - 0.8**5)**40 = 1.2e-7.
 4. In each bucket every member is first compared with one centre (the member with the most bucket mates overall), and
-   the verified links are closed to components. Only members outside the centre's component, and only in buckets that
-   still hold several components, are then compared with the other members of their bucket. All other pairs are
-   joined already, so no link is lost and no bucket is expanded into all its pairs.
-5. Each comparison counts the intersection of the two full sets.
+   the verified links are closed to components. What is left are pairs in which one member, the stray, lies outside
+   the centre's component. These are found by the members' differences from the centre (shingles added or removed):
+   a stray x misses the threshold with the centre b, so by inclusion and exclusion any y that x links with has to share
+   more than ``t (n_y - n_b) + |removed_y|`` of its own differences with x, t = 0.8 / 1.8, about half of them. With
+   that many shared, the rarest differences of x and of y (their prefixes in the order of frequency around the centre)
+   must meet, which an equi-join on (centre, difference) finds. No link is lost, no bucket expanded into all its pairs.
+5. Each candidate is confirmed by the intersection of the two full sets.
 
 Defined cases: null, empty and blank texts have an empty set and link with nothing; fewer words than a shingle make
 one shingle of the whole sequence; rows that share a doc_id are one document with several texts; an empty table gives
@@ -117,13 +120,68 @@ def _confirm(words: int, percent: int):
     return run
 
 
-def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (u, v), a written table, whose texts' shingle sets have 100 * shared >= percent * union."""
+def _frames(words: int):
+    """How the set of ``u`` differs from the set of its centre ``v``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, None
+        for batch in batches:
+            v, texts, rows = batch.column("v").to_pylist(), batch.column("text_v"), []
+            for i, a in enumerate(shingle_sets(batch.column("text_u").to_pylist(), words)):
+                text = texts[i].as_py() or ""
+                if held is None or last != (v[i], len(text), hash(text)):
+                    last, held = (v[i], len(text), hash(text)), shingle_sets([text], words)[0]
+                added, removed = np.setdiff1d(a, held, True), np.setdiff1d(held, a, True)
+                rows.append((len(a), len(held), len(removed), np.concatenate([added, removed]).view(np.int64)))
+            n, n_v, removed, differences = zip(*rows, strict=True) if rows else ((), (), (), ())
+            columns = [batch.column(c) for c in ("u", "v", "component", "stray")]
+            columns += [pa.array(n, pa.int64()), pa.array(n_v, pa.int64()), pa.array(removed, pa.int64()), pa.array(differences, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["u", "v", "component", "stray", "n", "n_v", "removed", "differences"])
+
+    return run
+
+
+FRAME_SCHEMA = "u long, v long, component long, stray boolean, n long, n_v long, removed long, differences array<long>"
+
+
+def _with_texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """``pairs`` (u, v and more), a written table, with text_u and text_v; the texts of other documents are not moved."""
     ids = materialize(pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct(), "minhash-ids")
     texts = docs.select("doc_id", "text").join(broadcast_if_small(ids, BROADCAST_ROWS), "doc_id", "left_semi")
     left = broadcast_if_small(pairs, BROADCAST_ROWS).join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u")), "u")
-    both = left.join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v")), "v")
-    return materialize(both.select("u", "v", "text_u", "text_v").mapInArrow(_confirm(words, percent), "u long, v long").distinct(), "minhash-edges")
+    return left.join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v")), "v")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (u, v), a written table, whose texts' shingle sets have 100 * shared >= percent * union."""
+    both = _with_texts(pairs, docs).select("u", "v", "text_u", "text_v")
+    return materialize(both.mapInArrow(_confirm(words, percent), "u long, v long").distinct(), "minhash-edges")
+
+
+def stray_candidates(members: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Pairs (u, v) that may link a stray with a member of another component around the same centre.
+
+    ``members``: u, its centre v, its component, and whether it is a stray (outside the centre's component).
+    """
+    columns = ["u", "v", "component", "stray", "text_u", "text_v"]
+    frames = _with_texts(materialize(members, "minhash-open"), docs).select(*columns).mapInArrow(_frames(words), FRAME_SCHEMA)
+    frames = materialize(frames, "minhash-frames")
+    each = frames.select("u", "v", "component", "stray", F.explode("differences").alias("e"))
+    # differences that no stray shares with another member cannot meet: in the order they come before all others
+    live = each.groupBy("v", "e").agg(F.count(F.lit(1)).alias("c"), F.count_if("stray").alias("strays")).where("c > 1 AND strays > 0").select("v", "e", "c")
+    rare = each.join(live, ["v", "e"]).groupBy("u", "v").agg(F.sort_array(F.collect_list(F.struct("c", "e"))).alias("rare"))
+    share = percent / (100 + percent)
+    size = F.size("differences")
+    least_member = F.floor(share * (F.col("n") - F.col("n_v")) + F.col("removed") - 1e-6) + 1
+    least_stray = F.greatest(F.lit(1), F.ceil(share * (F.col("n") + F.col("n_v")) - (F.col("n_v") - F.col("removed")) - 1e-6))
+    prefix = lambda least: F.greatest(F.lit(0), size - least + 1 - (size - F.size("rare"))).cast("int")
+    found = frames.join(rare, ["u", "v"]).select("u", "v", "component", "stray", "rare", prefix(least_member).alias("as_member"), prefix(least_stray).alias("as_stray"))
+    cut = lambda n: F.explode(F.slice("rare", F.lit(1), F.col(n))).alias("r")
+    stray = found.where("stray AND as_stray > 0").select(F.col("u"), F.col("v").alias("centre"), "component", cut("as_stray"))
+    other = found.where("as_member > 0").select(F.col("u").alias("w"), F.col("v").alias("centre"), F.col("component").alias("other"), cut("as_member"))
+    stray, other = (x.withColumn("e", F.col("r.e")).drop("r") for x in (stray, other))
+    met = stray.join(other, ["centre", "e"]).where("component != other")
+    return met.select(F.least("u", "w").alias("u"), F.greatest("u", "w").alias("v")).distinct()
 
 
 def _fits(a, b, percent: int):
@@ -151,17 +209,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     edges = verified(star, docs, words, percent)
     parts = connected_components(edges)
 
-    # Buckets that still hold several components: the members outside the centre's component meet the others.
+    # Buckets that still hold several components: members outside the centre's component may link with others.
     labelled = members.join(parts.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     labelled = materialize(labelled, "minhash-labelled")
-    open_ = labelled.groupBy("b").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.struct("score", (-F.col("node")).alias("minus"), "component")).alias("m"))
-    open_ = open_.where("low != high").select("b", F.col("m.component").alias("home"))
-    rest = labelled.join(open_, "b").select("b", "node", "n", "component", "home")
-    stray = rest.where("component != home").select("b", F.col("node").alias("u"), F.col("n").alias("u_n"), F.col("component").alias("u_c"))
-    other = rest.select("b", F.col("node").alias("v"), F.col("n").alias("v_n"), F.col("component").alias("v_c"), (F.col("component") == F.col("home")).alias("at_home"))
-    pairs = stray.join(other, "b").where((F.col("u_c") != F.col("v_c")) & (F.col("at_home") | (F.col("u") < F.col("v"))) & _fits(F.col("u_n"), F.col("v_n"), percent))
-    done = star.select("u", "v").union(star.select(F.col("v"), F.col("u")))
-    pairs = materialize(pairs.select("u", "v").distinct().join(done, ["u", "v"], "left_anti"), "minhash-rest")
+    centre = F.max(F.struct("score", (-F.col("node")).alias("minus"), "component")).alias("m")
+    open_ = labelled.groupBy("b").agg(F.min("component").alias("low"), F.max("component").alias("high"), centre)
+    open_ = open_.where("low != high").select("b", (-F.col("m.minus")).alias("v"), F.col("m.component").alias("home"))
+    around = labelled.join(open_, "b").select(F.col("node").alias("u"), "v", "component", (F.col("component") != F.col("home")).alias("stray")).distinct()
+    done = star.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    pairs = materialize(stray_candidates(around, docs, words, percent).join(done, ["u", "v"], "left_anti"), "minhash-rest")
     late = verified(pairs, docs, words, percent)
     if not late.isEmpty():
         parts = connected_components(edges.union(late))
