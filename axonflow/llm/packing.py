@@ -13,7 +13,7 @@ tokens' strings in a text are ordinary text.
 
 from __future__ import annotations
 
-import zlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,34 +26,74 @@ from axonflow.llm.common import materialize, table
 
 LENGTH, END_ID = 4096, 2
 #: Words whose ids a worker remembers; beyond it the memory starts afresh.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 TOKEN_SCHEMA = "part int, local_start long, doc_id long, n long, ids binary"
 PIECE_SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 _workers: dict = {}
 
 
+#: A full stop or comma that follows another mark belongs to a longer piece.
+_JOINED_MARK = re.compile(r"(?:[^\w ]|_)[.,] ")
+
+
 class WordEncoder:
     """Ids of texts, each white-space-delimited chunk encoded once. The vocabulary's pattern never crosses white space,
-    so the ids of a text are those of its chunks in turn. Ids are kept as little-endian unsigned 32-bit bytes."""
+    so the ids of a text are those of its chunks in turn. Ids are kept as little-endian unsigned 32-bit bytes.
+
+    Chunks are looked up in lower case, as the vocabulary's normaliser makes them, and without the full stop or comma
+    after a word, which is a piece of its own. New chunks of letters alone are encoded many at a time: each is one piece
+    and ends with its only end-of-word token.
+    """
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.tokenizer.encode_special_tokens = True
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
         self.cache: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        chunks = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        cache = self.cache if len(self.cache) < CACHE_WORDS else {}
-        self.cache = cache
-        new = list({w for c in chunks for w in c if w not in cache})
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
+    def _one_by_one(self, chunks: list[str]) -> None:
+        for at in range(0, len(chunks), 20_000):
+            some = chunks[at : at + 20_000]
             for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                cache[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(cache.__getitem__, c)) for c in chunks]
+                self.cache[w] = np.array(e.ids, "<u4").tobytes()
+
+    def _learn(self, new: set[str]) -> None:
+        words = [w for w in new if w.isalpha()]
+        self._one_by_one([w for w in new if not w.isalpha()])
+        for at in range(0, len(words), 4096):
+            some = words[at : at + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            last = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(last) != len(some):
+                self._one_by_one(some)
+                continue
+            data, a = ids.tobytes(), 0
+            for w, b in zip(some, last.tolist(), strict=True):
+                self.cache[w] = data[a:b]
+                a = b
+
+    @staticmethod
+    def _chunks(text: str) -> list[str]:
+        text = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
+        if "\u03a3" not in text and "\u0130" not in text:  # lower case that depends on its place, or ends with a mark
+            text = text.lower()
+            if not _JOINED_MARK.search(text):
+                text = text.replace(". ", " . ").replace(", ", " , ")
+        return text.split(" ")
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        if len(self.cache) > CACHE_WORDS:
+            self.cache = {}
+        split = [self._chunks(t or "") for t in texts]
+        new = set().union(*split).difference(self.cache)
+        if new:
+            self._learn(new)
+        get = self.cache.__getitem__
+        return [b"".join(map(get, c)) for c in split]
 
 
 def vocabulary_text(path: str | None = None) -> str:
