@@ -6,10 +6,11 @@
 2. Documents with equal sets are one node (the smallest id), so copies never meet in a bucket.
 3. ``BANDS`` bands of ``SLOTS / BANDS`` values are the bucket keys. A pair at the threshold 0.8 shares no band with
    probability (1 - 0.8**5)**40 = 1.2e-7.
-4. In each bucket every member is first compared with one centre (the member with the most bucket mates overall), and
-   the verified links are closed to components. What is left are pairs in which one member, the stray, lies outside
-   the centre's component. These are found by the members' differences from the centre (shingles added or removed):
-   a stray x misses the threshold with the centre b, so by inclusion and exclusion any y that x links with has to share
+4. Each node is first compared with one centre, the node with the most bucket mates of all that lead its buckets, and
+   the verified links are closed to components. What is left are pairs in buckets with several components, in which one
+   member, the stray, lies outside the component of the bucket's leader. These are found by the members' differences
+   (shingles added or removed) from the centre of that component, its node with the most bucket mates: a stray x
+   misses the threshold with the centre, so by inclusion and exclusion any y that x links with has to share
    more than ``t (n_y - n_b) + |removed_y|`` of its own differences with x, t = 0.8 / 1.8, about half of them. With
    that many shared, the rarest differences of x and of y (their prefixes in the order of frequency around the centre)
    must meet, which an equi-join on (centre, difference) finds. No link is lost, no bucket expanded into all its pairs.
@@ -77,9 +78,16 @@ def band_keys(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return mix(key)
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Short batches: what a worker holds at a time stays small."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
 def _signatures(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
             sets = shingle_sets(texts, words)
             keys: list = [None] * len(sets)
@@ -106,7 +114,7 @@ def _confirm(words: int, percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, None
-        for batch in batches:
+        for batch in _slices(batches):
             v, left = batch.column("v").to_pylist(), shingle_sets(batch.column("text_u").to_pylist(), words)
             texts, keep = batch.column("text_v"), []
             for i, a in enumerate(left):
@@ -125,7 +133,7 @@ def _frames(words: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, None
-        for batch in batches:
+        for batch in _slices(batches):
             v, texts, rows = batch.column("v").to_pylist(), batch.column("text_v"), []
             for i, a in enumerate(shingle_sets(batch.column("text_u").to_pylist(), words)):
                 text = texts[i].as_py() or ""
@@ -159,7 +167,7 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Dat
 
 
 def stray_candidates(members: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Pairs (u, v) that may link a stray with a member of another component around the same centre.
+    """Pairs (u, v) that may link a stray with a member of another component around the same centre, or with the centre.
 
     ``members``: u, its centre v, its component, and whether it is a stray (outside the centre's component).
     """
@@ -181,7 +189,8 @@ def stray_candidates(members: DataFrame, docs: DataFrame, words: int, percent: i
     other = found.where("as_member > 0").select(F.col("u").alias("w"), F.col("v").alias("centre"), F.col("component").alias("other"), cut("as_member"))
     stray, other = (x.withColumn("e", F.col("r.e")).drop("r") for x in (stray, other))
     met = stray.join(other, ["centre", "e"]).where("component != other")
-    return met.select(F.least("u", "w").alias("u"), F.greatest("u", "w").alias("v")).distinct()
+    linked = frames.where(F.col("stray") & (100 * (F.col("n_v") - F.col("removed")) >= percent * (F.col("n") + F.col("removed"))))
+    return met.select("u", F.col("w").alias("v")).union(linked.select("u", "v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
 def _fits(a, b, percent: int):
@@ -200,22 +209,26 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     busy = broadcast_if_small(materialize(keys.groupBy("b").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "minhash-buckets"), BROADCAST_ROWS)
     met = nodes.select("node", "n", F.explode("bands").alias("b")).join(busy, "b")
     met = met.groupBy("node", "n").agg(F.sum("c").alias("score"), F.collect_list("b").alias("bands"))
-    members = materialize(met, "minhash-members").select("node", "n", "score", F.explode("bands").alias("b"))
+    met = materialize(met, "minhash-members")
+    members = met.select("node", "n", "score", F.explode("bands").alias("b"))
 
-    centre = members.groupBy("b").agg(F.max(F.struct("score", (-F.col("node")).alias("minus"), "n")).alias("m"))
-    centre = centre.select("b", (-F.col("m.minus")).alias("v"), F.col("m.n").alias("v_n"))
-    star = members.join(centre, "b").where((F.col("node") != F.col("v")) & _fits(F.col("n"), F.col("v_n"), percent))
-    star = materialize(star.select(F.col("node").alias("u"), "v").distinct(), "minhash-star")
+    lead = members.groupBy("b").agg(F.max(F.struct("score", (-F.col("node")).alias("minus"), "n")).alias("lead"))
+    star = members.join(lead, "b").where((F.col("node") != -F.col("lead.minus")) & _fits(F.col("n"), F.col("lead.n"), percent))
+    star = star.groupBy("node").agg(F.max("lead").alias("lead")).select(F.col("node").alias("u"), (-F.col("lead.minus")).alias("v"))
+    star = materialize(star, "minhash-star")
     edges = verified(star, docs, words, percent)
     parts = connected_components(edges)
 
-    # Buckets that still hold several components: members outside the centre's component may link with others.
-    labelled = members.join(parts.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    # Buckets that still hold several components: members outside the leader's component may link with others.
+    labelled = met.join(parts.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     labelled = materialize(labelled, "minhash-labelled")
-    centre = F.max(F.struct("score", (-F.col("node")).alias("minus"), "component")).alias("m")
-    open_ = labelled.groupBy("b").agg(F.min("component").alias("low"), F.max("component").alias("high"), centre)
-    open_ = open_.where("low != high").select("b", (-F.col("m.minus")).alias("v"), F.col("m.component").alias("home"))
-    around = labelled.join(open_, "b").select(F.col("node").alias("u"), "v", "component", (F.col("component") != F.col("home")).alias("stray")).distinct()
+    first = F.max(F.struct("score", (-F.col("node")).alias("minus"), "component")).alias("m")
+    centres = labelled.groupBy("component").agg(first).select(F.col("component").alias("home"), (-F.col("m.minus")).alias("v"))
+    labelled = labelled.select("node", "score", "component", F.explode("bands").alias("b"))
+    open_ = labelled.groupBy("b").agg(F.min("component").alias("low"), F.max("component").alias("high"), first)
+    open_ = open_.where("low != high").select("b", F.col("m.component").alias("home"))
+    around = labelled.join(open_, "b").select(F.col("node").alias("u"), "component", "home").distinct()
+    around = around.join(centres, "home").select("u", "v", "component", (F.col("component") != F.col("home")).alias("stray"))
     done = star.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     pairs = materialize(stray_candidates(around, docs, words, percent).join(done, ["u", "v"], "left_anti"), "minhash-rest")
     late = verified(pairs, docs, words, percent)
