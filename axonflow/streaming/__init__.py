@@ -1,0 +1 @@
+"""Recordings are read whole, in batches; no operator of this library needs a stream."""
