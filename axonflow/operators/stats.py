@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from axonflow.functions import statistics as kernels
 from axonflow.functions.scalars import effect_label, fisher_interval
@@ -27,12 +28,12 @@ def block_z(samples: DataFrame, keys: list[str], block: int = 1000, idx: str = "
     return samples.withColumn("z", F.coalesce(z, F.lit(0.0)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def correlation_p(r: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series(kernels.correlation_p(r.to_numpy(float), n.to_numpy(float))).where(r.notna() & n.notna(), None)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(kernels.t_two_sided(t.to_numpy(float), df.to_numpy(float))).where(t.notna() & df.notna(), None)
 
