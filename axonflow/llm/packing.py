@@ -26,7 +26,7 @@ from axonflow.llm.common import materialize, table
 
 LENGTH, END_ID = 4096, 2
 #: Words whose ids a worker remembers; beyond it the memory starts afresh.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 600_000
 TOKEN_SCHEMA = "part int, local_start long, doc_id long, n long, ids binary"
 PIECE_SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
