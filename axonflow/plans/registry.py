@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from axonflow.plans import event_queries, signal_queries
+from axonflow.plans import event_queries, signal_queries, table_queries
 
-MODULES = [event_queries, signal_queries]
+MODULES = [event_queries, signal_queries, table_queries]
 
 
 def queries():

@@ -66,7 +66,7 @@ def convert(sheet: DataFrame, types: dict[str, str]) -> DataFrame:
         read = {
             "long": lambda: c.try_cast("double").cast("long"), "double": lambda: c.try_cast("double"), "boolean": lambda: F.lower(F.trim(c)).try_cast("boolean"),
             "numbers": lambda: F.from_json(F.translate(c, "()", "[]"), "array<double>"), "date": lambda: F.to_date(F.try_to_timestamp(F.lpad(c, 6, "0"), F.lit("yyMMdd"))),
-            "texts": lambda: F.transform(F.split(c, ";"), F.trim),
+            "texts": lambda: F.transform(F.split(c, ";"), lambda x: F.trim(x)),
         }[kind]()
         return F.when(~is_null(c), read).alias(name)
 
