@@ -183,12 +183,19 @@ def stray_candidates(members: DataFrame, docs: DataFrame, words: int, percent: i
     least_member = F.floor(share * (F.col("n") - F.col("n_v")) + F.col("removed") - 1e-6) + 1
     least_stray = F.greatest(F.lit(1), F.ceil(share * (F.col("n") + F.col("n_v")) - (F.col("n_v") - F.col("removed")) - 1e-6))
     prefix = lambda least: F.greatest(F.lit(0), size - least + 1 - (size - F.size("rare"))).cast("int")
-    found = frames.join(rare, ["u", "v"]).select("u", "v", "component", "stray", "rare", prefix(least_member).alias("as_member"), prefix(least_stray).alias("as_stray"))
-    cut = lambda n: F.explode(F.slice("rare", F.lit(1), F.col(n))).alias("r")
-    stray = found.where("stray AND as_stray > 0").select(F.col("u"), F.col("v").alias("centre"), "component", cut("as_stray"))
-    other = found.where("as_member > 0").select(F.col("u").alias("w"), F.col("v").alias("centre"), F.col("component").alias("other"), cut("as_member"))
-    stray, other = (x.withColumn("e", F.col("r.e")).drop("r") for x in (stray, other))
-    met = stray.join(other, ["centre", "e"]).where("component != other")
+    found = frames.join(rare, ["u", "v"]).select("u", "v", "component", "stray", "n", "n_v", "removed", "rare", prefix(least_member).alias("as_member"), prefix(least_stray).alias("as_stray"))
+
+    def cut(rows: DataFrame, length: str, name: str) -> DataFrame:
+        """The rows' prefixes, one row a difference, with how many differences could still be shared after it."""
+        rows = rows.select("u", "v", "component", "n", "n_v", "removed", F.size("rare").alias("size"), F.posexplode(F.slice("rare", F.lit(1), F.col(length))).alias("at", "r"))
+        columns = {"u": F.col("u"), "component": F.col("component"), "left": F.col("size") - F.col("at"), "part": share * F.col("n") + F.col("removed")}
+        return rows.select(F.col("v").alias("centre"), F.col("r.e").alias("e"), "n_v", *(c.alias(f"{name}_{k}") for k, c in columns.items()))
+
+    stray, other = cut(found.where("stray AND as_stray > 0"), "as_stray", "x"), cut(found.where("as_member > 0"), "as_member", "y").drop("n_v")
+    # the first difference that a linked pair shares leaves room for all others that it has to share
+    room = F.least("x_left", "y_left") >= F.col("x_part") + F.col("y_part") - F.col("n_v") - 1e-6
+    same = (stray["centre"] == other["centre"]) & (stray["e"] == other["e"])
+    met = stray.join(other, same & (F.col("x_component") != F.col("y_component")) & room).select(F.col("x_u").alias("u"), F.col("y_u").alias("w"))
     linked = frames.where(F.col("stray") & (100 * (F.col("n_v") - F.col("removed")) >= percent * (F.col("n") + F.col("removed"))))
     return met.select("u", F.col("w").alias("v")).union(linked.select("u", "v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
