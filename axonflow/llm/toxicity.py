@@ -100,7 +100,7 @@ class Model:
 
 
 def _sigmoid(x):
-    return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
+    return np.where(np.isneginf(x), 0.0, 1 / (1 + np.exp(-np.clip(x, -60, 60))))
 
 
 def _flat(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
