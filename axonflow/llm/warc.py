@@ -29,9 +29,9 @@ BROADCAST_ROWS = 500_000
 RECORD_SCHEMA = "file string, value binary"
 
 
-def sha1_base32(c: Column) -> Column:
-    """SHA-1 in upper-case base32: eight groups of five hex digits give four letters each."""
-    bits = [F.conv(F.substring(F.sha1(c), 5 * g + 1, 5), 16, 10).cast("int") for g in range(8)]
+def base32(digest: Column) -> Column:
+    """A hex SHA-1 in upper-case base32: eight groups of five hex digits give four letters each."""
+    bits = [F.conv(F.substring(digest, 5 * g + 1, 5), 16, 10).cast("int") for g in range(8)]
     letter = lambda n: F.substr(F.lit(BASE32), n + 1, F.lit(1))
     return F.concat(*(letter(F.shiftright(n, 15 - 5 * k).bitwiseAND(31)) for n in bits for k in range(4)))
 
@@ -47,7 +47,7 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     url = F.regexp_replace(F.regexp_replace(F.coalesce("url", F.lit("")), "\r", "%0D"), "\n", "%0A")
     page = F.coalesce(F.col("page_id").cast("string"), F.lit("none"))
     html = F.coalesce("html", F.lit(""))
-    rows = pages.select("page_id", url.alias("url"), html.alias("html"), F.sha2(html, 256).alias("sha"), F.concat(page, F.lit("-"), F.hex(F.xxhash64("url", "html"))).alias("capture"))
+    rows = pages.select("page_id", url.alias("url"), html.alias("html"), F.sha2(html, 256).alias("sha"), F.sha1(html).alias("digest"), F.concat(page, F.lit("-"), F.hex(F.xxhash64("url", "html"))).alias("capture"))
     first = rows.where(F.octet_length("html") >= min_bytes).groupBy("sha").agg(
         F.min(F.struct("page_id", "capture")).alias("first"), F.min("capture").alias("least"), F.max("capture").alias("most")
     )
@@ -55,7 +55,7 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     rows = rows.join(first, "sha", "left").withColumn("again", F.coalesce(F.col("first") != F.col("capture"), F.lit(False)))
     urn = lambda kind, key: F.concat(F.lit(f"<urn:capture:{kind}:"), key, F.lit(">"))
     response, to = urn("response", F.col("capture")), F.lit(f"{CRLF}WARC-Concurrent-To: ")
-    digest = F.concat(F.lit(f"{CRLF}WARC-Payload-Digest: sha1:"), sha1_base32(F.col("html")))
+    digest = F.concat(F.lit(f"{CRLF}WARC-Payload-Digest: sha1:"), base32(F.col("digest")))
     head = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.octet_length("html").cast("string"), F.lit(CRLF * 2))
     revisit = F.concat(digest, F.lit(f"{CRLF}WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest{CRLF}WARC-Refers-To: "), urn("response", F.col("first")))
     get = F.concat(F.lit("GET "), F.col("url"), F.lit(f" HTTP/1.1{CRLF * 2}"))
@@ -132,8 +132,9 @@ def assemble(records: DataFrame) -> DataFrame:
     main = main.select(
         "record_id", "record_type", "refers_to", "target_uri", http.alias("http_header"), F.when(~is_revisit, body).alias("payload"),
         F.when(is_revisit, declared).otherwise(F.octet_length(body).cast("long")).alias("payload_bytes"),
-        F.when(is_revisit, F.regexp_replace("payload_digest", "^sha1:", "")).otherwise(sha1_base32(body)).alias("payload_digest"),
+        F.when(is_revisit, F.regexp_replace("payload_digest", "^sha1:", "")).alias("declared_digest"), F.sha1(body).alias("digest"),
     ).dropDuplicates(["record_id"])
+    main = main.withColumn("payload_digest", F.coalesce("declared_digest", base32(F.col("digest"))))
     side = lambda kind: F.min(F.when(F.col("record_type") == kind, F.struct("record_id", "target_uri", text.alias("text")))).alias(kind)
     others = records.where(F.col("record_type").isin("request", "metadata") & F.col("concurrent_to").isNotNull())
     others = others.groupBy(F.col("concurrent_to").alias("record_id")).agg(side("request"), side("metadata"), F.count(F.lit(1)).alias("n_concurrent"))
