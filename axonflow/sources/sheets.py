@@ -30,7 +30,7 @@ def read_sheet(spark: SparkSession, path: str, key: str = KEY) -> DataFrame:
         raise ValueError(f"no column {key!r}")
     fields = [c if c.strip() else f"_unnamed_{i}" for i, c in enumerate(names)]
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*fields, "_corrupt"]])
-    rows = spark.read.csv(path, schema=schema, header=True, multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt", enforceSchema=True)
+    rows = spark.read.csv(path, schema=schema, header=True, multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt", enforceSchema=True, escape='"')
     blank = F.forall(F.array(*(F.col(f"`{c}`") for c in fields)), lambda c: c.isNull() | (F.trim(c) == ""))
     rows = rows.where(~blank)
     broken = [r["rule"] for r in violations(rows, fields, key).collect()]  # one row a rule
