@@ -28,7 +28,7 @@ from axonflow.llm.shingles import CHUNK_BYTES, U, _BYTES, _powers, mix
 
 MAX_POSITIVE, MAX_UNLABELLED = 4000, 12000
 #: Bytes of a word's beginnings that are features beside the whole word.
-BEGINNINGS = (4, 5, 6)
+BEGINNINGS = (3, 4, 5, 6)
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
@@ -113,12 +113,13 @@ def _margin(weights, intercept, flat, row, n):
     return np.bincount(row, weights[flat], n) + intercept
 
 
-def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, size: int, epochs: int = 40, rate: float = 0.05, decay: float = 3e-5, batches: int = 16, seed: int = 7) -> tuple[np.ndarray, float]:
+def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, size: int, epochs: int = 40, rate: float = 0.05, decay: float = 3e-5, batches: int = 6, seed: int = 7) -> tuple[np.ndarray, float]:
     """Weights and intercept over features 0..size-1: non-negative PU risk with logistic loss, minimised by Adam."""
     rng = np.random.default_rng(seed)
     w, m, v, t = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1), 0
     w[-1] = np.log(prior / (1 - prior))
     batches = max(1, min(batches, len(positive) // 8))
+    total, mean = epochs * batches, np.zeros(size + 1)
     for _ in range(epochs):
         p_parts = np.array_split(rng.permutation(len(positive)), batches)
         u_parts = np.array_split(rng.permutation(len(unlabelled)), batches)
@@ -140,12 +141,15 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
                 g[:-1] += np.bincount(flat, c[row], size)
             t += 1
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-            w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+            w -= rate * (1 - t / (total + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+            if 2 * t > total:  # steps that go the other way leave noise in the last weights
+                mean += (w - mean) / (t - total // 2)
+    w = mean if t else w
     return w[:-1], float(w[-1])
 
 
 #: A feature is used if at least so many positives have it, and so many standard deviations more than expected.
-LEAST_POSITIVE, LEAST_Z = 3, 4.0
+LEAST_POSITIVE, LEAST_Z = 3, 3.0
 #: At most so many features (those that stand out most); 12 bytes each in the broadcast model.
 MAX_FEATURES = 20_000
 
