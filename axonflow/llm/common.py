@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -60,3 +62,18 @@ def without(docs: DataFrame, dropped: DataFrame, name: str, max_rows: int = 1_00
     """Rows of ``docs`` whose doc_id is not in ``dropped`` (doc_id); broadcast only if these are few."""
     ids = broadcast_if_small(materialize(dropped.select("doc_id").distinct(), name), max_rows)
     return docs.join(ids, "doc_id", "left_anti").select(*docs.columns)
+
+
+def slices(batches, rows: int = 256):
+    """Short Arrow batches, so that a worker holds little at a time; what it has freed goes back when a task ends.
+
+    Workers live on from stage to stage, and allocators keep freed memory for them otherwise.
+    """
+    import pyarrow as pa
+
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc alone has it
+        ctypes.CDLL(None).malloc_trim(0)

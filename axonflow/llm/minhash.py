@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from axonflow.llm.common import broadcast_if_small, materialize, table
+from axonflow.llm.common import broadcast_if_small, materialize, slices, table
 from axonflow.llm.components import connected_components
 from axonflow.llm.shingles import U, mix, shared, shingle_sets
 
@@ -78,16 +78,9 @@ def band_keys(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return mix(key)
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """Short batches: what a worker holds at a time stays small."""
-    for batch in batches:
-        for a in range(0, batch.num_rows, rows):
-            yield batch.slice(a, rows)
-
-
 def _signatures(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
+        for batch in slices(batches):
             ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
             sets = shingle_sets(texts, words)
             keys: list = [None] * len(sets)
@@ -114,7 +107,7 @@ def _confirm(words: int, percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, None
-        for batch in _slices(batches):
+        for batch in slices(batches):
             v, left = batch.column("v").to_pylist(), shingle_sets(batch.column("text_u").to_pylist(), words)
             texts, keep = batch.column("text_v"), []
             for i, a in enumerate(left):
@@ -133,7 +126,7 @@ def _frames(words: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, None
-        for batch in _slices(batches):
+        for batch in slices(batches):
             v, texts, rows = batch.column("v").to_pylist(), batch.column("text_v"), []
             for i, a in enumerate(shingle_sets(batch.column("text_u").to_pylist(), words)):
                 text = texts[i].as_py() or ""

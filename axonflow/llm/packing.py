@@ -22,11 +22,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from axonflow.llm.common import materialize, table
+from axonflow.llm.common import materialize, slices, table
 
 LENGTH, END_ID = 4096, 2
 #: Words whose ids a worker remembers; beyond it the memory starts afresh.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 400_000
 TOKEN_SCHEMA = "part int, local_start long, doc_id long, n long, ids binary"
 PIECE_SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -116,21 +116,19 @@ def _tokenise(vocabulary, end_id: int):
             _workers["word"] = (hash(text), WordEncoder(text))
         encoder, part, at = _workers["word"][1], TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
-            for a in range(0, batch.num_rows, 512):
-                some = batch.slice(a, 512)
-                ids = [x + end for x in encoder.encode(some.column("text").to_pylist())]
-                n = np.array([len(x) // 4 for x in ids], np.int64)
-                starts = at + np.cumsum(n) - n
-                at += int(n.sum())
-                yield pa.RecordBatch.from_arrays([pa.array([part] * len(ids), pa.int32()), pa.array(starts), some.column("doc_id"), pa.array(n), pa.array(ids, pa.binary())], names=["part", "local_start", "doc_id", "n", "ids"])
+        for some in slices(batches, 512):
+            ids = [x + end for x in encoder.encode(some.column("text").to_pylist())]
+            n = np.array([len(x) // 4 for x in ids], np.int64)
+            starts = at + np.cumsum(n) - n
+            at += int(n.sum())
+            yield pa.RecordBatch.from_arrays([pa.array([part] * len(ids), pa.int32()), pa.array(starts), some.column("doc_id"), pa.array(n), pa.array(ids, pa.binary())], names=["part", "local_start", "doc_id", "n", "ids"])
 
     return run
 
 
 def _cut(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             first, n = batch.column("first").to_numpy(), batch.column("n").to_numpy()
             begin, last = first // length, (first + n - 1) // length
             count = last - begin + 1

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from axonflow.llm.common import materialize, table
+from axonflow.llm.common import materialize, slices, table
 
 # Patterns and least lengths of the base kinds.
 ASSIGN = re.compile(
@@ -130,7 +130,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ("tokens", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("encoding", pa.string()), ("length", pa.int32()), ("log_uniform", pa.float64()), ("log_text", pa.float64())]))),
     ])
     names = ("start", "end", "encoding", "length", "log_uniform", "log_text")
-    for batch in batches:
+    for batch in slices(batches):
         base, tokens = [], []
         for text in batch.column("text"):
             b, t = scan_text(text.as_py() or "")
@@ -211,7 +211,7 @@ def redact(docs: DataFrame) -> DataFrame:
     _, cuts = _scanned(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             at = batch.schema.get_field_index("text")
             yield batch.set_column(at, "text", pa.array([_redacted(t.as_py(), cuts) for t in batch.column(at)], batch.schema.field(at).type))
 

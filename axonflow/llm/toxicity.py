@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from axonflow.llm.common import materialize, table
+from axonflow.llm.common import materialize, slices, table
 from axonflow.llm.shingles import CHUNK_BYTES, U, _BYTES, _powers, mix
 
 MAX_POSITIVE, MAX_UNLABELLED = 4000, 12000
@@ -160,7 +160,7 @@ def held_out() -> F.Column:
 
 
 def _explained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         rows = known(batch.column("text").to_pylist(), None)
         yield pa.RecordBatch.from_arrays([batch.column("positive"), pa.array(rows, pa.list_(pa.int64()))], names=["positive", "features"])
 
@@ -208,7 +208,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             scores = sent.value.scores(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
@@ -220,7 +220,7 @@ def reject_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataF
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             scores = sent.value.scores(batch.column(batch.schema.get_field_index("text")).to_pylist())
             yield batch.filter(pa.array(scores < threshold))
 
