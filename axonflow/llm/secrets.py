@@ -1,8 +1,10 @@
 """Secret scanning with a randomness test battery (operator 4).
 
-Base spans are fixed patterns. The battery then looks at every other token of ``[A-Za-z0-9+/_=-]`` with 20 or more
-characters. The smallest alphabet that holds the token is its inferred encoding (hex, base32, base36, base64 or its URL
-form). Three tests of the token against uniform draws from that alphabet give p-values: chi-squared of the symbol
+Base spans are fixed patterns. The battery then looks at every other token of 20 or more characters: runs of
+``[A-Za-z0-9+/_=-]`` without the base spans in them, split at each ``=`` that is not padding at the end, so that the
+value of NAME=value is a token of its own. The smallest alphabet that holds the token is its inferred encoding (hex,
+base32, base36, base64 or its URL form). No alphabet holds both ``+/`` and ``-_``: of such a token the longest parts
+within base64 and within its URL form are tested, if they have 20 characters. Three tests of the token against uniform draws from that alphabet give p-values: chi-squared of the symbol
 counts, runs above and below the middle of the alphabet, and the lag-one serial correlation.
 
 False discoveries are controlled in both directions, among tokens of the same length class (powers of two) and over all
@@ -38,7 +40,11 @@ HEX = re.compile(r"[0-9a-f]+")
 LEAST = {"assign": 12, "access": 18, "hex": 16}
 #: Runs of 16 and more, with what stands before them, are the only hex matches that count.
 HEX_LONG = re.compile(r"[0-9a-f]{16,}")
-TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+TOKEN_LEAST = 20
+RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{TOKEN_LEAST},}}")
+#: Padding counts only at the end of what is searched.
+PIECE = re.compile(r"[A-Za-z0-9+/_-]+(?:=+\Z)?")
+PARTS = (re.compile(r"[A-Za-z0-9+/]+(?:=+\Z)?"), re.compile(r"[A-Za-z0-9_-]+(?:=+\Z)?"))
 
 KINDS = ("assign", "access", "hex", "random")
 #: False discovery rates: of calling a random token text, and of calling text a secret.
@@ -112,15 +118,35 @@ def text_ratio(token: str, size: int) -> float:
     return total + len(token) * math.log(size)
 
 
+def candidates(text: str, base: list[tuple[int, int, str]]) -> Iterator[tuple[int, int]]:
+    """[start, end) of the tokens to test: pieces of runs outside ``base``, or their parts in one form of base64."""
+    for run in RUN.finditer(text):
+        at, gaps = run.start(), []
+        for a, b, _ in base:
+            if a < run.end() and at < b:
+                gaps.append((at, a))
+                at = b
+        for start, end in [*gaps, (at, run.end())]:
+            for m in PIECE.finditer(text, start, end) if end - start >= TOKEN_LEAST else ():
+                if len(m[0]) < TOKEN_LEAST:
+                    continue
+                marks = set(m[0])
+                if marks.isdisjoint("+/") or marks.isdisjoint("-_"):
+                    yield m.span()
+                else:
+                    yield from sorted({p.span() for part in PARTS for p in part.finditer(text, *m.span()) if len(p[0]) >= TOKEN_LEAST})
+
+
 def scan_text(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str, int, float, float]]]:
     """Base spans, and the tested tokens (start, end, encoding, length, log p of uniformity, log p of text)."""
     base, tokens = base_spans(text), []
-    for m in TOKEN.finditer(text):
-        if any(a < m.end() and m.start() < b for a, b, _ in base) or (tested := battery(m[0])) is None:
+    for start, end in candidates(text, base):
+        token = text[start:end]
+        if (tested := battery(token)) is None:
             continue
         name, p = tested
         size = next(len(at) for n, _, at in _SETS if n == name)
-        tokens.append((m.start(), m.end(), name, len(m[0]), round(math.log(max(p, 1e-300)), 4), round(min(0.0, text_ratio(m[0].rstrip("="), size)), 4)))
+        tokens.append((start, end, name, len(token), round(math.log(max(p, 1e-300)), 4), round(min(0.0, text_ratio(token.rstrip("="), size)), 4)))
     return base, tokens
 
 
