@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from axonflow.plans import views
@@ -37,6 +39,17 @@ def s5(spark, d):
     return sheets.read_notes(spark, path).select(F.round("t", 6).alias("t"), "label")
 
 
+def s5_all(spark, d):
+    """One sheet of notes for each unit, each written and read by itself, since the source takes one file."""
+    path = scratch_path(spark, "notes-all")
+    rows = views.trains(spark, d).select("unit_id", F.round(F.col("t") / 1000, 3), "recording_id")
+    units = [r["unit_id"] for r in rows.select("unit_id").distinct().orderBy("unit_id").collect()]  # 8 at most
+    rows.repartition("unit_id").write.partitionBy("unit_id").csv(path, header=True)
+    sheet = lambda u: sheets.read_notes(spark, f"{path}/unit_id={u}").select("t", "label")
+    notes = [sheet("__HIVE_DEFAULT_PARTITION__" if u is None else u) for u in units] or [spark.createDataFrame([], "t double, label string")]
+    return reduce(lambda a, b: a.unionAll(b), notes).select(F.round("t", 6).alias("t"), "label")
+
+
 def s8(spark, d):
     path = scratch_path(spark, "start")
     table(spark, d, "orders").select(F.date_format("o_orderdate", "yyyy-MM-dd"), "o_totalprice", "o_orderkey", "o_custkey").write.csv(path, header=False)
@@ -76,6 +89,7 @@ QUERIES = {
     "s3_read_metadata": (s3_files, "WITH l AS (SELECT max(event_type) AS e FROM events) SELECT CAST(max(user_id) AS DOUBLE) AS frameRate, 1::BIGINT AS device FROM events, l WHERE event_type = l.e"),
     "s4_read_frame_times": (s4, f"WITH {TRAINS} SELECT event_id AS frame_idx, round(t / 1000000, 6) AS t FROM trains"),
     "s5_read_notes": (s5, f"WITH {TRAINS} SELECT round(t / 1000000, 6) AS t, recording_id AS label FROM trains WHERE unit_id = 1"),
+    "s5_read_notes_all": (s5_all, f"WITH {TRAINS} SELECT round(t / 1000000, 6) AS t, recording_id AS label FROM trains"),
     "s8_read_start_time": (s8, "SELECT strftime(o_orderdate, '%Y-%m-%d') AS time, round(o_totalprice, 2) AS acq_clk_hz, o_orderkey AS block_read_sz, o_custkey AS block_write_sz FROM orders"),
     "s10_read_design": (s10, "SELECT CAST(n_nationkey AS VARCHAR) AS subject, r_name AS condition, r_name != 'ASIA' AS is_drug, p.period, p.start_min::DOUBLE AS start_min, p.end_min::DOUBLE AS end_min FROM nation JOIN region ON n_regionkey = r_regionkey, (VALUES ('control', 0, 10), ('treatment', 15, 25)) p(period, start_min, end_min)"),
     "s12_write_results": (s12_files, "SELECT c_custkey, c_mktsegment || '__a' AS drug, CAST(c_nationkey % 3 AS VARCHAR) AS channel FROM customer"),

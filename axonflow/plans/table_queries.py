@@ -133,6 +133,24 @@ def _traces(spark, d):
 TRACES = "traces AS (SELECT recording_id, unit_id, frame_idx, CAST((unit_id * 7 + frame_idx * 3) % 11 AS DOUBLE) AS value FROM (SELECT DISTINCT recording_id, unit_id FROM foot), (SELECT unnest(range(0, 10)) AS frame_idx))"
 
 
+def _all_footprints(spark, d):
+    """Units: every vector, its positive components as weights."""
+    rows = movie.pixel_rows(views.frames(spark, d))
+    return rows.where("value > 0").select(R, F.col("frame_idx").alias("unit_id"), F.col("pixel").cast("long").alias("pixel"), F.col("value").cast("double").alias("weight"))
+
+
+FOOT_ALL = "foot AS (SELECT recording_id, frame_idx AS unit_id, CAST(pixel AS BIGINT) AS pixel, value AS weight FROM pixels WHERE value > 0)"
+
+
+def _vector_traces(spark, d):
+    """Traces of the units: the components of every vector, one a frame."""
+    rows = movie.pixel_rows(views.frames(spark, d))
+    return rows.select(R, F.col("frame_idx").alias("unit_id"), F.col("pixel").alias("frame_idx"), F.col("value").cast("double").alias("value"))
+
+
+TRACES_ALL = "traces AS (SELECT recording_id, frame_idx AS unit_id, pixel AS frame_idx, value FROM pixels)"
+
+
 def a29(spark, d):
     return movie.footprint_sum(_footprints(spark, d)).select(R, "pixel", _r("weight", 5))
 
@@ -155,6 +173,29 @@ def a31(spark, d):
     return movie.unit_summary(_traces(spark, d), _footprints(spark, d), 2.0, 8, 3.0)
 
 
+def a29_all(spark, d):
+    return movie.footprint_sum(_all_footprints(spark, d)).select(R, "pixel", _r("weight", 5))
+
+
+def a29_outline_all(spark, d):
+    return movie.footprint_outline(_all_footprints(spark, d), 8, 8)
+
+
+def a30_all(spark, d):
+    return movie.activity_movie(_all_footprints(spark, d), _vector_traces(spark, d)).select(R, "frame_idx", "pixel", _r("value", 4))
+
+
+def a30_black_all(spark, d):
+    """Weights keep their sign here: positive ones alone would cover every pixel of a recording."""
+    signed = movie.pixel_rows(views.frames(spark, d)).select(R, F.col("frame_idx").alias("unit_id"), F.col("pixel").cast("long").alias("pixel"), F.col("value").cast("double").alias("weight"))
+    out = movie.blacked_out(views.frames(spark, d), signed)
+    return out.select(R, "frame_idx", F.round(movie.frame_mean(F.col("pixels")), 5).alias("mean"))
+
+
+def a31_all(spark, d):
+    return movie.unit_summary(_vector_traces(spark, d), _all_footprints(spark, d), 2.0, 8, 3.0)
+
+
 def p13(spark, d):
     out = movie.denoise(views.frames(spark, d).withColumn("pixels", F.transform("pixels", lambda p: p * 10 + 100)), 8, 8, 20.0, 3.0, 0.5)
     return out.select(R, "frame_idx", F.round(movie.frame_mean(F.col("pixels")), 5).alias("mean"))
@@ -165,6 +206,10 @@ def m1(spark, d):
     return out.repartitionByRange("t").sortWithinPartitions("t").select("event_id", "t")
 
 
+def m1_all(spark, d):
+    return views.trains(spark, d).repartitionByRange("t").sortWithinPartitions("t").select("event_id", "t")
+
+
 def m2(spark, d):
     best = F.max(F.struct("value", (-F.col("idx")).alias("m")))
     return views.filled(spark, d).groupBy(R).agg(best.alias("b")).select(R, (-F.col("b.m")).alias("idx"), F.round("b.value", 6).alias("value"))
@@ -273,9 +318,15 @@ QUERIES = {
     "a30_activity_movie": (a30, f"WITH {PIXELS}, {FOOT}, {TRACES} SELECT f.recording_id, CAST(t.frame_idx AS INTEGER) AS frame_idx, pixel, round(sum(weight * t.value), 4) AS value FROM foot f JOIN traces t ON t.recording_id = f.recording_id AND t.unit_id = f.unit_id GROUP BY ALL"),
     "a30_blacked_out": (a30_black, f"WITH {PIXELS}, {FOOT}, c AS (SELECT DISTINCT recording_id, pixel FROM foot WHERE pixel % 3 = 0) SELECT p.recording_id, frame_idx, round(sum(CASE WHEN c.pixel IS NULL THEN value ELSE 0 END) / 64, 5) AS mean FROM pixels p LEFT JOIN c ON c.recording_id = p.recording_id AND c.pixel = p.pixel GROUP BY ALL"),
     "a31_unit_summary": (a31, f"WITH {PIXELS}, {FOOT}, {TRACES}, t AS (SELECT recording_id, unit_id, 4.5::DOUBLE AS duration, arg_max(frame_idx, (value, -frame_idx)) / 2 AS peak_time, min(value) AS least, max(value) AS largest FROM traces GROUP BY ALL), p AS (SELECT recording_id, unit_id, arg_max(pixel, (weight, -pixel)) AS pixel FROM foot GROUP BY ALL) SELECT t.*, pixel // 8 AS peak_x, pixel % 8 AS peak_y, least(greatest(peak_time - 1.5::DOUBLE, 0), duration - 3) AS view_start, least(greatest(peak_time - 1.5::DOUBLE, 0), duration - 3) + 3 AS view_end FROM t JOIN p ON p.recording_id = t.recording_id AND p.unit_id = t.unit_id"),
+    "a29_footprint_sum_all": (a29_all, f"WITH {PIXELS}, {FOOT_ALL} SELECT recording_id, pixel, round(sum(weight), 5) AS weight FROM foot GROUP BY ALL"),
+    "a29_footprint_outline_all": (a29_outline_all, f"WITH {PIXELS}, {FOOT_ALL}, k AS (SELECT *, max(weight) OVER (PARTITION BY recording_id, unit_id) AS top FROM foot), m AS (SELECT recording_id, unit_id, pixel FROM k WHERE weight >= 0.2::DOUBLE * top) SELECT a.recording_id, a.unit_id, a.pixel FROM m a LEFT JOIN m b ON b.recording_id = a.recording_id AND b.unit_id = a.unit_id AND ((b.pixel = a.pixel - 1 AND a.pixel % 8 > 0) OR (b.pixel = a.pixel + 1 AND a.pixel % 8 < 7) OR b.pixel = a.pixel - 8 OR b.pixel = a.pixel + 8) GROUP BY ALL HAVING count(b.pixel) < 4"),
+    "a30_activity_movie_all": (a30_all, f"WITH {PIXELS}, {FOOT_ALL}, {TRACES_ALL} SELECT f.recording_id, t.frame_idx, f.pixel, round(sum(weight * t.value), 4) AS value FROM foot f JOIN traces t ON t.recording_id = f.recording_id AND t.unit_id = f.unit_id GROUP BY ALL"),
+    "a30_blacked_out_all": (a30_black_all, f"WITH {PIXELS}, c AS (SELECT recording_id, pixel FROM pixels GROUP BY ALL HAVING sum(value) > 0) SELECT p.recording_id, frame_idx, round(sum(CASE WHEN c.pixel IS NULL THEN value ELSE 0 END) / 64, 5) AS mean FROM pixels p LEFT JOIN c ON c.recording_id = p.recording_id AND c.pixel = p.pixel GROUP BY ALL"),
+    "a31_unit_summary_all": (a31_all, f"WITH {PIXELS}, {FOOT_ALL}, {TRACES_ALL}, t AS (SELECT recording_id, unit_id, (count(*) - 1) / 2 AS duration, arg_max(frame_idx, (value, -frame_idx)) / 2 AS peak_time, min(value) AS least, max(value) AS largest FROM traces GROUP BY ALL), p AS (SELECT recording_id, unit_id, arg_max(pixel, (weight, -pixel)) AS pixel FROM foot GROUP BY ALL) SELECT t.*, pixel // 8 AS peak_x, pixel % 8 AS peak_y, least(greatest(peak_time - 1.5::DOUBLE, 0), duration - 3) AS view_start, least(greatest(peak_time - 1.5::DOUBLE, 0), duration - 3) + 3 AS view_end FROM t LEFT JOIN p ON p.recording_id = t.recording_id AND p.unit_id = t.unit_id"),
     "w19_detrend_median": (w19, f"WITH {PIXELS}, m AS (SELECT recording_id, frame_idx, avg(value) AS m FROM pixels GROUP BY ALL) SELECT recording_id, frame_idx, round(median(m) OVER (PARTITION BY recording_id), 5) AS mean FROM m"),
     "w19_detrend_linear": (w19_linear, f"WITH {PIXELS}, {_RG} SELECT p.recording_id, frame_idx, p.pixel, round(value - a * frame_idx - b, 5) AS value FROM pixels p JOIN g ON g.recording_id = p.recording_id AND g.pixel = p.pixel"),
     "m1_sorted_events": (m1, f"WITH {TRAINS} SELECT event_id, t FROM trains WHERE unit_id = 2"),
+    "m1_sorted_events_all": (m1_all, f"WITH {TRAINS} SELECT event_id, t FROM trains"),
     "m2_arg_max": (m2, f"WITH {FILLED} SELECT recording_id, arg_max(idx, (value, -idx)) AS idx, round(max(value), 6) AS value FROM filled GROUP BY ALL"),
     "m3_union_rows": (m3, f"WITH {SUBJECTS} SELECT drug, subject FROM subjects WHERE drug = 'BUILDING' UNION ALL SELECT drug, subject FROM subjects WHERE subject % 3 = 0"),
     "m5_euler_angles": (m5, "WITH v AS (SELECT vec_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, embedding[3]::DOUBLE AS c, embedding[4]::DOUBLE AS e FROM embeddings), q AS (SELECT vec_id, a / n AS w, b / n AS x, c / n AS y, e / n AS z FROM (SELECT *, sqrt(a * a + b * b + c * c + e * e) AS n FROM v)) SELECT vec_id, round(degrees(atan2(2 * (w * x + y * z), 1 - 2 * (x * x + y * y))), 4) AS roll, round(degrees(asin(greatest(-1.0, least(1.0, 2 * (w * y - z * x))))), 4) AS pitch, round(degrees(atan2(2 * (w * z + x * y), 1 - 2 * (y * y + z * z))), 4) AS yaw FROM q"),
