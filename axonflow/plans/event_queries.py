@@ -11,6 +11,8 @@ from axonflow.plans.views import DAY, FILLED, HOUR, PHASES, TRAINS
 #: Half an hour a bin, twelve hours to either side: 49 bins.
 BIN, WINDOW = HOUR // 2, 12 * HOUR
 HALF, BINS = 49 * BIN // 2, 49
+#: Surrogates of each train, as the permutation test takes them by default; fixtures give a smaller number.
+DRAWS = 1000
 
 
 def f1(spark, d):
@@ -141,20 +143,20 @@ def _seconds(spark, d):
     return views.trains(spark, d).select("recording_id", "unit_id", (F.col("t") / 1_000_000).alias("t"))
 
 
-def w15(spark, d):
-    return surrogate.jitter(_seconds(spark, d), 600.0, 2, seed=3).select("recording_id", "unit_id", "replicate", "event_idx", "t")
+def w15(spark, d, draws=DRAWS):
+    return surrogate.jitter(_seconds(spark, d), 600.0, draws, seed=3).select("recording_id", "unit_id", "replicate", "event_idx", "t")
 
 
-def w16(spark, d):
-    return surrogate.shift(_seconds(spark, d), 0.0, 2_592_000.0, 2, seed=3, mode="wrap").select("recording_id", "unit_id", "replicate", "event_idx", "t")
+def w16(spark, d, draws=DRAWS):
+    return surrogate.shift(_seconds(spark, d), 0.0, 2_592_000.0, draws, seed=3, mode="wrap").select("recording_id", "unit_id", "replicate", "event_idx", "t")
 
 
-def w17(spark, d):
-    return surrogate.shuffle_intervals(views.trains(spark, d).select("recording_id", "unit_id", "t"), 2, seed=3).select("recording_id", "unit_id", "replicate", "event_idx", "t")
+def w17(spark, d, draws=DRAWS):
+    return surrogate.shuffle_intervals(views.trains(spark, d).select("recording_id", "unit_id", "t"), draws, seed=3).select("recording_id", "unit_id", "replicate", "event_idx", "t")
 
 
-def w18(spark, d):
-    return surrogate.poisson(_seconds(spark, d), 0.0, 2_592_000.0, 2, seed=3)
+def w18(spark, d, draws=DRAWS):
+    return surrogate.poisson(_seconds(spark, d), 0.0, 2_592_000.0, draws, seed=3)
 
 
 def _close_intervals(trains, extra):
@@ -163,9 +165,9 @@ def _close_intervals(trains, extra):
     return rows.groupBy(*extra, "recording_id", "unit_id").agg(F.avg((F.col("interval") < 1800).cast("double")).alias("statistic"))
 
 
-def u2(spark, d):
+def u2(spark, d, draws=DRAWS):
     trains = _seconds(spark, d)
-    null = _close_intervals(surrogate.poisson(trains, 0.0, 2_592_000.0, 50, seed=3), ["replicate"])
+    null = _close_intervals(surrogate.poisson(trains, 0.0, 2_592_000.0, draws, seed=3), ["replicate"])
     return surrogate.permutation_test(_close_intervals(trains, []), null, ["recording_id", "unit_id"], "greater")
 
 

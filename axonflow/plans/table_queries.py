@@ -54,7 +54,7 @@ def a22(spark, d):
 
 
 def a23(spark, d):
-    return stats.bootstrap_interval(_subjects(spark, d).dropna(), ["drug"], "treatment", draws=400, blocks=4)
+    return stats.bootstrap_interval(_subjects(spark, d).dropna(), ["drug"], "treatment")
 
 
 def a24(spark, d):

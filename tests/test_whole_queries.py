@@ -2,6 +2,7 @@
 
 import os
 
+from axonflow.operators import stats
 from axonflow.plans import registry
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -17,3 +18,14 @@ def test_queries_take_all_rows(spark):
     black = run("a30_blacked_out_all")
     assert black.count() == vectors and 0 < black.where("mean != 0").count()
     assert {r["frame_idx"] for r in run("a30_activity_movie_all").select("frame_idx").distinct().collect()} == set(range(64))
+
+
+def test_random_queries_take_the_default_numbers_of_draws(spark, monkeypatch):
+    run = lambda name: registry.queries()[name](spark, DATA)
+    assert {r["n_surrogates"] for r in run("u2_permutation_test").collect()} == {1000}
+    for name in ("w15_jitter", "w16_shift", "w17_shuffle_intervals", "w18_poisson"):
+        assert run(name).select("replicate").distinct().count() == 1000, name
+    seen = []
+    monkeypatch.setattr(stats, "bootstrap_interval", lambda *a, **b: seen.append(b))
+    run("a23_bootstrap_interval")
+    assert "draws" not in seen[0]
