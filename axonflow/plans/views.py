@@ -29,9 +29,14 @@ def trains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """recording_id, idx (hour), value (mean, null without events)."""
+    """recording_id, idx (hour), value (mean, null without events).
+
+    The hours are those of the 30 days from 2024-01-01 and, where a recording has events before or after them, all up
+    to its first or last one.
+    """
     hours = trains(spark, sf_dir).groupBy("recording_id", F.floor(F.col("t") / HOUR).alias("idx")).agg((F.sum(F.round(F.col("value") * 1000).cast("long")) / F.count(F.lit(1)) / 1000).alias("value"))
-    grid = hours.select("recording_id").distinct().withColumn("idx", F.explode(F.expr(f"sequence(0L, {HOURS - 1}L)")))
+    ends = hours.groupBy("recording_id").agg(F.least(F.min("idx"), F.lit(0)).alias("low"), F.greatest(F.max("idx"), F.lit(HOURS - 1)).alias("high"))
+    grid = ends.select("recording_id", F.explode(F.sequence("low", "high")).alias("idx"))
     return grid.join(hours, ["recording_id", "idx"], "left")
 
 
