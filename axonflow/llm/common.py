@@ -58,10 +58,22 @@ def drop_table(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def without(docs: DataFrame, dropped: DataFrame, name: str, max_rows: int = 1_000_000) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is not in ``dropped`` (doc_id); broadcast only if these are few."""
-    ids = broadcast_if_small(materialize(dropped.select("doc_id").distinct(), name), max_rows)
-    return docs.join(ids, "doc_id", "left_anti").select(*docs.columns)
+def with_row_ids(docs: DataFrame, column: str, name: str) -> DataFrame:
+    """``docs`` with a number in ``column`` that no two rows share: doc_id itself, unless ids repeat or are null.
+
+    Where they do, rows are numbered in the order of doc_id (nulls last) and text, and written, so that the numbers hold.
+    """
+    rest = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")]
+    if docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR doc_id IS NULL").isEmpty():
+        return docs.withColumn(column, F.col("doc_id"))
+    ordered = docs.orderBy(F.col("doc_id").asc_nulls_last(), "text", *rest)
+    return materialize(ordered.select("*", F.monotonically_increasing_id().alias(column)), name)
+
+
+def without(docs: DataFrame, dropped: DataFrame, name: str, key: str = "doc_id", max_rows: int = 1_000_000) -> DataFrame:
+    """Rows of ``docs`` whose ``key``, which no two rows share, is not in ``dropped`` (key); broadcast only if these are few."""
+    ids = broadcast_if_small(materialize(dropped.select(key).distinct(), name), max_rows)
+    return docs.join(ids, key, "left_anti").select(*docs.columns)
 
 
 def slices(batches, rows: int = 256):

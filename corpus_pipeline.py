@@ -1,14 +1,18 @@
 """Corpus pipeline: toxicity, exact duplicates, near duplicates, secrets, packing.
 
 Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept, and is written as Parquet and read
-again for the next one. doc_id identifies a document; the stages before packing keep the columns of ``documents``.
+again for the next one. The duplicate stages decide on rows: ids may repeat or be null. The stages before packing keep
+the columns of ``documents``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from axonflow.llm.common import materialize, table, without
+from axonflow.llm.common import materialize, table, with_row_ids, without
 from axonflow.llm.exact_dedup import exact_dedup
 from axonflow.llm.minhash import near_duplicates
 from axonflow.llm.packing import pack
@@ -21,14 +25,21 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return reject_toxic(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
+def _kept(docs: DataFrame, decide: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """Rows that ``decide`` (doc_id, kept from doc_id, text) keeps; it is given row numbers as ids."""
+    rows = with_row_ids(docs, "row_id", f"{name}-rows")
+    found = decide(rows.select(F.col("row_id").alias("doc_id"), "text"))
+    return without(rows, found.where("NOT kept").select(F.col("doc_id").alias("row_id")), f"{name}-dropped", "row_id").select(*docs.columns)
+
+
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each group of equal texts (operator 10)."""
-    return without(docs, exact_dedup(docs).where("NOT kept"), "exact-dropped")
+    """Keeps one row, with the smallest id, of each group of equal texts (operator 10)."""
+    return _kept(docs, exact_dedup, "exact")
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each group of near duplicates: five-word shingles, similarity 0.8 (operator 7)."""
-    return without(docs, near_duplicates(docs, words=5, percent=80).where("NOT kept"), "near-dropped")
+    """Keeps one row, with the smallest id, of each group of near duplicates: five-word shingles, similarity 0.8 (operator 7)."""
+    return _kept(docs, lambda rows: near_duplicates(rows, words=5, percent=80), "near")
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -62,3 +62,16 @@ def test_stages_keep_clean_documents_and_act_on_the_others(spark, tmp_path):
     whole = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted((r["doc_id"], r["start"], bytes(r["ids"])) for r in whole) == sorted((r["doc_id"], r["start"], bytes(r["ids"])) for r in pieces)
     assert sum(r["length"] for r in whole) == sum(len(np.frombuffer(r["ids"], "<u4")) for r in whole)
+
+
+def test_duplicate_stages_decide_on_rows(spark):
+    rng = random.Random(6)
+    a, b, c, d = (" ".join(f"w{rng.randrange(2000)}" for _ in range(60)) for _ in range(4))
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    frame = lambda rows: spark.createDataFrame([(i, t, "en", s, None) for i, t, s in rows], schema)
+    left = lambda stage, rows: sorted(((r["doc_id"], r["text"]) for r in stage(spark, frame(rows), "").collect()), key=str)
+    rows = [(0, b, "s"), (1, a, "s"), (1, b, "s"), (None, b, "s"), (None, c, "s"), (None, c, "s"), (2, d, "s"), (2, d, "s"), (2, d, "t")]
+    want = sorted([(0, b), (1, a), (None, c), (2, d)], key=str)
+    assert left(corpus_pipeline.exact_stage, rows) == want
+    near = [(0, b, "s"), (1, a, "s"), (1, b + " more", "s"), (None, b + " else", "s"), (None, c, "s"), (2, d, "s"), (2, d + " more", "s"), (None, None, "s")]
+    assert left(corpus_pipeline.near_stage, near) == sorted([*want, (None, None)], key=str)
