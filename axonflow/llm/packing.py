@@ -7,8 +7,8 @@ crosses a window's boundary gives one record on either side. Nothing is shuffled
 sequence but the last is full, and each id lies in exactly one piece.
 
 Defined cases: null text is empty and gives the end token alone; repeated rows and ids are packed one by one; an empty
-table gives no pieces; very long texts are cut over as many windows as they need; other columns are ignored. Special
-tokens' strings in a text are ordinary text.
+table gives no pieces; very long texts are cut over as many windows as they need; other columns are ignored. Strings of
+the vocabulary's added tokens in a text are those tokens, as in the library's own call.
 """
 
 from __future__ import annotations
@@ -43,7 +43,8 @@ class WordEncoder:
 
     Chunks are looked up in lower case, as the vocabulary's normaliser makes them, and without the full stop or comma
     after a word, which is a piece of its own. New chunks of letters alone are encoded many at a time: each is one piece
-    and ends with its only end-of-word token.
+    and ends with its only end-of-word token. Texts that hold an added token's string are encoded whole, as the library
+    does by default; chunks never are, since lower case can make such a string of another one.
     """
 
     def __init__(self, vocabulary: str):
@@ -51,6 +52,9 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.exact = [t.content for t in added if not t.normalized]
+        self.lowered = [t.content.lower() for t in added if t.normalized]
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
         self.cache: dict[str, bytes] = {}
@@ -85,15 +89,27 @@ class WordEncoder:
                 text = text.replace(". ", " . ").replace(", ", " , ")
         return text.split(" ")
 
+    def _holds_added(self, text: str) -> bool:
+        low = text.lower() if self.lowered else ""
+        return any(t in text for t in self.exact) or any(t in low for t in self.lowered)
+
+    def _whole(self, text: str) -> bytes:
+        self.tokenizer.encode_special_tokens = False
+        try:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        finally:
+            self.tokenizer.encode_special_tokens = True
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if len(self.cache) > CACHE_WORDS:
             self.cache = {}
-        split = [self._chunks(t or "") for t in texts]
+        whole = {i for i, t in enumerate(texts) if t and self._holds_added(t)}
+        split = [[] if i in whole else self._chunks(t or "") for i, t in enumerate(texts)]
         new = set().union(*split).difference(self.cache)
         if new:
             self._learn(new)
         get = self.cache.__getitem__
-        return [b"".join(map(get, c)) for c in split]
+        return [self._whole(texts[i]) if i in whole else b"".join(map(get, c)) for i, c in enumerate(split)]
 
 
 def vocabulary_text(path: str | None = None) -> str:

@@ -231,6 +231,21 @@ def test_packing_is_gapless(spark):
     assert packing.pack(docs(spark, [])).count() == 0
 
 
+def test_added_tokens_in_texts_are_encoded_as_the_library_does():
+    from tokenizers import Tokenizer
+
+    import public_tokenizers as p
+
+    own = Tokenizer.from_file(p.path("word_bpe_49k.json"))  # default setting
+    added = [t.content for t in own.get_added_tokens_decoder().values()]
+    texts = [f"{a}{t}{b}" for t in added for a in ("", "a ", "It's", "x. ") for b in ("", " b", "B, c.", t)]
+    texts += [t.upper() for t in added] + ["a <|endoftext|> b", "a <|EndOfText|> b", "< |endoftext|>", "plain, text.", "a <|endof text|> b"]
+    encoder = packing.WordEncoder(packing.vocabulary_text())
+    got = [np.frombuffer(x, "<u4").tolist() for x in encoder.encode([*texts, None])]
+    assert got == [own.encode(t, add_special_tokens=False).ids for t in texts] + [[]]
+    assert got[texts.index("a <|endoftext|> b")] == [320, 49407, 321] and added
+
+
 # --- 7 near duplicates
 
 
