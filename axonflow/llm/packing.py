@@ -13,7 +13,9 @@ the vocabulary's added tokens in a text are those tokens, as in the library's ow
 
 from __future__ import annotations
 
+import json
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,91 +27,140 @@ from pyspark.sql import functions as F
 from axonflow.llm.common import materialize, slices, table
 
 LENGTH, END_ID = 4096, 2
-#: Words whose ids a worker remembers; beyond it the memory starts afresh.
-CACHE_WORDS = 400_000
+#: Chunks of a generation of a worker's memory, which holds two.
+GENERATION = 200_000
 TOKEN_SCHEMA = "part int, local_start long, doc_id long, n long, ids binary"
 PIECE_SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 _workers: dict = {}
 
 
-#: A full stop or comma that follows another mark belongs to a longer piece.
-_JOINED_MARK = re.compile(r"(?:[^\w ]|_)[.,] ")
+#: A full stop or comma that does not follow a letter or number, and so may belong to a longer piece.
+_JOINED_STOP = re.compile(r"[.,](?<![^\W_].) ")
+
+
+class _Memory(dict):
+    """Ids of chunks in two generations: what was not asked for during a whole generation is forgotten.
+
+    A full stop or comma after a letter or number is a piece of its own, so such a chunk is read as the one without it.
+    A chunk that is in neither generation is noted in ``pending`` and read as None.
+    """
+
+    def __init__(self, stops: dict[str, bytes]):
+        super().__init__()
+        self.old: dict[str, bytes] = {}
+        self.pending: list[str] = []
+        self.stops = stops
+
+    def __missing__(self, chunk: str) -> bytes | None:
+        stop = self.stops.get(chunk[-1]) if chunk[-2:-1].isalnum() else None
+        word = chunk[:-1] if stop else chunk
+        ids = self.get(word) if stop else None
+        if ids is None:
+            ids = self.old.get(word)
+            if ids is None:
+                self.pending.append(chunk)
+                return None
+            self[word] = ids
+        return ids + stop if stop else ids
+
+    def turn(self, most: int) -> None:
+        if len(self) > most:
+            self.old = dict(self)
+            self.clear()
 
 
 class WordEncoder:
-    """Ids of texts, each white-space-delimited chunk encoded once. The vocabulary's pattern never crosses white space,
-    so the ids of a text are those of its chunks in turn. Ids are kept as little-endian unsigned 32-bit bytes.
+    """Ids of texts (little-endian unsigned 32-bit bytes), each white-space-delimited chunk encoded once.
 
-    Chunks are looked up in lower case, as the vocabulary's normaliser makes them, and without the full stop or comma
-    after a word, which is a piece of its own. New chunks of letters alone are encoded many at a time: each is one piece
-    and ends with its only end-of-word token. Texts that hold an added token's string are encoded whole, as the library
-    does by default; chunks never are, since lower case can make such a string of another one.
+    The vocabulary's pattern never crosses white space, so the ids of a text are those of its chunks in turn. A text is
+    brought into the vocabulary's form first, as its normaliser does it: NFC, then lower case letter by letter. New
+    chunks of letters alone are one piece each and are merged many at a time, as each ends with its only end-of-word
+    token; the others are cut by the library. Texts that hold an added token's string, a control character on which Python
+    and the library disagree about white space, or a code point that Python does not know are encoded whole by the library.
     """
 
     def __init__(self, vocabulary: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
+        kind = json.loads(vocabulary)
+        steps = [x["type"] for x in kind["normalizer"]["normalizers"]] + [x["type"] for x in kind["pre_tokenizer"]["pretokenizers"]]
+        if steps != ["NFC", "Replace", "Lowercase", "Split", "ByteLevel"]:
+            raise ValueError("a vocabulary of words in lower case is needed")
         self.tokenizer = Tokenizer.from_str(vocabulary)
-        self.tokenizer.encode_special_tokens = True
+        self.cutter = Tokenizer.from_str(json.dumps(kind | {"normalizer": None, "added_tokens": []}))
+        self.merger = Tokenizer(self.tokenizer.model)
+        self.merger.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         added = self.tokenizer.get_added_tokens_decoder().values()
         self.exact = [t.content for t in added if not t.normalized]
         self.lowered = [t.content.lower() for t in added if t.normalized]
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
-        self.cache: dict[str, bytes] = {}
-
-    def _one_by_one(self, chunks: list[str]) -> None:
-        for at in range(0, len(chunks), 20_000):
-            some = chunks[at : at + 20_000]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.cache[w] = np.array(e.ids, "<u4").tobytes()
-
-    def _learn(self, new: set[str]) -> None:
-        words = [w for w in new if w.isalpha()]
-        self._one_by_one([w for w in new if not w.isalpha()])
+        self.memory = _Memory(dict(zip(".,", self._one_by_one([".", ","]), strict=True)))
+
+    def _one_by_one(self, chunks: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.cutter.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def _learn(self, chunks: set[str]) -> None:
+        """Ids of new chunks; those with a code point that Python does not know stay unknown."""
+        words, others = [], []
+        for c in {c[:-1] if c[-1] in self.memory.stops and c[-2:-1].isalnum() else c for c in chunks}:
+            if c.isalpha():
+                words.append(c)
+            elif c.isascii() or all(unicodedata.category(x) != "Cn" for x in c):
+                others.append(c)
+        for at in range(0, len(others), 4096):
+            some = others[at : at + 4096]
+            self.memory.update(zip(some, self._one_by_one(some), strict=True))
         for at in range(0, len(words), 4096):
             some = words[at : at + 4096]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            last = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            ids = np.array(self.merger.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            last = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
             if len(last) != len(some):
-                self._one_by_one(some)
+                self.memory.update(zip(some, self._one_by_one(some), strict=True))
                 continue
-            data, a = ids.tobytes(), 0
-            for w, b in zip(some, last.tolist(), strict=True):
-                self.cache[w] = data[a:b]
-                a = b
+            data = ids.tobytes()
+            self.memory.update(zip(some, map(data.__getitem__, map(slice, [0, *last[:-1]], last)), strict=True))
 
-    @staticmethod
-    def _chunks(text: str) -> list[str]:
-        text = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
-        if "\u03a3" not in text and "\u0130" not in text:  # lower case that depends on its place, or ends with a mark
-            text = text.lower()
-            if not _JOINED_MARK.search(text):
-                text = text.replace(". ", " . ").replace(", ", " , ")
-        return text.split(" ")
-
-    def _holds_added(self, text: str) -> bool:
-        low = text.lower() if self.lowered else ""
-        return any(t in text for t in self.exact) or any(t in low for t in self.lowered)
+    def _is_whole(self, text: str) -> bool:
+        if any(t in text for t in self.exact) or any(c in text for c in "\x1c\x1d\x1e\x1f"):
+            return True
+        return bool(self.lowered) and any(t in unicodedata.normalize("NFC", text).lower() for t in self.lowered)
 
     def _whole(self, text: str) -> bytes:
-        self.tokenizer.encode_special_tokens = False
-        try:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        finally:
-            self.tokenizer.encode_special_tokens = True
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    @staticmethod
+    def _chunks(text: str) -> list[str]:
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3")
+        text = text.lower().replace("\n", " ")
+        if not _JOINED_STOP.search(text):
+            text = text.replace(". ", " . ").replace(", ", " , ")
+        return text.split()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.cache) > CACHE_WORDS:
-            self.cache = {}
-        whole = {i for i, t in enumerate(texts) if t and self._holds_added(t)}
-        split = [[] if i in whole else self._chunks(t or "") for i, t in enumerate(texts)]
-        new = set().union(*split).difference(self.cache)
-        if new:
-            self._learn(new)
-        get = self.cache.__getitem__
-        return [self._whole(texts[i]) if i in whole else b"".join(map(get, c)) for i, c in enumerate(split)]
+        memory, out, open_ = self.memory, [], []
+        memory.turn(GENERATION)
+        for text in texts:
+            if not text:
+                out.append(b"")
+            elif self._is_whole(text):
+                out.append(self._whole(text))
+            else:
+                before = len(memory.pending)
+                ids = list(map(memory.__getitem__, self._chunks(text)))
+                if len(memory.pending) > before:
+                    open_.append((len(out), ids, memory.pending[before:]))
+                out.append(b"" if len(memory.pending) > before else b"".join(ids))
+        self._learn(set(memory.pending))
+        memory.pending = []
+        for i, ids, missing in open_:
+            late = [memory[c] for c in missing]
+            rest = iter(late)
+            out[i] = self._whole(texts[i]) if None in late else b"".join([next(rest) if x is None else x for x in ids])
+        memory.pending = []
+        return out
 
 
 def vocabulary_text(path: str | None = None) -> str:

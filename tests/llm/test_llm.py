@@ -246,6 +246,28 @@ def test_added_tokens_in_texts_are_encoded_as_the_library_does():
     assert got[texts.index("a <|endoftext|> b")] == [320, 49407, 321] and added
 
 
+def test_every_letter_is_encoded_as_the_library_does():
+    from tokenizers import Tokenizer
+
+    import public_tokenizers as p
+
+    own = Tokenizer.from_file(p.path("word_bpe_49k.json"))
+    encoder = packing.WordEncoder(packing.vocabulary_text())
+    spans = ((0, 0x3400), (0xA000, 0xAC10), (0xF900, 0x12000), (0x16D00, 0x16E00), (0x1D000, 0x1FB00))
+    texts = [form.replace("{}", chr(c)) for a, b in spans for c in range(a, b) for form in ("a{}. {}, x", "J{}'s {}{}1")]
+    texts += ["\u09b9\u09df. \u0986\u09b0", "\u091c\u0915\u093c, x", "\u03a3\u0391\u03a3. \u03a3", "J\u030c \u0130", "a.. b ., c_. d"]
+    got = encoder.encode(texts)
+    want = own.encode_batch_fast(texts, add_special_tokens=False)
+    assert [ascii(t) for t, g, w in zip(texts, got, want, strict=True) if np.frombuffer(g, "<u4").tolist() != w.ids] == []
+
+
+def test_forgotten_words_are_learnt_again(monkeypatch):
+    monkeypatch.setattr(packing, "GENERATION", 3)
+    encoder, fresh = (packing.WordEncoder(packing.vocabulary_text()) for _ in range(2))
+    texts = ["alpha, beta. gamma", "delta epsilon. zeta", "alpha. beta, x1", "y2 z3 gamma", "alpha beta", "long " * 20_000]
+    assert [encoder.encode([t])[0] for t in texts * 2] == fresh.encode(texts) * 2
+
+
 # --- 7 near duplicates
 
 
