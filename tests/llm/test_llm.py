@@ -107,6 +107,42 @@ def test_line_links_are_exact(spark):
     assert got == want and len(want) > 20
 
 
+def numbered(n, seed=6):
+    rng = random.Random(seed)
+    return sorted({f"record number {rng.randrange(10**8):08d} of the nightly export of the archive" for _ in range(n)})
+
+
+def test_hot_segments_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "HOT_PAIRS", 20)
+    rng = random.Random(9)
+    lines = numbered(150)
+    for line in rng.sample(lines, 60):
+        s = list(line)
+        for _ in range(rng.randint(1, 3)):
+            i = rng.choice([rng.randrange(len(s)), rng.randrange(14, 22)])
+            s[i : i + rng.randint(0, 1)] = rng.choice(["", "7", "xy"])
+        lines.append("".join(s))
+    lines = sorted(set(lines))
+    df = spark.createDataFrame(list(enumerate(lines)), "id long, line string")
+    got = {(r["u"], r["v"]) for r in line_dedup.linked_lines(df).collect()}
+    want = {(i, j) for i, a in enumerate(lines) for j, b in enumerate(lines) if i < j and abs(len(a) - len(b)) <= 2 and edit(a, b) <= 2}
+    assert got == want and len(want) > 20
+
+
+def test_numbered_lines_are_not_paired_with_each_other(spark):
+    pairs = {}
+    for n in (1000, 4000):
+        rows = spark.createDataFrame(list(enumerate(numbered(n))), "id long, line string").withColumn("n", F.length("line"))
+        pairs[n] = line_dedup.candidates(rows, 2, 20)[0].count()
+    assert pairs[1000] < 4000 and pairs[4000] < 0.01 * 4000**2 / 2
+
+
+def test_line_dedup_of_very_long_lines(spark):
+    long = "".join(random.Random(2).choice("abcdefgh ") for _ in range(10_000))
+    out = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs(spark, [long, long[:5000] + "X" + long[5001:], long[1:], long[3:]])).collect()}
+    assert [out[i]["n_links"] for i in range(4)] == [2, 2, 3, 1] and not out[3]["kept"]
+
+
 def test_line_dedup_cases(spark):
     line = "this line is long enough to be linked"
     df = docs(spark, [None, "", line + "\nshort\n" + line, line + "!\nshort", line + "!?"]).withColumn("line", F.lit("clash"))
