@@ -1,7 +1,8 @@
 """Chat formatting (operator 8), Spark expressions only.
 
-Turns of a conversation are collected as structs, sorted, adjacent turns of one role merged into one block by array
-aggregation, and the blocks concatenated. A block is ``<|im_start|>role\\n`` text ``<|im_end|>\\n``; inside a block the
+Turns of a conversation are collected as structs and sorted; runs of adjacent turns of one role are merged by array
+functions into blocks of a role and its texts, and the blocks concatenated. All steps are linear in the conversation but
+for the running sums of the mask (n * log(n)). A block is ``<|im_start|>role\\n`` text ``<|im_end|>\\n``; inside a block the
 texts of merged turns are parted by ``<|im_next|>``, so the rows can be read back. In roles and texts ``\\`` becomes
 ``\\\\`` and ``<|`` becomes ``<\\|`` (a role's line feed gets a ``\\`` before it), so no text can hold a mark.
 ``loss_mask`` lists the code-point spans [start, end) of assistant texts in the formatted string, without marks.
@@ -33,41 +34,45 @@ def _role_out(c: Column) -> Column:
     return F.replace(escaped(c), F.lit("\n"), F.lit("\\\n"))
 
 
+def _running_sums(lengths: Column) -> Column:
+    """Inclusive prefix sums of an array in rounds of doubling steps: n * log(n) additions, no array grown item by item."""
+    steps = F.filter(F.lit([1 << k for k in range(31)]), lambda step: step < F.size(lengths))
+    return F.aggregate(steps, lengths, lambda sums, step: F.transform(sums, lambda x, i: x + F.when(i >= step, F.get(sums, i - step)).otherwise(F.lit(0).cast("long"))))
+
+
+def role_blocks(conversations: DataFrame) -> DataFrame:
+    """conv_id and blocks: per run of adjacent turns of one role, the role and its texts, both escaped, in order."""
+    turn = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    turns = conversations.select("conv_id", turn.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    first = F.filter(F.sequence(F.lit(0), F.size("turns") - 1), lambda i: (i == 0) | (F.get("turns", i)["role"] != F.get("turns", i - 1)["role"]))
+    runs = turns.select("conv_id", "turns", first.alias("first"))
+
+    def block(start: Column, k: Column) -> Column:
+        end = F.coalesce(F.get("first", k + 1), F.size("turns"))
+        texts = F.transform(F.slice("turns", start + 1, end - start), lambda t: escaped(t["text"]))
+        return F.struct(_role_out(F.get("turns", start)["role"]).alias("role"), (F.get("turns", start)["role"] == "assistant").alias("loss"), texts.alias("texts"))
+
+    return runs.select("conv_id", F.transform("first", block).alias("blocks"))
+
+
 def format_chats(conversations: DataFrame) -> DataFrame:
     """conv_id, formatted string and loss_mask (array of start, end) of each conversation."""
-    rows = conversations.select("conv_id", F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
-    turns = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t"), _by_turn).alias("turns"))
-    parts = turns.select(
-        "conv_id",
-        F.transform("turns", lambda t, i: F.struct(
-            (t["role"] == F.lit("assistant")).alias("loss"),
-            F.when((i > 0) & (F.get("turns", i - 1)["role"] == t["role"]), F.lit(NEXT))
-            .otherwise(F.concat(F.when(i > 0, F.lit(END)).otherwise(F.lit("")), F.lit(START), _role_out(t["role"]), F.lit("\n"))).alias("mark"),
-            escaped(t["text"]).alias("body"),
-        )).alias("parts"),
-    )
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
-
-    def step(acc, p):
-        start = acc["at"] + F.length(p["mark"])
-        end = start + F.length(p["body"])
-        span = F.struct(start.cast("long").alias("start"), end.cast("long").alias("end"))
-        return F.struct(end.cast("long").alias("at"), F.when(p["loss"], F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
-
-    text = F.concat(F.array_join(F.transform("parts", lambda p: F.concat(p["mark"], p["body"])), ""), F.lit(END))
-    return parts.select("conv_id", text.alias("formatted"), F.aggregate("parts", zero, step)["spans"].alias("loss_mask"))
-
-
-def _by_turn(a: Column, b: Column) -> Column:
-    """Order of the turns: by number (null first), role, text."""
-    less = F.lit(-1)
-    out = F.lit(0)
-    for f in ("text", "role", "turn"):
-        x, y = a[f], b[f]
-        null_first = F.when(x.isNull() & y.isNull(), out).when(x.isNull(), less).when(y.isNull(), F.lit(1)) if f == "turn" else None
-        rest = F.when(x < y, less).when(x > y, F.lit(1)).otherwise(out)
-        out = rest if null_first is None else null_first.otherwise(rest)
-    return out
+    blocks = role_blocks(conversations)
+    head = lambda b: F.concat(F.lit(START), b["role"], F.lit("\n"))
+    text = F.array_join(F.transform("blocks", lambda b: F.concat(head(b), F.array_join(b["texts"], NEXT), F.lit(END))), "")
+
+    def measured(b: Column, k: Column) -> Column:
+        """Of each text of a block: its length, the length of the marks before it, and whether it counts."""
+        before = F.length(head(b)) + F.when(k > 0, F.lit(len(END))).otherwise(F.lit(0))
+        return F.transform(
+            b["texts"], lambda x, j: F.struct(F.when(j == 0, before).otherwise(F.lit(len(NEXT))).cast("long").alias("mark"), F.length(x).cast("long").alias("n"), b["loss"].alias("loss"))
+        )
+
+    sized = blocks.select("conv_id", text.alias("formatted"), F.flatten(F.transform("blocks", measured)).alias("parts"))
+    ends = sized.select("conv_id", "formatted", "parts", _running_sums(F.transform("parts", lambda p: p["mark"] + p["n"])).alias("ends"))
+    spans = F.transform("parts", lambda p, i: F.struct((F.get("ends", i) - p["n"]).alias("start"), F.get("ends", i).alias("end"), p["loss"].alias("loss")))
+    mask = F.transform(F.filter(spans, lambda s: s["loss"]), lambda s: F.struct(s["start"], s["end"]))
+    return ends.select("conv_id", "formatted", mask.alias("loss_mask"))
 
 
 def read_chats(formatted: DataFrame) -> DataFrame:

@@ -44,9 +44,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Mark ``df`` (a written table, so counting is cheap) for broadcast only if it has at most ``max_rows`` rows."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+#: A table may be broadcast if its rows take no more than this, by the widths below.
+BROADCAST_BYTES = 2 << 20
+_WIDE = 64  # of strings and binary values: digests and names
+
+
+def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark ``df`` (a written table of numbers, digests or names, so counting is cheap) for broadcast if it is small."""
+    width = sum(_WIDE if f.dataType.typeName() in ("string", "binary") else 8 for f in df.schema) + 16
+    most = max_bytes // width
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def drop_table(df: DataFrame) -> None:
@@ -70,9 +77,9 @@ def with_row_ids(docs: DataFrame, column: str, name: str) -> DataFrame:
     return materialize(ordered.select("*", F.monotonically_increasing_id().alias(column)), name)
 
 
-def without(docs: DataFrame, dropped: DataFrame, name: str, key: str = "doc_id", max_rows: int = 1_000_000) -> DataFrame:
+def without(docs: DataFrame, dropped: DataFrame, name: str, key: str = "doc_id") -> DataFrame:
     """Rows of ``docs`` whose ``key``, which no two rows share, is not in ``dropped`` (key); broadcast only if these are few."""
-    ids = broadcast_if_small(materialize(dropped.select(key).distinct(), name), max_rows)
+    ids = broadcast_if_small(materialize(dropped.select(key).distinct(), name))
     return docs.join(ids, key, "left_anti").select(*docs.columns)
 
 

@@ -25,8 +25,6 @@ from axonflow.llm.common import SPACE_CLASS, broadcast_if_small, materialize, ta
 
 #: Keys of a filter shard; bounds what one task holds.
 SHARD_KEYS = 1 << 15
-#: Above so many keys the byte check joins by shuffle instead of broadcasting the keys (8 bytes each).
-BROADCAST_KEYS = 1_000_000
 
 FILTER_SCHEMA = "shard int, seed long, segment int, segments int, n long, fingerprints binary"
 
@@ -173,13 +171,13 @@ def exact_dedup(docs: DataFrame, snapshot_share: float = 0.5, key_bits: int = 64
     batch = materialize(base.where(~F.coalesce(old, F.lit(False))).groupBy("key").agg(F.count(F.lit(1)).alias("n")), "fuse-batch")
     met = screen(batch, snapshot).join(snapshot.buckets, "key", "left_semi")
     again = snapshot.buckets.where("n > 1").select("key").union(batch.where("n > 1").select("key"))
-    wanted = broadcast_if_small(materialize(met.union(again).distinct(), "fuse-check"), BROADCAST_KEYS)
+    wanted = broadcast_if_small(materialize(met.union(again).distinct(), "fuse-check"))
     # The byte check: whole texts of those keys only. Copies collapse where they are read, before the shuffle.
     texts = docs.select("doc_id", normalised().alias("normal"))
     texts = texts.withColumn("key", _key(F.sha2("normal", 256), key_bits)).join(wanted, "key", "left_semi")
     groups = texts.groupBy("key", "normal").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     groups = groups.where("group_size > 1").select(F.sha2("normal", 256).alias("text_sha256"), "keep_id", "group_size")
-    groups = broadcast_if_small(materialize(groups, "fuse-groups"), BROADCAST_KEYS // 8)
+    groups = broadcast_if_small(materialize(groups, "fuse-groups"))
     out = base.join(groups, "text_sha256", "left")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return out.select(

@@ -38,7 +38,6 @@ from axonflow.llm.shingles import U, mix, shared, shingle_sets
 SLOTS, BANDS = 200, 40
 #: Elements whose permutations are held at a time (SLOTS bytes each).
 ELEMENTS = 1 << 14
-BROADCAST_ROWS = 1_000_000
 _GOLDEN, _SEED = 0x9E3779B97F4A7C15, 0x5851F42D4C957F2D
 
 SIGNATURE_SCHEMA = "doc_id long, n_shingles long, set_hash binary, bands array<long>"
@@ -148,8 +147,8 @@ FRAME_SCHEMA = "u long, v long, component long, stray boolean, n long, n_v long,
 def _with_texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """``pairs`` (u, v and more), a written table, with text_u and text_v; the texts of other documents are not moved."""
     ids = materialize(pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct(), "minhash-ids")
-    texts = docs.select("doc_id", "text").join(broadcast_if_small(ids, BROADCAST_ROWS), "doc_id", "left_semi")
-    left = broadcast_if_small(pairs, BROADCAST_ROWS).join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u")), "u")
+    texts = docs.select("doc_id", "text").join(broadcast_if_small(ids), "doc_id", "left_semi")
+    left = broadcast_if_small(pairs).join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u")), "u")
     return left.join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v")), "v")
 
 
@@ -206,7 +205,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     nodes = materialize(nodes.select("set_hash", "copies", F.col("m.doc_id").alias("node"), F.col("m.n_shingles").alias("n"), F.col("m.bands").alias("bands")), "minhash-nodes")
 
     keys = nodes.select(F.explode("bands").alias("b"))
-    busy = broadcast_if_small(materialize(keys.groupBy("b").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "minhash-buckets"), BROADCAST_ROWS)
+    busy = broadcast_if_small(materialize(keys.groupBy("b").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "minhash-buckets"))
     met = nodes.select("node", "n", F.explode("bands").alias("b")).join(busy, "b")
     met = met.groupBy("node", "n").agg(F.sum("c").alias("score"), F.collect_list("b").alias("bands"))
     met = materialize(met, "minhash-members")
@@ -236,7 +235,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         parts = connected_components(edges.union(late))
 
     joined = nodes.select("set_hash", "node", "copies").join(parts, "node", "left").where("copies > 1 OR component IS NOT NULL")
-    joined = broadcast_if_small(materialize(joined.select("set_hash", F.coalesce("component", "node").alias("component_id")), "minhash-classes"), BROADCAST_ROWS // 5)
+    joined = broadcast_if_small(materialize(joined.select("set_hash", F.coalesce("component", "node").alias("component_id")), "minhash-classes"))
     out = signed.select("doc_id", "n_shingles", "set_hash").join(joined, "set_hash", "left")
     # an id that is repeated with other texts stays one document
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))

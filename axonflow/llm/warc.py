@@ -5,19 +5,22 @@ types of record point at the response through ``WARC-Concurrent-To``. :func:`rea
 row per record, and :func:`assemble` joins the records of each capture into one nested row.
 
 The archives are text files whose line separator ends a record, compressed as a whole by gzip. The reader splits at
-``CRLF CRLF WARC/1.1 CRLF``. A payload that holds that separator breaks its record in two, which shows in
-``Content-Length``; files with such a record are read again whole and cut by ``Content-Length`` alone.
+``CRLF CRLF WARC/1.1 CRLF``. A payload that holds that separator breaks its record in pieces, which shows in
+``Content-Length``; the pieces of such a file, which come in order since it is compressed as a whole, are joined again as
+they stream by, one record at a time, by ``Content-Length`` alone.
 
 Defined cases: null html is an empty payload, null url an empty one, line breaks in a url are percent-encoded; a null
-page_id is read back as null; rows equal in page_id, url and html are one capture; other rows with a repeated page_id
-are captures of their own. Of equal payloads of ``min_bytes`` or more the one with the smallest page_id (then smallest
-hash of url and payload) is the response. An empty table writes an empty archive. Other columns are ignored.
+page_id is read back as null; every row is a capture, repeated rows and page_ids too. Of equal payloads of ``min_bytes``
+or more the rows with the smallest page_id (nulls last) are responses, all others revisit the first of them (by the hash
+of url and payload). Wholly equal rows write equal records, and each is read back. An empty table writes an empty archive.
+Other columns are ignored.
 """
 
 from __future__ import annotations
 
-import zlib
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +28,6 @@ from axonflow.llm.common import broadcast_if_small, materialize, scratch_path, t
 
 VERSION, CRLF = "WARC/1.1", "\r\n"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-BROADCAST_ROWS = 500_000
 RECORD_SCHEMA = "file string, value binary"
 
 
@@ -49,10 +51,11 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     html = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", url.alias("url"), html.alias("html"), F.sha2(html, 256).alias("sha"), F.sha1(html).alias("digest"), F.concat(page, F.lit("-"), F.hex(F.xxhash64("url", "html"))).alias("capture"))
     first = rows.where(F.octet_length("html") >= min_bytes).groupBy("sha").agg(
-        F.min(F.struct("page_id", "capture")).alias("first"), F.min("capture").alias("least"), F.max("capture").alias("most")
+        F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "capture")).alias("first"), F.min("capture").alias("least"), F.max("capture").alias("most")
     )
-    first = broadcast_if_small(materialize(first.where("least != most").select("sha", F.col("first.capture").alias("first")), "warc-repeats"), BROADCAST_ROWS)
-    rows = rows.join(first, "sha", "left").withColumn("again", F.coalesce(F.col("first") != F.col("capture"), F.lit(False)))
+    first = first.where("least != most").select("sha", F.col("first.capture").alias("first"), F.col("first.page_id").alias("first_page"))
+    rows = rows.join(broadcast_if_small(materialize(first, "warc-repeats")), "sha", "left")
+    rows = rows.withColumn("again", F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_page")))
     urn = lambda kind, key: F.concat(F.lit(f"<urn:capture:{kind}:"), key, F.lit(">"))
     response, to = urn("response", F.col("capture")), F.lit(f"{CRLF}WARC-Concurrent-To: ")
     digest = F.concat(F.lit(f"{CRLF}WARC-Payload-Digest: sha1:"), base32(F.col("digest")))
@@ -69,39 +72,49 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     rows.select(F.explode(records).alias("value")).write.option("lineSep", CRLF * 2).option("compression", "gzip").text(path)
 
 
-def _cut_whole(batches):
-    """Records of whole files by Content-Length, for the few files whose payloads hold a separator."""
-    import pyarrow as pa
+def _declared(record: bytes) -> int:
+    """Bytes of a whole record, its head included."""
+    head = record.find(b"\r\n\r\n")
+    lengths = [line.split(b":")[1] for line in record[:head].split(b"\r\n") if line.lower().startswith(b"content-length:")]
+    return head + 4 + int(lengths[0]) if head >= 0 and lengths else len(record)
 
+
+def _rejoined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records out of the pieces of whole files, in order: a record takes pieces until it has its declared length."""
+    file, record = None, b""
+    first = f"{VERSION}{CRLF}".encode()
+    separator = CRLF.encode() * 2 + first
     for batch in batches:
-        for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-            data, at, out = b"", 0, []
-            if name.endswith(".gz"):
-                while content:
-                    z = zlib.decompressobj(31)
-                    data += z.decompress(content)
-                    content = z.unused_data
-            else:
-                data = content
-            while (head := data.find(b"\r\n\r\n", at)) >= 0:
-                length = next(int(x.split(b":")[1]) for x in data[at:head].split(b"\r\n") if x.lower().startswith(b"content-length:"))
-                out.append(data[at : head + 4 + length])
-                at = head + 4 + length + 4
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(out), pa.string()), pa.array(out, pa.binary())], names=["file", "value"])
+        files, values = [], []
+        for name, piece in zip(batch.column("file").to_pylist(), batch.column("value").to_pylist(), strict=True):
+            if name == file and len(record) < _declared(record):
+                record += separator + piece
+                continue
+            if file is not None:
+                files.append(file)
+                values.append(record)
+            file, record = name, piece.removeprefix(first) if name != file else piece
+        yield pa.RecordBatch.from_arrays([pa.array(files, pa.string()), pa.array(values, pa.binary())], names=["file", "value"])
+    if file is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([file], pa.string()), pa.array([record], pa.binary())], names=["file", "value"])
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """One row per record: record_type, record_id, concurrent_to, refers_to, target_uri, payload_digest, block."""
     mark = f"{VERSION}{CRLF}"
     raw = spark.read.option("lineSep", f"{CRLF * 2}{mark}").text(path).select(F.col("_metadata.file_path").alias("file"), "value")
-    raw = raw.select("file", F.when(F.startswith("value", F.lit(mark)), F.substr("value", F.lit(len(mark) + 1))).otherwise(F.col("value")).alias("value"))
-    split = _fields(raw.where(F.octet_length("value") > 0))
+    bare = F.when(F.startswith("value", F.lit(mark)), F.substr("value", F.lit(len(mark) + 1))).otherwise(F.col("value"))
+    split = _fields(raw.select("file", bare.alias("value")).where(F.octet_length("value") > 0))
     torn = materialize(split.where(~F.coalesce("whole", F.lit(False))).select("file").distinct(), "warc-torn")
     if torn.isEmpty():
         return split.drop("file", "whole")
-    files = spark.read.format("binaryFile").load(path).join(F.broadcast(torn), F.col("path") == F.col("file"), "left_semi").select("path", "content")
-    again = files.mapInArrow(_cut_whole, RECORD_SCHEMA).select("file", F.substring("value", len(mark) + 1, 2**31 - 1).cast("string").alias("value"))
-    return split.join(F.broadcast(torn), "file", "left_anti").unionByName(_fields(again)).drop("file", "whole")
+    if not torn.where("file NOT LIKE '%.gz'").isEmpty():
+        raise ValueError("payloads that hold a record's separator are read from archives compressed by gzip only")
+    # names of files, a few bytes for each file of the archive
+    torn = broadcast_if_small(torn)
+    pieces = raw.join(torn, "file", "left_semi").select("file", F.col("value").cast("binary").alias("value"))
+    again = pieces.mapInArrow(_rejoined, RECORD_SCHEMA).select("file", F.col("value").cast("string").alias("value"))
+    return split.join(torn, "file", "left_anti").unionByName(_fields(again)).drop("file", "whole")
 
 
 def _fields(records: DataFrame) -> DataFrame:
@@ -118,10 +131,10 @@ def _fields(records: DataFrame) -> DataFrame:
 
 
 def assemble(records: DataFrame) -> DataFrame:
-    """One nested row per capture: response (or revisit), its request and its metadata record, by concurrent-to.
+    """One nested row per response or revisit record, with its request and its metadata record, by concurrent-to.
 
     A capture keeps one request and one metadata record (the smallest record_id) and counts the others; records that
-    point at no response are left out. Records repeated under one record_id are one.
+    point at no response are left out. Records repeated under one record_id are a row each.
     """
     text = F.col("block").cast("string")
     http = F.substring_index(text, CRLF * 2, 1)
@@ -133,7 +146,7 @@ def assemble(records: DataFrame) -> DataFrame:
         "record_id", "record_type", "refers_to", "target_uri", http.alias("http_header"), F.when(~is_revisit, body).alias("payload"),
         F.when(is_revisit, declared).otherwise(F.octet_length(body).cast("long")).alias("payload_bytes"),
         F.when(is_revisit, F.regexp_replace("payload_digest", "^sha1:", "")).alias("declared_digest"), F.sha1(body).alias("digest"),
-    ).dropDuplicates(["record_id"])
+    )
     main = main.withColumn("payload_digest", F.coalesce("declared_digest", base32(F.col("digest"))))
     side = lambda kind: F.min(F.when(F.col("record_type") == kind, F.struct("record_id", "target_uri", text.alias("text")))).alias(kind)
     others = records.where(F.col("record_type").isin("request", "metadata") & F.col("concurrent_to").isNotNull())
@@ -161,8 +174,8 @@ d AS (SELECT page_id, html, sha1(html) AS hex, min(page_id) OVER (PARTITION BY h
 SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
        list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
          CAST((CAST('0x' || substr(hex, CAST(5 * (i // 4) + 1 AS BIGINT), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS BIGINT) + 1, 1)), 'string_agg', '') AS payload_digest,
-       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN page_id != first_id THEN first_id END AS refers_to
+       CASE WHEN page_id IS NOT DISTINCT FROM first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
 FROM d""",
 }
 QUERIES = {"op1_warc_transactions": op1_warc_transactions}

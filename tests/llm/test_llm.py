@@ -34,6 +34,7 @@ def test_warc_round_trip_with_repeats_and_separators(spark, tmp_path):
     warc.write_archive(pages, path)
     out = {r["metadata"]["text"].strip(): r for r in warc.assemble(warc.read_records(spark, path)).collect()}
     assert len(out) == 8 and all(r["request"]["text"].startswith("GET ") for r in out.values())
+    assert warc.assemble(warc.read_records(spark, path)).count() == len(rows)
     assert all(r["n_concurrent"] == (4 if k == "pageId: 8" else 2) for k, r in out.items())  # the repeated row's records are there twice
     digest = lambda s: base64.b32encode(hashlib.sha1(s.encode()).digest()).decode()
     for page, html, kind in ((2, "same é", "response"), (5, "same é", "revisit"), (9, "", "response"), (11, "", "revisit"), (7, trap, "response"), (8, trap, "revisit"), (12, "tail\r\n\r\n", "response")):
@@ -43,6 +44,26 @@ def test_warc_round_trip_with_repeats_and_separators(spark, tmp_path):
     assert out["pageId: 5"]["response"]["refers_to"].startswith("<urn:capture:response:2-")
 
 
+def pages_table(spark, tmp_path, rows):
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("file", F.lit("clash"))
+    pages.write.parquet(str(tmp_path / "pages.parquet"))
+    return str(tmp_path)
+
+
+def test_warc_query_on_null_and_repeated_ids_is_what_its_sql_says(spark, tmp_path):
+    import duckdb
+
+    trap = "x\r\n\r\nWARC/1.1\r\n\r\n\r\nWARC/1.1\r\nContent-Length: 1\r\n\r\ny"
+    rows = [(1, "a", "same"), (1, "b", "same"), (1, "a", "same"), (2, "c", "same"), (None, "d", "same"), (None, "e", "none"), (None, "f", "none"), (None, "f", "none"), (7, None, None), (8, "", ""), (9, "g", trap), (3, "h", trap), (4, "i", "long " * 400_000)]
+    sf = pages_table(spark, tmp_path, rows)
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    got = sorted(map(str, (tuple(r[c] for c in columns) for r in warc.op1_warc_transactions(spark, sf).collect())))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{sf}/pages.parquet/*.parquet'")
+    want = sorted(map(str, con.execute(f"SELECT {', '.join(columns)} FROM ({warc.SQL['op1_warc_transactions']})").fetchall()))
+    assert got == want and len(got) == len(rows) and sum("None, 4" in x and "revisit', 1" in x for x in got) == 1
+
+
 def test_warc_of_nothing(spark, tmp_path):
     warc.write_archive(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "none"))
     assert warc.assemble(warc.read_records(spark, str(tmp_path / "none"))).count() == 0
@@ -387,6 +408,16 @@ def test_chats_are_read_back(spark):
     assert chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_chats_of_many_turns_are_masked_rightly(spark):
+    rng = random.Random(12)
+    rows = [(1, i, rng.choice(["user", "assistant"]), words(rng, rng.randrange(3))) for i in range(3000)] + [(2, 0, "assistant", "long <| text " * 200_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("blocks", F.lit(1))
+    back = {r["conv_id"]: r for r in chat.read_chats(chat.format_chats(df)).withColumn("loss", chat.masked_text()).collect()}
+    assert back[1]["loss"] == "".join(t for c, _, role, t in rows if c == 1 and role == "assistant") and len(back[1]["turns"]) == 3000
+    assert [s["end"] - s["start"] for s in back[1]["loss_mask"]] == [len(t) for c, _, role, t in rows if c == 1 and role == "assistant"]
+    assert back[1]["formatted"].count(chat.START) == sum(i == 0 or rows[i - 1][2] != rows[i][2] for i in range(3000)) and back[2]["loss"] == rows[-1][3]
+
+
 # --- 9 toxicity
 
 
