@@ -1,10 +1,14 @@
 """Exact deduplication against immutable snapshots (operator 10).
 
-A *snapshot* is the immutable record of texts taken in so far: exact buckets ``(key, text_sha256, keep_id, size)``
-and, for each shard of the key space, one static binary-fuse filter over its keys. A new batch is digested; the
-filters screen its distinct keys, and only the positives are joined to the exact buckets. Keys that meet a bucket, or
-that occur more than once inside the batch, go to the byte check: their whole normalised texts are grouped, so that
-two texts which share a 64-bit key stay apart. Everything else is new and is never joined.
+A *snapshot* is the immutable record of the texts taken in so far, written to a folder and read back: exact buckets
+``(key, text_sha256, keep_id, size)``, one row a text, and for each shard of the key space a static binary-fuse filter
+over its keys. A new batch is digested, and the filters screen its distinct keys. Positives join the exact buckets by
+key; the texts of the keys that meet are compared byte by byte with the snapshot's own. Repeated keys of the batch that
+meet no bucket are grouped by their bytes separately, and everything else is new and is never joined.
+
+Bytes are compared by grouping whole normalised texts (copies collapse before the shuffle). Rows are told their group by
+the SHA-256 of their text; each grouping checks that no two texts share one, and fails otherwise, so a group is a class
+of equal bytes.
 
 Defined cases: a null text counts as empty; all empty texts form one group; ids may repeat, every row is returned and
 the rows with the group's smallest id are ``kept``; a null id is never the smallest unless the whole group has none;
@@ -21,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from axonflow.llm.common import SPACE_CLASS, broadcast_if_small, materialize, table
+from axonflow.llm.common import SPACE_CLASS, broadcast_if_small, materialize, scratch_path, table
 
 #: Keys of a filter shard; bounds what one task holds.
 SHARD_KEYS = 1 << 15
@@ -132,23 +136,60 @@ def _screen_shard(incoming: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame
 
 @dataclass(frozen=True)
 class Snapshot:
-    """Exact buckets (key, n: rows) and their filters, both written tables; ``shards`` is fixed at building."""
+    """Exact buckets (key, text_sha256, keep_id, size) and the filters over their keys, as read from ``path``."""
 
+    path: str
     buckets: DataFrame
     filters: DataFrame
     shards: int
 
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Snapshot:
+        """A snapshot that :func:`build_snapshot` has written; a reader of any later session may do so."""
+        filters = spark.read.parquet(f"{path}/filters")
+        shards = spark.read.parquet(f"{path}/shards").first()["shards"]
+        return Snapshot(path, spark.read.parquet(f"{path}/buckets"), filters, shards)
+
 
 def _shard(shards: int):
     return F.pmod(F.xxhash64("key", F.lit(11)), F.lit(shards)).cast("int").alias("shard")
 
 
-def build_snapshot(batch: DataFrame, expected_keys: int) -> Snapshot:
-    """Snapshot of a batch of digests. ``expected_keys``: the most keys it or a later batch holds; sets the shards."""
-    buckets = materialize(batch.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "fuse-buckets")
+def same_bytes(texts: DataFrame, *sides) -> DataFrame:
+    """text_sha256, keep_id, size (and an aggregate per side) of each text of ``texts`` (key, doc_id, normal), by bytes."""
+    groups = texts.groupBy("key", "normal").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("size"), *sides)
+    names = [c for c in groups.columns if c not in ("key", "normal", "keep_id", "size")]
+    groups = groups.select(F.sha2("normal", 256).alias("text_sha256"), "key", "keep_id", "size", *names)
+    one = groups.groupBy("text_sha256").agg(F.count(F.lit(1)).alias("texts"), *(F.first(c).alias(c) for c in groups.columns if c != "text_sha256"))
+    clash = F.raise_error(F.lit("two different texts have one SHA-256"))
+    return one.withColumn("size", F.when(F.col("texts") > 1, clash.cast("long")).otherwise(F.col("size"))).drop("texts")
+
+
+def _texts(docs: DataFrame, keys: DataFrame, key_bits: int) -> DataFrame:
+    """key, doc_id and whole normalised text of the rows whose key is in ``keys`` (key and more, a written table)."""
+    rows = docs.select("doc_id", normalised().alias("normal")).withColumn("key", _key(F.sha2("normal", 256), key_bits))
+    return rows.join(broadcast_if_small(keys), "key")
+
+
+def _repeated(base: DataFrame, name: str) -> DataFrame:
+    return materialize(base.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), name)
+
+
+def build_snapshot(docs: DataFrame, base: DataFrame, expected_keys: int, path: str, key_bits: int = 64) -> Snapshot:
+    """Write the snapshot of ``docs`` (doc_id, text), whose digests are ``base``, to ``path`` and load it.
+
+    ``expected_keys``: the most keys it or a later batch holds; sets the shards, and so what one task holds.
+    """
+    spark = docs.sparkSession
+    repeated = _repeated(base, "fuse-repeated")
+    single = base.join(broadcast_if_small(repeated), "key", "left_anti").select("key", "text_sha256", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("size"))
+    buckets = single.unionByName(same_bytes(_texts(docs, repeated, key_bits)).select("key", "text_sha256", "keep_id", "size"))
+    buckets.write.option("compression", "zstd").parquet(f"{path}/buckets")
     shards = max(1, math.ceil(expected_keys / SHARD_KEYS))
-    filters = materialize(buckets.select("key", _shard(shards)).groupBy("shard").applyInPandas(_build_shard, FILTER_SCHEMA), "fuse-filters")
-    return Snapshot(buckets, filters, shards)
+    spark.range(1).select(F.lit(shards).alias("shards")).write.parquet(f"{path}/shards")
+    keys = spark.read.parquet(f"{path}/buckets").select("key", _shard(shards))
+    keys.groupBy("shard").applyInPandas(_build_shard, FILTER_SCHEMA).write.parquet(f"{path}/filters")
+    return Snapshot.load(spark, path)
 
 
 def screen(keys: DataFrame, snapshot: Snapshot) -> DataFrame:
@@ -157,31 +198,47 @@ def screen(keys: DataFrame, snapshot: Snapshot) -> DataFrame:
     return incoming.cogroup(snapshot.filters.groupBy("shard")).applyInPandas(_screen_shard, "key long")
 
 
-def exact_dedup(docs: DataFrame, snapshot_share: float = 0.5, key_bits: int = 64) -> DataFrame:
+def against_snapshot(old: DataFrame, new: DataFrame, base: DataFrame, snapshot: Snapshot, key_bits: int = 64) -> DataFrame:
+    """text_sha256, keep_id and size of the texts of a batch that have a group: copies of the snapshot's or each other's.
+
+    ``old`` are the snapshot's documents, ``new`` the batch, ``base`` the digests of the batch. Sizes count both sides;
+    the smallest id of a group with a text of the snapshot is the bucket's.
+    """
+    batch = materialize(base.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "fuse-batch")
+    positive = materialize(screen(batch, snapshot), "fuse-positive")
+    met = materialize(snapshot.buckets.join(broadcast_if_small(positive), "key", "left_semi").select("key").distinct(), "fuse-met")
+    # positives: their bytes against those of the buckets that they meet
+    both = _texts(new, met, key_bits).withColumn("old", F.lit(False)).unionByName(_texts(old, met, key_bits).withColumn("old", F.lit(True)))
+    first = F.min(F.when(F.col("old"), F.col("doc_id"))).alias("first_old")
+    met_groups = same_bytes(both, first, F.bool_and("old").alias("only_old")).where("NOT only_old")
+    met_groups = met_groups.select("text_sha256", F.coalesce("first_old", "keep_id").alias("keep_id"), "size")
+    # the batch's own repeated texts, apart from those
+    again = batch.where("n > 1").select("key").join(broadcast_if_small(met), "key", "left_anti")
+    own = same_bytes(_texts(new, materialize(again, "fuse-again"), key_bits)).select("text_sha256", "keep_id", "size")
+    return met_groups.unionByName(own)
+
+
+def exact_dedup(docs: DataFrame, snapshot_share: float = 0.5, key_bits: int = 64, path: str | None = None) -> DataFrame:
     """Group all rows of ``docs`` (doc_id, text) by equal normalised text; see the module for the cases.
 
-    The rows with smaller ids (``snapshot_share`` of them) are the snapshot, the others the batch that comes in, so
-    that a row of the snapshot always precedes one of the batch. Returns doc_id, keep_id, group_size, kept,
-    text_sha256, one row per input row.
+    The rows with smaller ids (``snapshot_share`` of them) are the snapshot, written to ``path``, the others the batch
+    that comes in, so that a row of the snapshot always precedes one of the batch. Returns doc_id, keep_id, group_size,
+    kept, text_sha256, one row per input row.
     """
+    spark = docs.sparkSession
     base = materialize(digests(docs, key_bits), "digests")
     bound, rows = base.agg(F.percentile_approx("doc_id", snapshot_share), F.count(F.lit(1))).first()
-    old = F.col("doc_id") <= F.lit(bound) if bound is not None else F.lit(False)
-    snapshot = build_snapshot(base.where(old), rows)
-    batch = materialize(base.where(~F.coalesce(old, F.lit(False))).groupBy("key").agg(F.count(F.lit(1)).alias("n")), "fuse-batch")
-    met = screen(batch, snapshot).join(snapshot.buckets, "key", "left_semi")
-    again = snapshot.buckets.where("n > 1").select("key").union(batch.where("n > 1").select("key"))
-    wanted = broadcast_if_small(materialize(met.union(again).distinct(), "fuse-check"))
-    # The byte check: whole texts of those keys only. Copies collapse where they are read, before the shuffle.
-    texts = docs.select("doc_id", normalised().alias("normal"))
-    texts = texts.withColumn("key", _key(F.sha2("normal", 256), key_bits)).join(wanted, "key", "left_semi")
-    groups = texts.groupBy("key", "normal").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    groups = groups.where("group_size > 1").select(F.sha2("normal", 256).alias("text_sha256"), "keep_id", "group_size")
-    groups = broadcast_if_small(materialize(groups, "fuse-groups"))
-    out = base.join(groups, "text_sha256", "left")
-    keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
+    early = F.coalesce(F.col("doc_id") <= F.lit(bound), F.lit(False)) if bound is not None else F.lit(False)
+    old, new = docs.where(early), docs.where(~early)
+    snapshot = build_snapshot(old, base.where(early), rows, path or scratch_path(spark, "snapshot"), key_bits)
+    late = materialize(against_snapshot(old, new, base.where(~early), snapshot, key_bits), "fuse-late")
+    # a text of both sides has its final size in ``late``
+    early_groups = snapshot.buckets.where("size > 1").join(broadcast_if_small(late), "text_sha256", "left_anti")
+    groups = materialize(early_groups.select("text_sha256", "keep_id", "size").unionByName(late).where("size > 1"), "fuse-groups")
+    out = base.join(broadcast_if_small(groups), "text_sha256", "left")
+    keep = F.when(F.col("size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return out.select(
-        "doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
+        "doc_id", keep.alias("keep_id"), F.coalesce("size", F.lit(1)).cast("long").alias("group_size"),
         F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256",
     )
 

@@ -14,7 +14,8 @@
    more than ``t (n_y - n_b) + |removed_y|`` of its own differences with x, t = 0.8 / 1.8, about half of them. With
    that many shared, the rarest differences of x and of y (their prefixes in the order of frequency around the centre)
    must meet, which an equi-join on (centre, difference) finds. No link is lost, no bucket expanded into all its pairs.
-5. Each candidate is confirmed by the intersection of the two full sets.
+5. Each candidate is confirmed by the intersection of the two full sets. A centre's members are dealt to shares, and
+   each share holds one copy of the centre's text, ahead of its members'.
 
 Defined cases: null, empty and blank texts have an empty set and link with nothing; fewer words than a shingle make
 one shingle of the whole sequence; rows that share a doc_id are one document with several texts; an empty table gives
@@ -101,21 +102,56 @@ def _signatures(words: int):
     return run
 
 
+#: Members that are compared with one copy of their centre's text.
+SHARE = 256
+
+
+def _beside_centres(pairs: DataFrame, docs: DataFrame, *extra: str) -> DataFrame:
+    """Texts of the pairs (u, v and more), a written table, each centre v's ahead of those of its members u.
+
+    Columns: v, share, member (false for the centre's own rows), u, extra and text, dealt by (v, share) and sorted so.
+    The members of a centre are dealt to shares of about ``SHARE``, each with one copy of the centre's text, so a centre
+    of any size is many groups, and its text is moved once a share instead of once a pair.
+    """
+    counts = pairs.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / SHARE).alias("shares"))
+    dealt = pairs.join(broadcast_if_small(materialize(counts, "minhash-shares")), "v")
+    dealt = materialize(dealt.select("u", "v", *extra, F.pmod(F.xxhash64("u"), "shares").alias("share")), "minhash-pairs")
+    ids = materialize(dealt.select(F.col("u").alias("doc_id")).union(dealt.select("v")).distinct(), "minhash-ids")
+    texts = docs.select("doc_id", "text").join(broadcast_if_small(ids), "doc_id", "left_semi")
+    members = dealt.join(texts, F.col("u") == F.col("doc_id")).select("v", "share", F.lit(True).alias("member"), "u", *extra, "text")
+    centres = dealt.select("v", "share").distinct().join(texts, F.col("v") == F.col("doc_id")).select("v", "share", F.lit(False).alias("member"), F.col("v").alias("u"), "text")
+    both = members.unionByName(centres, allowMissingColumns=True)
+    return both.repartition("v", "share").sortWithinPartitions("v", "share", "member", "u")
+
+
+def _walk(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[pa.RecordBatch, list[int], list[np.ndarray], list[list[np.ndarray]]]]:
+    """Batches with the rows of their members, the members' sets and their centres' sets (several if an id is repeated)."""
+    at, held = None, []
+    for batch in slices(batches):
+        keys = list(zip(batch.column("v").to_pylist(), batch.column("share").to_pylist(), strict=True))
+        rows, sets, centres = [], [], []
+        for i, (key, member, own) in enumerate(zip(keys, batch.column("member").to_pylist(), shingle_sets(batch.column("text").to_pylist(), words), strict=True)):
+            if member:
+                rows.append(i)
+                sets.append(own)
+                centres.append(held if key == at else [])
+            else:
+                held = [*held, own] if key == at else [own]
+                at = key
+        yield batch, rows, sets, centres
+
+
 def _confirm(words: int, percent: int):
     """Keeps the pairs whose full sets meet the threshold."""
 
+    def meet(a: np.ndarray, b: np.ndarray) -> bool:
+        both = shared(a, b)
+        return len(a) > 0 and 100 * both >= percent * (len(a) + len(b) - both)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, None
-        for batch in slices(batches):
-            v, left = batch.column("v").to_pylist(), shingle_sets(batch.column("text_u").to_pylist(), words)
-            texts, keep = batch.column("text_v"), []
-            for i, a in enumerate(left):
-                if held is None or last != (v[i], len(text := texts[i].as_py() or ""), hash(text)):
-                    text = texts[i].as_py() or ""
-                    last, held = (v[i], len(text), hash(text)), shingle_sets([text], words)[0]
-                both = shared(a, held)
-                keep.append(len(a) > 0 and 100 * both >= percent * (len(a) + len(held) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("u").filter(pa.array(keep)), batch.column("v").filter(pa.array(keep))], names=["u", "v"])
+        for batch, rows, sets, centres in _walk(batches, words):
+            keep = pa.array([i for i, a, held in zip(rows, sets, centres, strict=True) if any(meet(a, b) for b in held)], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("u").take(keep), batch.column("v").take(keep)], names=["u", "v"])
 
     return run
 
@@ -124,17 +160,17 @@ def _frames(words: int):
     """How the set of ``u`` differs from the set of its centre ``v``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, None
-        for batch in slices(batches):
-            v, texts, rows = batch.column("v").to_pylist(), batch.column("text_v"), []
-            for i, a in enumerate(shingle_sets(batch.column("text_u").to_pylist(), words)):
-                text = texts[i].as_py() or ""
-                if held is None or last != (v[i], len(text), hash(text)):
-                    last, held = (v[i], len(text), hash(text)), shingle_sets([text], words)[0]
-                added, removed = np.setdiff1d(a, held, True), np.setdiff1d(held, a, True)
-                rows.append((len(a), len(held), len(removed), np.concatenate([added, removed]).view(np.int64)))
-            n, n_v, removed, differences = zip(*rows, strict=True) if rows else ((), (), (), ())
-            columns = [batch.column(c) for c in ("u", "v", "component", "stray")]
+        for batch, rows, sets, centres in _walk(batches, words):
+            place, n, n_v, removed, differences = [], [], [], [], []
+            for i, a, held in zip(rows, sets, centres, strict=True):
+                for b in held:
+                    added, lost = np.setdiff1d(a, b, True), np.setdiff1d(b, a, True)
+                    place.append(i)
+                    n.append(len(a))
+                    n_v.append(len(b))
+                    removed.append(len(lost))
+                    differences.append(np.concatenate([added, lost]).view(np.int64))
+            columns = [batch.column(c).take(pa.array(place, pa.int64())) for c in ("u", "v", "component", "stray")]
             columns += [pa.array(n, pa.int64()), pa.array(n_v, pa.int64()), pa.array(removed, pa.int64()), pa.array(differences, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["u", "v", "component", "stray", "n", "n_v", "removed", "differences"])
 
@@ -144,18 +180,9 @@ def _frames(words: int):
 FRAME_SCHEMA = "u long, v long, component long, stray boolean, n long, n_v long, removed long, differences array<long>"
 
 
-def _with_texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """``pairs`` (u, v and more), a written table, with text_u and text_v; the texts of other documents are not moved."""
-    ids = materialize(pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct(), "minhash-ids")
-    texts = docs.select("doc_id", "text").join(broadcast_if_small(ids), "doc_id", "left_semi")
-    left = broadcast_if_small(pairs).join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u")), "u")
-    return left.join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v")), "v")
-
-
 def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (u, v), a written table, whose texts' shingle sets have 100 * shared >= percent * union."""
-    both = _with_texts(pairs, docs).select("u", "v", "text_u", "text_v")
-    return materialize(both.mapInArrow(_confirm(words, percent), "u long, v long").distinct(), "minhash-edges")
+    return materialize(_beside_centres(pairs, docs).mapInArrow(_confirm(words, percent), "u long, v long").distinct(), "minhash-edges")
 
 
 def stray_candidates(members: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -163,8 +190,7 @@ def stray_candidates(members: DataFrame, docs: DataFrame, words: int, percent: i
 
     ``members``: u, its centre v, its component, and whether it is a stray (outside the centre's component).
     """
-    columns = ["u", "v", "component", "stray", "text_u", "text_v"]
-    frames = _with_texts(materialize(members, "minhash-open"), docs).select(*columns).mapInArrow(_frames(words), FRAME_SCHEMA)
+    frames = _beside_centres(materialize(members, "minhash-open"), docs, "component", "stray").mapInArrow(_frames(words), FRAME_SCHEMA)
     frames = materialize(frames, "minhash-frames")
     each = frames.select("u", "v", "component", "stray", F.explode("differences").alias("e"))
     # differences that no stray shares with another member cannot meet: in the order they come before all others

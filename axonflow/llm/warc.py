@@ -5,7 +5,7 @@ types of record point at the response through ``WARC-Concurrent-To``. :func:`rea
 row per record, and :func:`assemble` joins the records of each capture into one nested row.
 
 The archives are text files whose line separator ends a record, compressed as a whole by gzip. The reader splits at
-``CRLF CRLF WARC/1.1 CRLF``. A payload that holds that separator breaks its record in pieces, which shows in
+``CRLF WARC/1.1 CRLF``. A payload that holds that separator breaks its record in pieces, which shows in
 ``Content-Length``; the pieces of such a file, which come in order since it is compressed as a whole, are joined again as
 they stream by, one record at a time, by ``Content-Length`` alone.
 
@@ -73,36 +73,45 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
 
 
 def _declared(record: bytes) -> int:
-    """Bytes of a whole record, its head included."""
+    """Bytes of a whole record, its head included; more than there can be while the head is not whole."""
     head = record.find(b"\r\n\r\n")
     lengths = [line.split(b":")[1] for line in record[:head].split(b"\r\n") if line.lower().startswith(b"content-length:")]
-    return head + 4 + int(lengths[0]) if head >= 0 and lengths else len(record)
+    return (head + 4 + int(lengths[0]) if lengths else len(record)) if head >= 0 else 1 << 62
 
 
 def _rejoined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Records out of the pieces of whole files, in order: a record takes pieces until it has its declared length."""
-    file, record = None, b""
+    """Records out of the pieces of whole files, in order: each takes pieces until it has its declared length.
+
+    A piece may hold several records as well: Hadoop's line reader can miss a separator at the end of its buffer.
+    """
     first = f"{VERSION}{CRLF}".encode()
-    separator = CRLF.encode() * 2 + first
+    separator, between = CRLF.encode() + first, CRLF.encode() * 2 + first
+    file, record = None, b""
     for batch in batches:
-        files, values = [], []
+        out = []
         for name, piece in zip(batch.column("file").to_pylist(), batch.column("value").to_pylist(), strict=True):
-            if name == file and len(record) < _declared(record):
+            if name != file:
+                out += [(file, record)] if record else []
+                file, record = name, piece.removeprefix(first)
+            elif len(record) < _declared(record):
                 record += separator + piece
-                continue
-            if file is not None:
-                files.append(file)
-                values.append(record)
-            file, record = name, piece.removeprefix(first) if name != file else piece
+            else:
+                out.append((file, record))
+                record = piece
+            while record.startswith(between, end := _declared(record)):
+                out.append((file, record[:end]))
+                record = record[end + len(between) :]
+        files, values = zip(*out, strict=True) if out else ((), ())
         yield pa.RecordBatch.from_arrays([pa.array(files, pa.string()), pa.array(values, pa.binary())], names=["file", "value"])
-    if file is not None:
+    if record:
         yield pa.RecordBatch.from_arrays([pa.array([file], pa.string()), pa.array([record], pa.binary())], names=["file", "value"])
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """One row per record: record_type, record_id, concurrent_to, refers_to, target_uri, payload_digest, block."""
     mark = f"{VERSION}{CRLF}"
-    raw = spark.read.option("lineSep", f"{CRLF * 2}{mark}").text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    # a separator that does not begin anew within itself, so that the line reader misses none before a payload's line end
+    raw = spark.read.option("lineSep", f"{CRLF}{mark}").text(path).select(F.col("_metadata.file_path").alias("file"), "value")
     bare = F.when(F.startswith("value", F.lit(mark)), F.substr("value", F.lit(len(mark) + 1))).otherwise(F.col("value"))
     split = _fields(raw.select("file", bare.alias("value")).where(F.octet_length("value") > 0))
     torn = materialize(split.where(~F.coalesce("whole", F.lit(False))).select("file").distinct(), "warc-torn")
@@ -124,7 +133,7 @@ def _fields(records: DataFrame) -> DataFrame:
     length, start = field("Content-Length").cast("int"), F.octet_length("head") + 4
     left = F.octet_length("value") - start - length
     return rows.select(
-        "file", left.isin(0, 4).alias("whole"), field("WARC-Type").alias("record_type"), field("WARC-Record-ID").alias("record_id"),
+        "file", left.isin(0, 2, 4).alias("whole"), field("WARC-Type").alias("record_type"), field("WARC-Record-ID").alias("record_id"),
         field("WARC-Concurrent-To").alias("concurrent_to"), field("WARC-Refers-To").alias("refers_to"), field("WARC-Target-URI").alias("target_uri"),
         field("WARC-Payload-Digest").alias("payload_digest"), F.substr(F.col("value").cast("binary"), start + 1, length).alias("block"),
     )

@@ -64,6 +64,19 @@ def test_warc_query_on_null_and_repeated_ids_is_what_its_sql_says(spark, tmp_pat
     assert got == want and len(got) == len(rows) and sum("None, 4" in x and "revisit', 1" in x for x in got) == 1
 
 
+def test_records_are_rejoined_and_parted_by_their_length():
+    import pyarrow as pa
+
+    record = lambda body: b"WARC-Type: x\r\nContent-Length: %d\r\n\r\n%s" % (len(body), body)
+    mark = b"WARC/1.1\r\n"
+    bodies = [b"a\r\n" + mark + b"\r\nContent-Length: 9\r\n\r\n", b"", mark * 3, b"\r\n\r\n" + mark, b"end\r\n"]
+    pieces = (mark + (b"\r\n\r\n" + mark).join(map(record, bodies)) + b"\r\n\r\n").split(b"\r\n" + mark)
+    missed = [pieces[0] + b"\r\n" + mark + pieces[1], *pieces[2:]]
+    batch = pa.RecordBatch.from_arrays([pa.array(["f"] * len(missed) + ["g"] * len(pieces)), pa.array([*missed, *pieces], pa.binary())], names=["file", "value"])
+    out = [(f, v[: warc._declared(v)]) for b in warc._rejoined(batch.slice(i, 1) for i in range(batch.num_rows)) for f, v in zip(b["file"].to_pylist(), b["value"].to_pylist(), strict=True)]
+    assert out == [(f, record(b)) for f in "fg" for b in bodies]
+
+
 def test_warc_of_nothing(spark, tmp_path):
     warc.write_archive(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "none"))
     assert warc.assemble(warc.read_records(spark, str(tmp_path / "none"))).count() == 0
@@ -367,6 +380,18 @@ def test_near_duplicates_match_brute_force(spark, k):
     assert [out[i]["n_shingles"] for i in range(len(texts))] == sizes and all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in out.values())
 
 
+def test_a_hub_is_many_shares_and_long_texts_are_whole(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "SHARE", 5)
+    rng = random.Random(3)
+    base = words(rng, 60, 10**6).split()
+    texts = [" ".join([*base[:i], f"x{i}", *base[i + 1 :]]) for i in range(60)] + [" ".join(base)]
+    long = words(rng, 40_000, 10**6)
+    texts += [long, long + " end", long[: len(long) // 2], None]
+    want, sizes = jaccard_components(texts, 2, 80)
+    out = {r["doc_id"]: r for r in minhash.near_duplicates(docs(spark, texts).withColumn("share", F.lit(1)).withColumn("v", F.lit(1)), 2).collect()}
+    assert [out[i]["component_id"] for i in range(len(texts))] == want and [out[i]["n_shingles"] for i in range(len(texts))] == sizes
+
+
 def test_superminhash_estimates_similarity():
     rng = np.random.default_rng(0)
     for n, part in ((1000, 0.5), (40, 0.8), (6, 0.5)):
@@ -471,6 +496,16 @@ def test_exact_dedup_matches_brute_force(spark, bits):
         assert r["text_sha256"] == hashlib.sha256(normal[r["doc_id"]].encode()).hexdigest()
 
 
+def test_a_snapshot_is_read_back_and_meets_a_later_batch(spark, tmp_path):
+    old = docs(spark, ["a b", "c", "c", "only old", "long " * 300_000])
+    new = docs(spark, ["c", "a  b", "new", "new", "fresh", "long " * 300_000 + "x", "long  " * 300_000], 100)
+    exact_dedup.build_snapshot(old, exact_dedup.digests(old), 100, str(tmp_path / "snapshot"))
+    snapshot = exact_dedup.Snapshot.load(spark, str(tmp_path / "snapshot"))
+    assert sorted((r["keep_id"], r["size"]) for r in snapshot.buckets.collect()) == [(0, 1), (1, 2), (3, 1), (4, 1)]
+    groups = exact_dedup.against_snapshot(old, new, exact_dedup.digests(new), snapshot).collect()
+    assert sorted((r["keep_id"], r["size"]) for r in groups) == [(0, 2), (1, 3), (4, 2), (102, 2)]
+
+
 def test_exact_dedup_of_nothing_and_odd_ids(spark):
     assert exact_dedup.exact_dedup(docs(spark, [])).count() == 0
     rows = [(None, "x"), (3, "x"), (3, "x"), (None, "only")]
