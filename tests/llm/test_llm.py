@@ -85,28 +85,42 @@ def test_warc_of_nothing(spark, tmp_path):
 # --- 2 Hamming search
 
 
-@pytest.mark.parametrize("n,k", [(700, 5), (6, 10)])
-def test_hamming_search_is_exact(spark, monkeypatch, n, k):
+@pytest.mark.parametrize("n,k,width", [(700, 5, 1), (500, 4, 2), (6, 10, 1)])
+def test_hamming_search_is_exact(spark, monkeypatch, n, k, width):
     rng = np.random.default_rng(0)
-    base = rng.integers(0, 1 << 63, n, dtype=np.int64)
-    base[: n // 3] = base[0] ^ (1 << rng.integers(0, 60, n // 3))
+    base = rng.integers(0, 1 << 63, (n, width), dtype=np.int64)
+    base[: n // 3] = base[0]
+    base[: n // 3, 0] ^= 1 << rng.integers(0, 60, n // 3)
     base[-2:] = base[0]
+    base[n // 2 : n // 2 + n // 8] = base[1]  # more equal codes than answers
     monkeypatch.setattr(hamming, "INDEX_ROWS", 200)
     monkeypatch.setattr(hamming, "QUERY_ROWS", 20)
-    df = spark.createDataFrame([(i, int(c)) for i, c in enumerate(base)], "vec_id long, code long")
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(base.tolist())], "vec_id long, code array<long>").withColumn("q", F.lit(1))
     got = collections.defaultdict(list)
     for r in hamming.top_k(df, df.where("vec_id % 20 = 0"), k).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["distance"], r["neighbor_id"]))
+    far = np.bitwise_count(base.view(np.uint64)[:, None, :] ^ base.view(np.uint64)[None, :, :]).sum(axis=2)
     for q in range(0, n, 20):
-        want = sorted((bin(int(base[q] ^ c) & (1 << 64) - 1).count("1"), i) for i, c in enumerate(base) if i != q)[:k]
-        assert got[q] == want
+        assert got[q] == sorted((int(far[q, i]), i) for i in range(n) if i != q)[:k]
+
+
+def test_a_reach_cuts_the_search_and_loses_no_row():
+    rng = np.random.default_rng(1)
+    codes = rng.integers(0, 1 << 63, (3000, 1), dtype=np.uint64)
+    reach = np.full(5, 22)
+    row, near, d = hamming.search_block(codes[:5], np.arange(5), codes, np.arange(3000), 2000, reach)
+    far = np.bitwise_count(codes[:5] ^ codes.T)
+    assert sorted(zip(row.tolist(), near.tolist(), strict=True)) == [(i, j) for i in range(5) for j in range(3000) if i != j and far[i, j] <= 22] and d.max() == 22
 
 
 def test_codes_of_odd_vectors(spark):
     rows = [(1, [1.0, -1.0, None, float("nan")], 0), (2, None, 0), (3, [], 0), (None, [1.0], 0), (4, [1.0] * 70, 0)]
-    out = {r["vec_id"]: r["code"] for r in hamming.sign_codes(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
-    assert out == {1: 1, 3: 0, 4: -1}
-    assert hamming.top_k(*[spark.createDataFrame([], "vec_id long, code long")] * 2).count() == 0
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("code", F.lit(1))
+    out = {r["vec_id"]: r["code"] for r in hamming.sign_codes(vectors).collect()}
+    assert out == {1: [1, 0], 3: [0, 0], 4: [-1, 63]}
+    assert {r["vec_id"]: r["code"] for r in hamming.sign_codes(vectors.where("vec_id < 4")).collect()} == {1: [1], 3: [0]}
+    assert hamming.top_k(*[spark.createDataFrame([], "vec_id long, code array<long>")] * 2).count() == 0
+    assert hamming.sign_codes(vectors.where("false")).count() == 0
 
 
 # --- 3 lines
