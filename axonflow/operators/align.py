@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from axonflow.operators import buckets
+
+
+#: Time of a bucket of pulses: an hour in microseconds. A bucket's pulses are one window partition.
+BUCKET = 3_600_000_000
+
 
 def neighbours(queries: DataFrame, samples: DataFrame, bucket, key: str = "recording_id", t: str = "t") -> DataFrame:
     """Each query (key, query_id, t) with ``before``, the last sample at or before t, and ``after``, the first one past
@@ -19,14 +25,15 @@ def neighbours(queries: DataFrame, samples: DataFrame, bucket, key: str = "recor
     right = queries.select(key, place, F.col(t).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(left.schema["_s"].dataType).alias("_s"), "query_id")
     rows = left.unionByName(right)
     edges = rows.groupBy(key, "_bucket").agg(F.min("_s").alias("_first"), F.max("_s").alias("_last"))
-    across = Window.partitionBy(key).orderBy("_bucket")
+    # frames to the end would be computed anew for each row: what follows precedes in descending order
+    past = lambda *order: Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     edges = edges.select(
-        key, "_bucket", F.last("_last", True).over(across.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
-        F.first("_first", True).over(across.rowsBetween(1, Window.unboundedFollowing)).alias("_after"),
+        key, "_bucket", F.last("_last", True).over(past("_bucket").partitionBy(key)).alias("_before"),
+        F.last("_first", True).over(past(F.desc("_bucket")).partitionBy(key)).alias("_after"),
     )
     inside = Window.partitionBy(key, "_bucket").orderBy("_t", "_side", F.col("_s.idx"))
     rows = rows.withColumn("_b", F.last("_s", True).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("_a", F.first("_s", True).over(inside.rowsBetween(1, Window.unboundedFollowing)))
+    rows = rows.withColumn("_a", F.last("_s", True).over(past(F.desc("_t"), F.desc("_side"), F.desc("_s.idx")).partitionBy(key, "_bucket")))
     found = rows.where("_side = 1").join(edges, [key, "_bucket"], "left")
     return found.select(key, "query_id", F.col("_t").alias("t"), F.coalesce("_b", "_before").alias("before"), F.coalesce("_a", "_after").alias("after"))
 
@@ -98,34 +105,38 @@ def with_condition(rows: DataFrame, conditions: DataFrame, known_only: bool = Fa
     return rows.join(conditions, "subject", "left").withColumns({"condition": F.coalesce("condition", F.lit("unknown")), "is_drug": F.coalesce("is_drug", F.lit(False))})
 
 
-def pulse_alternation(pulses: DataFrame, key: str = "recording_id") -> DataFrame:
+def pulse_alternation(pulses: DataFrame, key: str = "recording_id", bucket=BUCKET) -> DataFrame:
     """Whether the labels of each recording's pulses alternate: each equals the one two before, the last two differ."""
-    w = Window.partitionBy(key).orderBy("t")
-    rows = pulses.withColumn("_two", F.lag("label", 2).over(w)).withColumn("_one", F.lag("label", 1).over(w))
+    rows, w = buckets.haloed(buckets.numbered(pulses, [key], ["t"], "_place", bucket), [key], 2, 0, "_place")
+    rows = buckets.own(rows.withColumn("_two", F.lag("label", 2).over(w)).withColumn("_one", F.lag("label", 1).over(w)), "_place")
     same = F.coalesce(F.bool_and(F.when(F.col("_two").isNotNull(), F.col("_two") == F.col("label"))), F.lit(True))
     last = F.max_by(F.coalesce(F.col("_one") != F.col("label"), F.lit(False)), "t")
     return rows.groupBy(key).agg((same & last).alias("alternates"))
 
 
-def sync_gaps(clock: DataFrame, threshold, key: str = "recording_id") -> DataFrame:
+def _steps(clock: DataFrame, key: str, bucket) -> DataFrame:
+    """key, t, position (from 0) and dt, the time to the next pulse."""
+    rows = buckets.beside(clock.select(key, "t"), [key], ["t"], F.struct("t"), bucket)
+    rows = rows.select(key, "t", (F.col("_after.t") - F.col("t")).alias("dt"))
+    return buckets.numbered(rows, [key], ["t"], "position", bucket)
+
+
+def sync_gaps(clock: DataFrame, threshold, key: str = "recording_id", bucket=BUCKET) -> DataFrame:
     """Gaps over ``threshold`` between pulses that follow each other: key, position, t, dt."""
-    w = Window.partitionBy(key).orderBy("t")
-    rows = clock.select(key, "t", (F.row_number().over(w) - 1).alias("position"), (F.lead("t").over(w) - F.col("t")).alias("dt"))
-    return rows.where(F.col("dt") > threshold)
+    return _steps(clock, key, bucket).where(F.col("dt") > threshold).select(key, "position", "t", "dt")
 
 
-def repair_gaps(clock: DataFrame, threshold, step, key: str = "recording_id") -> DataFrame:
+def repair_gaps(clock: DataFrame, threshold, step, key: str = "recording_id", bucket=BUCKET) -> DataFrame:
     """Fill each gap with evenly spaced pulses: key, position (numbered anew), t, inserted.
 
     A gap of dt holds g = round(dt / step) intervals (halves to the even number) and gets g - 1 pulses. ``t`` is a double.
     """
-    w = Window.partitionBy(key).orderBy("t")
-    rows = clock.select(key, "t", (F.lead("t").over(w) - F.col("t")).alias("dt"))
+    rows = _steps(clock, key, bucket)
     parts = F.when(F.col("dt") > threshold, F.greatest(F.rint(F.col("dt") / step).cast("int"), F.lit(1))).otherwise(F.lit(1))
     rows = rows.withColumn("_g", parts).withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_g") - 1)))
     at = F.col("t") + F.coalesce(F.col("_k") * F.col("dt") / F.col("_g"), F.lit(0.0))
     rows = rows.select(key, at.cast("double").alias("t"), (F.col("_k") > 0).alias("inserted"))
-    return rows.withColumn("position", F.row_number().over(w) - 1)
+    return buckets.numbered(rows, [key], ["t"], "position", bucket)
 
 
 def low_confidence(clock: DataFrame, threshold, step, key: str = "recording_id") -> DataFrame:

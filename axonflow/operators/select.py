@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from axonflow.operators import buckets
+
 
 def restrict_window(events: DataFrame, t_start=None, t_end=None, t: str = "t") -> DataFrame:
     """Events with t_start <= t <= t_end; either side may be open."""
@@ -42,11 +44,14 @@ def drop_label_prefix(events: DataFrame, prefix: str = "TTL Input", label: str =
     return events.where(~F.coalesce(F.col(label).startswith(prefix), F.lit(False)))
 
 
-def delete_positions(clock: DataFrame, positions: DataFrame, key: str = "recording_id", order: str = "t") -> DataFrame:
-    """Delete annotated positions (key, position) from each recording's pulses and number the rest anew from 0."""
-    numbered = clock.withColumn("position", F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1)
+def delete_positions(clock: DataFrame, positions: DataFrame, key: str = "recording_id", order: str = "t", bucket=3_600_000_000) -> DataFrame:
+    """Delete annotated positions (key, position) from each recording's pulses and number the rest anew from 0.
+
+    Pulses are numbered in buckets of ``order``, by default an hour of microseconds.
+    """
+    numbered = buckets.numbered(clock, [key], [order], "position", bucket)
     kept = numbered.join(positions.select(key, "position").distinct(), [key, "position"], "left_anti")
-    return kept.withColumn("position", F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1)
+    return buckets.numbered(kept, [key], [order], "position", bucket)
 
 
 def interval_after_event(events: DataFrame, start: str, minutes: float, key: str = "recording_id") -> DataFrame:

@@ -1,7 +1,7 @@
 """Sequences of samples: missing runs, masks, intervals, peaks, crossings, artifacts, stitching.
 
-Runs and gaps are compressed to their ends before any wide window; the windows over whole channels are the lag and lead
-kind, whose partitions spill.
+Windows over samples work in buckets of the index (:mod:`axonflow.operators.buckets`); only windows over intervals, which
+are far fewer than samples, take a whole recording.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from axonflow.operators import buckets
+
 
 def fill_missing(samples: DataFrame, max_gap: int, keys: list[str], idx: str = "idx") -> DataFrame:
     """Handle missing runs: keys, idx, value, is_valid.
@@ -18,11 +20,8 @@ def fill_missing(samples: DataFrame, max_gap: int, keys: list[str], idx: str = "
     Runs of at most ``max_gap`` samples are interpolated, at the ends they take the nearest value; longer runs become 0
     and invalid. A channel without any value is 0 and invalid.
     """
-    w = Window.partitionBy(*keys).orderBy(idx)
     known = F.when(F.col("value").isNotNull(), F.struct(F.col(idx).alias("i"), F.col("value").alias("v")))
-    rows = samples.withColumn("_known", known)
-    rows = rows.withColumn("_p", F.last("_known", True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("_n", F.first("_known", True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    rows = buckets.known_beside(samples, keys, known, idx)
     ends = samples.groupBy(*keys).agg(F.min(idx).alias("_low"), F.max(idx).alias("_high"))
     rows = rows.join(ends, keys)
     run = F.coalesce(F.col("_n.i"), F.col("_high") + 1) - F.coalesce(F.col("_p.i"), F.col("_low") - 1) - 1
@@ -36,15 +35,14 @@ def fill_missing(samples: DataFrame, max_gap: int, keys: list[str], idx: str = "
 
 def runs(flags: DataFrame, keys: list[str], flag: Column, idx: str = "idx") -> DataFrame:
     """Runs of consecutive samples with ``flag``: keys, first, last."""
-    kept = flags.where(flag).select(*keys, idx)
-    island = F.col(idx) - F.row_number().over(Window.partitionBy(*keys).orderBy(idx))
-    return kept.withColumn("_island", island).groupBy(*keys, "_island").agg(F.min(idx).alias("first"), F.max(idx).alias("last")).drop("_island")
+    kept = buckets.numbered(flags.where(flag).select(*keys, idx), keys, [idx], "_place")
+    return kept.withColumn("_island", F.col(idx) - F.col("_place")).drop("_place").groupBy(*keys, "_island").agg(F.min(idx).alias("first"), F.max(idx).alias("last")).drop("_island")
 
 
 def dilate_invalid(samples: DataFrame, margin: int, keys: list[str], idx: str = "idx", valid: str = "is_valid") -> DataFrame:
     """Invalid samples spread by ``margin`` samples to both sides: ``valid`` is replaced."""
-    near = Window.partitionBy(*keys).orderBy(idx).rangeBetween(-margin, margin)
-    return samples.withColumn(valid, F.min(valid).over(near))
+    rows, w = buckets.haloed(samples, keys, margin, margin, idx)
+    return buckets.own(rows.withColumn(valid, F.min(valid).over(w.rangeBetween(-margin, margin))), idx)
 
 
 def mask_intervals(samples: DataFrame, keys: list[str], flag: Column, rate: float, t_start: float = 0.0, idx: str = "idx") -> DataFrame:
@@ -72,21 +70,21 @@ def merge_close(intervals: DataFrame, min_gap, keys: list[str]) -> DataFrame:
 
 def differences(traces: DataFrame, order: int, keys: list[str], idx: str = "idx") -> DataFrame:
     """0th, 1st or 2nd difference of each trace; the index counts in the differenced series, from 0."""
-    w = Window.partitionBy(*keys).orderBy(idx)
+    rows, w = buckets.haloed(traces, keys, 0, order, idx)
     for _ in range(order):
-        traces = traces.withColumn("value", F.lead("value").over(w) - F.col("value")).where("value IS NOT NULL")
-    return traces
+        rows = rows.withColumn("value", F.lead("value").over(w) - F.col("value")).where("value IS NOT NULL")
+    return buckets.own(rows, idx)
 
 
 def peaks(traces: DataFrame, height: float, keys: list[str], idx: str = "idx") -> DataFrame:
     """Local maxima of at least ``height``: keys, idx. A flat top counts once, at its middle (lower) sample; ends never."""
-    w = Window.partitionBy(*keys).orderBy(idx)
-    changed = F.when(F.lag("value").over(w) == F.col("value"), 0).otherwise(1)
-    rows = traces.withColumn("_new", changed).withColumn("_island", F.sum("_new").over(w))
+    rows, w = buckets.haloed(traces, keys, 1, 0, idx)
+    rows = buckets.own(rows.withColumn("_new", F.when(F.lag("value").over(w) == F.col("value"), 0).otherwise(1)), idx)
+    rows = buckets.running_sum(rows, keys, F.col("_new"), "_island", [idx])
     tops = rows.groupBy(*keys, "_island").agg(F.min(idx).alias("_a"), F.max(idx).alias("_b"), F.first("value").alias("value"))
-    v = Window.partitionBy(*keys).orderBy("_island")
+    tops, v = buckets.haloed(tops, keys, 1, 1, "_island")
     higher = (F.col("value") > F.lag("value").over(v)) & (F.col("value") > F.lead("value").over(v))
-    return tops.withColumn("_peak", higher).where(F.col("_peak") & (F.col("value") >= height)).select(*keys, F.floor((F.col("_a") + F.col("_b")) / 2).alias(idx), "value")
+    return buckets.own(tops.withColumn("_peak", higher), "_island").where(F.col("_peak") & (F.col("value") >= height)).select(*keys, F.floor((F.col("_a") + F.col("_b")) / 2).alias(idx), "value")
 
 
 def unit_events(traces: DataFrame, derivative: int, height: float, keys: list[str], idx: str = "idx") -> DataFrame:
@@ -100,15 +98,16 @@ def spike_events(spikes: DataFrame) -> DataFrame:
 
 def upward_crossings(samples: DataFrame, threshold: float, keys: list[str], idx: str = "idx") -> DataFrame:
     """Samples at or over the threshold whose predecessor is under it."""
-    before = F.lag("value").over(Window.partitionBy(*keys).orderBy(idx))
-    return samples.withColumn("_before", before).where((F.col("value") >= threshold) & (F.col("_before") < threshold)).drop("_before")
+    rows, w = buckets.haloed(samples, keys, 1, 0, idx)
+    rows = buckets.own(rows.withColumn("_before", F.lag("value").over(w)), idx)
+    return rows.where((F.col("value") >= threshold) & (F.col("_before") < threshold)).drop("_before")
 
 
 def step_changes(samples: DataFrame, keys: list[str], idx: str = "idx") -> DataFrame:
     """Indices after which the slope (rounded to three decimals) changes by more than 1."""
-    w = Window.partitionBy(*keys).orderBy(idx)
-    rows = samples.withColumn("_d", F.bround(F.lead("value").over(w) - F.col("value"), 3))
-    rows = rows.withColumn("_dd", F.lead("_d").over(w) - F.col("_d"))
+    rows, w = buckets.haloed(samples, keys, 0, 2, idx)
+    rows = rows.withColumn("_d", F.bround(F.lead("value").over(w) - F.col("value"), 3))
+    rows = buckets.own(rows.withColumn("_dd", F.lead("_d").over(w) - F.col("_d")), idx)
     return rows.where(F.abs("_dd") > 1).select(*keys, (F.col(idx) + 1).alias(idx), F.col("_dd").alias("change"))
 
 
@@ -121,10 +120,9 @@ def suppress_artifacts(samples: DataFrame, rate: float, keys: list[str], limit:
     means = samples.groupBy(*keys).agg(F.avg("value").alias("_mean"))
     rows = samples.join(means, keys).withColumn("value", F.col("value") - F.col("_mean")).drop("_mean")
     flag = F.abs("value") > limit
-    w = Window.partitionBy(*keys).orderBy(idx)
-    rows = rows.withColumn("_f", F.when(flag, F.col(idx)))
-    rows = rows.withColumn("_p", F.last("_f", True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.first("_f", True).over(w.rowsBetween(0, Window.unboundedFollowing)))
-    inside = F.col("_f").isNotNull() | F.coalesce((F.col("_n") - F.col("_p") - 1) / rate < max_gap_seconds, F.lit(False))
+    rows = buckets.known_beside(rows, keys, F.when(flag, F.struct(F.col(idx).alias("i"))), idx)
+    rows = rows.withColumns({"_p": F.col("_p.i"), "_n": F.col("_n.i")})
+    inside = F.coalesce(F.col("_p") == F.col(idx), F.lit(False)) | F.coalesce((F.col("_n") - F.col("_p") - 1) / rate < max_gap_seconds, F.lit(False))
     distance = F.when(inside, F.lit(0)).otherwise(F.least(F.col(idx) - F.col("_p"), F.col("_n") - F.col(idx)))
     fade = F.when(distance <= half, 1 - 0.5 * (1 - F.cos(2 * math.pi * (half + distance) / (width - 1)))).otherwise(F.lit(1.0))
     return rows.select(*keys, idx, (F.col("value") * F.coalesce(fade, F.lit(1.0))).alias("value"), inside.alias("flagged"))
@@ -143,14 +141,13 @@ def stitch_segments(segments: DataFrame, keys: list[str]) -> DataFrame:
     rows = rows.withColumn("idx", F.col("_at") + F.col("_k")).where("idx <= _last").groupBy(*keys, "idx").agg(F.max_by("value", "_at").alias("value"))
     grid = ends.select(*keys, "_t0", "_fs", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"))).alias("idx"))
     rows = grid.join(rows, [*keys, "idx"], "left")
-    w = Window.partitionBy(*keys).orderBy("idx")
     known = F.when(F.col("value").isNotNull(), F.struct(F.col("idx").alias("i"), F.col("value").alias("v")))
-    rows = rows.withColumn("_k", known).withColumn("_p", F.last("_k", True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.first("_k", True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    rows = buckets.known_beside(rows, keys, known)
     line = F.col("_p.v") + (F.col("_n.v") - F.col("_p.v")) * (F.col("idx") - F.col("_p.i")) / (F.col("_n.i") - F.col("_p.i"))
     return rows.select(*keys, "idx", (F.col("_t0") + F.col("idx") / F.col("_fs")).alias("t"), F.coalesce("value", line).alias("value"), F.col("value").isNull().alias("filled"))
 
 
 def moving_mean(samples: DataFrame, k: int, keys: list[str], idx: str = "idx") -> DataFrame:
     """Boxcar mean of ``k`` samples, of the same length, with zeros beyond the ends."""
-    w = Window.partitionBy(*keys).orderBy(idx).rowsBetween(-(k // 2), (k - 1) // 2)
-    return samples.withColumn("value", F.sum("value").over(w) / k)
+    rows, w = buckets.haloed(samples, keys, k // 2, (k - 1) // 2, idx)
+    return buckets.own(rows.withColumn("value", F.sum("value").over(w.rowsBetween(-(k // 2), (k - 1) // 2)) / k), idx)
