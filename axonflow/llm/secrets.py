@@ -9,10 +9,12 @@ counts, runs above and below the middle of the alphabet, and the lag-one serial
 
 False discoveries are controlled in both directions, among tokens of the same length class (powers of two) and over all
 documents, by Benjamini-Hochberg: a token whose battery rejects uniformity is text, not a secret; and a token is kept
-only if a model of written text (letters' case, digits and marks as a Markov chain with fixed transition odds) rejects
-it too. That second p-value is the inverse likelihood ratio of the token under the uniform and the text model, at most
-1 by Markov's inequality, so it shrinks with length: short tokens need more. p-values enter the step-up procedure as
-exact counts per length class and value (rounded to 1e-4 in the logarithm), so nothing but a histogram is gathered.
+only if a model of the corpus's own text rejects it too. That model is a Markov chain of character classes (lower, upper,
+digit, mark), whose odds are counted over all shorter runs of all documents. The second p-value is the inverse likelihood
+ratio of the token under the uniform and the text model, at most 1 by Markov's inequality, so it shrinks with length:
+short tokens need more. p-values enter the step-up procedure as exact counts per length class and value (their logarithm
+rounded up to hundredths, at least ``LEAST_LOG``, so at most 70,001 values a class), and nothing but a histogram is
+gathered.
 
 Defined cases: null text is empty and has no spans; rows are scanned one by one, repeated ones too; an empty table gives
 an empty result; spans are code points [start, end); other columns are ignored.
@@ -23,6 +25,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -56,7 +59,13 @@ ALPHABETS = (
 )
 _SETS = [(name, frozenset(a), {c: i for i, c in enumerate(a)}) for name, a in ALPHABETS]
 
-FOUND_SCHEMA = "doc_id long, base array<struct<start:int,end:int,kind:string>>, tokens array<struct<start:int,end:int,encoding:string,length:int,log_uniform:double,log_text:double>>"
+#: p-values under exp(LEAST_LOG) count as that.
+LEAST_LOG = -700.0
+TOKEN_FIELDS = ("start", "end", "encoding", "length", "log_uniform", "first", "moves", "room")
+FOUND_SCHEMA = (
+    "doc_id long, base array<struct<start:int,end:int,kind:string>>, moves array<long>, "
+    "tokens array<struct<start:int,end:int,encoding:string,length:int,log_uniform:double,first:int,moves:array<long>,room:double>>"
+)
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -99,23 +108,41 @@ def battery(token: str) -> tuple[str, float] | None:
     return name, min(1.0, 3 * min(p_chi, p_runs, p_serial))
 
 
-#: Text model: odds of the next character's class (lower, upper, digit, mark) after each class. Written words keep their
-#: class; after a change of class a word seldom changes back.
-_CLASSES = {**{c: 0 for c in "abcdefghijklmnopqrstuvwxyz"}, **{c: 1 for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}, **{c: 2 for c in "0123456789"}, **{c: 3 for c in "+/_=-"}}
-_COUNT = (26, 26, 10, 5)
-_STAY = ((0.95, 0.02, 0.01, 0.02), (0.35, 0.60, 0.02, 0.03), (0.03, 0.03, 0.90, 0.04), (0.40, 0.15, 0.15, 0.30))
+#: Classes of the text model: lower, upper, digit, mark, with how many characters each has.
+_CLASSES = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "+/_=-")
+_CLASS_OF = np.full(256, -1)
+for _k, _letters in enumerate(_CLASSES):
+    _CLASS_OF[list(_letters.encode())] = _k
 
 
-def text_ratio(token: str, size: int) -> float:
-    """Natural logarithm of the token's likelihood under the text model over that of uniform draws of ``size`` symbols.
+def moves(classes: np.ndarray) -> np.ndarray:
+    """How often each class follows each other one, 16 counts; -1 stands for other characters."""
+    a, b = classes[:-1], classes[1:]
+    inside = (a >= 0) & (b >= 0)
+    return np.bincount(4 * a[inside] + b[inside], minlength=16)
+
+
+def text_moves(texts: list[str]) -> np.ndarray:
+    """Moves within all runs of the texts that are too short to be tested."""
+    classes = _CLASS_OF[np.frombuffer("\n".join(texts).encode("utf-8", "replace"), np.uint8)]
+    edges = np.flatnonzero(np.diff(classes >= 0, prepend=False, append=False))
+    for start, end in zip(edges[::2], edges[1::2], strict=True) if len(edges) else ():
+        if end - start >= TOKEN_LEAST:
+            classes[start:end] = -1
+    return moves(classes)
+
+
+def log_odds(counts) -> np.ndarray:
+    """Natural logarithm of each character's chance after each class, from counted moves (each counted once more)."""
+    table = np.asarray(counts, float).reshape(4, 4) + 1
+    return (np.log(table / table.sum(axis=1, keepdims=True)) - np.log([len(c) for c in _CLASSES])).ravel()
+
+
+_START = [-math.log(4 * len(c)) for c in _CLASSES]
 
-    Letters of a class are taken as equally likely in the text model, which favours it less than any spelling would.
-    """
-    kinds = [_CLASSES[c] for c in token]
-    total = math.log(1 / 4 / _COUNT[kinds[0]])
-    for a, b in zip(kinds, kinds[1:], strict=False):
-        total += math.log(_STAY[a][b] / _COUNT[b])
-    return total + len(token) * math.log(size)
+
+def rounded_up(x: float) -> float:
+    return min(0.0, max(LEAST_LOG, math.ceil(x * 100) / 100))
 
 
 def candidates(text: str, base: list[tuple[int, int, str]]) -> Iterator[tuple[int, int]]:
@@ -137,62 +164,93 @@ def candidates(text: str, base: list[tuple[int, int, str]]) -> Iterator[tuple[in
                     yield from sorted({p.span() for part in PARTS for p in part.finditer(text, *m.span()) if len(p[0]) >= TOKEN_LEAST})
 
 
-def scan_text(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str, int, float, float]]]:
-    """Base spans, and the tested tokens (start, end, encoding, length, log p of uniformity, log p of text)."""
+def scan_text(text: str) -> tuple[list[tuple[int, int, str]], list[tuple]]:
+    """Base spans, and the tested tokens: ``TOKEN_FIELDS``, of which ``room`` is minus the log-likelihood of uniform draws."""
     base, tokens = base_spans(text), []
     for start, end in candidates(text, base):
         token = text[start:end]
         if (tested := battery(token)) is None:
             continue
         name, p = tested
+        body = token.rstrip("=")
+        classes = _CLASS_OF[np.frombuffer(body.encode(), np.uint8)]
         size = next(len(at) for n, _, at in _SETS if n == name)
-        tokens.append((start, end, name, len(token), round(math.log(max(p, 1e-300)), 4), round(min(0.0, text_ratio(token.rstrip("="), size)), 4)))
+        tokens.append((start, end, name, len(token), rounded_up(math.log(max(p, 1e-300))), int(classes[0]), moves(classes).tolist(), len(body) * math.log(size)))
     return base, tokens
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    token = list(zip(TOKEN_FIELDS, (pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.float64(), pa.int32(), pa.list_(pa.int64()), pa.float64()), strict=True))
     schema = pa.schema([
         ("doc_id", pa.int64()), ("base", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))),
-        ("tokens", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("encoding", pa.string()), ("length", pa.int32()), ("log_uniform", pa.float64()), ("log_text", pa.float64())]))),
+        ("moves", pa.list_(pa.int64())), ("tokens", pa.list_(pa.struct(token))),
     ])
-    names = ("start", "end", "encoding", "length", "log_uniform", "log_text")
     for batch in slices(batches):
         base, tokens = [], []
-        for text in batch.column("text"):
-            b, t = scan_text(text.as_py() or "")
+        texts = [t or "" for t in batch.column("text").to_pylist()]
+        for text in texts:
+            b, t = scan_text(text)
             base.append([dict(zip(("start", "end", "kind"), x, strict=True)) for x in b])
-            tokens.append([dict(zip(names, x, strict=True)) for x in t])
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(base, schema.field("base").type), pa.array(tokens, schema.field("tokens").type)], schema=schema)
+            tokens.append([dict(zip(TOKEN_FIELDS, x, strict=True)) for x in t])
+        # one row of a batch has the moves of all
+        counted = pa.array([text_moves(texts).tolist()] + [None] * (len(texts) - 1) if texts else [], schema.field("moves").type)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(base, schema.field("base").type), counted, pa.array(tokens, schema.field("tokens").type)], schema=schema)
+
+
+@dataclass(frozen=True)
+class Rule:
+    """The text model's log odds, and for each length class the largest rejected log p of uniformity and of text."""
+
+    odds: tuple[float, ...]
+    cuts: dict[int, tuple[float, float]]
+
+    def log_text(self, first: int, counts: list[int], room: float) -> float:
+        return rounded_up(_START[first] + sum(o * m for o, m in zip(self.odds, counts, strict=True)) + room)
+
+    def keeps(self, length: int, log_uniform: float, log_text: float) -> bool:
+        uniform, text = self.cuts[length.bit_length() - 1]
+        return log_text <= text and log_uniform > uniform
+
+
+def _log_text(t, odds: tuple[float, ...]):
+    """As :meth:`Rule.log_text`, as a Spark expression of a token."""
+    moved = F.aggregate(F.zip_with(t["moves"], F.lit(list(odds)), lambda m, o: m * o), F.lit(0.0), lambda a, x: a + x)
+    start = F.element_at(F.lit(_START), t["first"] + 1)
+    return F.least(F.lit(0.0), F.greatest(F.lit(LEAST_LOG), F.ceil((start + moved + t["room"]) * 100) / 100))
 
 
-def cutoffs(found: DataFrame) -> dict[int, tuple[float, float]]:
-    """For each length class the largest rejected log p of uniformity and of text (Benjamini-Hochberg), -inf if none.
+def learn_rule(found: DataFrame) -> Rule:
+    """The text model from all counted moves, and the cut-offs by Benjamini-Hochberg over all tokens, -inf if none.
 
-    What reaches the driver is one row a class, at most 31.
+    What reaches the driver is 16 counts and one row a length class, at most 31.
     """
-    tested = found.select(F.explode("tokens").alias("t")).select("t.*").withColumn("class", F.floor(F.log2("length")).cast("int"))
+    counted = {r["i"]: r["n"] for r in found.select(F.posexplode("moves").alias("i", "n")).groupBy("i").agg(F.sum("n").alias("n")).collect()}
+    odds = tuple(log_odds([counted.get(i, 0) for i in range(16)]).tolist())
+    tested = found.select(F.explode("tokens").alias("t")).select(
+        F.floor(F.log2("t.length")).cast("int").alias("class"), F.col("t.log_uniform").alias("log_uniform"), _log_text(F.col("t"), odds).alias("log_text")
+    )
 
     def cut(column: str, rate: float) -> dict[int, float]:
         counts = tested.groupBy("class", column).agg(F.count(F.lit(1)).alias("n"))
-        # a window over the distinct rounded values of a class: thousands of rows, whatever the corpus
+        # a window over the distinct rounded values of a class, 70,001 at most
         upto, total = F.sum("n").over(Window.partitionBy("class").orderBy(column)), F.sum("n").over(Window.partitionBy("class"))
         ranked = counts.select("class", column, upto.alias("rank"), total.alias("m"))
         best = ranked.groupBy("class").agg(F.max(F.when(F.exp(column) <= rate * F.col("rank") / F.col("m"), F.col(column))).alias("cut"))
         return {r["class"]: -math.inf if r["cut"] is None else r["cut"] for r in best.collect()}
 
     uniform, text = cut("log_uniform", FDR_UNIFORM), cut("log_text", FDR_TEXT)
-    return {k: (uniform[k], text[k]) for k in text}
+    return Rule(odds, {k: (uniform[k], text[k]) for k in text})
 
 
-def _scanned(docs: DataFrame) -> tuple[DataFrame, dict[int, tuple[float, float]]]:
+def _scanned(docs: DataFrame) -> tuple[DataFrame, Rule]:
     found = materialize(docs.select("doc_id", "text").mapInArrow(_scan, FOUND_SCHEMA), "secret-scan")
-    return found, cutoffs(found)
+    return found, learn_rule(found)
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:
     """doc_id and spans (start, end, kind), base ones and random tokens, of every row of ``docs`` (doc_id, text)."""
-    found, cuts = _scanned(docs)
-    kept = F.filter("tokens", lambda t: _passes(t, cuts))
+    found, rule = _scanned(docs)
+    kept = F.filter("tokens", lambda t: _passes(t, rule))
     place = {k: i for i, k in enumerate(KINDS)}
     order = lambda s: F.create_map(*(F.lit(x) for kv in place.items() for x in kv))[s["kind"]]
     spans = F.concat("base", F.transform(kept, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.lit("random").alias("kind"))))
@@ -200,12 +258,12 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.transform(ordered, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))).alias("spans"))
 
 
-def _passes(t, cuts: dict[int, tuple[float, float]]):
+def _passes(t, rule: Rule):
     """Whether a tested token is random and not text, as a Spark condition."""
     out = F.lit(False)
-    for k, (uniform, text) in cuts.items():
+    for k, (uniform, text) in rule.cuts.items():
         inside = (t["length"] >= 2**k) & (t["length"] < 2 ** (k + 1))
-        out = out | (inside & (t["log_text"] <= text) & (t["log_uniform"] > uniform))
+        out = out | (inside & (t["log_uniform"] > uniform) & (_log_text(t, rule.odds) <= text))
     return out
 
 
@@ -213,13 +271,12 @@ def _listed(spans) -> F.Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _redacted(text: str | None, cuts: dict[int, tuple[float, float]]) -> str | None:
+def _redacted(text: str | None, rule: Rule) -> str | None:
     if not text:
         return text
     base, tokens = scan_text(text)
-    for start, end, _, length, uniform, ratio in tokens:
-        least, most = cuts[length.bit_length() - 1]
-        if ratio <= most and uniform > least:
+    for start, end, _, length, uniform, first, counts, room in tokens:
+        if rule.keeps(length, uniform, rule.log_text(first, counts, room)):
             base.append((start, end, "random"))
     parts, at = [], 0
     for start, end, kind in sorted(base):
@@ -234,12 +291,12 @@ def redact(docs: DataFrame) -> DataFrame:
 
     Overlapping spans are replaced as one. The texts are scanned twice: once for the cut-offs, once to redact.
     """
-    _, cuts = _scanned(docs)
+    _, rule = _scanned(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             at = batch.schema.get_field_index("text")
-            yield batch.set_column(at, "text", pa.array([_redacted(t.as_py(), cuts) for t in batch.column(at)], batch.schema.field(at).type))
+            yield batch.set_column(at, "text", pa.array([_redacted(t.as_py(), rule) for t in batch.column(at)], batch.schema.field(at).type))
 
     out = docs.mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out

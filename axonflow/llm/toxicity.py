@@ -6,7 +6,7 @@ beginnings is trained with numpy on the driver, from a bounded sample: at most `
 ``prior * E_P[l(g)] + max(0, E_U[l(-g)] - prior * E_P[l(-g)])``; where the second part of a mini-batch is negative the
 step goes the other way, which keeps a flexible model from fitting the positives away. Features that positives do not
 have clearly more often than the whole sample are left out. Every row is then scored in its whole text by the broadcast
-weights (``MAX_FEATURES`` of them at most).
+weights, of which there are no more than the bounded sample has features.
 
 Defined cases: null and empty texts have no features and get the score of the intercept alone; repeated rows are scored
 one by one; without a positive example every score is 0; an empty table gives an empty result; a row with a null doc_id
@@ -150,8 +150,6 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
 
 #: A feature is used if at least so many positives have it, and so many standard deviations more than expected.
 LEAST_POSITIVE, LEAST_Z = 3, 3.0
-#: At most so many features (those that stand out most); 12 bytes each in the broadcast model.
-MAX_FEATURES = 20_000
 
 
 def held_out() -> F.Column:
@@ -185,7 +183,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, ma
     counts = sample.select("positive", F.explode("features").alias("f")).groupBy("f").agg(F.count_if("positive").alias("p"), F.count(F.lit(1)).alias("n"))
     expected = F.col("n") * n_p / max(n_p + n_u, 1)
     z = (F.col("p") - expected) / F.sqrt(expected)
-    best = counts.where(F.col("p") >= LEAST_POSITIVE).select("f", z.alias("z")).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "f").limit(MAX_FEATURES)
+    best = counts.where(F.col("p") >= LEAST_POSITIVE).select("f", z.alias("z")).where(F.col("z") >= LEAST_Z)  # of the bounded sample
     vocabulary = np.sort(np.array([r["f"] for r in best.collect()], np.int64))
     sent = sample.sparkSession.sparkContext.broadcast(vocabulary)
 

@@ -256,6 +256,77 @@ def test_values_of_names_and_parameters_are_redacted(spark):
     assert all(r.endswith(" end") for r in rows.values())
 
 
+def plain_base_spans(text):
+    """The contract's patterns, character by character."""
+    import re
+
+    out, word = [], "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
+    forms = (
+        (r"(?i:password|passwd|secret|token|api_?key)", word, 12, "assign"), ("AKIA", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 18, "access"), ("", "0123456789abcdef", 16, "hex"),
+    )
+    for place, (head, letters, least, kind) in enumerate(forms):
+        at = 0
+        while at < len(text):
+            m = re.compile(head, re.ASCII).match(text, at)
+            end = m.end() if m else at
+            if m and kind == "assign":
+                end += text[end : end + 1] in ("'", '"') and end < len(text)
+                while text[end : end + 1] == " ":
+                    end += 1
+                if text[end : end + 1] not in (":", "="):
+                    at += 1
+                    continue
+                end += 1
+                while text[end : end + 1] == " ":
+                    end += 1
+                end += text[end : end + 1] in ("'", '"') and end < len(text)
+            first = end
+            while m and end < len(text) and text[end] in letters:
+                end += 1
+            if not m or end == first:
+                at += 1
+                continue
+            if end - (first if kind == "assign" else at) >= least:
+                out.append((at, place, end, kind))
+            at = end
+    return [(a, e, k) for a, _, e, k in sorted(out)]
+
+
+def test_base_spans_match_brute_force(spark):
+    rng = random.Random(8)
+    parts = ["password", "Passwd", "SECRET", "token", "api_key", "ApiKey", "apikey", " ", "  ", '"', "'", ":", "=", "AKIA", "AKIAAKIA", "0123456789abcdef", "ABCDEFGHIJ0123456789", "deadbeef", "x", "+/_.-", "é", "\n", "kK\u212a", "G1"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(3000)]
+    for t in texts:
+        assert secrets.base_spans(t) == plain_base_spans(t), t
+    df = docs(spark, [*texts[:300], None]).withColumn("tokens", F.lit(1)).withColumn("base", F.lit(1))
+    out = {r["doc_id"]: r["spans"] for r in secrets.find_secrets(df).collect()}
+    assert all([tuple(x) for x in out[i] if x["kind"] != "random"] == plain_base_spans(t) for i, t in enumerate(texts[:300])) and out[300] == []
+
+
+def test_step_up_cut_offs_match_brute_force(spark):
+    rng = random.Random(4)
+    draw = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    texts = [f"{words(rng, 20)} {draw(rng.choice([20, 24, 40, 70]))} {'-'.join(words(rng, 6).split())} {'ab' * rng.randint(10, 20)}" for _ in range(150)]
+    texts.append(" ".join(draw(40) for _ in range(20_000)))  # a very long text
+    rule = secrets.learn_rule(common.materialize(docs(spark, texts).select("doc_id", "text").mapInArrow(secrets._scan, secrets.FOUND_SCHEMA), "test"))
+    counts = np.zeros((4, 4))
+    kind = {c: k for k, letters in enumerate(secrets._CLASSES) for c in letters}
+    for t in texts:
+        for run in __import__("re").findall(r"[A-Za-z0-9+/_=-]+", t):
+            if len(run) < 20:
+                for x, y in zip(run, run[1:]):
+                    counts[kind[x], kind[y]] += 1
+    assert np.allclose(rule.odds, secrets.log_odds(counts.ravel()))
+    tokens = [t for text in texts for t in secrets.scan_text(text)[1]]
+    values = {k: [(t[4], rule.log_text(*t[5:])) for t in tokens if t[3].bit_length() - 1 == k] for k in rule.cuts}
+    for k, rows in values.items():
+        for side in (0, 1):
+            p = sorted(r[side] for r in rows)
+            passed = [x for i, x in enumerate(p) if np.exp(x) <= 0.01 * sum(y <= x for y in p) / len(p)]
+            assert rule.cuts[k][side] == pytest.approx(max(passed, default=-np.inf))
+    assert len(values) >= 3
+
+
 def test_secrets_of_nothing(spark):
     assert secrets.find_secrets(docs(spark, [])).count() == 0
     assert secrets.redact(docs(spark, [])).count() == 0
@@ -484,6 +555,40 @@ def test_toxicity_on_held_out_rows(spark):
     assert {r["doc_id"] for r in got} == {i for i in [*range(900), 9001, 9002] if zlib.crc32(str(i).encode()) % 5 == 0}
 
 
+def test_scores_and_risk_match_brute_force():
+    rng = np.random.default_rng(5)
+    texts = ["Bad worse WORST", None, "", "ok ok fine", "é bad-worse"]
+    parts = lambda t: {(w, k) for w in __import__("re").findall(rb"[0-9a-z\x80-\xff]+", (t or "").encode().lower()) for k in [0, *(k for k in toxicity.BEGINNINGS if len(w) > k)]}
+    plain = [{w[:k] + b"*" if k else w for w, k in parts(t)} for t in texts]
+    found = toxicity.known(texts, None)
+    assert [len(f) for f in found] == [len(p) for p in plain]
+    assert all((len(set(a.tolist()) & set(b.tolist())) == len(p & q)) for a, p in zip(found, plain) for b, q in zip(found, plain))
+    vocabulary = np.sort(np.unique(np.concatenate(found)))
+    weights = rng.normal(size=len(vocabulary))
+    scores = toxicity.Model(vocabulary, weights, 0.3).scores(texts)
+    dense = np.array([np.isin(vocabulary, f) for f in found])
+    assert np.allclose(scores, 1 / (1 + np.exp(-(dense @ weights + 0.3))))
+    # the trained weights have a lower non-negative risk than the start, by the risk's own formula
+    positive = [np.flatnonzero(rng.random(30) < 0.3) for _ in range(200)]
+    positive = [np.unique([*p[p > 2], 0, 1]) for p in positive]
+    unlabelled = [np.flatnonzero(rng.random(30) < 0.3) for _ in range(800)] + positive[:100]
+
+    def risk(w, b, prior=0.2):
+        g = lambda rows: np.array([w[r].sum() + b for r in rows])
+        up, uu = np.logaddexp(0, g(positive)), np.logaddexp(0, g(unlabelled))
+        return prior * np.logaddexp(0, -g(positive)).mean() + max(0, uu.mean() - prior * up.mean())
+
+    w, b = toxicity.train(positive, unlabelled, 0.2, 30)
+    assert risk(w, b) < 0.5 * risk(np.zeros(30), np.log(0.25)) and w[:2].min() > np.abs(w[2:]).max()
+
+
+def test_toxicity_of_very_long_texts(spark):
+    model = toxicity.Model(np.sort(np.concatenate(toxicity.known(["vile"], None))), np.full(2, 4.0), -2.0)
+    df = docs(spark, ["fine words " * 200_000 + "vile", "fine words " * 200_000]).withColumn("positive", F.lit(1))
+    out = {r["doc_id"]: r["score"] for r in toxicity.score(df, model).collect()}
+    assert out[0] > 0.9 and out[1] < 0.2
+
+
 def test_toxicity_without_labels(spark):
     df = docs(spark, ["a", None])
     model = toxicity.fit(df, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
