@@ -8,13 +8,20 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir``. Where it is unset, a local session gets one of its own."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir")
-    if not folder:
+    if folder:
+        return folder.rstrip("/")
+    current = sc._jsc.sc().getCheckpointDir()
+    if current.isEmpty():
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-axonflow-"))
         current = sc._jsc.sc().getCheckpointDir()
-        if current.isEmpty():
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-axonflow-"))
-            current = sc._jsc.sc().getCheckpointDir()
-        folder = current.get()
-    return f"{folder.rstrip('/')}/axonflow/{name}-{uuid.uuid4().hex}"
+    return current.get().rstrip("/")
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/axonflow/{name}-{uuid.uuid4().hex}"
