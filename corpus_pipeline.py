@@ -2,7 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept, and is written as Parquet and read
 again for the next one. The duplicate stages decide on rows: ids may repeat or be null. The stages before packing keep
-the columns of ``documents``.
+the columns of ``documents``, other columns too, whatever their names.
+
+Defined cases, for each stage: an empty table gives an empty result; null and empty texts are kept by toxicity (unless
+the intercept alone rejects) and by near_dedup, are one group in exact_dedup, hold no secrets, and are packed as the end
+token; texts of any length are whole; wholly equal rows are two rows everywhere but in exact_dedup, which keeps one.
 """
 
 from __future__ import annotations

@@ -64,6 +64,20 @@ def test_stages_keep_clean_documents_and_act_on_the_others(spark, tmp_path):
     assert sum(r["length"] for r in whole) == sum(len(np.frombuffer(r["ids"], "<u4")) for r in whole)
 
 
+def test_stages_of_empty_tables_and_clashing_columns(spark, tmp_path):
+    planted(spark, str(tmp_path))
+    clash = ("key", "v", "share", "normal", "tokens", "row_id_", "score", "size", "n")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").limit(60)
+    for c in clash:
+        docs = docs.withColumn(c, F.lit(1))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0, name
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and out.count() > 0, name
+    last = corpus_pipeline.STAGES[-1][1]
+    assert last(spark, docs.where("false"), str(tmp_path)).count() == 0 and last(spark, docs, str(tmp_path)).select("doc_id").distinct().count() == 60
+
+
 def test_duplicate_stages_decide_on_rows(spark):
     rng = random.Random(6)
     a, b, c, d = (" ".join(f"w{rng.randrange(2000)}" for _ in range(60)) for _ in range(4))
