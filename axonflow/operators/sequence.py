@@ -45,6 +45,11 @@ def dilate_invalid(samples: DataFrame, margin: int, keys: list[str], idx: str =
     return buckets.own(rows.withColumn(valid, F.min(valid).over(w.rangeBetween(-margin, margin))), idx)
 
 
+def valid_everywhere(masks: DataFrame, idx: str = "idx", valid: str = "is_valid") -> DataFrame:
+    """Intersection of the masks of all signals: idx, and whether every signal that has the sample is valid there."""
+    return masks.groupBy(idx).agg(F.bool_and(valid).alias(valid))
+
+
 def mask_intervals(samples: DataFrame, keys: list[str], flag: Column, rate: float, t_start: float = 0.0, idx: str = "idx") -> DataFrame:
     """Runs of ``flag`` as intervals of time: keys, start, end."""
     at = lambda c: F.col(c) / F.lit(rate) + F.lit(t_start)

@@ -66,15 +66,17 @@ def zero_phase(samples: DataFrame, keys: list[str], order: int, cut, kind: str,
     return kept.groupBy(*keys).applyInPandas(run, kept.schema)
 
 
-def filter_response(spark, cut, kind: str, rate: float, order: int = 2, points: int = 8000, family: str = "butter") -> DataFrame:
-    """freq and gain of a filter at ``points`` frequencies."""
+def filter_responses(cuts: DataFrame, keys: list[str], kind: str, rate: float, order: int = 2, points: int = 8000, family: str = "butter") -> DataFrame:
+    """keys, freq and gain at ``points`` frequencies of the filter with each row's ``cut`` (keys, cut)."""
+    rows = cuts.select(*keys, "cut", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("_k"))
 
     def run(batches):
         for pdf in batches:
-            f, g = kernels.magnitude_response(cut, kind, rate, order, pdf["id"].to_numpy(float), points, family)
-            yield pd.DataFrame({"freq": f, "gain": g})
+            for cut, g in pdf.groupby("cut", sort=False):
+                freq, gain = kernels.magnitude_response(cut, kind, rate, order, g["_k"].to_numpy(float), points, family)
+                yield g[keys].assign(freq=freq, gain=gain)
 
-    return spark.range(points).mapInPandas(run, "freq double, gain double")
+    return rows.mapInPandas(run, f"{_key_schema(cuts, keys)}, freq double, gain double")
 
 
 def phase_and_envelope(samples: DataFrame, keys: list[str], idx: str = "idx") -> DataFrame:

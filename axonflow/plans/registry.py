@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from axonflow.plans import event_queries, signal_queries, source_queries, table_queries
+from axonflow.plans import coverage_queries, event_queries, signal_queries, source_queries, table_queries
 
-MODULES = [event_queries, signal_queries, source_queries, table_queries]
+MODULES = [coverage_queries, event_queries, signal_queries, source_queries, table_queries]
 
 
 def queries():

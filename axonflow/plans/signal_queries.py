@@ -190,11 +190,6 @@ def p1_fir(spark, d):
     return spectral.zero_phase(views.filled(spark, d), [R], 31, 0.1, "low", 1.0, "fir").select(R, "idx", _r("value"))
 
 
-def p2(spark, d):
-    cut = views.filled(spark, d).agg((F.count(F.lit(1)) * 0 + 0.1).alias("c")).first()["c"]
-    return spectral.filter_response(spark, cut, "low", 1.0, 2, 500).select(_r("freq"), _r("gain"))
-
-
 def p3(spark, d):
     return spectral.phase_and_envelope(views.filled(spark, d), [R]).select(R, "idx", _r("phase"), _r("envelope"))
 

@@ -72,6 +72,35 @@ def read_raw(spark: SparkSession, path: str, kind: str, width: int = 1, range_by
     return spark.read.format("raw_records").options(path=path, kind=kind, width=width, range_bytes=range_bytes).load()
 
 
+def write_ticks(rows: DataFrame, column: str, path: str) -> None:
+    """Write a column of whole numbers as raw files of ticks, one for each range of values, under ``path``.
+
+    ``path`` has to be one folder for all executors, as for reading.
+    """
+    folder = path.removeprefix("file://").removeprefix("file:")
+
+    def write(batches):
+        from pyspark import TaskContext
+
+        os.makedirs(folder, exist_ok=True)
+        task = TaskContext.get()
+        target = f"{folder}/ticks-{task.partitionId():05d}.raw"
+        draft = f"{target}.{task.taskAttemptId()}"  # an attempt that is repeated leaves one whole file
+        n = 0
+        with open(draft, "wb") as f:
+            for batch in batches:
+                data = batch.column(0).to_numpy(zero_copy_only=False).astype("<u8")
+                n += len(data)
+                f.write(data.tobytes())
+        os.replace(draft, target)
+        import pyarrow as pa
+
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    ticks = rows.select(F.col(column).cast("long").alias("tick")).where("tick IS NOT NULL")
+    ticks.repartitionByRange("tick").sortWithinPartitions("tick").mapInArrow(write, "n long").agg(F.sum("n")).collect()  # one row
+
+
 def read_clock(spark: SparkSession, path: str, clock_hz: float) -> DataFrame:
     """idx and t in seconds of a file of ticks."""
     return read_raw(spark, path, "uint64").select("idx", (F.col("values")[0] / F.lit(float(clock_hz))).alias("t"))

@@ -237,3 +237,62 @@ def test_files_and_results(spark, tmp_path):
     log = results.guarded(spark.createDataFrame([(1, 1.0), (2, 0.0)], "k long, v double"), ["k"], lambda g: g.assign(v=1 / int(g["v"].iloc[0])), "k long, v double", "inverse")
     status = {r["k"]: r["status"] for r in results.run_log(log, ["k"]).collect()}
     assert status == {1: "completed", 2: "skipped"}
+
+
+def test_gas_and_buffer_use(spark, tmp_path):
+    np.array([10.0, 20.0, 30.0], "<f4").tofile(tmp_path / "o2.raw")
+    np.array([1.5, 2.5], "<f4").tofile(tmp_path / "co2.raw")
+    np.array([0, 30, 60], "<u8").tofile(tmp_path / "clock.raw")
+    out = raw.read_gas(spark, {"O2": str(tmp_path / "o2.raw"), "CO2": str(tmp_path / "co2.raw")}, str(tmp_path / "clock.raw"), 30.0)
+    assert sorted((r["channel"], r["idx"], r["t"], r["value"]) for r in out.collect()) == [("CO2", 0, 0.0, 1.5), ("CO2", 1, 1.0, 2.5), ("O2", 0, 0.0, 100.0), ("O2", 1, 1.0, 200.0), ("O2", 2, 2.0, 300.0)]
+    (tmp_path / "use.csv").write_text("Clock,Bytes,Percent\n5,100,0.5\n6,,\n")
+    assert [tuple(r) for r in sheets.read_fifo_use(spark, str(tmp_path / "use.csv")).collect()] == [(5, 100, 0.5), (6, None, None)]
+
+
+def test_filter_response_is_the_butterworth_formula(spark):
+    cuts = spark.createDataFrame([("a", 0.1), ("b", 0.3)], "recording_id string, cut double")
+    rows = spectral.filter_responses(cuts, ["recording_id"], "low", 1.0, 3, 50).collect()
+    assert len(rows) == 100
+    for r in rows:
+        cut = {"a": 0.1, "b": 0.3}[r["recording_id"]]
+        assert math.isclose(r["gain"], 1 / math.sqrt(1 + (math.tan(math.pi * r["freq"]) / math.tan(math.pi * cut)) ** 6), rel_tol=1e-6, abs_tol=1e-9)
+
+
+def test_band_power_and_coherogram_match_direct_forms(spark):
+    rng = np.random.default_rng(3)
+    n, rate = 900, 10.0
+    x, y = rng.normal(size=n), rng.normal(size=n)
+    y[300:] += np.sin(2 * np.pi * 2.0 * np.arange(n)[300:] / rate)
+    x += np.sin(2 * np.pi * 2.0 * np.arange(n) / rate)
+    pairs = spark.createDataFrame([("a", i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y))], "recording_id string, idx long, x double, y double")
+    got = {(round(r["t"], 6), round(r["freq"], 6)): r["coherence"] for r in spectral.coherogram(pairs, ["recording_id"], rate, 5.0, 2.5, 8).collect()}
+    length, hop = 50, 25
+    taper = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(length) / length)
+    starts = range(0, n - length + 1, hop)
+    f = {k: np.array([np.fft.rfft((v[a : a + length] - v[a : a + length].mean()) * taper) for a in starts]) for k, v in (("x", x), ("y", y))}
+    for w in range(len(starts)):
+        part = slice(max(0, w - 3), w + 5)
+        sxx, syy, sxy = (np.mean(f[a][part].conj() * f[b][part], axis=0) for a, b in (("x", "x"), ("y", "y"), ("x", "y")))
+        for k in (5, 10, 20):
+            assert math.isclose(got[round((w * hop + 25) / rate, 6), round(k * rate / length, 6)], abs(sxy[k]) ** 2 / (sxx[k] * syy[k]).real, rel_tol=1e-9)
+    samples = pairs.select("recording_id", "idx", F.col("x").alias("value"))
+    spectrum = spectral.multitaper_spectrogram(samples, ["recording_id"], rate, 10.0, 5.0, 3.0, detrend="constant").where("freq BETWEEN 1 AND 3").collect()
+    want = np.mean([10 * math.log10(r["power"]) for r in spectrum])
+    power = spectral.band_power(samples, ["recording_id"], rate, (1, 3), 10.0, 5.0, 3.0).first()["power_db"]
+    assert math.isclose(power, want, rel_tol=1e-6)
+    wide = {r["measurement"]: r["value"] for r in spectral.signal_statistics(pairs, ["recording_id"], rate, (1, 3), 10.0, 5.0, 3.0, 2.0).collect()}
+    assert math.isclose(wide["power_1"], power, rel_tol=1e-9) and set(wide) == {"power_1", "power_2", "coherence", "peak", "lag"} and 0 < wide["coherence"] < 1
+
+
+def test_filling_is_linear_in_a_long_recording(spark):
+    import time
+
+    def seconds(n):
+        rows = spark.range(n).select(F.lit("a").alias("recording_id"), F.col("id").alias("idx"), F.when(F.col("id") % 7 < 4, F.col("id").cast("double")).alias("value"))
+        start = time.time()
+        out = sequence.fill_missing(rows, 3, ["recording_id"]).agg(F.sum(F.abs(F.col("value") - F.col("idx"))).alias("off"), F.count(F.lit(1)).alias("n")).first()
+        assert out["n"] == n and out["off"] < 7
+        return time.time() - start
+
+    seconds(1000)
+    assert seconds(2_000_000) < 60  # a frame anew for each row would take hours
