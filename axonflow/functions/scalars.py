@@ -42,7 +42,7 @@ def short_drug_label(name: Column) -> Column:
     """'Dex <dose>', 'Sleep', or the name with a capital."""
     low = F.lower(name)
     dose = F.regexp_extract(low, r"([0-9]+(?:\.[0-9]+)?)", 1)
-    capital = F.concat(F.upper(F.substring(name, 1, 1)), F.lower(F.substring(name, 2, 1000)))
+    capital = F.concat(F.upper(F.substring(name, 1, 1)), F.lower(F.substr(name, F.lit(2))))
     return F.when(low.contains("dex"), F.rtrim(F.concat(F.lit("Dex "), dose))).when(low.contains("sleep"), "Sleep").otherwise(capital)
 
 
