@@ -81,6 +81,14 @@ def _odd_pad(x: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate([2 * x[0] - x[n:0:-1], x, 2 * x[-1] - x[-2 : -n - 2 : -1]]) if n else x
 
 
+def settling(order: int, cut, kind: str, fs: float, family: str = "butter", left: float = 1e-18) -> int:
+    """Samples after which no more than ``left`` of an edge remains in :func:`zero_phase`, and at least its padding."""
+    if family.lower() == "fir":
+        return 3 * order + 1
+    slowest = max(np.abs(np.roots(a)).max() for _, a in butterworth(order, cut, kind, fs))
+    return math.ceil(math.log(left) / math.log(slowest)) + 6 * (order + 1) if 0 < slowest < 1 else 6 * (order + 1)
+
+
 def zero_phase(x: np.ndarray, order: int, cut, kind: str, fs: float, family: str = "butter") -> np.ndarray:
     """Filter forwards and backwards with odd padding at both ends; the result has the input's length."""
     family = family.lower()

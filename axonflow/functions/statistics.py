@@ -70,16 +70,22 @@ def signed_rank(difference: np.ndarray) -> tuple[float, float]:
     if not n:
         return math.nan, math.nan
     r = ranks(np.abs(d))
-    plus = float(r[d > 0].sum())
-    w = min(plus, n * (n + 1) / 2 - plus)
     _, ties = np.unique(r, return_counts=True)
-    if n <= 50 and not had_zeros and (ties == 1).all():
+    return signed_rank_p(n, float(r[d > 0].sum()), had_zeros, float((ties.astype(float) ** 3 - ties).sum()))
+
+
+def signed_rank_p(n: int, plus: float, had_zeros: bool, ties: float) -> tuple[float, float]:
+    """The same from the count of non-zero differences, the positive ones' rank sum and the sum of t^3 - t over ties."""
+    if not n:
+        return math.nan, math.nan
+    w = min(plus, n * (n + 1) / 2 - plus)
+    if n <= 50 and not had_zeros and not ties:
         ways = np.zeros(n * (n + 1) // 2 + 1)
         ways[0] = 1
         for k in range(1, n + 1):
             ways[k:] = ways[k:] + ways[:-k]
         return w, float(min(1.0, 2 * ways[: int(w) + 1].sum() / 2.0**n))
-    variance = n * (n + 1) * (2 * n + 1) / 24 - (ties**3 - ties).sum() / 48
+    variance = n * (n + 1) * (2 * n + 1) / 24 - ties / 48
     return w, math.erfc(abs(w - n * (n + 1) / 4) / math.sqrt(variance) / math.sqrt(2)) if variance > 0 else math.nan
 
 
@@ -97,3 +103,15 @@ def bootstrap(data: np.ndarray, statistic: str, draws: int, seed: int) -> np.nda
     rng, of = np.random.default_rng(seed), np.median if statistic == "median" else np.mean
     step = max(1, 1_000_000 // max(len(data), 1))
     return np.concatenate([of(data[rng.integers(0, len(data), (min(step, draws - a), len(data)))], axis=1) for a in range(0, draws, step)])
+
+
+def median_places(n: int, draws: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (from 0) of the two values whose mean is a resample's median, among the n sorted values, for each draw.
+
+    A resample picks the places floor(n U) of n uniform numbers, so its middle values sit at floor(n V) of the middle order
+    statistics V, which are beta distributed; the upper of two follows from the lower.
+    """
+    rng, m = np.random.default_rng(seed), (n + 1) // 2
+    low = rng.beta(m, n + 1 - m, draws)
+    high = low if n % 2 else low + (1 - low) * rng.beta(1, n - m, draws)
+    return tuple(np.minimum((v * n).astype(np.int64), n - 1) for v in (low, high))

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from axonflow.functions import signals as kernels
+from axonflow.operators import spectral
 
 KEY = "recording_id"
 
@@ -54,33 +54,68 @@ def detrend_median(frames: DataFrame) -> DataFrame:
     return means.join(middle, KEY).withColumn("pixels", moved).drop("_mean", "_median")
 
 
+def _images(pixels: DataFrame, *columns: str) -> DataFrame:
+    """recording_id and an array over the pixels for each column: one row, of one image, a recording."""
+    packed = pixels.groupBy(KEY).agg(F.sort_array(F.collect_list(F.struct("pixel", *columns))).alias("_p"))
+    return packed.select(KEY, *(F.col(f"_p.{c}").alias(c) for c in columns))
+
+
 def detrend_linear(frames: DataFrame) -> DataFrame:
-    """Subtract each pixel's least-squares line over time: recording_id, frame_idx, pixel, value, as rows."""
+    """Subtract each pixel's least-squares line over time: recording_id, frame_idx, pixel, value, as rows.
+
+    The sums of the lines are combined per partition; the lines meet the frames as images, and no pixel is joined by itself.
+    """
     t, x = F.col("frame_idx").cast("double"), F.col("value").cast("double")
-    rows = pixel_rows(frames)
-    lines = rows.groupBy(KEY, "pixel").agg(F.regr_slope(x, t).alias("_a"), F.regr_intercept(x, t).alias("_b"))
-    return rows.join(lines, [KEY, "pixel"]).select(KEY, "frame_idx", "pixel", (x - F.coalesce("_a", F.lit(0.0)) * t - F.coalesce("_b", x)).alias("value"))
+    lines = pixel_rows(frames).groupBy(KEY, "pixel").agg(F.regr_slope(x, t).alias("_a"), F.regr_intercept(x, t).alias("_b"), F.max(x).alias("_x"))
+    # one frame has no line: its value is the line
+    lines = lines.select(KEY, "pixel", F.coalesce("_a", F.lit(0.0)).alias("_a"), F.coalesce("_b", "_x").alias("_b"))
+    level = F.transform("pixels", lambda p, i: p.cast("double") - F.get("_a", i) * t - F.get("_b", i))
+    return frames.join(_images(lines, "_a", "_b"), KEY).select(KEY, "frame_idx", F.posexplode(level).alias("pixel", "value"))
+
 
+#: Pixels of a tile: a window of frames is held by tiles, so that large images do not meet in one task.
+TILE = 4096
 
-def delta_f(frames: DataFrame, window_frames: int, percentile: float = 8, method: str = "delta_f_over_f") -> DataFrame:
+
+def delta_f(frames: DataFrame, window_frames: int, percentile: float = 8, method: str = "delta_f_over_f", tile: int = TILE) -> DataFrame:
     """Relative change of each pixel: recording_id, frame_idx, pixel, value = (x - base) / base, or / sqrt(base).
 
     Pixels are shifted so that the smallest is positive (a negative minimum is subtracted; then 1 is added if the minimum
-    is 0). The base is the percentile of each window of frames, on straight lines between the windows' centres.
+    is 0). The base is the percentile of each window of frames, on straight lines between the windows' centres. A task
+    takes one window of one tile at a time; frames travel as arrays.
     """
-    rows = pixel_rows(frames).withColumn("value", F.col("value").cast("double"))
-    least = rows.groupBy(KEY).agg(F.min("value").alias("_least"))
-    shifted = F.col("value") - F.least(F.col("_least"), F.lit(0.0)) + F.when(F.greatest(F.col("_least"), F.lit(0.0)) == 0, 1.0).otherwise(0.0)
-    rows = rows.join(least, KEY).select(KEY, "frame_idx", "pixel", shifted.alias("value"))
-    base = rows.groupBy(KEY, "pixel", F.floor(F.col("frame_idx") / window_frames).alias("_w")).agg(F.percentile("value", percentile / 100).alias("_base"), F.avg("frame_idx").alias("_centre"))
-    w = Window.partitionBy(KEY, "pixel").orderBy("_w")
+    starts = F.sequence(F.lit(0), F.size("pixels") - 1, F.lit(tile))
+    cut = F.transform(F.when(F.size("pixels") > 0, starts), lambda s: F.slice(F.col("pixels").cast("array<double>"), s + 1, tile))
+    tiles = frames.select(KEY, "frame_idx", F.floor(F.col("frame_idx") / window_frames).alias("_w"), F.posexplode(cut).alias("_tile", "_x"))
+
+    def base_of(g: pd.DataFrame) -> pd.DataFrame:
+        wide = max(len(x) for x in g["_x"])
+        stack = np.array([np.pad(np.asarray(x, float), (0, wide - len(x)), constant_values=np.nan) for x in g["_x"]])
+        base = np.full(wide, np.nan)
+        known = ~np.isnan(stack).all(axis=0)
+        base[known] = np.nanpercentile(stack[:, known], percentile, axis=0)
+        return g[[KEY, "_tile", "_w"]].iloc[:1].assign(_base=[base], _centre=g["frame_idx"].mean())
+
+    kinds = {f.name: f.dataType.simpleString() for f in tiles.schema}
+    base = tiles.groupBy(KEY, "_tile", "_w").applyInPandas(base_of, f"`{KEY}` {kinds[KEY]}, _tile int, _w long, _base array<double>, _centre double")
+    w = Window.partitionBy(KEY, "_tile").orderBy("_w")
     base = base.withColumns({"_pb": F.lag("_base").over(w), "_pc": F.lag("_centre").over(w), "_nb": F.lead("_base").over(w), "_nc": F.lead("_centre").over(w)})
-    both = rows.withColumn("_w", F.floor(F.col("frame_idx") / window_frames)).join(base, [KEY, "pixel", "_w"])
-    i = F.col("frame_idx")
-    line = lambda b, c: F.col("_base") + (F.col(b) - F.col("_base")) * (i - F.col("_centre")) / (F.col(c) - F.col("_centre"))
-    level = F.coalesce(F.when(i < F.col("_centre"), line("_pb", "_pc")).otherwise(line("_nb", "_nc")), F.col("_base"))
-    below = level if method == "delta_f_over_f" else F.sqrt(level)
-    return both.select(KEY, "frame_idx", "pixel", ((F.col("value") - level) / below).alias("value"))
+    least = frames.groupBy(KEY).agg(F.min(F.array_min(F.col("pixels").cast("array<double>"))).alias("_least"))
+    shift = -F.least(F.col("_least"), F.lit(0.0)) + F.when(F.greatest(F.col("_least"), F.lit(0.0)) == 0, 1.0).otherwise(0.0)
+    base = base.join(least.select(KEY, shift.alias("_shift")), KEY)  # percentiles move with the shift
+    i, c = F.col("frame_idx"), F.col("_centre")
+    left = i < c
+    other, centre = F.when(left, F.col("_pb")).otherwise(F.col("_nb")), F.when(left, F.col("_pc")).otherwise(F.col("_nc"))
+    both = tiles.join(base, [KEY, "_tile", "_w"]).withColumns({"_other": other, "_share": (i - c) / (centre - c)})
+    levels = F.transform("_base", lambda b, k: b + F.coalesce((F.get("_other", k) - b) * F.col("_share"), F.lit(0.0)))
+
+    def change(x, level):
+        shifted = level + F.col("_shift")
+        return (x - level) / (shifted if method == "delta_f_over_f" else F.sqrt(shifted))
+
+    values = F.zip_with("_x", "_level", change)
+    out = both.withColumn("_level", F.slice(levels, 1, F.size("_x"))).select(KEY, "frame_idx", "_tile", F.posexplode(values).alias("_k", "value"))
+    return out.select(KEY, "frame_idx", (F.col("_tile") * tile + F.col("_k")).alias("pixel"), "value")
 
 
 def footprint_sum(footprints: DataFrame) -> DataFrame:
@@ -111,9 +146,11 @@ def activity_movie(footprints: DataFrame, traces: DataFrame) -> DataFrame:
 
 def blacked_out(frames: DataFrame, footprints: DataFrame) -> DataFrame:
     """Frames with the pixels of all units set to 0."""
-    covered = footprint_sum(footprints).where("weight > 0").groupBy(KEY).agg(F.collect_set("pixel").alias("_covered"))  # pixels of one image
-    zero = F.transform("pixels", lambda p, i: F.when(F.array_contains("_covered", i.cast("long")), F.lit(0.0)).otherwise(p))
-    out = frames.join(covered, KEY, "left")
+    weights = footprint_sum(footprints).select(KEY, "pixel", (F.col("weight") > 0).alias("_covered"))
+    grid = weights.groupBy(KEY).agg(F.max("pixel").alias("_last")).select(KEY, F.explode(F.sequence(F.lit(0).cast("long"), "_last")).alias("pixel"))
+    masks = _images(grid.join(weights, [KEY, "pixel"], "left").fillna(False, ["_covered"]), "_covered")
+    zero = F.transform("pixels", lambda p, i: F.when(F.get("_covered", i), F.lit(0.0)).otherwise(p))
+    out = frames.join(masks, KEY, "left")
     return out.withColumn("pixels", F.when(F.col("_covered").isNull(), F.col("pixels")).otherwise(zero)).drop("_covered")
 
 
@@ -150,16 +187,9 @@ def denoise(frames: DataFrame, height: int, width: int, rate: float, radius: flo
     kept = frames.select(KEY, "frame_idx", F.col("pixels").cast("array<double>").alias("pixels"))
     cleaned = kept.mapInPandas(clean, kept.schema)
 
-    def low_pass(g: pd.DataFrame) -> pd.DataFrame:
-        g, x = g.sort_values("frame_idx"), None
-        try:
-            x = kernels.zero_phase(g["value"].to_numpy(float), order, cutoff, "low", rate)
-        except ValueError:
-            x = g["value"].to_numpy(float)  # too short to filter
-        return g.assign(value=x)
-
     means = mean_trace(kept)
-    target = means.groupBy(KEY).applyInPandas(low_pass, means.schema).withColumnRenamed("value", "_target")
+    smooth = spectral.zero_phase(means, [KEY], order, cutoff, "low", rate, idx="frame_idx").withColumnRenamed("value", "_smooth")
+    target = means.join(smooth, [KEY, "frame_idx"], "left").select(KEY, "frame_idx", F.coalesce("_smooth", "value").alias("_target"))  # too short to filter: as it is
     both = cleaned.join(target, [KEY, "frame_idx"]).withColumn("_mean", frame_mean(F.col("pixels")))
     factor = F.when(F.col("_mean") != 0, F.col("_target") / F.col("_mean")).otherwise(F.lit(1.0))
     return both.select(KEY, "frame_idx", F.transform("pixels", lambda p: F.least(F.greatest(p * factor, F.lit(0.0)), F.lit(limit))).alias("pixels"))

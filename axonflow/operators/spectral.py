@@ -1,8 +1,8 @@
 """Filters, phases, spectrograms, coherence, cross-correlation and wavelets over many recordings at once.
 
 Kernels run on packed chunks: runs of consecutive samples with as many neighbours (halo) on either side as the kernel
-needs, so window-local work never needs a whole recording. Only what is global by nature (zero-phase filters, analytic
-signals) takes one signal a task. Products of windows are summed by Spark.
+needs, so window-local work never needs a whole recording; the halo of a recursive filter is as long as its memory. Only
+analytic signals, global by nature, take one signal a task. Products of windows are summed by Spark.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from axonflow.functions import signals as kernels
 from axonflow.functions.scalars import power_to_db
-from axonflow.operators import sequence
+from axonflow.operators import buckets, sequence
 
 
 def _key_schema(df: DataFrame, keys: list[str]) -> str:
@@ -24,7 +24,7 @@ def _key_schema(df: DataFrame, keys: list[str]) -> str:
 
 def numbered(samples: DataFrame, keys: list[str], idx: str = "idx") -> DataFrame:
     """Samples numbered without gaps from 0 within each group, as ``idx``."""
-    return samples.withColumn(idx, (F.row_number().over(Window.partitionBy(*keys).orderBy(idx)) - 1).cast("long"))
+    return buckets.numbered(samples, keys, [idx], "_place").withColumn(idx, F.col("_place")).drop("_place")
 
 
 def chunks(samples: DataFrame, keys: list[str], core: int, left: int, right: int, values: tuple[str, ...] = ("value",), idx: str = "idx") -> DataFrame:
@@ -52,18 +52,30 @@ def _by_chunk(packed: DataFrame, keys: list[str], schema: str, fn) -> DataFrame:
     return packed.mapInPandas(run, f"{_key_schema(packed, keys)}, {schema}")
 
 
-def zero_phase(samples: DataFrame, keys: list[str], order: int, cut, kind: str, rate: float, family: str = "butter", idx: str = "idx") -> DataFrame:
-    """keys, idx, value: each signal filtered forwards and backwards; signals shorter than the padding give no rows."""
+def zero_phase(samples: DataFrame, keys: list[str], order: int, cut, kind: str, rate: float, family: str = "butter", idx: str = "idx", core: int = buckets.SIZE) -> DataFrame:
+    """keys, idx, value: each signal filtered forwards and backwards; signals shorter than the padding give no rows.
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(idx)
+    Samples count in order of ``idx``, gaps in it do not matter. A chunk's halo is as long as the filter remembers, so
+    that the chunks' values are those of the whole signal to rounding. A missing value makes the values of its chunk
+    missing, and of those whose halo holds it.
+    """
+    halo = kernels.settling(order, cut, kind, rate, family)
+    core = max(core, halo)
+    kept = samples.select(*keys, F.col(idx).alias("_idx"), F.col("value").cast("double").alias("value"))
+    kinds = {f.name: f.dataType.simpleString() for f in kept.schema}
+
+    def run(row) -> dict:
+        x = np.array([np.nan if v is None else v for v in row.value], float)
         try:
-            return g.assign(value=kernels.zero_phase(g["value"].to_numpy(float), order, cut, kind, rate, family))
+            y = kernels.zero_phase(x, order, cut, kind, rate, family)
         except ValueError:
-            return g.iloc[:0]
+            return {idx: [], "value": []}
+        start = row.chunk * core - row.first
+        return {idx: row.at[start : start + core], "value": y[start : start + core]}
 
-    kept = samples.select(*keys, idx, F.col("value").cast("double").alias("value"))
-    return kept.groupBy(*keys).applyInPandas(run, kept.schema)
+    placed = buckets.numbered(kept, keys, ["_idx"], "_n")
+    packed = chunks(placed, keys, core, halo, halo, ("value", "_idx"), "_n").where(F.col("chunk") * core <= F.col("first") + F.size("value") - 1)
+    return _by_chunk(packed.withColumnRenamed("_idx", "at"), keys, f"`{idx}` {kinds['_idx']}, value double", run)
 
 
 def filter_responses(cuts: DataFrame, keys: list[str], kind: str, rate: float, order: int = 2, points: int = 8000, family: str = "butter") -> DataFrame:
@@ -80,7 +92,10 @@ def filter_responses(cuts: DataFrame, keys: list[str], kind: str, rate: float, o
 
 
 def phase_and_envelope(samples: DataFrame, keys: list[str], idx: str = "idx") -> DataFrame:
-    """keys, idx, value, phase in (-pi, pi] and envelope of the analytic signal."""
+    """keys, idx, value, phase in (-pi, pi] and envelope of the analytic signal.
+
+    The transform is one over the whole signal, in one task: about 100 bytes a sample, so 10 million samples a GB.
+    """
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(idx)

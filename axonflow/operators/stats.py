@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from axonflow.functions import statistics as kernels
 from axonflow.functions.scalars import effect_label, fisher_interval
+from axonflow.operators import buckets
 
 
 def pooled_z(samples: DataFrame, keys: list[str]) -> DataFrame:
@@ -59,7 +60,7 @@ def autocorrelation_sums(pairs: DataFrame, keys: list[str], max_lags: int = 100,
     Means are global and come first. Each sample meets those after it within its block of ``max_lags`` samples or the
     next one, so a long signal is many keys; sums by lag are combined before they are shuffled.
     """
-    numbered = pairs.withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy(idx)) - 1)
+    numbered = buckets.numbered(pairs, keys, [idx], "_i")
     moments = pairs.groupBy(*keys).agg(F.avg("x").alias("_mx"), F.avg("y").alias("_my"), F.count(F.lit(1)).alias("_n"))
     centred = numbered.join(moments, keys).select(*keys, "_i", "_n", (F.col("x") - F.col("_mx")).alias("x"), (F.col("y") - F.col("_my")).alias("y"))
     block = F.floor(F.col("_i") / max_lags)
@@ -128,44 +129,94 @@ def cohens_d(rows: DataFrame, keys: list[str], paired: bool = True) -> DataFrame
     return d.withColumn("effect", effect_label(F.col("d")))
 
 
+def _spread(x: str, rows: DataFrame) -> DataFrame:
+    """``rows`` (_g, x) with _u in (-1, 1), which grows with x and lays most values of each group ``_g`` out evenly."""
+    q = rows.groupBy("_g").agg(F.percentile_approx(x, [0.25, 0.5, 0.75], 1000).alias("_q"))
+    from_middle = F.col(x) - F.col("_q")[1]
+    scale = F.greatest(F.col("_q")[2] - F.col("_q")[0], F.lit(1e-300))
+    return rows.join(q, "_g").withColumn("_u", from_middle / (F.abs(from_middle) + scale)).drop("_q")
+
+
+def _ungrouped(df: DataFrame, keys: list[str], *columns) -> DataFrame:
+    return df.select(*(F.col("_g")[k].alias(k) for k in keys), *columns)
+
+
 def paired_tests(rows: DataFrame, keys: list[str], test: str = "wilcoxon", least: int = 4) -> DataFrame:
     """keys, n, statistic, p_value, test for subjects' control and treatment values.
 
-    The signed-rank test falls back to the paired t test where all differences are 0. A group is a cohort's subjects.
+    The signed-rank test falls back to the paired t test where all differences are 0. Ranks are running sums over the
+    distinct differences in buckets of their size, so a group of any length is many tasks; one row a group gets its p.
     """
+    d = F.col("treatment") - F.col("control")
+    kept = rows.select(F.struct(*keys).alias("_g"), F.when(F.abs(d) < math.inf, d).alias("_d"))
+    whole = kept.groupBy("_g").agg(F.count("_d").alias("n"), F.avg("_d").alias("_mean"), F.stddev_samp("_d").alias("_sd"), F.count_if(F.col("_d") == 0).alias("_zeros"))
+    sizes = kept.where("_d != 0").groupBy("_g", F.abs("_d").alias("_x")).agg(F.count(F.lit(1)).alias("_c"), F.count_if(F.col("_d") > 0).alias("_plus"))
+    ranked = buckets.running_sum(_spread("_x", sizes), ["_g"], F.col("_c"), "_last", ["_u", "_x"], 1 / 512)
+    c = F.col("_c").cast("double")
+    sums = ranked.groupBy("_g").agg(F.sum("_c").alias("_n"), F.sum((F.col("_last") - (c - 1) / 2) * F.col("_plus")).alias("_plus"), F.sum(c**3 - c).alias("_ties"))
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False):
+                statistic, p, name = math.nan, math.nan, "insufficient_n"
+                if row.n >= least:
+                    if test == "wilcoxon":
+                        (statistic, p), name = kernels.signed_rank_p(int(row.n_nonzero), row.plus, row.n > row.n_nonzero, row.ties), "Wilcoxon signed-rank"
+                    if test != "wilcoxon" or math.isnan(statistic):
+                        t = row.mean / (row.sd / math.sqrt(row.n)) if row.sd > 0 else math.nan
+                        statistic, p, name = t, float(kernels.t_two_sided(t, row.n - 1)), "Paired t-test" + " (fallback)" * (test == "wilcoxon")
+                out.append((row.n, statistic, p, name))
+            yield pdf[keys].assign(**dict(zip(("n", "statistic", "p_value", "test"), zip(*out, strict=True), strict=True))) if out else pdf[keys].assign(n=[], statistic=[], p_value=[], test=[])
+
+    zero = lambda c, k: F.coalesce(c, F.lit(0)).alias(k)
+    figures = _ungrouped(whole.join(sums, "_g", "left"), keys, "n", F.col("_mean").alias("mean"), F.coalesce("_sd", F.lit(0.0)).alias("sd"), zero(F.col("_n"), "n_nonzero"), F.coalesce("_plus", F.lit(0.0)).alias("plus"), F.coalesce("_ties", F.lit(0.0)).alias("ties"))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return figures.mapInPandas(run, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", n long, statistic double, p_value double, test string")
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        d = (group["treatment"] - group["control"]).to_numpy(float)
-        d = d[np.isfinite(d)]
-        statistic, p, name = math.nan, math.nan, "insufficient_n"
-        if len(d) >= least:
-            if test == "wilcoxon":
-                (statistic, p), name = kernels.signed_rank(d), "Wilcoxon signed-rank"
-            if test != "wilcoxon" or math.isnan(statistic):
-                (statistic, p), name = kernels.paired_t(d), "Paired t-test" + " (fallback)" * (test == "wilcoxon")
-        return pd.DataFrame([(*(group[k].iloc[0] for k in keys), len(d), statistic, p, name)], columns=[*keys, "n", "statistic", "p_value", "test"])
 
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return rows.select(*keys, "control", "treatment").groupBy(*keys).applyInPandas(run, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", n long, statistic double, p_value double, test string")
+def _resampled_medians(rows: DataFrame, value: str, draws: int, seed: int) -> DataFrame:
+    """_g, draw: medians of resamples. Only the places of the middle values are drawn, by numbers of rows alone, and then
+    looked up among the numbered values, so that no task holds a group."""
+    counts = rows.groupBy("_g").agg(F.count(F.lit(1)).alias("_n")).withColumn("_seed", F.pmod(F.xxhash64(F.to_json("_g"), F.lit(seed)), F.lit(1 << 62)))
+
+    def draw(batches):
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                low, high = kernels.median_places(int(row.n), draws, int(row.seed))
+                yield pd.DataFrame({"text": row.text, "draw_id": np.arange(draws), "low": low, "high": high})
+
+    texts = counts.select(F.to_json("_g").alias("text"), F.col("_n").alias("n"), F.col("_seed").alias("seed"))
+    places = texts.mapInPandas(draw, "text string, draw_id long, low long, high long")
+    wanted = places.select("text", "draw_id", F.explode(F.array("low", "high")).alias("_place"))
+    numbered = buckets.numbered(_spread(value, rows), ["_g"], ["_u", value], "_place", 1 / 512)
+    met = wanted.join(numbered.withColumn("text", F.to_json("_g")), ["text", "_place"])
+    return met.groupBy("text", "draw_id").agg(F.first("_g").alias("_g"), F.avg(value).alias("draw")).select("_g", "draw")
 
 
 def bootstrap_interval(rows: DataFrame, keys: list[str], value: str, statistic: str = "median", draws: int = 10_000, level: float = 0.95, seed: int = 0, blocks: int = 8) -> DataFrame:
-    """keys, point, low, high: percentile interval of resamples, drawn in ``blocks`` parallel blocks of each group."""
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+    """keys, point, low, high: percentile interval of resamples.
+
+    Medians cost the same at any size of a group. For means each of ``blocks`` tasks draws from a whole group at a time,
+    which has to fit in a task (8 bytes a row).
+    """
+    kept = rows.dropna(subset=[value]).select(F.struct(*keys).alias("_g"), F.col(value).cast("double").alias(value))
 
     def draw(group: pd.DataFrame) -> pd.DataFrame:
         data, b = np.sort(group[value].to_numpy(float)), int(group["_block"].iloc[0])
         n = draws // blocks + (b < draws % blocks)
-        out = kernels.bootstrap(data, statistic, n, seed * 1_000_003 + b)
-        return pd.DataFrame({k: [group[k].iloc[0]] * n for k in keys} | {"draw": out})
+        return pd.DataFrame({"text": group["text"].iloc[0], "draw": kernels.bootstrap(data, statistic, n, seed * 1_000_003 + b)})
 
-    spread = rows.dropna(subset=[value]).select(*keys, value, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
-    drawn = spread.groupBy(*keys, "_block").applyInPandas(draw, f"{schema}, draw double")
+    if statistic == "median":
+        drawn = _resampled_medians(kept, value, draws, seed)
+    else:
+        spread = kept.select(F.to_json("_g").alias("text"), value, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
+        sums = spread.groupBy("text", "_block").applyInPandas(draw, "text string, draw double")
+        drawn = sums.join(kept.groupBy("_g").agg(F.to_json("_g").alias("text")), "text").select("_g", "draw")
     alpha = (1 - level) / 2
-    ends = drawn.groupBy(*keys).agg(F.percentile("draw", alpha).alias("low"), F.percentile("draw", 1 - alpha).alias("high"))
-    point = rows.groupBy(*keys).agg((F.median(value) if statistic == "median" else F.avg(value)).alias("point"))
-    return point.join(ends, keys)
+    ends = drawn.groupBy("_g").agg(F.percentile("draw", alpha).alias("low"), F.percentile("draw", 1 - alpha).alias("high"))
+    point = rows.groupBy(F.struct(*keys).alias("_g")).agg((F.median(value) if statistic == "median" else F.avg(value)).alias("point"))
+    return _ungrouped(point.join(ends, "_g"), keys, "point", "low", "high")
 
 
 def mutual_information(tuning: DataFrame, keys: list[str], rate: str = "rate", occupancy: str = "occupancy") -> DataFrame:

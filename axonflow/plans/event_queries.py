@@ -93,8 +93,8 @@ def a10_log(spark, d):
 
 
 def _hour_events(spark, d):
-    """Events of unit 0 at whole seconds, and the hourly signal of their recording."""
-    events = views.trains(spark, d).where("unit_id = 0").select("recording_id", "event_id", (F.col("t") / 1_000_000).alias("t"))
+    """All events, in seconds, and the hourly signal of their recording."""
+    events = views.trains(spark, d).select("recording_id", "event_id", (F.col("t") / 1_000_000).alias("t"))
     return views.filled(spark, d), events
 
 
@@ -182,12 +182,6 @@ def u1(spark, d):
 
 
 def j3(spark, d):
-    events = views.trains(spark, d).where("unit_id = 1").select("recording_id", "event_id", F.floor(F.col("t") / HOUR).alias("idx"))
-    signal = views.filled(spark, d).select("recording_id", "idx", "value")
-    return align.phase_at_events(events, signal).select("recording_id", "event_id", "idx", F.round("value", 6).alias("value"))
-
-
-def j3_all(spark, d):
     events = views.trains(spark, d).select("recording_id", "event_id", F.floor(F.col("t") / HOUR).alias("idx"))
     signal = views.filled(spark, d).select("recording_id", "idx", "value")
     return align.phase_at_events(events, signal).select("recording_id", "event_id", "idx", F.round("value", 6).alias("value"))
@@ -196,7 +190,7 @@ def j3_all(spark, d):
 _RATES = "rates AS (SELECT recording_id, unit_id, count(*) AS n_events, CASE WHEN count(*) >= 2 AND max(t) > min(t) THEN count(*) / (max(t) - min(t)) ELSE 0.0 END AS rate FROM trains GROUP BY ALL)"
 _BINNED = f"CAST((b.t - a.t + {HALF}) // {BIN} AS INTEGER) AS bin"
 _NEAR = f"b.t - a.t >= -{HALF} AND b.t - a.t < {HALF}"
-_HOURS = f"""{FILLED}, ev AS (SELECT recording_id, event_id, t / 1000000 AS t, CAST(round_even((t / 1000000) * {1 / 3600!r}, 0) AS BIGINT) AS at FROM trains WHERE unit_id = 0)"""
+_HOURS = f"""{FILLED}, ev AS (SELECT recording_id, event_id, t / 1000000 AS t, CAST(round_even((t / 1000000) * {1 / 3600!r}, 0) AS BIGINT) AS at FROM trains)"""
 
 QUERIES = {
     "f1_restrict_window": (f1, f"WITH {TRAINS} SELECT event_id, recording_id, t FROM trains WHERE t BETWEEN {5 * DAY} AND {10 * DAY}"),
@@ -206,8 +200,7 @@ QUERIES = {
     "f7_interval_after_event": (f7, f"WITH {TRAINS} SELECT unit_id AS recording_id, min(t / 1000000) AS t0, min(t / 1000000) + 1800 AS t1 FROM trains WHERE starts_with(recording_id, 'pur') GROUP BY unit_id"),
     "f8_select_units": (f8, f"WITH {TRAINS} SELECT event_id, unit_id FROM trains WHERE unit_id IN (1, 5)"),
     "f12_curated_units": (f12, f"WITH {TRAINS} SELECT unit_id, count(*) AS n FROM trains GROUP BY unit_id HAVING count(*) % 2 = 0"),
-    "j3_phase_at_events": (j3, f"WITH {FILLED} SELECT e.recording_id, e.event_id, e.t // {HOUR} AS idx, round(f.value, 6) AS value FROM trains e JOIN filled f ON f.recording_id = e.recording_id AND f.idx = e.t // {HOUR} WHERE e.unit_id = 1"),
-    "j3_phase_at_events_all": (j3_all, f"WITH {FILLED} SELECT e.recording_id, e.event_id, e.t // {HOUR} AS idx, round(f.value, 6) AS value FROM trains e JOIN filled f ON f.recording_id = e.recording_id AND f.idx = e.t // {HOUR}"),
+    "j3_phase_at_events": (j3, f"WITH {FILLED} SELECT e.recording_id, e.event_id, e.t // {HOUR} AS idx, round(f.value, 6) AS value FROM trains e JOIN filled f ON f.recording_id = e.recording_id AND f.idx = e.t // {HOUR}"),
     "j8_unit_pairs": (j8, f"WITH {TRAINS}, u AS (SELECT DISTINCT recording_id, unit_id FROM trains) SELECT a.recording_id, a.unit_id AS ref, b.unit_id AS target FROM u a JOIN u b ON a.recording_id = b.recording_id AND a.unit_id < b.unit_id"),
     "j9_pairs_within": (j9, f"WITH {TRAINS} SELECT a.recording_id, a.event_id AS ref, b.event_id AS target, b.t - a.t AS delta FROM trains a JOIN trains b ON a.recording_id = b.recording_id AND a.event_id != b.event_id AND b.t - a.t >= -{HOUR // 2} AND b.t - a.t < {HOUR // 2}"),
     "a1_peri_event": (a1, f"WITH {_HOURS} SELECT e.recording_id, e.event_id, CAST(o AS INTEGER) AS \"offset\", round(f.value, 6) AS value FROM ev e, (SELECT unnest(range(-2, 4)) AS o), filled f WHERE e.at - 2 >= 0 AND e.at + 3 < {views.HOURS} AND f.recording_id = e.recording_id AND f.idx = e.at + o"),

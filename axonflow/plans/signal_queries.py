@@ -1,12 +1,18 @@
-"""Queries of sampled signals and clocks: alignment, sequences, normalisation, spectra."""
+"""Queries of sampled signals and clocks: alignment, sequences, normalisation, spectra.
+
+Recordings are users, whose number grows with the events; pairs of signals are users with neighbouring ids.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from axonflow.operators import align, select, sequence, spectral, stats
 from axonflow.plans import views
-from axonflow.plans.views import CLOCK, DAILY, DAY, FILLED, HOUR, HOURLY, HOURS, TRAINS
+from axonflow.plans.views import CLOCK, DAILY, DAY, HOUR, HOURS, TRAINS
+from axonflow.plans.views import USER_FILLED as FILLED
+from axonflow.plans.views import USER_HOURLY as HOURLY
 
 R = "recording_id"
 WINDOWS = "w AS (SELECT * FROM (VALUES ('control', 0.0, 240.0), ('treatment', 360.0, 600.0)) v(period, start_min, end_min))"
@@ -21,12 +27,12 @@ def _windows(df, spark):
 
 
 def f2(spark, d):
-    signal = views.filled(spark, d).withColumnRenamed(R, "subject")
+    signal = views.user_filled(spark, d).withColumnRenamed(R, "subject")
     return select.slice_periods(signal, _windows(signal, spark), 1 / 60).select("subject", "period", "idx", _r("value"))
 
 
 def f3(spark, d):
-    return select.trim_edges(views.filled(spark, d), [R], 100).select(R, "idx", _r("value"))
+    return select.trim_edges(views.user_filled(spark, d), [R], 100).select(R, "idx", _r("value"))
 
 
 def f11(spark, d):
@@ -34,9 +40,8 @@ def f11(spark, d):
 
 
 def f13(spark, d):
-    h = views.hourly(spark, d)
-    both = align.pair_signals(h.where(f"{R} = 'click'").withColumn(R, F.lit("a")), h.where(f"{R} = 'view'").withColumn(R, F.lit("a")), (R, "idx"))
-    return select.complete_pairs(both, "x", "y").select("idx", _r("x"), _r("y"))
+    both = views.neighbours(views.user_hourly(spark, d))
+    return select.complete_pairs(both, "x", "y").select(R, "idx", _r("x"), _r("y"))
 
 
 def j1(spark, d):
@@ -46,10 +51,8 @@ def j1(spark, d):
 
 
 def j2(spark, d):
-    hours = views.filled(spark, d).select(R, "idx")
+    hours = views.user_filled(spark, d).select(R, "idx")
     first = views.clock(spark, d).groupBy(R, F.floor(F.col("t") / (5 * HOUR)).alias("_f")).agg(F.min(F.floor(F.col("t") / HOUR)).alias("idx"))
-    from pyspark.sql import Window
-
     frames = first.select(R, "idx", (F.row_number().over(Window.partitionBy(R).orderBy("idx")) - 1).alias("frame_idx"))
     return align.frame_labels(hours, frames)
 
@@ -67,13 +70,14 @@ def j4_clock(spark, d):
 
 def j5(spark, d):
     pairs = views.daily(spark, d)
-    x, y = pairs.select(F.col("subject").alias(R), F.col("idx").alias("frame_idx"), F.col("x").alias("value")), pairs.where("idx % 3 = 0").select(F.col("subject").alias(R), F.col("idx").alias("frame_idx"), F.col("y").alias("value"))
+    x, y = pairs.select(F.col("subject").alias(R), F.col("idx").alias("frame_idx"), F.col("x").alias("value")), pairs.where("x > 1").select(F.col("subject").alias(R), F.col("idx").alias("frame_idx"), F.col("y").alias("value"))
     return align.pair_signals(x, y).select(R, "frame_idx", _r("x"), _r("y"))
 
 
 def w1(spark, d):
-    pulses = views.clock(spark, d).select(R, "t", F.when(F.col("frame_idx") % 2 == 0, "high").otherwise("low").alias("label"))
-    return align.pulse_alternation(pulses.where("t % 11 != 0 OR recording_id = 'click'"))
+    """Levels alternate but where a pulse falls on a whole multiple of 97 microseconds: its level is read wrongly."""
+    flipped = F.col("frame_idx") + (F.col("t") % 97 == 0).cast("long")
+    return align.pulse_alternation(views.clock(spark, d).select(R, "t", F.when(flipped % 2 == 0, "high").otherwise("low").alias("label")))
 
 
 def w2(spark, d):
@@ -82,7 +86,7 @@ def w2(spark, d):
 
 def w3(spark, d):
     out = align.repair_gaps(views.clock(spark, d).select(R, (F.col("t") / 1_000_000).alias("t")), 3 * 3600, 3600)
-    return out.select(R, "position", _r("t", 4), "inserted")
+    return out.select(R, "position", (F.floor(F.col("t") * 1000 + 0.25) / 1000).alias("t"), "inserted")
 
 
 def w3_low(spark, d):
@@ -90,16 +94,16 @@ def w3_low(spark, d):
 
 
 def w4(spark, d):
-    return sequence.fill_missing(views.hourly(spark, d), 2, [R]).select(R, "idx", _r("value"), "is_valid")
+    return sequence.fill_missing(views.user_hourly(spark, d), 2, [R]).select(R, "idx", _r("value"), "is_valid")
 
 
 def w5(spark, d):
-    flags = views.hourly(spark, d).select(R, "idx", F.col("value").isNotNull().alias("is_valid"))
+    flags = views.user_hourly(spark, d).select(R, "idx", F.col("value").isNotNull().alias("is_valid"))
     return sequence.dilate_invalid(flags, 2, [R])
 
 
 def w6(spark, d):
-    return sequence.mask_intervals(views.filled(spark, d), [R], F.col("value") > 20, 0.5, 10.0)
+    return sequence.mask_intervals(views.user_filled(spark, d), [R], F.col("value") > 20, 0.5, 10.0)
 
 
 def w7(spark, d):
@@ -111,49 +115,52 @@ def w8(spark, d):
 
 
 def w9(spark, d):
-    return sequence.unit_events(views.filled(spark, d), 1, 10.0, [R]).select(R, "idx", _r("value"))
+    return sequence.unit_events(views.user_filled(spark, d), 1, 10.0, [R]).select(R, "idx", _r("value"))
 
 
 def w9_plain(spark, d):
-    whole = views.filled(spark, d).withColumn("value", F.floor(F.col("value") / 20).cast("double"))
+    whole = views.user_filled(spark, d).withColumn("value", F.floor(F.col("value") / 20).cast("double"))
     return sequence.peaks(whole, 1.0, [R]).select(R, "idx", _r("value"))
 
 
 def w10(spark, d):
-    return sequence.spike_events(views.filled(spark, d)).groupBy(R).agg(F.count(F.lit(1)).alias("n"))
+    return sequence.spike_events(views.user_filled(spark, d)).groupBy(R).agg(F.count(F.lit(1)).alias("n"))
 
 
 def w11(spark, d):
-    return sequence.upward_crossings(views.filled(spark, d), 25.0, [R]).select(R, "idx", _r("value"))
+    return sequence.upward_crossings(views.user_filled(spark, d), 25.0, [R]).select(R, "idx", _r("value"))
 
 
 def w12(spark, d):
-    whole = views.filled(spark, d).withColumn("value", F.floor("value").cast("double"))
+    whole = views.user_filled(spark, d).withColumn("value", F.floor("value").cast("double"))
     return sequence.step_changes(whole, [R]).withColumn("change", F.round("change", 3))
 
 
 def w13(spark, d):
-    out = sequence.suppress_artifacts(views.filled(spark, d), 1.0, [R], limit=60.0, max_gap_seconds=3.0, width=9)
-    return out.select(R, "idx", _r("value"), "flagged")
+    out = sequence.suppress_artifacts(views.user_filled(spark, d), 1.0, [R], limit=60.0, max_gap_seconds=3.0, width=9)
+    return out.select(R, "idx", _r("value", 9), "flagged")
 
 
 def w14(spark, d):
-    days = views.filled(spark, d).withColumn("day", F.floor(F.col("idx") / 24)).where("day % 3 != 1")
-    packed = days.groupBy(R, "day").agg(F.sort_array(F.collect_list(F.struct("idx", "value"))).alias("v"))
+    """Segments are the days on which a user has events; the days between them are holes."""
+    days = views.user_hourly(spark, d).withColumn("day", F.floor(F.col("idx") / 24))
+    seen = days.where("value IS NOT NULL").select(R, "day").distinct()
+    packed = days.withColumn("value", F.coalesce("value", F.lit(0.0))).join(seen, [R, "day"], "left_semi")
+    packed = packed.groupBy(R, "day").agg(F.sort_array(F.collect_list(F.struct("idx", "value"))).alias("v"))
     segments = packed.select(R, (F.col("day") * 24.0 + 0.2).alias("t_start"), F.lit(1.0).alias("fs"), F.col("v.value").alias("values"))
     return sequence.stitch_segments(segments, [R]).select(R, "idx", _r("t"), _r("value"), "filled")
 
 
 def w21(spark, d):
-    return sequence.moving_mean(views.filled(spark, d), 5, [R]).select(R, "idx", _r("value", 5))
+    return sequence.moving_mean(views.user_filled(spark, d), 5, [R]).select(R, "idx", _r("value", 5))
 
 
 def a15(spark, d):
-    return stats.pooled_z(views.hourly(spark, d), [R]).select(R, "idx", _r("z", 5))
+    return stats.pooled_z(views.user_hourly(spark, d), [R]).select(R, "idx", _r("z", 5))
 
 
 def a16(spark, d):
-    return stats.block_z(views.filled(spark, d), [R], 100).select(R, "idx", _r("z", 5))
+    return stats.block_z(views.user_filled(spark, d), [R], 100).select(R, "idx", _r("z", 5))
 
 
 def a17(spark, d):
@@ -171,48 +178,46 @@ def a18_all(spark, d):
 
 
 def a26(spark, d):
-    return stats.outlier_flags(views.hourly(spark, d), [R], limit=1.0).select(R, "idx", "is_outlier")
+    return stats.outlier_flags(views.user_hourly(spark, d), [R], limit=1.0).select(R, "idx", "is_outlier")
 
 
 def a27(spark, d):
-    return stats.percentile_limits(views.hourly(spark, d), [R]).select(R, _r("low", 5), _r("high", 5))
+    return stats.percentile_limits(views.user_hourly(spark, d), [R]).select(R, _r("low", 5), _r("high", 5))
 
 
 def a28(spark, d):
-    return stats.envelope(views.filled(spark, d), [R], 60).select(R, "idx", _r("value"))
+    return stats.envelope(views.user_filled(spark, d), [R], 60).select(R, "idx", _r("value"))
 
 
 def p1(spark, d):
-    return spectral.zero_phase(views.filled(spark, d), [R], 2, [0.05, 0.2], "band", 1.0).select(R, "idx", _r("value"))
+    return spectral.zero_phase(views.user_filled(spark, d), [R], 2, [0.05, 0.2], "band", 1.0).select(R, "idx", _r("value"))
 
 
 def p1_fir(spark, d):
-    return spectral.zero_phase(views.filled(spark, d), [R], 31, 0.1, "low", 1.0, "fir").select(R, "idx", _r("value"))
+    return spectral.zero_phase(views.user_filled(spark, d), [R], 31, 0.1, "low", 1.0, "fir").select(R, "idx", _r("value"))
 
 
 def p3(spark, d):
-    return spectral.phase_and_envelope(views.filled(spark, d), [R]).select(R, "idx", _r("phase"), _r("envelope"))
+    return spectral.phase_and_envelope(views.user_filled(spark, d), [R]).select(R, "idx", _r("phase"), _r("envelope"))
 
 
 def p4(spark, d):
-    out = spectral.multitaper_spectrogram(views.filled(spark, d), [R], 1.0, 48.0, 24.0, 2.0, detrend="constant")
+    out = spectral.multitaper_spectrogram(views.user_filled(spark, d), [R], 1.0, 48.0, 24.0, 2.0, detrend="constant")
     return out.select(R, "t", _r("freq"), _r("power"))
 
 
 def p5(spark, d):
     from axonflow.functions.scalars import power_to_db
 
-    return views.hourly(spark, d).select(R, "idx", F.round(power_to_db(F.col("value")), 6).alias("db"))
+    return views.user_hourly(spark, d).select(R, "idx", F.round(power_to_db(F.col("value")), 6).alias("db"))
 
 
 def p6(spark, d):
-    return spectral.band_power(views.filled(spark, d), [R], 1.0, (0.03, 0.06), 48.0, 24.0, 2.0).select(R, _r("power_db"))
+    return spectral.band_power(views.user_filled(spark, d), [R], 1.0, (0.03, 0.06), 48.0, 24.0, 2.0).select(R, _r("power_db"))
 
 
 def _pairs(spark, d):
-    h = views.filled(spark, d)
-    a, b = h.where(f"{R} = 'click'").select(F.lit("a").alias(R), "idx", "value"), h.where(f"{R} = 'view'").select(F.lit("a").alias(R), "idx", "value")
-    return align.pair_signals(a, b, (R, "idx"))
+    return views.neighbours(views.user_filled(spark, d))
 
 
 def p7(spark, d):
@@ -233,11 +238,11 @@ def p10(spark, d):
 
 
 def p11(spark, d):
-    return spectral.wavelet_transform(views.filled(spark, d), [R], [0.05, 0.1, 0.2], 1.0).select(R, "idx", "freq", _r("re"), _r("im"))
+    return spectral.wavelet_transform(views.user_filled(spark, d), [R], [0.05, 0.1, 0.2], 1.0).select(R, "idx", "freq", _r("re"), _r("im"))
 
 
 def p12(spark, d):
-    return spectral.oscillatory_events(views.filled(spark, d), [R], 1.0, (0.05, 0.2), (1.0, 10.0), (2.0, 40.0), 2.0)
+    return spectral.oscillatory_events(views.user_filled(spark, d), [R], 1.0, (0.05, 0.2), (1.0, 10.0), (2.0, 40.0), 2.0)
 
 
 _GAP = f"g AS (SELECT *, lead(t) OVER (PARTITION BY recording_id ORDER BY t) - t AS dt FROM clock)"
@@ -245,21 +250,21 @@ _NUMBERED = "n AS (SELECT subject, row_number() OVER (PARTITION BY subject ORDER
 _MASK = "m AS (SELECT recording_id, idx - row_number() OVER (PARTITION BY recording_id ORDER BY idx) AS k, idx FROM filled WHERE value > 20), iv AS (SELECT recording_id, min(idx) / 0.5 + 10.0 AS \"start\", max(idx) / 0.5 + 10.0 AS \"end\" FROM m GROUP BY recording_id, k)"
 _S = "s AS (SELECT recording_id, event_id AS idx, t, value FROM trains WHERE unit_id < 4), q AS (SELECT recording_id, event_id AS query_id, t FROM trains WHERE unit_id >= 4)"
 _NEAREST = f"{_S}, b AS (SELECT q.*, (SELECT max(struct_pack(t := s.t, i := s.idx)) FROM s WHERE s.recording_id = q.recording_id AND s.t <= q.t) AS lo, (SELECT min(struct_pack(t := s.t, i := s.idx)) FROM s WHERE s.recording_id = q.recording_id AND s.t > q.t) AS hi FROM q), nn AS (SELECT recording_id, query_id, t, CASE WHEN hi IS NULL OR (lo IS NOT NULL AND t - lo.t <= hi.t - t) THEN lo ELSE hi END AS s FROM b)"
-_PAIR = "p AS (SELECT a.idx, a.value AS x, b.value AS y FROM filled a JOIN filled b ON a.idx = b.idx WHERE a.recording_id = 'click' AND b.recording_id = 'view')"
+_PAIR = "p AS (SELECT a.recording_id, a.idx, a.value AS x, b.value AS y FROM filled a JOIN filled b ON a.idx = b.idx AND CAST(b.recording_id AS BIGINT) = CAST(a.recording_id AS BIGINT) + 1)"
 
 QUERIES = {
     "f2_slice_periods": (f2, f"WITH {FILLED}, {WINDOWS} SELECT recording_id AS subject, period, idx, round(value, 6) AS value FROM filled, w WHERE idx >= start_min AND idx < end_min"),
     "f3_trim_edges": (f3, f"WITH {FILLED} SELECT recording_id, idx, round(value, 6) AS value FROM filled WHERE idx BETWEEN 100 AND {HOURS - 101}"),
     "f11_frames_in_range": (f11, f"WITH {CLOCK}, r AS (SELECT recording_id, min(frame_idx) FILTER (WHERE t >= {3 * DAY}) AS first_frame, max(frame_idx) FILTER (WHERE t <= {20 * DAY}) AS last_frame FROM clock GROUP BY ALL) SELECT recording_id, first_frame, last_frame, range(first_frame // 50, last_frame // 50 + 1) AS files FROM r WHERE first_frame <= last_frame"),
-    "f13_complete_pairs": (f13, f"WITH {HOURLY} SELECT a.idx, round(a.value, 6) AS x, round(b.value, 6) AS y FROM hourly a JOIN hourly b ON a.idx = b.idx WHERE a.recording_id = 'click' AND b.recording_id = 'view' AND a.value IS NOT NULL AND b.value IS NOT NULL"),
+    "f13_complete_pairs": (f13, f"WITH {HOURLY} SELECT a.recording_id, a.idx, round(a.value, 6) AS x, round(b.value, 6) AS y FROM hourly a JOIN hourly b ON a.idx = b.idx AND CAST(b.recording_id AS BIGINT) = CAST(a.recording_id AS BIGINT) + 1 WHERE a.value IS NOT NULL AND b.value IS NOT NULL"),
     "j1_nearest": (j1, f"WITH {TRAINS}, {_NEAREST} SELECT recording_id, query_id, t, s.i AS idx, s.t AS sample_t FROM nn"),
-    "j2_frame_labels": (j2, f"WITH {FILLED}, c AS (SELECT recording_id, t FROM trains WHERE unit_id < 3), f AS (SELECT recording_id, min(t // {HOUR}) AS idx FROM c GROUP BY recording_id, t // {5 * HOUR}), k AS (SELECT recording_id, row_number() OVER (PARTITION BY recording_id ORDER BY idx) AS k, idx AS lo, lead(idx) OVER (PARTITION BY recording_id ORDER BY idx) AS hi FROM f) SELECT h.recording_id, h.idx, coalesce(k.k, 0) AS frame_label FROM filled h LEFT JOIN k ON k.recording_id = h.recording_id AND h.idx > k.lo AND h.idx <= k.hi"),
+    "j2_frame_labels": (j2, f"WITH {FILLED}, c AS (SELECT CAST(user_id AS VARCHAR) AS recording_id, epoch_us(ts) - 1704067200000000 AS t FROM events), f AS (SELECT recording_id, min(t // {HOUR}) AS idx FROM c GROUP BY recording_id, t // {5 * HOUR}), k AS (SELECT recording_id, row_number() OVER (PARTITION BY recording_id ORDER BY idx) AS k, idx AS lo, lead(idx) OVER (PARTITION BY recording_id ORDER BY idx) AS hi FROM f) SELECT h.recording_id, h.idx, coalesce(k.k, 0) AS frame_label FROM filled h LEFT JOIN k ON k.recording_id = h.recording_id AND h.idx > k.lo AND h.idx <= k.hi"),
     "j4_downsample": (j4, f"WITH {TRAINS}, {_NEAREST} SELECT nn.recording_id, nn.query_id AS frame_idx, nn.s.i AS idx, v.t, round(v.value, 6) AS value FROM nn JOIN s v ON v.idx = nn.s.i AND v.recording_id = nn.recording_id"),
     "j4_clock_conflicts": (j4_clock, f"WITH {TRAINS}, a AS (SELECT recording_id, event_id AS idx, CASE WHEN unit_id = 3 THEN t + 1 ELSE t END AS t_1 FROM trains WHERE unit_id < 6), b AS (SELECT recording_id, event_id AS idx, t AS t_2 FROM trains WHERE unit_id > 1) SELECT coalesce(a.recording_id, b.recording_id) AS recording_id, coalesce(a.idx, b.idx) AS idx, t_1, t_2 FROM a FULL JOIN b ON a.recording_id = b.recording_id AND a.idx = b.idx WHERE t_1 IS DISTINCT FROM t_2"),
-    "j5_pair_signals": (j5, f"WITH {DAILY} SELECT subject AS recording_id, idx AS frame_idx, round(x, 6) AS x, round(y, 6) AS y FROM daily WHERE idx % 3 = 0"),
-    "w1_pulse_alternation": (w1, f"WITH {CLOCK}, l AS (SELECT recording_id, t, frame_idx % 2 AS label FROM clock WHERE t % 11 != 0 OR recording_id = 'click'), g AS (SELECT *, lag(label, 2) OVER w AS two, lag(label) OVER w AS one FROM l WINDOW w AS (PARTITION BY recording_id ORDER BY t)) SELECT recording_id, coalesce(bool_and(two = label), true) AND arg_max(coalesce(one != label, false), t) AS alternates FROM g GROUP BY ALL"),
+    "j5_pair_signals": (j5, f"WITH {DAILY} SELECT subject AS recording_id, idx AS frame_idx, round(x, 6) AS x, round(y, 6) AS y FROM daily WHERE x > 1"),
+    "w1_pulse_alternation": (w1, f"WITH {CLOCK}, l AS (SELECT recording_id, t, (frame_idx + CAST(t % 97 = 0 AS BIGINT)) % 2 AS label FROM clock), g AS (SELECT *, lag(label, 2) OVER w AS two, lag(label) OVER w AS one FROM l WINDOW w AS (PARTITION BY recording_id ORDER BY t)) SELECT recording_id, coalesce(bool_and(two = label), true) AND arg_max(coalesce(one != label, false), t) AS alternates FROM g GROUP BY ALL"),
     "w2_sync_gaps": (w2, f"WITH {CLOCK}, {_GAP} SELECT recording_id, t, CAST(frame_idx AS INTEGER) AS position, dt FROM g WHERE dt > {3 * HOUR}"),
-    "w3_repair_gaps": (w3, f"WITH {CLOCK}, s AS (SELECT recording_id, t / 1000000 AS t FROM clock), g AS (SELECT *, lead(t) OVER (PARTITION BY recording_id ORDER BY t) - t AS dt FROM s), k AS (SELECT *, CASE WHEN dt > 10800 THEN greatest(CAST(round_even(dt / 3600, 0) AS INTEGER), 1) ELSE 1 END AS g FROM g), e AS (SELECT recording_id, t, dt, g, unnest(range(0, g)) AS i FROM k), o AS (SELECT recording_id, t + coalesce(i * dt / g, 0.0) AS t, i > 0 AS inserted FROM e) SELECT recording_id, CAST(row_number() OVER (PARTITION BY recording_id ORDER BY t) - 1 AS INTEGER) AS position, round(t, 4) AS t, inserted FROM o"),
+    "w3_repair_gaps": (w3, f"WITH {CLOCK}, s AS (SELECT recording_id, t / 1000000 AS t FROM clock), g AS (SELECT *, lead(t) OVER (PARTITION BY recording_id ORDER BY t) - t AS dt FROM s), k AS (SELECT *, CASE WHEN dt > 10800 THEN greatest(CAST(round_even(dt / 3600, 0) AS INTEGER), 1) ELSE 1 END AS g FROM g), e AS (SELECT recording_id, t, dt, g, unnest(range(0, g)) AS i FROM k), o AS (SELECT recording_id, t + coalesce(i * dt / g, 0.0) AS t, i > 0 AS inserted FROM e) SELECT recording_id, CAST(row_number() OVER (PARTITION BY recording_id ORDER BY t) - 1 AS INTEGER) AS position, floor(t * 1000 + 0.25::DOUBLE) / 1000 AS t, inserted FROM o"),
     "w3_low_confidence": (w3_low, f"WITH {CLOCK}, {_GAP} SELECT recording_id, CAST(frame_idx AS INTEGER) AS \"first\", CAST(frame_idx + round_even(dt / {HOUR}, 0) AS INTEGER) AS \"last\" FROM g WHERE dt > {3 * HOUR}"),
     "w4_fill_missing": (w4, f"WITH {HOURLY}, k AS (SELECT *, last_value(CASE WHEN value IS NOT NULL THEN idx END IGNORE NULLS) OVER w AS pi, last_value(value IGNORE NULLS) OVER w AS pv, first_value(CASE WHEN value IS NOT NULL THEN idx END IGNORE NULLS) OVER v AS ni, first_value(value IGNORE NULLS) OVER v AS nv FROM hourly WINDOW w AS (PARTITION BY recording_id ORDER BY idx ROWS UNBOUNDED PRECEDING), v AS (PARTITION BY recording_id ORDER BY idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), r AS (SELECT *, coalesce(ni, {HOURS}) - coalesce(pi, -1) - 1 AS run FROM k) SELECT recording_id, idx, round(CASE WHEN value IS NOT NULL THEN value WHEN run <= 2 THEN CASE WHEN pi IS NULL THEN nv WHEN ni IS NULL THEN pv ELSE pv + (nv - pv) * ((idx - pi) / (ni - pi)) END ELSE 0.0 END, 6) AS value, value IS NOT NULL OR run <= 2 AS is_valid FROM r"),
     "w5_dilate_invalid": (w5, f"WITH {HOURLY} SELECT recording_id, idx, bool_and(value IS NOT NULL) OVER (PARTITION BY recording_id ORDER BY idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS is_valid FROM hourly"),
@@ -271,11 +276,11 @@ QUERIES = {
     "w10_spike_events": (w10, f"WITH {FILLED} SELECT recording_id, count(*) AS n FROM filled WHERE value > 0 GROUP BY ALL"),
     "w11_upward_crossings": (w11, f"WITH {FILLED}, x AS (SELECT *, lag(value) OVER (PARTITION BY recording_id ORDER BY idx) AS p FROM filled) SELECT recording_id, idx, round(value, 6) AS value FROM x WHERE value >= 25 AND p < 25"),
     "w12_step_changes": (w12, f"WITH {FILLED}, x AS (SELECT recording_id, idx, lead(floor(value)) OVER w - floor(value) AS a FROM filled WINDOW w AS (PARTITION BY recording_id ORDER BY idx)), y AS (SELECT *, lead(a) OVER (PARTITION BY recording_id ORDER BY idx) - a AS c FROM x) SELECT recording_id, idx + 1 AS idx, c AS change FROM y WHERE abs(c) > 1"),
-    "w13_suppress_artifacts": (w13, f"WITH {FILLED}, m AS (SELECT recording_id, idx, value - avg(value) OVER (PARTITION BY recording_id) AS v FROM filled), k AS (SELECT *, last_value(CASE WHEN abs(v) > 60 THEN idx END IGNORE NULLS) OVER w AS p, first_value(CASE WHEN abs(v) > 60 THEN idx END IGNORE NULLS) OVER u AS n FROM m WINDOW w AS (PARTITION BY recording_id ORDER BY idx ROWS UNBOUNDED PRECEDING), u AS (PARTITION BY recording_id ORDER BY idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), f AS (SELECT *, abs(v) > 60 OR coalesce(n - p - 1 < 3, false) AS flagged, least(idx - p, n - idx) AS d FROM k) SELECT recording_id, idx, round(v * CASE WHEN flagged THEN 1 - 0.5 * (1 - cos(2 * pi() * 4 / 8)) WHEN d <= 4 THEN 1 - 0.5 * (1 - cos(2 * pi() * (4 + d) / 8)) ELSE 1 END, 6) AS value, flagged FROM f"),
-    "w14_stitch_segments": (w14, f"WITH {FILLED}, s AS (SELECT recording_id, idx, CASE WHEN (idx // 24) % 3 != 1 THEN value END AS v FROM filled), e AS (SELECT recording_id, max(idx) AS hi FROM s WHERE v IS NOT NULL GROUP BY ALL), k AS (SELECT s.*, last_value(CASE WHEN v IS NOT NULL THEN idx END IGNORE NULLS) OVER w AS pi, last_value(v IGNORE NULLS) OVER w AS pv, first_value(CASE WHEN v IS NOT NULL THEN idx END IGNORE NULLS) OVER u AS ni, first_value(v IGNORE NULLS) OVER u AS nv FROM s WINDOW w AS (PARTITION BY recording_id ORDER BY idx ROWS UNBOUNDED PRECEDING), u AS (PARTITION BY recording_id ORDER BY idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) SELECT k.recording_id, idx, round(0.2::DOUBLE + idx, 6) AS t, round(coalesce(v, pv + (nv - pv) * (idx - pi) / (ni - pi)), 6) AS value, v IS NULL AS filled FROM k JOIN e ON e.recording_id = k.recording_id AND idx <= hi"),
+    "w13_suppress_artifacts": (w13, f"WITH {FILLED}, m AS (SELECT recording_id, idx, value - avg(value) OVER (PARTITION BY recording_id) AS v FROM filled), k AS (SELECT *, last_value(CASE WHEN abs(v) > 60 THEN idx END IGNORE NULLS) OVER w AS p, first_value(CASE WHEN abs(v) > 60 THEN idx END IGNORE NULLS) OVER u AS n FROM m WINDOW w AS (PARTITION BY recording_id ORDER BY idx ROWS UNBOUNDED PRECEDING), u AS (PARTITION BY recording_id ORDER BY idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), f AS (SELECT *, abs(v) > 60 OR coalesce(n - p - 1 < 3, false) AS flagged, least(idx - p, n - idx) AS d FROM k) SELECT recording_id, idx, round(v * CASE WHEN flagged THEN 1 - 0.5 * (1 - cos(2 * pi() * 4 / 8)) WHEN d <= 4 THEN 1 - 0.5 * (1 - cos(2 * pi() * (4 + d) / 8)) ELSE 1 END, 9) AS value, flagged FROM f"),
+    "w14_stitch_segments": (w14, f"WITH {HOURLY}, s AS (SELECT recording_id, idx, CASE WHEN max(value IS NOT NULL) OVER (PARTITION BY recording_id, idx // 24) THEN coalesce(value, 0.0) END AS v FROM hourly), e AS (SELECT recording_id, min(idx) AS lo, max(idx) AS hi FROM s WHERE v IS NOT NULL GROUP BY ALL), k AS (SELECT s.*, last_value(CASE WHEN v IS NOT NULL THEN idx END IGNORE NULLS) OVER w AS pi, last_value(v IGNORE NULLS) OVER w AS pv, first_value(CASE WHEN v IS NOT NULL THEN idx END IGNORE NULLS) OVER u AS ni, first_value(v IGNORE NULLS) OVER u AS nv FROM s WINDOW w AS (PARTITION BY recording_id ORDER BY idx ROWS UNBOUNDED PRECEDING), u AS (PARTITION BY recording_id ORDER BY idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) SELECT k.recording_id, idx - e.lo AS idx, round(0.2::DOUBLE + idx, 6) AS t, round(coalesce(v, pv + (nv - pv) * (idx - pi) / (ni - pi)), 6) AS value, v IS NULL AS filled FROM k JOIN e ON e.recording_id = k.recording_id AND idx BETWEEN lo AND hi"),
     "w21_moving_mean": (w21, f"WITH {FILLED} SELECT recording_id, idx, round(sum(value) OVER (PARTITION BY recording_id ORDER BY idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5, 5) AS value FROM filled"),
     "a15_pooled_z": (a15, f"WITH {HOURLY} SELECT recording_id, idx, round((value - avg(value) OVER w) / stddev_pop(value) OVER w, 5) AS z FROM hourly WINDOW w AS (PARTITION BY recording_id)"),
-    "a16_block_z": (a16, f"WITH {FILLED} SELECT recording_id, idx, round((value - avg(value) OVER w) / stddev_pop(value) OVER w, 5) AS z FROM filled WINDOW w AS (PARTITION BY recording_id, idx // 100)"),
+    "a16_block_z": (a16, f"WITH {FILLED} SELECT recording_id, idx, round(CASE WHEN max(value) OVER w = min(value) OVER w THEN 0.0 ELSE (value - avg(value) OVER w) / stddev_pop(value) OVER w END, 5) AS z FROM filled WINDOW w AS (PARTITION BY recording_id, idx // 100)"),
     "a17_regression": (a17, f"WITH {DAILY} SELECT subject, count(*) AS n, round(corr(y, x), 6) AS r, round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 5) AS intercept FROM daily GROUP BY ALL"),
     "a18_effective_n": (a18, f"WITH {DAILY}, {_NUMBERED}, c AS (SELECT subject, i, x - avg(x) OVER w AS x, y - avg(y) OVER w AS y, count(*) OVER w AS k FROM n WINDOW w AS (PARTITION BY subject)), l AS (SELECT a.subject, b.i - a.i AS lag, sum(a.x * b.x) AS sx, sum(a.y * b.y) AS sy, any_value(a.k) AS k FROM c a JOIN c b ON a.subject = b.subject AND b.i - a.i BETWEEN 0 AND least(20, a.k // 4) GROUP BY ALL), z AS (SELECT subject, sx, sy FROM l WHERE lag = 0), s AS (SELECT l.subject, any_value(k) AS n, sum(CASE WHEN lag > 0 THEN (l.sx / z.sx) * (l.sy / z.sy) END) AS s FROM l JOIN z ON z.subject = l.subject GROUP BY l.subject) SELECT subject, n, round(greatest(3.0, least(n / (1 + 2 * greatest(0.0, s)), n)), 4) AS n_effective FROM s"),
     "a18_robust_correlation": (a18_all, None),
@@ -283,8 +288,8 @@ QUERIES = {
     "a27_percentile_limits": (a27, f"WITH {HOURLY} SELECT recording_id, round(quantile_cont(value, 0.05), 5) AS low, round(quantile_cont(value, 0.95), 5) AS high FROM hourly GROUP BY ALL"),
     "a28_envelope": (a28, f"WITH {FILLED}, b AS (SELECT *, idx * 30 // {HOURS} AS b FROM filled), m AS (SELECT recording_id, b, arg_min(idx, (value, idx)) AS lo, arg_max(idx, (value, -idx)) AS hi FROM b GROUP BY ALL), p AS (SELECT recording_id, lo AS idx FROM m UNION SELECT recording_id, hi FROM m) SELECT p.recording_id, p.idx, round(f.value, 6) AS value FROM p JOIN filled f ON f.recording_id = p.recording_id AND f.idx = p.idx"),
     "p5_power_db": (p5, f"WITH {HOURLY} SELECT recording_id, idx, CASE WHEN value > 0 THEN round(10 * log10(value), 6) END AS db FROM hourly"),
-    "p7_coherence": (p7, f"WITH {FILLED}, {_PAIR}, w AS (SELECT k, i, x - avg(x) OVER (PARTITION BY k) AS x, y - avg(y) OVER (PARTITION BY k) AS y FROM (SELECT unnest(range(0, ({HOURS} - 32) // 16 + 1)) AS k), p, (SELECT unnest(range(0, 32)) AS i) WHERE p.idx = k * 16 + i), h AS (SELECT k, i, x * (0.5 - 0.5 * cos(2 * pi() * i / 32)) AS x, y * (0.5 - 0.5 * cos(2 * pi() * i / 32)) AS y FROM w), f AS (SELECT k, q, sum(x * cos(2 * pi() * q * i / 32)) AS xr, -sum(x * sin(2 * pi() * q * i / 32)) AS xi, sum(y * cos(2 * pi() * q * i / 32)) AS yr, -sum(y * sin(2 * pi() * q * i / 32)) AS yi FROM h, (SELECT unnest(range(0, 17)) AS q) GROUP BY ALL), s AS (SELECT q, sum(xr * xr + xi * xi) AS xx, sum(yr * yr + yi * yi) AS yy, sum(xr * yr + xi * yi) AS re, sum(xr * yi - xi * yr) AS im FROM f GROUP BY ALL) SELECT 'a' AS recording_id, round(q / 32, 6) AS freq, round((re * re + im * im) / (xx * yy), 6) AS coherence FROM s"),
-    "p8_cross_correlation": (p8, f"WITH {FILLED}, {_PAIR}, z AS (SELECT idx, (x - avg(x) OVER ()) / (stddev_pop(x) OVER () * count(*) OVER () + 1e-12) AS x, (y - avg(y) OVER ()) / (stddev_pop(y) OVER () + 1e-12) AS y FROM p) SELECT 'a' AS recording_id, CAST(b.idx - a.idx AS INTEGER) AS lag, round(sum(a.x * b.y), 6) AS value FROM z a JOIN z b ON b.idx - a.idx BETWEEN -10 AND 10 GROUP BY b.idx - a.idx"),
+    "p7_coherence": (p7, f"WITH {FILLED}, {_PAIR}, w AS (SELECT recording_id, k, i, x - avg(x) OVER (PARTITION BY recording_id, k) AS x, y - avg(y) OVER (PARTITION BY recording_id, k) AS y FROM (SELECT unnest(range(0, ({HOURS} - 32) // 16 + 1)) AS k), p, (SELECT unnest(range(0, 32)) AS i) WHERE p.idx = k * 16 + i), h AS (SELECT recording_id, k, i, x * (0.5 - 0.5 * cos(2 * pi() * i / 32)) AS x, y * (0.5 - 0.5 * cos(2 * pi() * i / 32)) AS y FROM w), f AS (SELECT recording_id, k, q, sum(x * cos(2 * pi() * q * i / 32)) AS xr, -sum(x * sin(2 * pi() * q * i / 32)) AS xi, sum(y * cos(2 * pi() * q * i / 32)) AS yr, -sum(y * sin(2 * pi() * q * i / 32)) AS yi FROM h, (SELECT unnest(range(0, 17)) AS q) GROUP BY ALL), s AS (SELECT recording_id, q, sum(xr * xr + xi * xi) AS xx, sum(yr * yr + yi * yi) AS yy, sum(xr * yr + xi * yi) AS re, sum(xr * yi - xi * yr) AS im FROM f GROUP BY ALL) SELECT recording_id, round(q / 32, 6) AS freq, round((re * re + im * im) / (xx * yy), 6) AS coherence FROM s"),
+    "p8_cross_correlation": (p8, f"WITH {FILLED}, {_PAIR}, z AS (SELECT recording_id, idx, (x - avg(x) OVER w) / (stddev_pop(x) OVER w * count(*) OVER w + 1e-12) AS x, (y - avg(y) OVER w) / (stddev_pop(y) OVER w + 1e-12) AS y FROM p WINDOW w AS (PARTITION BY recording_id)) SELECT a.recording_id, CAST(b.idx - a.idx AS INTEGER) AS lag, round(sum(a.x * b.y), 6) AS value FROM z a JOIN z b ON a.recording_id = b.recording_id AND b.idx - a.idx BETWEEN -10 AND 10 GROUP BY a.recording_id, b.idx - a.idx"),
     "p1_zero_phase": (p1, None), "p1_zero_phase_fir": (p1_fir, None), "p3_phase_and_envelope": (p3, None), "p4_multitaper_spectrogram": (p4, None), "p6_band_power": (p6, None),
     "p9_signal_statistics": (p9, None), "p10_coherogram": (p10, None), "p11_wavelet_transform": (p11, None), "p12_oscillatory_events": (p12, None),
 }

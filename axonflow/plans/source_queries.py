@@ -34,14 +34,8 @@ def s4(spark, d):
 
 
 def s5(spark, d):
-    path = scratch_path(spark, "notes")
-    views.trains(spark, d).where("unit_id = 1").select(F.round(F.col("t") / 1000, 3), "recording_id").coalesce(1).write.csv(path, header=True)
-    return sheets.read_notes(spark, path).select(F.round("t", 6).alias("t"), "label")
-
-
-def s5_all(spark, d):
     """One sheet of notes for each unit, each written and read by itself, since the source takes one file."""
-    path = scratch_path(spark, "notes-all")
+    path = scratch_path(spark, "notes")
     rows = views.trains(spark, d).select("unit_id", F.round(F.col("t") / 1000, 3), "recording_id")
     units = [r["unit_id"] for r in rows.select("unit_id").distinct().orderBy("unit_id").collect()]  # 8 at most
     rows.repartition("unit_id").write.partitionBy("unit_id").csv(path, header=True)
@@ -58,6 +52,7 @@ def s8(spark, d):
 
 
 def s10(spark, d):
+    """Nations are the subjects of the design, which is laid over all customers."""
     path = scratch_path(spark, "design")
     n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("r_name", F.col("n_nationkey").cast("string").alias("s"))
     groups = n.groupBy("r_name").agg(F.sort_array(F.collect_list("s")).alias("v")).agg(F.map_from_entries(F.collect_list(F.struct("r_name", "v"))).alias("drug_groups"))
@@ -65,7 +60,8 @@ def s10(spark, d):
     both = groups.crossJoin(spans).withColumn("no_drug_conditions", F.array(F.lit("ASIA")))  # one row each
     both.select(F.to_json(F.struct("*")).alias("value")).coalesce(1).write.text(path)
     conditions, windows = sheets.read_design(spark, f"{path}/*.txt")
-    return conditions.join(windows, "subject")
+    rows = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").cast("string").alias("subject"))
+    return rows.join(conditions.join(windows, "subject"), "subject")
 
 
 def s12_files(spark, d):
@@ -88,10 +84,9 @@ QUERIES = {
     "s1_read_sheet": (s1, "SELECT c_custkey, c_name AS id, CAST(length(c_mktsegment) + 9 AS INTEGER) AS n FROM customer"),
     "s3_read_metadata": (s3_files, "WITH l AS (SELECT max(event_type) AS e FROM events) SELECT CAST(max(user_id) AS DOUBLE) AS frameRate, 1::BIGINT AS device FROM events, l WHERE event_type = l.e"),
     "s4_read_frame_times": (s4, f"WITH {TRAINS} SELECT event_id AS frame_idx, round(t / 1000000, 6) AS t FROM trains"),
-    "s5_read_notes": (s5, f"WITH {TRAINS} SELECT round(t / 1000000, 6) AS t, recording_id AS label FROM trains WHERE unit_id = 1"),
-    "s5_read_notes_all": (s5_all, f"WITH {TRAINS} SELECT round(t / 1000000, 6) AS t, recording_id AS label FROM trains"),
+    "s5_read_notes": (s5, f"WITH {TRAINS} SELECT round(t / 1000000, 6) AS t, recording_id AS label FROM trains"),
     "s8_read_start_time": (s8, "SELECT strftime(o_orderdate, '%Y-%m-%d') AS time, round(o_totalprice, 2) AS acq_clk_hz, o_orderkey AS block_read_sz, o_custkey AS block_write_sz FROM orders"),
-    "s10_read_design": (s10, "SELECT CAST(n_nationkey AS VARCHAR) AS subject, r_name AS condition, r_name != 'ASIA' AS is_drug, p.period, p.start_min::DOUBLE AS start_min, p.end_min::DOUBLE AS end_min FROM nation JOIN region ON n_regionkey = r_regionkey, (VALUES ('control', 0, 10), ('treatment', 15, 25)) p(period, start_min, end_min)"),
+    "s10_read_design": (s10, "SELECT c_custkey, CAST(n_nationkey AS VARCHAR) AS subject, r_name AS condition, r_name != 'ASIA' AS is_drug, p.period, p.start_min::DOUBLE AS start_min, p.end_min::DOUBLE AS end_min FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey, (VALUES ('control', 0, 10), ('treatment', 15, 25)) p(period, start_min, end_min)"),
     "s12_write_results": (s12_files, "SELECT c_custkey, c_mktsegment || '__a' AS drug, CAST(c_nationkey % 3 AS VARCHAR) AS channel FROM customer"),
     "s13_append_new": (s13_append, "SELECT o_custkey % 5 AS part, count(*) AS n FROM orders GROUP BY ALL"),
 }

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from axonflow.functions import scalars
 from axonflow.operators import align, movie, select, sequence, stats, surrogate
 from axonflow.plans import views
-from axonflow.plans.views import DAILY, FILLED, FRAMES, PIXELS, TRAINS, table
+from axonflow.plans.views import DAILY, FRAMES, PIXELS, TRAINS, table
+from axonflow.plans.views import USER_FILLED as FILLED
 from axonflow.sources import results, sheets
 
 R = "recording_id"
@@ -58,7 +59,7 @@ def a23(spark, d):
 
 
 def a24(spark, d):
-    hours = views.filled(spark, d).withColumn("bin", F.col("idx") % 24)
+    hours = views.user_filled(spark, d).withColumn("bin", F.col("idx") % 24)
     tuning = hours.groupBy(R, "bin").agg((F.sum(F.round(F.col("value") * 1e6).cast("long")) / F.count(F.lit(1)) / 1e6).alias("rate"), F.count_if(F.col("value") > 0).alias("occupancy"))
     return stats.mutual_information(tuning, [R]).select(R, _r("bits_per_second"), _r("bits_per_event"))
 
@@ -69,7 +70,7 @@ def a25(spark, d):
 
 
 def a25_extents(spark, d):
-    return stats.pooled_extents(views.daily(spark, d)).select(*(_r(c, 5) for c in ("x_low", "x_high", "y_low", "y_high")))
+    return stats.pooled_extents(views.daily(spark, d)).select(*(_r(c, 9) for c in ("x_low", "x_high", "y_low", "y_high")))
 
 
 def f9(spark, d):
@@ -88,7 +89,7 @@ def j6(spark, d):
 
 
 def j7(spark, d):
-    conditions = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).where("n_nationkey % 5 != 2").select(F.col("n_nationkey").cast("long").alias("subject"), F.col("r_name").alias("condition"), (F.col("r_regionkey") > 1).alias("is_drug"))
+    conditions = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).where("r_name != 'ASIA'").select(F.col("n_nationkey").cast("long").alias("subject"), F.col("r_name").alias("condition"), (F.col("r_regionkey") > 1).alias("is_drug"))
     rows = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").cast("long").alias("subject"))
     return align.with_condition(rows, conditions).select("c_custkey", "subject", "condition", "is_drug")
 
@@ -117,38 +118,21 @@ def w20(spark, d):
 
 
 def _footprints(spark, d):
-    """Units: vectors 0 to 11 of each label, their positive components as weights."""
-    rows = movie.pixel_rows(views.frames(spark, d).where("frame_idx % 20 = 0"))
-    return rows.where("value > 0").select(R, F.col("frame_idx").alias("unit_id"), F.col("pixel").cast("long").alias("pixel"), F.col("value").cast("double").alias("weight"))
-
-
-FOOT = "foot AS (SELECT recording_id, frame_idx AS unit_id, CAST(pixel AS BIGINT) AS pixel, value AS weight FROM pixels WHERE frame_idx % 20 = 0 AND value > 0)"
-
-
-def _traces(spark, d):
-    units = _footprints(spark, d).select(R, "unit_id").distinct()
-    return units.withColumn("frame_idx", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("frame_idx")).withColumn("value", ((F.col("unit_id") * 7 + F.col("frame_idx") * 3) % 11).cast("double"))
-
-
-TRACES = "traces AS (SELECT recording_id, unit_id, frame_idx, CAST((unit_id * 7 + frame_idx * 3) % 11 AS DOUBLE) AS value FROM (SELECT DISTINCT recording_id, unit_id FROM foot), (SELECT unnest(range(0, 10)) AS frame_idx))"
-
-
-def _all_footprints(spark, d):
     """Units: every vector, its positive components as weights."""
     rows = movie.pixel_rows(views.frames(spark, d))
     return rows.where("value > 0").select(R, F.col("frame_idx").alias("unit_id"), F.col("pixel").cast("long").alias("pixel"), F.col("value").cast("double").alias("weight"))
 
 
-FOOT_ALL = "foot AS (SELECT recording_id, frame_idx AS unit_id, CAST(pixel AS BIGINT) AS pixel, value AS weight FROM pixels WHERE value > 0)"
+FOOT = "foot AS (SELECT recording_id, frame_idx AS unit_id, CAST(pixel AS BIGINT) AS pixel, value AS weight FROM pixels WHERE value > 0)"
 
 
-def _vector_traces(spark, d):
+def _traces(spark, d):
     """Traces of the units: the components of every vector, one a frame."""
     rows = movie.pixel_rows(views.frames(spark, d))
     return rows.select(R, F.col("frame_idx").alias("unit_id"), F.col("pixel").alias("frame_idx"), F.col("value").cast("double").alias("value"))
 
 
-TRACES_ALL = "traces AS (SELECT recording_id, frame_idx AS unit_id, pixel AS frame_idx, value FROM pixels)"
+TRACES = "traces AS (SELECT recording_id, frame_idx AS unit_id, pixel AS frame_idx, value FROM pixels)"
 
 
 def a29(spark, d):
@@ -164,36 +148,14 @@ def a30(spark, d):
 
 
 def a30_black(spark, d):
-    kept = _footprints(spark, d).where("pixel % 3 = 0")
-    out = movie.blacked_out(views.frames(spark, d), kept)
-    return out.select(R, "frame_idx", F.round(movie.frame_mean(F.col("pixels")), 5).alias("mean"))
-
-
-def a31(spark, d):
-    return movie.unit_summary(_traces(spark, d), _footprints(spark, d), 2.0, 8, 3.0)
-
-
-def a29_all(spark, d):
-    return movie.footprint_sum(_all_footprints(spark, d)).select(R, "pixel", _r("weight", 5))
-
-
-def a29_outline_all(spark, d):
-    return movie.footprint_outline(_all_footprints(spark, d), 8, 8)
-
-
-def a30_all(spark, d):
-    return movie.activity_movie(_all_footprints(spark, d), _vector_traces(spark, d)).select(R, "frame_idx", "pixel", _r("value", 4))
-
-
-def a30_black_all(spark, d):
     """Weights keep their sign here: positive ones alone would cover every pixel of a recording."""
     signed = movie.pixel_rows(views.frames(spark, d)).select(R, F.col("frame_idx").alias("unit_id"), F.col("pixel").cast("long").alias("pixel"), F.col("value").cast("double").alias("weight"))
     out = movie.blacked_out(views.frames(spark, d), signed)
     return out.select(R, "frame_idx", F.round(movie.frame_mean(F.col("pixels")), 5).alias("mean"))
 
 
-def a31_all(spark, d):
-    return movie.unit_summary(_vector_traces(spark, d), _all_footprints(spark, d), 2.0, 8, 3.0)
+def a31(spark, d):
+    return movie.unit_summary(_traces(spark, d), _footprints(spark, d), 2.0, 8, 3.0)
 
 
 def p13(spark, d):
@@ -202,30 +164,28 @@ def p13(spark, d):
 
 
 def m1(spark, d):
-    out = views.trains(spark, d).where("unit_id = 2")
-    return out.repartitionByRange("t").sortWithinPartitions("t").select("event_id", "t")
-
-
-def m1_all(spark, d):
     return views.trains(spark, d).repartitionByRange("t").sortWithinPartitions("t").select("event_id", "t")
 
 
 def m2(spark, d):
     best = F.max(F.struct("value", (-F.col("idx")).alias("m")))
-    return views.filled(spark, d).groupBy(R).agg(best.alias("b")).select(R, (-F.col("b.m")).alias("idx"), F.round("b.value", 6).alias("value"))
+    return views.user_filled(spark, d).groupBy(R).agg(best.alias("b")).select(R, (-F.col("b.m")).alias("idx"), F.round("b.value", 6).alias("value"))
 
 
 def m3(spark, d):
     s = _subjects(spark, d)
-    return s.where("drug = 'BUILDING'").select("drug", "subject").unionByName(s.where("subject % 3 = 0").select("subject", "drug"))
+    return s.where("drug = 'BUILDING'").select("drug", "subject").unionByName(s.where("drug != 'BUILDING'").select("subject", "drug"))
 
 
 def m5(spark, d):
+    """Each four components of a vector, in turn, as a quaternion."""
     v = F.col("embedding")
-    norm = F.sqrt(F.aggregate(F.transform(F.slice(v, 1, 4), lambda x: x.cast("double") * x), F.lit(0.0), lambda a, x: a + x))
-    q = [v[i].cast("double") / norm for i in range(4)]
-    angles = scalars.euler_angles(*q, degrees=True)
-    return table(spark, d, "embeddings").select("vec_id", *(F.round(c, 4).alias(k) for k, c in angles.items()))
+    starts = F.sequence(F.lit(1), F.size(v) - 3, F.lit(4))
+    rows = table(spark, d, "embeddings").select("vec_id", F.posexplode(F.transform(starts, lambda i: F.slice(v, i, 4))).alias("k", "v"))
+    parts = [F.col("v")[i].cast("double") for i in range(4)]
+    norm = F.sqrt(sum((p * p for p in parts[1:]), parts[0] * parts[0]))
+    angles = scalars.euler_angles(*(p / norm for p in parts), degrees=True)
+    return rows.select("vec_id", "k", *(F.round(c, 4).alias(k) for k, c in angles.items()))
 
 
 def m6(spark, d):
@@ -275,7 +235,7 @@ def s12(spark, d):
 
 def s13(spark, d):
     work = table(spark, d, "customer").select(F.col("c_custkey").alias("subject"))
-    return results.pending(work, table(spark, d, "orders").where("o_orderkey % 16 = 0").select(F.col("o_custkey").alias("subject")), ["subject"])
+    return results.pending(work, table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("subject")), ["subject"])
 
 
 def s14(spark, d):
@@ -290,7 +250,7 @@ def s14(spark, d):
 
 
 def s15(spark, d):
-    events = sequence.unit_events(views.filled(spark, d), 1, 10.0, [R]).withColumn("unit_id", F.lit(3))
+    events = sequence.unit_events(views.user_filled(spark, d), 1, 10.0, [R]).withColumn("unit_id", F.lit(3))
     return results.unit_event_document(events, 30.0, 1, 10.0)
 
 
@@ -303,7 +263,7 @@ QUERIES = {
     "f9_crop_frames": (f9, f"WITH {FRAMES} SELECT recording_id, frame_idx, list_concat(list_concat(pixels[35:38], pixels[43:46]), pixels[51:54]) AS pixels FROM frames"),
     "f10_every_kth_frame": (f10, f"WITH {FRAMES}, k AS (SELECT recording_id, greatest(count(*) // 10, 1) AS k FROM frames GROUP BY ALL) SELECT f.recording_id, frame_idx FROM frames f JOIN k ON k.recording_id = f.recording_id WHERE frame_idx % k.k = 0"),
     "j6_project_summary": (j6, "WITH p AS (SELECT DISTINCT o_custkey + 20 AS k FROM orders) SELECT coalesce(c_custkey, k) AS key, c_custkey IS NOT NULL AS is_experiment, k IS NOT NULL AS has_parameters, coalesce(c_acctbal > 0, false) AS has_imaging, c_mktsegment IS NOT NULL AS has_ephys, CASE WHEN c_custkey IS NOT NULL THEN CAST(length(concat_ws(' ', CAST(c_custkey AS VARCHAR), c_name, CASE WHEN c_acctbal > 0 THEN CAST(c_acctbal AS VARCHAR) END, c_mktsegment)) AS INTEGER) END AS text_chars FROM customer FULL JOIN p ON c_custkey = k"),
-    "j7_conditions": (j7, "SELECT c_custkey, CAST(c_nationkey AS BIGINT) AS subject, coalesce(r_name, 'unknown') AS condition, coalesce(r_regionkey > 1, false) AS is_drug FROM customer LEFT JOIN (nation JOIN region ON n_regionkey = r_regionkey AND n_nationkey % 5 != 2) ON c_nationkey = n_nationkey"),
+    "j7_conditions": (j7, "SELECT c_custkey, CAST(c_nationkey AS BIGINT) AS subject, coalesce(r_name, 'unknown') AS condition, coalesce(r_regionkey > 1, false) AS is_drug FROM customer LEFT JOIN (nation JOIN region ON n_regionkey = r_regionkey AND r_name != 'ASIA') ON c_nationkey = n_nationkey"),
     "a13_projections": (a13, f"WITH {PIXELS} SELECT recording_id, pixel, round(max(value), 5) AS max, round(min(value), 5) AS min, round(avg(value), 5) AS mean, round(median(value), 5) AS median, round(stddev_pop(value), 5) AS std, round(max(value) - min(value), 5) AS range FROM pixels GROUP BY ALL"),
     "a14_mean_trace": (a14, f"WITH {PIXELS}, m AS (SELECT recording_id, frame_idx, avg(value) AS value FROM pixels WHERE pixel % 8 < 4 GROUP BY ALL), f AS (SELECT recording_id, frame_idx // 100 AS f, count(*) AS k FROM m GROUP BY ALL), o AS (SELECT recording_id, f, coalesce(sum(k) OVER (PARTITION BY recording_id ORDER BY f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM f) SELECT m.recording_id, count(*) AS n, CAST(max(frame_idx % 100 + o) AS BIGINT) AS \"last\", round(sum(value), 4) AS total FROM m JOIN o ON o.recording_id = m.recording_id AND o.f = m.frame_idx // 100 GROUP BY m.recording_id"),
     "a19_population_statistics": (a19, f"WITH {SUBJECTS}, x AS (SELECT *, control IS NOT NULL AND treatment IS NOT NULL AS v FROM subjects) SELECT drug, count(*) AS n_total, count(*) FILTER (WHERE v) AS n_valid, {_POP}, round(avg(treatment - control), 4) AS mean_difference, round(median(treatment - control), 4) AS median_difference FROM x GROUP BY ALL"),
@@ -312,24 +272,18 @@ QUERIES = {
     "a21_cohens_d_pooled": (a21_pooled, f"WITH {SUBJECTS}, x AS (SELECT drug, (avg(treatment) - avg(control)) / (sqrt(((count(*) - 1) * var_samp(control) + (count(*) - 1) * var_samp(treatment)) / (2 * count(*) - 2)) + 1e-10) AS d FROM subjects WHERE control IS NOT NULL AND treatment IS NOT NULL GROUP BY ALL) SELECT drug, round(d, 6) AS d, {_EFFECT} FROM x"),
     "a24_mutual_information": (a24, f"WITH {FILLED}, t AS (SELECT recording_id, idx % 24 AS bin, sum(CAST(round(value * 1e6) AS BIGINT)) / count(*) / 1e6 AS rate, count(*) FILTER (WHERE value > 0) AS occ FROM filled GROUP BY ALL), m AS (SELECT recording_id, sum(occ) AS total, sum(occ * rate) / sum(occ) AS mean FROM t GROUP BY ALL), b AS (SELECT t.recording_id, sum(CASE WHEN rate > 0 THEN occ / total * rate * log2(rate / mean) ELSE 0 END) AS b, any_value(mean) AS mean FROM t JOIN m ON m.recording_id = t.recording_id GROUP BY ALL) SELECT recording_id, round(b, 6) AS bits_per_second, round(b / mean, 6) AS bits_per_event FROM b"),
     "a25_hexagons": (a25, f"WITH {DAILY}, p AS (SELECT subject, (x - 0.0) / (20.0::DOUBLE / 20) AS ix, (y - 0.0) / (60.0::DOUBLE / {_NY}) AS iy FROM daily WHERE x BETWEEN 0 AND 20 AND y BETWEEN 0 AND 60), c AS (SELECT subject, ix, iy, round_even(ix, 0) AS i1, round_even(iy, 0) AS j1, floor(ix) AS i2, floor(iy) AS j2 FROM p), e AS (SELECT *, (ix - i1) ** 2 + 3 * (iy - j1) ** 2 < (ix - i2 - 0.5::DOUBLE) ** 2 + 3 * (iy - j2 - 0.5::DOUBLE) ** 2 AS f FROM c) SELECT subject, CASE WHEN f THEN 0 ELSE 1 END AS lattice, CAST(CASE WHEN f THEN i1 ELSE i2 END AS INTEGER) AS i, CAST(CASE WHEN f THEN j1 ELSE j2 END AS INTEGER) AS j, count(*) AS n FROM e GROUP BY ALL"),
-    "a25_pooled_extents": (a25_extents, f"WITH {DAILY} SELECT round(quantile_cont(x, 0.01), 5) AS x_low, round(quantile_cont(x, 0.99), 5) AS x_high, round(quantile_cont(y, 0.01), 5) AS y_low, round(quantile_cont(y, 0.99), 5) AS y_high FROM daily"),
+    "a25_pooled_extents": (a25_extents, f"WITH {DAILY} SELECT round(quantile_cont(x, 0.01), 9) AS x_low, round(quantile_cont(x, 0.99), 9) AS x_high, round(quantile_cont(y, 0.01), 9) AS y_low, round(quantile_cont(y, 0.99), 9) AS y_high FROM daily"),
     "a29_footprint_sum": (a29, f"WITH {PIXELS}, {FOOT} SELECT recording_id, pixel, round(sum(weight), 5) AS weight FROM foot GROUP BY ALL"),
     "a29_footprint_outline": (a29_outline, f"WITH {PIXELS}, {FOOT}, k AS (SELECT *, max(weight) OVER (PARTITION BY recording_id, unit_id) AS top FROM foot), m AS (SELECT recording_id, unit_id, pixel FROM k WHERE weight >= 0.2::DOUBLE * top) SELECT a.recording_id, a.unit_id, a.pixel FROM m a LEFT JOIN m b ON b.recording_id = a.recording_id AND b.unit_id = a.unit_id AND ((b.pixel = a.pixel - 1 AND a.pixel % 8 > 0) OR (b.pixel = a.pixel + 1 AND a.pixel % 8 < 7) OR b.pixel = a.pixel - 8 OR b.pixel = a.pixel + 8) GROUP BY ALL HAVING count(b.pixel) < 4"),
-    "a30_activity_movie": (a30, f"WITH {PIXELS}, {FOOT}, {TRACES} SELECT f.recording_id, CAST(t.frame_idx AS INTEGER) AS frame_idx, pixel, round(sum(weight * t.value), 4) AS value FROM foot f JOIN traces t ON t.recording_id = f.recording_id AND t.unit_id = f.unit_id GROUP BY ALL"),
-    "a30_blacked_out": (a30_black, f"WITH {PIXELS}, {FOOT}, c AS (SELECT DISTINCT recording_id, pixel FROM foot WHERE pixel % 3 = 0) SELECT p.recording_id, frame_idx, round(sum(CASE WHEN c.pixel IS NULL THEN value ELSE 0 END) / 64, 5) AS mean FROM pixels p LEFT JOIN c ON c.recording_id = p.recording_id AND c.pixel = p.pixel GROUP BY ALL"),
-    "a31_unit_summary": (a31, f"WITH {PIXELS}, {FOOT}, {TRACES}, t AS (SELECT recording_id, unit_id, 4.5::DOUBLE AS duration, arg_max(frame_idx, (value, -frame_idx)) / 2 AS peak_time, min(value) AS least, max(value) AS largest FROM traces GROUP BY ALL), p AS (SELECT recording_id, unit_id, arg_max(pixel, (weight, -pixel)) AS pixel FROM foot GROUP BY ALL) SELECT t.*, pixel // 8 AS peak_x, pixel % 8 AS peak_y, least(greatest(peak_time - 1.5::DOUBLE, 0), duration - 3) AS view_start, least(greatest(peak_time - 1.5::DOUBLE, 0), duration - 3) + 3 AS view_end FROM t JOIN p ON p.recording_id = t.recording_id AND p.unit_id = t.unit_id"),
-    "a29_footprint_sum_all": (a29_all, f"WITH {PIXELS}, {FOOT_ALL} SELECT recording_id, pixel, round(sum(weight), 5) AS weight FROM foot GROUP BY ALL"),
-    "a29_footprint_outline_all": (a29_outline_all, f"WITH {PIXELS}, {FOOT_ALL}, k AS (SELECT *, max(weight) OVER (PARTITION BY recording_id, unit_id) AS top FROM foot), m AS (SELECT recording_id, unit_id, pixel FROM k WHERE weight >= 0.2::DOUBLE * top) SELECT a.recording_id, a.unit_id, a.pixel FROM m a LEFT JOIN m b ON b.recording_id = a.recording_id AND b.unit_id = a.unit_id AND ((b.pixel = a.pixel - 1 AND a.pixel % 8 > 0) OR (b.pixel = a.pixel + 1 AND a.pixel % 8 < 7) OR b.pixel = a.pixel - 8 OR b.pixel = a.pixel + 8) GROUP BY ALL HAVING count(b.pixel) < 4"),
-    "a30_activity_movie_all": (a30_all, f"WITH {PIXELS}, {FOOT_ALL}, {TRACES_ALL} SELECT f.recording_id, t.frame_idx, f.pixel, round(sum(weight * t.value), 4) AS value FROM foot f JOIN traces t ON t.recording_id = f.recording_id AND t.unit_id = f.unit_id GROUP BY ALL"),
-    "a30_blacked_out_all": (a30_black_all, f"WITH {PIXELS}, c AS (SELECT recording_id, pixel FROM pixels GROUP BY ALL HAVING sum(value) > 0) SELECT p.recording_id, frame_idx, round(sum(CASE WHEN c.pixel IS NULL THEN value ELSE 0 END) / 64, 5) AS mean FROM pixels p LEFT JOIN c ON c.recording_id = p.recording_id AND c.pixel = p.pixel GROUP BY ALL"),
-    "a31_unit_summary_all": (a31_all, f"WITH {PIXELS}, {FOOT_ALL}, {TRACES_ALL}, t AS (SELECT recording_id, unit_id, (count(*) - 1) / 2 AS duration, arg_max(frame_idx, (value, -frame_idx)) / 2 AS peak_time, min(value) AS least, max(value) AS largest FROM traces GROUP BY ALL), p AS (SELECT recording_id, unit_id, arg_max(pixel, (weight, -pixel)) AS pixel FROM foot GROUP BY ALL) SELECT t.*, pixel // 8 AS peak_x, pixel % 8 AS peak_y, least(greatest(peak_time - 1.5::DOUBLE, 0), duration - 3) AS view_start, least(greatest(peak_time - 1.5::DOUBLE, 0), duration - 3) + 3 AS view_end FROM t LEFT JOIN p ON p.recording_id = t.recording_id AND p.unit_id = t.unit_id"),
+    "a30_activity_movie": (a30, f"WITH {PIXELS}, {FOOT}, {TRACES} SELECT f.recording_id, t.frame_idx, f.pixel, round(sum(weight * t.value), 4) AS value FROM foot f JOIN traces t ON t.recording_id = f.recording_id AND t.unit_id = f.unit_id GROUP BY ALL"),
+    "a30_blacked_out": (a30_black, f"WITH {PIXELS}, c AS (SELECT recording_id, pixel FROM pixels GROUP BY ALL HAVING sum(value) > 0) SELECT p.recording_id, frame_idx, round(sum(CASE WHEN c.pixel IS NULL THEN value ELSE 0 END) / 64, 5) AS mean FROM pixels p LEFT JOIN c ON c.recording_id = p.recording_id AND c.pixel = p.pixel GROUP BY ALL"),
+    "a31_unit_summary": (a31, f"WITH {PIXELS}, {FOOT}, {TRACES}, t AS (SELECT recording_id, unit_id, (count(*) - 1) / 2 AS duration, arg_max(frame_idx, (value, -frame_idx)) / 2 AS peak_time, min(value) AS least, max(value) AS largest FROM traces GROUP BY ALL), p AS (SELECT recording_id, unit_id, arg_max(pixel, (weight, -pixel)) AS pixel FROM foot GROUP BY ALL) SELECT t.*, pixel // 8 AS peak_x, pixel % 8 AS peak_y, least(greatest(peak_time - 1.5::DOUBLE, 0), duration - 3) AS view_start, least(greatest(peak_time - 1.5::DOUBLE, 0), duration - 3) + 3 AS view_end FROM t LEFT JOIN p ON p.recording_id = t.recording_id AND p.unit_id = t.unit_id"),
     "w19_detrend_median": (w19, f"WITH {PIXELS}, m AS (SELECT recording_id, frame_idx, avg(value) AS m FROM pixels GROUP BY ALL) SELECT recording_id, frame_idx, round(median(m) OVER (PARTITION BY recording_id), 5) AS mean FROM m"),
     "w19_detrend_linear": (w19_linear, f"WITH {PIXELS}, {_RG} SELECT p.recording_id, frame_idx, p.pixel, round(value - a * frame_idx - b, 5) AS value FROM pixels p JOIN g ON g.recording_id = p.recording_id AND g.pixel = p.pixel"),
-    "m1_sorted_events": (m1, f"WITH {TRAINS} SELECT event_id, t FROM trains WHERE unit_id = 2"),
-    "m1_sorted_events_all": (m1_all, f"WITH {TRAINS} SELECT event_id, t FROM trains"),
+    "m1_sorted_events": (m1, f"WITH {TRAINS} SELECT event_id, t FROM trains"),
     "m2_arg_max": (m2, f"WITH {FILLED} SELECT recording_id, arg_max(idx, (value, -idx)) AS idx, round(max(value), 6) AS value FROM filled GROUP BY ALL"),
-    "m3_union_rows": (m3, f"WITH {SUBJECTS} SELECT drug, subject FROM subjects WHERE drug = 'BUILDING' UNION ALL SELECT drug, subject FROM subjects WHERE subject % 3 = 0"),
-    "m5_euler_angles": (m5, "WITH v AS (SELECT vec_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, embedding[3]::DOUBLE AS c, embedding[4]::DOUBLE AS e FROM embeddings), q AS (SELECT vec_id, a / n AS w, b / n AS x, c / n AS y, e / n AS z FROM (SELECT *, sqrt(a * a + b * b + c * c + e * e) AS n FROM v)) SELECT vec_id, round(degrees(atan2(2 * (w * x + y * z), 1 - 2 * (x * x + y * y))), 4) AS roll, round(degrees(asin(greatest(-1.0, least(1.0, 2 * (w * y - z * x))))), 4) AS pitch, round(degrees(atan2(2 * (w * z + x * y), 1 - 2 * (y * y + z * z))), 4) AS yaw FROM q"),
+    "m3_union_rows": (m3, f"WITH {SUBJECTS} SELECT drug, subject FROM subjects WHERE drug = 'BUILDING' UNION ALL SELECT drug, subject FROM subjects WHERE drug != 'BUILDING'"),
+    "m5_euler_angles": (m5, "WITH v AS (SELECT vec_id, CAST(k AS INTEGER) AS k, embedding[4 * k + 1]::DOUBLE AS a, embedding[4 * k + 2]::DOUBLE AS b, embedding[4 * k + 3]::DOUBLE AS c, embedding[4 * k + 4]::DOUBLE AS e FROM embeddings, (SELECT unnest(range(0, 16)) AS k)), q AS (SELECT vec_id, k, a / n AS w, b / n AS x, c / n AS y, e / n AS z FROM (SELECT *, sqrt(a * a + b * b + c * c + e * e) AS n FROM v)) SELECT vec_id, k, round(degrees(atan2(2 * (w * x + y * z), 1 - 2 * (x * x + y * y))), 4) AS roll, round(degrees(asin(greatest(-1.0, least(1.0, 2 * (w * y - z * x))))), 4) AS pitch, round(degrees(atan2(2 * (w * z + x * y), 1 - 2 * (y * y + z * z))), 4) AS yaw FROM q"),
     "m6_p_text": (m6, "WITH p AS (SELECT event_id, (event_id * 37 % 1000) / 7919 AS p FROM events) SELECT event_id, CASE WHEN p < 0.001 THEN 'p < 0.001' ELSE format('p = {:.3f}', p) END AS text, CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE 'n.s.' END AS stars FROM p"),
     "m7_short_labels": (m7, "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'Dex ' || c_custkey WHEN c_custkey % 3 = 1 THEN 'Sleep' ELSE upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) END AS label FROM customer"),
     "m8_fisher_interval": (m8, f"WITH {DAILY}, r AS (SELECT subject, count(*) AS n, corr(y, x) AS r FROM daily GROUP BY ALL) SELECT subject, round(tanh(atanh(r) - 1.959963984540054 / sqrt(n - 3)), 5) AS low, round(tanh(atanh(r) + 1.959963984540054 / sqrt(n - 3)), 5) AS high FROM r"),
@@ -337,7 +291,7 @@ QUERIES = {
     "s2_convert_sheet": (s2, "SELECT event_id, CASE WHEN event_id % 5 != 0 THEN round(value, 3) END AS some_value, user_id AS x, 2 AS n, 'x' AS second, '2024-01-31' AS day FROM events"),
     "s3_frame_rate": (s3, "SELECT event_id, CAST(user_id AS DOUBLE) AS rate FROM events"),
     "s12_file_names": (s12, "SELECT c_custkey, c_mktsegment || '__a_b_c_d' AS name FROM customer"),
-    "s13_pending_work": (s13, "SELECT c_custkey AS subject FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 16 = 0)"),
+    "s13_pending_work": (s13, "SELECT c_custkey AS subject FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')"),
     "s14_run_log": (s14, "WITH c AS (SELECT o_custkey, count(*) AS k FROM orders GROUP BY ALL) SELECT 'halves' AS analysis, CASE WHEN k % 2 = 0 THEN 'completed' ELSE 'skipped' END AS status, count(*) AS n FROM c GROUP BY ALL"),
     "a22_paired_tests": (a22, None), "a23_bootstrap_interval": (a23, None), "m9_correlation_p": (m9, None), "p13_denoise": (p13, None), "s15_unit_event_document": (s15, None), "w20_delta_f": (w20, None),
 }

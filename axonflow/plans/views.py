@@ -28,27 +28,44 @@ def trains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("recording_id"), (F.col("user_id") % 8).alias("unit_id"), _micros("ts", "2024-01-01").alias("t"), "value")
 
 
-def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """recording_id, idx (hour), value (mean, null without events).
+def hourly(spark: SparkSession, sf_dir: str, by: str = "event_type") -> DataFrame:
+    """recording_id (type of event or, with ``by="user_id"``, the user), idx (hour), value (mean, null without events).
 
     The hours are those of the 30 days from 2024-01-01 and, where a recording has events before or after them, all up
     to its first or last one.
     """
-    hours = trains(spark, sf_dir).groupBy("recording_id", F.floor(F.col("t") / HOUR).alias("idx")).agg((F.sum(F.round(F.col("value") * 1000).cast("long")) / F.count(F.lit(1)) / 1000).alias("value"))
+    rows = table(spark, sf_dir, "events").select(F.col(by).cast("string").alias("recording_id"), _micros("ts", "2024-01-01").alias("t"), "value")
+    hours = rows.groupBy("recording_id", F.floor(F.col("t") / HOUR).alias("idx")).agg((F.sum(F.round(F.col("value") * 1000).cast("long")) / F.count(F.lit(1)) / 1000).alias("value"))
     ends = hours.groupBy("recording_id").agg(F.least(F.min("idx"), F.lit(0)).alias("low"), F.greatest(F.max("idx"), F.lit(HOURS - 1)).alias("high"))
     grid = ends.select("recording_id", F.explode(F.sequence("low", "high")).alias("idx"))
     return grid.join(hours, ["recording_id", "idx"], "left")
 
 
-def filled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hourly(spark, sf_dir).withColumn("value", F.coalesce("value", F.lit(0.0)))
+def filled(spark: SparkSession, sf_dir: str, by: str = "event_type") -> DataFrame:
+    return hourly(spark, sf_dir, by).withColumn("value", F.coalesce("value", F.lit(0.0)))
+
+
+def user_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`hourly` with a recording for each user, so that the number of recordings grows with the events."""
+    return hourly(spark, sf_dir, "user_id")
+
+
+def user_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filled(spark, sf_dir, "user_id")
+
+
+def neighbours(hours: DataFrame) -> DataFrame:
+    """recording_id, idx, x, y: each user's signal beside that of the user with the next id, sample by sample."""
+    x = hours.select("recording_id", "idx", F.col("value").alias("x"))
+    y = hours.select((F.col("recording_id").cast("long") - 1).cast("string").alias("recording_id"), "idx", F.col("value").alias("y"))
+    return x.join(y, ["recording_id", "idx"])
 
 
 def clock(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """recording_id, frame_idx, t of the events of one type as pulses, in order of time."""
+    """recording_id (user), event_id, frame_idx, t: the events of each user as pulses, in order of time."""
     from pyspark.sql import Window
 
-    rows = trains(spark, sf_dir).where("unit_id < 3")
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("recording_id"), "event_id", _micros("ts", "2024-01-01").alias("t"))
     return rows.select("recording_id", "event_id", "t", (F.row_number().over(Window.partitionBy("recording_id").orderBy("t", "event_id")) - 1).cast("long").alias("frame_idx"))
 
 
@@ -77,11 +94,18 @@ def windows(spark: SparkSession) -> DataFrame:
 
 
 TRAINS = "trains AS (SELECT event_id, event_type AS recording_id, user_id % 8 AS unit_id, epoch_us(ts) - 1704067200000000 AS t, value FROM events)"
-HOURLY = f"""{TRAINS}, hours AS (SELECT recording_id, t // {HOUR} AS idx, sum(CAST(round(value * 1000) AS BIGINT)) / count(*) / 1000 AS value FROM trains GROUP BY ALL),
+
+
+def _hourly_sql(by: str) -> str:
+    return f"""{TRAINS}, hours AS (SELECT CAST({by} AS VARCHAR) AS recording_id, (epoch_us(ts) - 1704067200000000) // {HOUR} AS idx, sum(CAST(round(value * 1000) AS BIGINT)) / count(*) / 1000 AS value FROM events GROUP BY ALL),
 grid AS (SELECT recording_id, i AS idx FROM (SELECT DISTINCT recording_id FROM hours), (SELECT unnest(range(0, {HOURS})) AS i)),
 hourly AS (SELECT grid.recording_id, grid.idx, hours.value FROM grid LEFT JOIN hours ON grid.recording_id = hours.recording_id AND grid.idx = hours.idx)"""
-FILLED = f"{HOURLY}, filled AS (SELECT recording_id, idx, coalesce(value, 0.0) AS value FROM hourly)"
-CLOCK = f"{TRAINS}, clock AS (SELECT recording_id, event_id, t, row_number() OVER (PARTITION BY recording_id ORDER BY t, event_id) - 1 AS frame_idx FROM trains WHERE unit_id < 3)"
+
+
+_FILL = "filled AS (SELECT recording_id, idx, coalesce(value, 0.0) AS value FROM hourly)"
+HOURLY, USER_HOURLY = _hourly_sql("event_type"), _hourly_sql("user_id")
+FILLED, USER_FILLED = f"{HOURLY}, {_FILL}", f"{USER_HOURLY}, {_FILL}"
+CLOCK = f"{TRAINS}, clock AS (SELECT CAST(user_id AS VARCHAR) AS recording_id, event_id, epoch_us(ts) - 1704067200000000 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame_idx FROM events)"
 PHASES = f"{TRAINS}, phases AS (SELECT *, (t % {DAY}) * {2 * math.pi / DAY!r} - {math.pi!r} AS phase FROM trains)"
 DAILY = f"""daily AS (SELECT o_orderpriority AS subject, CAST((epoch_us(o_orderdate) - 694224000000000) // {DAY} AS BIGINT) AS idx, CAST(count(*) AS DOUBLE) AS x,
 sum(CAST(round(o_totalprice * 100) AS BIGINT)) / count(*) / 10000 AS y FROM orders GROUP BY ALL)"""

@@ -183,6 +183,115 @@ def test_detrended_and_relative_movies(spark):
     assert frames.select(select.crop(F.col("pixels"), 1, 2, 1, 0, 2, 1).alias("p")).first()["p"] == [5.0]
 
 
+@pytest.mark.parametrize("family, order, cut, kind", [("butter", 2, [0.05, 0.2], "band"), ("butter", 3, 0.1, "low"), ("fir", 31, 0.1, "low")])
+def test_filters_do_not_depend_on_chunks(spark, family, order, cut, kind):
+    from axonflow.functions import signals as kernels
+
+    rng = np.random.default_rng(5)
+    long, short = rng.normal(size=5003), rng.normal(size=12)
+    rows = signal(spark, long).unionAll(signal(spark, short, "short")).unionAll(signal(spark, [1.0], "one")).withColumn("idx", F.col("idx") * 3 - 7)
+    out = spectral.zero_phase(rows, ["recording_id"], order, cut, kind, 1.0, family, core=64).cache()
+    assert {r[0] for r in out.select("recording_id").distinct().collect()} <= {"r", "short"}
+    got = out.where("recording_id = 'r'").orderBy("idx").collect()
+    assert [r["idx"] for r in got] == [3 * i - 7 for i in range(5003)]
+    want = kernels.zero_phase(long, order, cut, kind, 1.0, family)
+    assert np.abs(np.array([r["value"] for r in got]) - want).max() < 1e-10
+    assert spectral.zero_phase(rows.where("idx is null"), ["recording_id"], order, cut, kind, 1.0, family).count() == 0
+
+
+@pytest.mark.parametrize("method", ["delta_f_over_f", "delta_f_over_sqrt_f"])
+def test_relative_movies_match_a_direct_form(spark, method):
+    rng = np.random.default_rng(6)
+    stack = np.round(rng.normal(3, 2, size=(23, 5)), 3)
+    frames = spark.createDataFrame([("m", i, [float(v) for v in f]) for i, f in enumerate(stack)], "recording_id string, frame_idx long, pixels array<double>")
+    x = stack - min(stack.min(), 0) + (1 if max(stack.min(), 0) == 0 else 0)
+    parts = [np.arange(a, min(a + 6, 23)) for a in range(0, 23, 6)]
+    centres = [p.mean() for p in parts]
+    base = np.array([[np.interp(i, centres, [np.percentile(x[p, k], 8) for p in parts]) for k in range(5)] for i in range(23)])
+    want = (x - base) / (base if method == "delta_f_over_f" else np.sqrt(base))
+    out = movie.delta_f(frames, 6, 8, method, tile=2).collect()
+    assert len(out) == want.size
+    assert max(abs(r["value"] - want[r["frame_idx"], r["pixel"]]) for r in out) < 1e-9
+    lines = movie.detrend_linear(frames).collect()
+    fit = np.polyfit(np.arange(23), stack, 1)
+    assert max(abs(r["value"] - (stack - np.outer(np.arange(23), fit[0]) - fit[1])[r["frame_idx"], r["pixel"]]) for r in lines) < 1e-9
+
+
+def test_denoised_frames_match_a_direct_form(spark):
+    from axonflow.functions import signals as kernels
+
+    rng = np.random.default_rng(7)
+    stack = rng.uniform(50, 150, size=(90, 6, 8))
+    frames = spark.createDataFrame([("m", i, [float(v) for v in f.ravel()]) for i, f in enumerate(stack)], "recording_id string, frame_idx long, pixels array<double>")
+    got = np.array([r["pixels"] for r in movie.denoise(frames, 6, 8, 20.0, 2.0, 0.5).orderBy("frame_idx").collect()])
+    freq = [[(y - 6 * (y >= 3), x - 8 * (x >= 4)) for x in range(8)] for y in range(6)]
+    mask = np.array([[np.hypot(y, x) <= 2.0 and not (abs(x) <= 0.5 and abs(y) > 1) for y, x in row] for row in freq])
+    clean = np.fft.ifft2(np.fft.fft2(stack) * mask).real.reshape(90, -1)
+    target = kernels.zero_phase(stack.reshape(90, -1).mean(axis=1), 6, 3.0, "low", 20.0)
+    assert np.abs(got - np.clip(clean * (target / clean.mean(axis=1))[:, None], 0, 255)).max() < 1e-8
+    assert movie.denoise(frames.limit(5), 6, 8, 20.0, 2.0, 0.5).count() == 5
+
+
+@pytest.mark.parametrize("n", [30, 400])
+def test_paired_tests_match_the_kernels_on_whole_groups(spark, n):
+    from axonflow.functions import statistics as kernels
+
+    rng = np.random.default_rng(n)
+    tied = np.round(rng.normal(0.2, 1, n), 1)
+    groups = {"fine": rng.normal(0.2, 1, n), "tied": tied, "flat": np.zeros(n), "few": rng.normal(size=3), None: rng.normal(size=n)}
+    rows = spark.createDataFrame([(g, 0.0, float(v)) for g, d in groups.items() for v in d] + [("few", None, 1.0), ("few", 0.0, math.inf)], "drug string, control double, treatment double")
+    out = {r["drug"]: r for r in stats.paired_tests(rows, ["drug"]).collect()}
+    assert set(out) == set(groups)
+    for g in ("fine", "tied", None):
+        w, p = kernels.signed_rank(groups[g])
+        assert out[g]["n"] == n and math.isclose(out[g]["statistic"], w) and math.isclose(out[g]["p_value"], p, rel_tol=1e-9)
+    assert out["flat"]["test"] == "Paired t-test (fallback)" and out["few"]["test"] == "insufficient_n" and out["few"]["n"] == 3
+    t = {r["drug"]: r for r in stats.paired_tests(rows, ["drug"], "t").collect()}
+    assert math.isclose(t["fine"]["p_value"], kernels.paired_t(groups["fine"])[1], rel_tol=1e-9)
+
+
+@pytest.mark.parametrize("n", [9, 10])
+def test_resampled_medians_have_the_exact_distribution(spark, n):
+    """Share of resamples with a median at most v, against 20,000 resamples drawn in full."""
+    from axonflow.functions import statistics as kernels
+
+    data = np.array([0.0, 1, 1, 2, 5, 7, 8, 11, 12, 20])[:n]
+    rows = spark.createDataFrame([("g", float(v)) for v in data] + [(None, 1.0), ("g", None)], "drug string, x double")
+    low, high = kernels.median_places(n, 20_000, 3)
+    mine, full = (data[low] + data[high]) / 2, kernels.bootstrap(data, "median", 20_000, 4)
+    for v in np.unique(full):
+        assert abs((mine <= v).mean() - (full <= v).mean()) < 0.02
+    out = {r["drug"]: r for r in stats.bootstrap_interval(rows, ["drug"], "x").collect()}
+    assert set(out) == {"g", None} and out[None]["low"] == out[None]["high"] == 1.0
+    assert (out["g"]["low"], out["g"]["point"], out["g"]["high"]) == (*np.percentile(full, [2.5]), np.median(data), *np.percentile(full, [97.5]))
+    means = stats.bootstrap_interval(rows, ["drug"], "x", "mean", 400).where("drug = 'g'").first()
+    assert means["low"] < data.mean() < means["high"]
+
+
+def test_correlation_corrected_for_autocorrelation(spark):
+    rng = np.random.default_rng(8)
+    x = np.cumsum(rng.normal(size=80))
+    y = 0.3 * x + rng.normal(size=80)
+    pairs = spark.createDataFrame([("s", i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y, strict=True))], "subject string, idx long, x double, y double")
+    out = stats.robust_correlation(pairs, ["subject"], max_lags=10).first()
+    cx, cy = x - x.mean(), y - y.mean()
+    both = sum((cx[:-k] @ cx[k:]) / (cx @ cx) * (cy[:-k] @ cy[k:]) / (cy @ cy) for k in range(1, 11))
+    n = min(80, max(3, 80 / (1 + 2 * max(0, both))))
+    r = np.corrcoef(x, y)[0, 1]
+    assert math.isclose(out["r"], r, rel_tol=1e-9) and out["n_effective"] == math.floor(n)
+    assert math.isclose(out["ci_lower"], math.tanh(math.atanh(r) - 1.959963984540054 / math.sqrt(n - 3)), rel_tol=1e-6)
+    assert out["p_value"] < out["p_value_corrected"] < 1
+
+
+def test_document_of_unit_events(spark):
+    import json
+
+    rows = spark.createDataFrame([("r", 3, 9), ("r", 3, 4), ("r", 1, 7)], "recording_id string, unit_id int, idx long")
+    out = results.unit_event_document(rows, 30.0, 1, 10.0).collect()
+    assert [r["recording_id"] for r in out] == ["r"]
+    assert json.loads(out[0]["document"]) == {"events": {"1": [7], "3": [4, 9]}, "frame_rate": 30.0, "derivative": 1, "threshold": 10.0, "index": "differenced trace"}
+
+
 def test_sheets(spark, tmp_path):
     good = tmp_path / "good.csv"
     good.write_text("line number,id,,date (YYMMDD),CSCs,box\n1,A,,230706,CSC1;CSC2,\"(174,391, 453,133)\"\n\n2,B,,NA,CSC3,NA\n")

@@ -42,6 +42,6 @@ def test_query(spark, con, name):
     for a, b in zip(have, want, strict=True):
         for x, y in zip(a, b, strict=True):
             if isinstance(x, float) and isinstance(y, float):
-                assert math.isclose(x, y, rel_tol=1e-6, abs_tol=2e-4)
+                assert math.isclose(x, y, rel_tol=1e-9, abs_tol=1e-8)
             else:
                 assert x == y

@@ -12,13 +12,13 @@ DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 def test_queries_take_all_rows(spark):
     run = lambda name: registry.queries()[name](spark, DATA)
     events, vectors = spark.read.parquet(f"{DATA}/events.parquet").count(), spark.read.parquet(f"{DATA}/embeddings.parquet").count()
-    for name in ("m1_sorted_events_all", "j3_phase_at_events_all", "s5_read_notes_all"):
+    for name in ("m1_sorted_events", "j3_phase_at_events", "s5_read_notes"):
         assert run(name).count() == events, name
-    for name in ("a29_footprint_outline_all", "a31_unit_summary_all"):
+    for name in ("a29_footprint_outline", "a31_unit_summary"):
         assert run(name).select("recording_id", "unit_id").distinct().count() == vectors, name
-    black = run("a30_blacked_out_all")
+    black = run("a30_blacked_out")
     assert black.count() == vectors and 0 < black.where("mean != 0").count()
-    assert {r["frame_idx"] for r in run("a30_activity_movie_all").select("frame_idx").distinct().collect()} == set(range(64))
+    assert {r["frame_idx"] for r in run("a30_activity_movie").select("frame_idx").distinct().collect()} == set(range(64))
 
 
 def test_random_queries_take_the_default_numbers_of_draws(spark, monkeypatch):
@@ -39,5 +39,5 @@ def test_hours_before_and_after_the_thirty_days_stay(spark, tmp_path):
     hours = {(r["recording_id"], r["idx"]): r["value"] for r in views.hourly(spark, str(tmp_path)).collect()}
     assert (hours["a", -2], hours["a", 0], hours["a", 745], hours["b", 96]) == (2.0, 3.0, 5.0, 7.0)
     assert [sum(k[0] == x for k in hours) for x in "abc"] == [748, 720, 720]
-    found = registry.queries()["j3_phase_at_events_all"](spark, str(tmp_path)).collect()
+    found = registry.queries()["j3_phase_at_events"](spark, str(tmp_path)).collect()
     assert {r["event_id"]: r["value"] for r in found} == {1: 2.0, 2: 3.0, 3: 5.0, 4: 7.0}
