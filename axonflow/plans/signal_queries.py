@@ -290,6 +290,7 @@ QUERIES = {
     "p5_power_db": (p5, f"WITH {HOURLY} SELECT recording_id, idx, CASE WHEN value > 0 THEN round(10 * log10(value), 6) END AS db FROM hourly"),
     "p7_coherence": (p7, f"WITH {FILLED}, {_PAIR}, w AS (SELECT recording_id, k, i, x - avg(x) OVER (PARTITION BY recording_id, k) AS x, y - avg(y) OVER (PARTITION BY recording_id, k) AS y FROM (SELECT unnest(range(0, ({HOURS} - 32) // 16 + 1)) AS k), p, (SELECT unnest(range(0, 32)) AS i) WHERE p.idx = k * 16 + i), h AS (SELECT recording_id, k, i, x * (0.5 - 0.5 * cos(2 * pi() * i / 32)) AS x, y * (0.5 - 0.5 * cos(2 * pi() * i / 32)) AS y FROM w), f AS (SELECT recording_id, k, q, sum(x * cos(2 * pi() * q * i / 32)) AS xr, -sum(x * sin(2 * pi() * q * i / 32)) AS xi, sum(y * cos(2 * pi() * q * i / 32)) AS yr, -sum(y * sin(2 * pi() * q * i / 32)) AS yi FROM h, (SELECT unnest(range(0, 17)) AS q) GROUP BY ALL), s AS (SELECT recording_id, q, sum(xr * xr + xi * xi) AS xx, sum(yr * yr + yi * yi) AS yy, sum(xr * yr + xi * yi) AS re, sum(xr * yi - xi * yr) AS im FROM f GROUP BY ALL) SELECT recording_id, round(q / 32, 6) AS freq, round((re * re + im * im) / (xx * yy), 6) AS coherence FROM s"),
     "p8_cross_correlation": (p8, f"WITH {FILLED}, {_PAIR}, z AS (SELECT recording_id, idx, (x - avg(x) OVER w) / (stddev_pop(x) OVER w * count(*) OVER w + 1e-12) AS x, (y - avg(y) OVER w) / (stddev_pop(y) OVER w + 1e-12) AS y FROM p WINDOW w AS (PARTITION BY recording_id)) SELECT a.recording_id, CAST(b.idx - a.idx AS INTEGER) AS lag, round(sum(a.x * b.y), 6) AS value FROM z a JOIN z b ON a.recording_id = b.recording_id AND b.idx - a.idx BETWEEN -10 AND 10 GROUP BY a.recording_id, b.idx - a.idx"),
+    "p10_coherogram": (p10, f"WITH {FILLED}, {_PAIR}, w AS (SELECT recording_id, k, i, x - avg(x) OVER v AS x, y - avg(y) OVER v AS y FROM (SELECT unnest(range(0, ({HOURS} - 48) // 24 + 1)) AS k), p, (SELECT unnest(range(0, 48)) AS i) WHERE p.idx = k * 24 + i WINDOW v AS (PARTITION BY recording_id, k)), h AS (SELECT recording_id, k, i, x * (0.5 - 0.5 * cos(2 * pi() * i / 48)) AS x, y * (0.5 - 0.5 * cos(2 * pi() * i / 48)) AS y FROM w), f AS (SELECT recording_id, k, q, sum(x * cos(2 * pi() * q * i / 48)) AS xr, -sum(x * sin(2 * pi() * q * i / 48)) AS xi, sum(y * cos(2 * pi() * q * i / 48)) AS yr, -sum(y * sin(2 * pi() * q * i / 48)) AS yi FROM h, (SELECT unnest(range(0, 25)) AS q) GROUP BY ALL), s AS (SELECT recording_id, k, q, avg(xr * xr + xi * xi) OVER n AS xx, avg(yr * yr + yi * yi) OVER n AS yy, avg(xr * yr + xi * yi) OVER n AS re, avg(xr * yi - xi * yr) OVER n AS im FROM f WINDOW n AS (PARTITION BY recording_id, q ORDER BY k ROWS BETWEEN 3 PRECEDING AND 4 FOLLOWING)) SELECT recording_id, CAST(k * 24 + 24 AS DOUBLE) AS t, round(q / 48, 6) AS freq, round((re * re + im * im) / (xx * yy), 6) AS coherence FROM s"),
     "p1_zero_phase": (p1, None), "p1_zero_phase_fir": (p1_fir, None), "p3_phase_and_envelope": (p3, None), "p4_multitaper_spectrogram": (p4, None), "p6_band_power": (p6, None),
-    "p9_signal_statistics": (p9, None), "p10_coherogram": (p10, None), "p11_wavelet_transform": (p11, None), "p12_oscillatory_events": (p12, None),
+    "p9_signal_statistics": (p9, None), "p11_wavelet_transform": (p11, None), "p12_oscillatory_events": (p12, None),
 }

@@ -293,5 +293,6 @@ QUERIES = {
     "s12_file_names": (s12, "SELECT c_custkey, c_mktsegment || '__a_b_c_d' AS name FROM customer"),
     "s13_pending_work": (s13, "SELECT c_custkey AS subject FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')"),
     "s14_run_log": (s14, "WITH c AS (SELECT o_custkey, count(*) AS k FROM orders GROUP BY ALL) SELECT 'halves' AS analysis, CASE WHEN k % 2 = 0 THEN 'completed' ELSE 'skipped' END AS status, count(*) AS n FROM c GROUP BY ALL"),
-    "a22_paired_tests": (a22, None), "a23_bootstrap_interval": (a23, None), "m9_correlation_p": (m9, None), "p13_denoise": (p13, None), "s15_unit_event_document": (s15, None), "w20_delta_f": (w20, None),
+    "w20_delta_f": (w20, f"WITH {PIXELS}, l AS (SELECT recording_id, min(value) AS least FROM pixels GROUP BY ALL), x AS (SELECT p.recording_id, frame_idx, pixel, frame_idx // 100 AS w, value - least(l.least, 0) + CASE WHEN greatest(l.least, 0) = 0 THEN 1 ELSE 0 END AS x FROM pixels p JOIN l ON l.recording_id = p.recording_id), b AS (SELECT recording_id, pixel, w, quantile_cont(x, 0.08::DOUBLE) AS b, avg(frame_idx) AS c FROM x GROUP BY ALL), n AS (SELECT *, lag(b) OVER v AS pb, lag(c) OVER v AS pc, lead(b) OVER v AS nb, lead(c) OVER v AS nc FROM b WINDOW v AS (PARTITION BY recording_id, pixel ORDER BY w)), y AS (SELECT x.recording_id, frame_idx, x.pixel, x, coalesce(CASE WHEN frame_idx < c THEN b + (pb - b) * (frame_idx - c) / (pc - c) ELSE b + (nb - b) * (frame_idx - c) / (nc - c) END, b) AS b FROM x JOIN n ON n.recording_id = x.recording_id AND n.pixel = x.pixel AND n.w = x.w) SELECT recording_id, frame_idx, pixel, round((x - b) / b, 6) AS value FROM y"),
+    "a22_paired_tests": (a22, None), "a23_bootstrap_interval": (a23, None), "m9_correlation_p": (m9, None), "p13_denoise": (p13, None), "s15_unit_event_document": (s15, None),
 }
