@@ -143,20 +143,43 @@ def _seconds(spark, d):
     return views.trains(spark, d).select("recording_id", "unit_id", (F.col("t") / 1_000_000).alias("t"))
 
 
+#: Span of the surrogates' support, and their largest jitter, in seconds.
+SUPPORT, JITTER = 2_592_000.0, 600.0
+
+
+def _draws(rows, *checks):
+    """A row for each draw of each train: its events, and what the draw has to keep."""
+    return rows.groupBy("recording_id", "unit_id", "replicate").agg(F.count(F.lit(1)).alias("n"), *checks)
+
+
+def _inside():
+    return F.count_if((F.col("t") >= 0) & (F.col("t") < SUPPORT)).alias("inside")
+
+
 def w15(spark, d, draws=DRAWS):
-    return surrogate.jitter(_seconds(spark, d), 600.0, draws, seed=3).select("recording_id", "unit_id", "replicate", "event_idx", "t")
+    """Of each draw: events that moved, and events within the jitter of their own time."""
+    rows = surrogate.jitter(_seconds(spark, d).withColumn("t0", F.col("t")), JITTER, draws, seed=3)
+    way = F.abs(F.col("t") - F.col("t0"))
+    return _draws(rows, F.count_if(way > 0).alias("moved"), F.count_if(way <= JITTER + 1e-6).alias("near"))
 
 
 def w16(spark, d, draws=DRAWS):
-    return surrogate.shift(_seconds(spark, d), 0.0, 2_592_000.0, draws, seed=3, mode="wrap").select("recording_id", "unit_id", "replicate", "event_idx", "t")
+    """Of each draw: events inside the support, and whether all moved by one shift around it."""
+    rows = surrogate.shift(_seconds(spark, d).withColumn("t0", F.col("t")), 0.0, SUPPORT, draws, seed=3, mode="wrap")
+    way = F.pmod(F.col("t") - F.col("t0"), F.lit(SUPPORT))
+    return _draws(rows, _inside(), (F.max(way) - F.min(way) < 1e-3).alias("one_shift"))
 
 
 def w17(spark, d, draws=DRAWS):
-    return surrogate.shuffle_intervals(views.trains(spark, d).select("recording_id", "unit_id", "t"), draws, seed=3).select("recording_id", "unit_id", "replicate", "event_idx", "t")
+    """Of each draw: the number, least, largest and summed intervals, which are those of the train."""
+    rows = surrogate.shuffle_intervals(views.trains(spark, d).select("recording_id", "unit_id", "t"), draws, seed=3)
+    gaps = correlogram.intervals(rows, ["recording_id", "unit_id", "replicate"])
+    return _draws(gaps, *(f("interval").cast("long").alias(n) for f, n in ((F.min, "shortest"), (F.max, "longest"), (F.sum, "summed"))))
 
 
 def w18(spark, d, draws=DRAWS):
-    return surrogate.poisson(_seconds(spark, d), 0.0, 2_592_000.0, draws, seed=3)
+    """Of each draw: events inside the support."""
+    return _draws(surrogate.poisson(_seconds(spark, d), 0.0, SUPPORT, draws, seed=3), _inside())
 
 
 def _close_intervals(trains, extra):
@@ -167,7 +190,7 @@ def _close_intervals(trains, extra):
 
 def u2(spark, d, draws=DRAWS):
     trains = _seconds(spark, d)
-    null = _close_intervals(surrogate.poisson(trains, 0.0, 2_592_000.0, draws, seed=3), ["replicate"])
+    null = _close_intervals(surrogate.poisson(trains, 0.0, SUPPORT, draws, seed=3), ["replicate"])
     return surrogate.permutation_test(_close_intervals(trains, []), null, ["recording_id", "unit_id"], "greater")
 
 
@@ -187,6 +210,13 @@ def j3(spark, d):
     return align.phase_at_events(events, signal).select("recording_id", "event_id", "idx", F.round("value", 6).alias("value"))
 
 
+def _draws_sql(checks: str, rows: str = "trains") -> str:
+    """What every draw of a train has to keep is the same, so it is computed once and repeated for each draw."""
+    gaps = "gaps AS (SELECT recording_id, unit_id, t - lag(t) OVER (PARTITION BY recording_id, unit_id ORDER BY t) AS x FROM trains)"
+    kept = f"kept AS (SELECT recording_id, unit_id, count(*) AS n, {checks} FROM {rows} GROUP BY ALL)"
+    return f"WITH {TRAINS}, {gaps}, {kept} SELECT kept.*, CAST(r.r AS INTEGER) AS replicate FROM kept CROSS JOIN (SELECT unnest(range(0, {DRAWS})) AS r) r"
+
+
 _RATES = "rates AS (SELECT recording_id, unit_id, count(*) AS n_events, CASE WHEN count(*) >= 2 AND max(t) > min(t) THEN count(*) / (max(t) - min(t)) ELSE 0.0 END AS rate FROM trains GROUP BY ALL)"
 _BINNED = f"CAST((b.t - a.t + {HALF}) // {BIN} AS INTEGER) AS bin"
 _NEAR = f"b.t - a.t >= -{HALF} AND b.t - a.t < {HALF}"
@@ -219,5 +249,9 @@ QUERIES = {
     "a12_mean_density": (a12, f"WITH {PHASES}, b AS (SELECT recording_id, unit_id, least(floor((phase + {views.math.pi!r}) / {views.math.pi / 9!r}), 17) AS bin FROM phases), c AS (SELECT recording_id, unit_id, bin, count(*) AS n FROM b GROUP BY ALL), k AS (SELECT recording_id, unit_id, sum(n) AS total FROM c GROUP BY ALL), h AS (SELECT k.recording_id, k.unit_id, g.bin, coalesce(c.n, 0) / (k.total * {views.math.pi / 9!r}) AS density FROM k CROSS JOIN (SELECT unnest(range(0, 18)) AS bin) g LEFT JOIN c ON c.recording_id = k.recording_id AND c.unit_id = k.unit_id AND c.bin = g.bin) SELECT recording_id, CAST(bin AS INTEGER) AS bin, round(avg(density), 8) AS mean_density, round(stddev_pop(density) / sqrt(count(*)), 8) AS sem FROM h GROUP BY ALL"),
     "a12_mean_vector": (a12_vector, f"WITH {PHASES}, u AS (SELECT recording_id, unit_id, avg(cos(phase)) AS c, avg(sin(phase)) AS s FROM phases GROUP BY ALL), m AS (SELECT recording_id, avg(c) AS c, avg(s) AS s FROM u GROUP BY ALL) SELECT recording_id, round(atan2(s, c), 6) AS theta, round(sqrt(c * c + s * s), 8) AS radius FROM m"),
     "u1_apply_to_units": (u1, f"WITH {TRAINS}, c AS (SELECT recording_id, unit_id, t // {DAY} AS day, count(*) AS n FROM trains GROUP BY ALL) SELECT recording_id, unit_id, CAST(sum(n) AS BIGINT) AS n, max(n) AS busiest FROM c GROUP BY ALL"),
-    "u2_permutation_test": (u2, None), "w15_jitter": (w15, None), "w16_shift": (w16, None), "w17_shuffle_intervals": (w17, None), "w18_poisson": (w18, None),
+    "u2_permutation_test": (u2, None),
+    "w15_jitter": (w15, _draws_sql("count(*) AS moved, count(*) AS near")),
+    "w16_shift": (w16, _draws_sql("count(*) AS inside, true AS one_shift")),
+    "w17_shuffle_intervals": (w17, _draws_sql("min(x) AS shortest, max(x) AS longest, CAST(sum(x) AS BIGINT) AS summed", "gaps WHERE x IS NOT NULL")),
+    "w18_poisson": (w18, _draws_sql("count(*) AS inside")),
 }

@@ -51,6 +51,13 @@ def s8(spark, d):
     return out.select("time", F.round("acq_clk_hz", 2).alias("acq_clk_hz"), "block_read_sz", "block_write_sz")
 
 
+def s9(spark, d):
+    path = scratch_path(spark, "fifo")
+    o = table(spark, d, "orders")
+    o.select(F.col("o_orderkey").alias("Clock"), F.col("o_custkey").alias("Bytes"), F.round("o_totalprice", 2).alias("Percent")).write.csv(path, header=True)
+    return sheets.read_fifo_use(spark, path).select("clock", "bytes", F.round("percent", 2).alias("percent"))
+
+
 def s10(spark, d):
     """Nations are the subjects of the design, which is laid over all customers."""
     path = scratch_path(spark, "design")
@@ -86,6 +93,7 @@ QUERIES = {
     "s4_read_frame_times": (s4, f"WITH {TRAINS} SELECT event_id AS frame_idx, round(t / 1000000, 6) AS t FROM trains"),
     "s5_read_notes": (s5, f"WITH {TRAINS} SELECT round(t / 1000000, 6) AS t, recording_id AS label FROM trains"),
     "s8_read_start_time": (s8, "SELECT strftime(o_orderdate, '%Y-%m-%d') AS time, round(o_totalprice, 2) AS acq_clk_hz, o_orderkey AS block_read_sz, o_custkey AS block_write_sz FROM orders"),
+    "s9_read_fifo_use": (s9, "SELECT o_orderkey AS clock, o_custkey AS bytes, round(o_totalprice, 2) AS percent FROM orders"),
     "s10_read_design": (s10, "SELECT c_custkey, CAST(n_nationkey AS VARCHAR) AS subject, r_name AS condition, r_name != 'ASIA' AS is_drug, p.period, p.start_min::DOUBLE AS start_min, p.end_min::DOUBLE AS end_min FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey, (VALUES ('control', 0, 10), ('treatment', 15, 25)) p(period, start_min, end_min)"),
     "s12_write_results": (s12_files, "SELECT c_custkey, c_mktsegment || '__a' AS drug, CAST(c_nationkey % 3 AS VARCHAR) AS channel FROM customer"),
     "s13_append_new": (s13_append, "SELECT o_custkey % 5 AS part, count(*) AS n FROM orders GROUP BY ALL"),
