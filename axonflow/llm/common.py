@@ -19,11 +19,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows that Spark gathers for a Python worker at a time while a table is written; whole texts make its default large.
+ARROW_ROWS = 1000
+_ARROW_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextlib.contextmanager
+def short_arrow_batches(spark: SparkSession):
+    """Jobs started inside send ``ARROW_ROWS`` rows at most to a worker at a time, which bounds both sides' buffers."""
+    before = spark.conf.get(_ARROW_SETTING)
+    if 0 < int(before) <= ARROW_ROWS:
+        yield
+        return
+    spark.conf.set(_ARROW_SETTING, ARROW_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(_ARROW_SETTING, before)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with short_arrow_batches(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

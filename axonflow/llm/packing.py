@@ -88,7 +88,8 @@ class WordEncoder:
         if steps != ["NFC", "Replace", "Lowercase", "Split", "ByteLevel"]:
             raise ValueError("a vocabulary of words in lower case is needed")
         self.tokenizer = Tokenizer.from_str(vocabulary)
-        self.cutter = Tokenizer.from_str(json.dumps(kind | {"normalizer": None, "added_tokens": []}))
+        self.cutter = Tokenizer(self.tokenizer.model)  # shares the vocabulary, without normaliser and added tokens
+        self.cutter.pre_tokenizer = self.tokenizer.pre_tokenizer
         self.merger = Tokenizer(self.tokenizer.model)
         self.merger.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         added = self.tokenizer.get_added_tokens_decoder().values()
