@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from axonflow.llm import bpe, chat, exact_dedup, fim, hamming, line_dedup, minhash, packing, repair, secrets, toxicity, warc
+from axonflow.llm import bpe, chat, exact_dedup, fim, hamming, html_extract, line_dedup, minhash, packing, repair, secrets, toxicity, warc
 
-MODULES = (warc, hamming, line_dedup, secrets, bpe, packing, minhash, chat, toxicity, exact_dedup, repair, fim)
+MODULES = (warc, hamming, line_dedup, secrets, bpe, packing, minhash, chat, toxicity, exact_dedup, repair, html_extract, fim)
 
 
 def queries():
