@@ -126,9 +126,11 @@ def text_moves(texts: list[str]) -> np.ndarray:
     """Moves within all runs of the texts that are too short to be tested."""
     classes = _CLASS_OF[np.frombuffer("\n".join(texts).encode("utf-8", "replace"), np.uint8)]
     edges = np.flatnonzero(np.diff(classes >= 0, prepend=False, append=False))
-    for start, end in zip(edges[::2], edges[1::2], strict=True) if len(edges) else ():
-        if end - start >= TOKEN_LEAST:
-            classes[start:end] = -1
+    starts, lengths = edges[::2], edges[1::2] - edges[::2]
+    starts, lengths = starts[lengths >= TOKEN_LEAST], lengths[lengths >= TOKEN_LEAST]
+    # places of the long runs' characters, all at once
+    within = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    classes[np.repeat(starts, lengths) + within] = -1
     return moves(classes)
 
 
