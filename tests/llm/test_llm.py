@@ -555,6 +555,28 @@ def test_toxicity_on_held_out_rows(spark):
     assert {r["doc_id"] for r in got} == {i for i in [*range(900), 9001, 9002] if zlib.crc32(str(i).encode()) % 5 == 0}
 
 
+def test_toxicity_with_labels_of_one_kind(spark):
+    df = spark.createDataFrame([(i, f"text {i} some words") for i in range(60)] + [(60, None)], "doc_id long, text string")
+    labels = lambda toxic: spark.createDataFrame([(i, 1, toxic) for i in range(40)], "doc_id long, quality int, toxic int")
+    for toxic in (1, 0):
+        scores = [r["score"] for r in toxicity.score(df, toxicity.fit(df, labels(toxic))).collect()]
+        assert len(scores) == 61 and all(0 <= s <= 1 for s in scores) and (toxic or not any(scores))
+    none = toxicity.fit(df.limit(0), labels(1).limit(0))
+    assert toxicity.score(df.limit(0), none).count() == 0
+
+
+def test_the_cut_balances_recall_and_precision():
+    rng = np.random.default_rng(9)
+    bad = lambda: np.unique(np.concatenate([rng.integers(0, 3, 1), rng.integers(3, 60, 8)]))
+    fine = lambda: np.unique(rng.integers(3, 60, 9))
+    positive, unlabelled = [bad() for _ in range(90)], [bad() if rng.random() < 0.1 else fine() for _ in range(900)]
+    weights, intercept = toxicity.train(positive, unlabelled, 0.1, 60)
+    least = toxicity.cut(positive, unlabelled, 0.1, 60)
+    score = lambda rows: toxicity._margin(weights, intercept - least, *toxicity._flat(rows)) >= 0
+    assert score([bad() for _ in range(500)]).mean() >= 0.9 and score([fine() for _ in range(500)]).mean() <= 0.1
+    assert toxicity.cut(positive[:3], unlabelled, 0.1, 60) == 0.0
+
+
 def test_scores_and_risk_match_brute_force():
     rng = np.random.default_rng(5)
     texts = ["Bad worse WORST", None, "", "ok ok fine", "é bad-worse"]
