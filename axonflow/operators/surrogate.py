@@ -1,71 +1,250 @@
 """Surrogate event trains, permutation tests and functions over units.
 
-Randomness is a hash of seed, replicate, unit and event, never ``rand``: results do not depend on the partitions.
+A draw's random numbers are the SplitMix64 sequence whose key is the beginning of SHA-256 of ``seed:recording:unit:replicate``, so
+they depend on nothing else and other engines can replay them. Trains are packed as one sorted array each and go, with a
+block of draws, to a task; surrogates are made there and either written out or folded into a statistic at once, so that no
+surrogate is ever shuffled or sorted by Spark. A long train's draws are cut into as many blocks as keep all tasks busy. A task
+holds one train and one draw of it, 8 bytes an event each (Poisson draws need the number of events alone).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+import math
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KEYS = ["recording_id", "unit_id"]
 
+#: Values that a block of draws makes, about.
+BLOCK = 1 << 20
 
-def uniform(seed: int, *columns: str) -> Column:
-    """Uniform number in [0, 1), fixed by the seed and the columns."""
-    return F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(1 << 53)) / float(1 << 53)
+# SplitMix64: fixed values.
+_GAMMA, _MIX_1, _MIX_2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
-def replicates(trains: DataFrame, n: int) -> DataFrame:
-    """Every train ``n`` times: adds replicate (from 0) and event_idx (from 0)."""
-    rows = trains.withColumn("event_idx", F.row_number().over(Window.partitionBy(*KEYS).orderBy("t")) - 1)
-    return rows.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+def stream_key(seed: int, recording, unit, replicate: int) -> int:
+    name = ":".join("" if x is None else str(x) for x in (seed, recording, unit, replicate))
+    return int.from_bytes(hashlib.sha256(name.encode()).digest()[:8], "big")
 
 
-def jitter(trains: DataFrame, max_jitter: float, n: int, seed: int = 0, support: tuple[float, float] | None = None) -> DataFrame:
+def bits(key: int, n: int) -> np.ndarray:
+    """The first ``n`` numbers of a key's sequence, 53 bits each."""
+    with np.errstate(over="ignore"):
+        z = np.uint64(key) + np.arange(1, n + 1, dtype=np.uint64) * _GAMMA
+        z = (z ^ (z >> np.uint64(30))) * _MIX_1
+        z = (z ^ (z >> np.uint64(27))) * _MIX_2
+        return (z ^ (z >> np.uint64(31))) >> np.uint64(11)
+
+
+def uniforms(key: int, n: int) -> np.ndarray:
+    """The same in [0, 1)."""
+    return bits(key, n) / float(1 << 53)
+
+
+@dataclass(frozen=True)
+class Jitter:
     """t plus a uniform number within +-max_jitter; events that leave the support, if given, are dropped."""
-    if max_jitter <= 0:
-        raise ValueError("max_jitter has to be positive")
-    moved = F.col("t") + (2 * uniform(seed, "replicate", *KEYS, "event_idx") - 1) * max_jitter
-    rows = replicates(trains, n).withColumn("t", moved)
-    return rows if support is None else rows.where(F.col("t").between(*support))
 
+    max_jitter: float
+    support: tuple[float, float] | None = None
 
-def shift(trains: DataFrame, t_start: float, t_end: float, n: int, seed: int = 0, mode: str = "drop", min_shift: float = 0.0, max_shift: float | None = None) -> DataFrame:
+    def __post_init__(self):
+        if self.max_jitter <= 0:
+            raise ValueError("max_jitter has to be positive")
+
+    def __call__(self, times: np.ndarray, key: int) -> tuple[np.ndarray, np.ndarray | None]:
+        moved = times + (2 * uniforms(key, len(times)) - 1) * self.max_jitter
+        return moved, None if self.support is None else (moved >= self.support[0]) & (moved <= self.support[1])
+
+
+@dataclass(frozen=True)
+class Shift:
     """One random shift for each train; events beyond the support are dropped or wrapped round."""
-    if t_end <= t_start or mode not in ("drop", "wrap"):
-        raise ValueError("the support is empty or the mode unknown")
-    most = t_end - t_start if max_shift is None else max_shift
-    if most < min_shift:
-        raise ValueError("max_shift has to be min_shift at least")
-    moved = F.col("t") + min_shift + uniform(seed, "replicate", *KEYS) * (most - min_shift)
-    rows = replicates(trains, n)
-    if mode == "wrap":
-        return rows.withColumn("t", t_start + F.pmod(moved - t_start, F.lit(float(t_end - t_start))))
-    return rows.withColumn("t", moved).where(F.col("t").between(t_start, t_end))
 
+    t_start: float
+    t_end: float
+    mode: str = "drop"
+    min_shift: float = 0.0
+    max_shift: float | None = None
 
-def shuffle_intervals(trains: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    def __post_init__(self):
+        if self.t_end <= self.t_start or self.mode not in ("drop", "wrap"):
+            raise ValueError("the support is empty or the mode unknown")
+        if self._most() < self.min_shift:
+            raise ValueError("max_shift has to be min_shift at least")
+
+    def _most(self) -> float:
+        return self.t_end - self.t_start if self.max_shift is None else self.max_shift
+
+    def __call__(self, times: np.ndarray, key: int) -> tuple[np.ndarray, np.ndarray | None]:
+        moved = times + (self.min_shift + float(uniforms(key, 1)[0]) * (self._most() - self.min_shift))
+        if self.mode == "wrap":
+            return self.t_start + np.mod(moved - self.t_start, float(self.t_end - self.t_start)), None
+        return moved, (moved >= self.t_start) & (moved <= self.t_end)
+
+
+@dataclass(frozen=True)
+class ShuffleIntervals:
     """The intervals of each train in another order, from the same first event."""
-    train = Window.partitionBy("replicate", *KEYS)
-    rows = replicates(trains, n)
-    rows = rows.withColumn("_d", F.col("t") - F.lag("t").over(train.orderBy("event_idx"))).withColumn("_t0", F.min("t").over(train))
-    order = train.orderBy(F.col("event_idx") > 0, F.xxhash64(F.lit(seed), "replicate", *KEYS, "event_idx"), "event_idx")
-    rows = rows.withColumn("t", F.col("_t0") + F.sum(F.coalesce("_d", F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.drop("_d", "_t0")
 
+    def __call__(self, times: np.ndarray, key: int) -> tuple[np.ndarray, np.ndarray | None]:
+        gaps = np.diff(times)[np.argsort(bits(key, max(len(times) - 1, 0)), kind="stable")]
+        return times[:1].repeat(len(times)) + np.concatenate([np.zeros(1, times.dtype), np.cumsum(gaps)])[: len(times)], None
 
-def poisson(trains: DataFrame, t_start: float, t_end: float, n: int, seed: int = 0, events: int | None = None) -> DataFrame:
+
+@dataclass(frozen=True)
+class Poisson:
     """As many uniform times on the support as each train has events, or ``events`` of them."""
-    if t_end <= t_start:
-        raise ValueError("the support is empty")
-    counts = trains.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_n")) if events is None else trains.select(*KEYS).distinct().withColumn("_n", F.lit(events))
-    rows = counts.where("_n > 0").withColumn("event_idx", F.explode(F.sequence(F.lit(0), (F.col("_n") - 1).cast("int"))))
-    rows = rows.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    return rows.select(*KEYS, "event_idx", "replicate", (t_start + uniform(seed, "replicate", *KEYS, "event_idx") * (t_end - t_start)).alias("t"))
+
+    t_start: float
+    t_end: float
+    events: int | None = None
+
+    def __post_init__(self):
+        if self.t_end <= self.t_start:
+            raise ValueError("the support is empty")
+
+    def __call__(self, times: np.ndarray, key: int) -> tuple[np.ndarray, np.ndarray | None]:
+        n = len(times) if self.events is None else self.events
+        return self.t_start + uniforms(key, n) * (self.t_end - self.t_start), None
+
+
+Surrogate = Jitter | Shift | ShuffleIntervals | Poisson
+
+
+def packed(trains: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """One row a train: keys and its sorted times; events without a time are left out."""
+    return trains.groupBy(*(keys or KEYS)).agg(F.sort_array(F.collect_list("t")).alias("times")).where("size(times) > 0")
+
+
+def _blocks(trains: DataFrame, draws: int) -> DataFrame:
+    """Packed trains, each as often as its draws are cut into blocks: keys, times, _from, _upto."""
+    tasks = 2 * trains.sparkSession.sparkContext.defaultParallelism
+    rows = packed(trains).withColumn("_blocks", F.least(F.lit(tasks), F.lit(draws), F.ceil(F.size("times") * float(draws) / BLOCK)).cast("int"))
+    rows = rows.withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    edge = lambda b: F.floor(b * F.lit(draws) / F.col("_blocks")).cast("long")
+    return rows.repartition(tasks, *KEYS, "_b").select(*KEYS, "times", edge(F.col("_b")).alias("_from"), edge(F.col("_b") + 1).alias("_upto"))
+
+
+def _each(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[tuple]:
+    """recording, unit, times, and the draws' numbers and keys, block by block."""
+    for batch in batches:
+        recordings, units, lists, first, upto = (batch.column(i) for i in range(5))
+        for row in range(batch.num_rows):
+            recording, unit = recordings[row].as_py(), units[row].as_py()
+            draws = range(first[row].as_py(), upto[row].as_py())
+            yield recording, unit, lists[row].values.to_numpy(zero_copy_only=False), ((d, stream_key(seed, recording, unit, d)) for d in draws)
+
+
+def _sorted_draw(surrogate: Surrogate, times: np.ndarray, key: int) -> np.ndarray:
+    moved, kept = surrogate(times, key)
+    return np.sort(moved if kept is None else moved[kept])
+
+
+def _key_fields(trains: DataFrame) -> tuple[str, list[pa.Field]]:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kinds = [trains.schema[k].dataType for k in KEYS]
+    return ", ".join(f"{k} {t.simpleString()}" for k, t in zip(KEYS, kinds, strict=True)), [pa.field(k, to_arrow_type(t)) for k, t in zip(KEYS, kinds, strict=True)]
+
+
+def surrogates(trains: DataFrame, surrogate: Surrogate, n: int, seed: int = 0) -> DataFrame:
+    """The events of ``n`` surrogates of every train: recording_id, unit_id, event_idx (that of the event moved), replicate, t."""
+    names, fields = _key_fields(trains)
+    schema = pa.schema([*fields, ("event_idx", pa.int64()), ("replicate", pa.int32()), ("t", pa.float64())])
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for recording, unit, times, draws in _each(batches, seed):
+            for replicate, key in draws:
+                moved, kept = surrogate(times, key)
+                at = np.arange(len(moved)) if kept is None else np.flatnonzero(kept)
+                columns = [pa.array([recording] * len(at), schema.types[0]), pa.array([unit] * len(at), schema.types[1]), at, np.full(len(at), replicate, np.int32), moved[at].astype(float)]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], schema=schema)
+
+    return _blocks(trains, n).mapInArrow(draw, f"{names}, event_idx long, replicate int, t double")
+
+
+def jitter(trains: DataFrame, max_jitter: float, n: int, seed: int = 0, support: tuple[float, float] | None = None) -> DataFrame:
+    """:class:`Jitter` surrogates, a row an event."""
+    return surrogates(trains, Jitter(max_jitter, support), n, seed)
+
+
+def shift(trains: DataFrame, t_start: float, t_end: float, n: int, seed: int = 0, mode: str = "drop", min_shift: float = 0.0, max_shift: float | None = None) -> DataFrame:
+    """:class:`Shift` surrogates, a row an event."""
+    return surrogates(trains, Shift(t_start, t_end, mode, min_shift, max_shift), n, seed)
+
+
+def shuffle_intervals(trains: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """:class:`ShuffleIntervals` surrogates, a row an event."""
+    return surrogates(trains, ShuffleIntervals(), n, seed)
+
+
+def poisson(trains: DataFrame, t_start: float, t_end: float, n: int, seed: int = 0, events: int | None = None) -> DataFrame:
+    """:class:`Poisson` surrogates, a row an event."""
+    return surrogates(trains, Poisson(t_start, t_end, events), n, seed)
+
+
+def surrogate_statistics(trains: DataFrame, surrogate: Surrogate, statistic: Callable[[np.ndarray], tuple], fields: str, n: int = 1000, seed: int = 0) -> DataFrame:
+    """``statistic`` (sorted times to a tuple of numbers named by ``fields``) of ``n`` draws of every train: keys, replicate, fields."""
+    names, _ = _key_fields(trains)
+    columns = [f.split()[0] for f in fields.split(",")]
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for recording, unit, times, draws in _each(batches, seed):
+            rows = [(recording, unit, replicate, *statistic(_sorted_draw(surrogate, times, key))) for replicate, key in draws]
+            yield pa.RecordBatch.from_pylist([dict(zip([*KEYS, "replicate", *columns], r, strict=True)) for r in rows], schema=schema)
+
+    out = f"{names}, replicate int, {fields}"
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    schema = to_arrow_schema(StructType.fromDDL(out))
+    return _blocks(trains, n).mapInArrow(draw, out)
+
+
+def surrogate_test(trains: DataFrame, surrogate: Surrogate, statistic: Callable[[np.ndarray], float], n: int = 1000, seed: int = 0, alternative: str = "two-sided") -> DataFrame:
+    """Permutation test of every train: keys, observed, n_surrogates, p_value = (1 + draws as extreme) / (1 + draws).
+
+    ``statistic`` is any function of a train's sorted times. Each task counts the extreme draws of its blocks, and only
+    these counts are added up. A train whose own statistic is not a number has a null p-value; such draws are never extreme.
+    """
+    extreme = _extreme(alternative)
+    names, fields = _key_fields(trains)
+    schema = pa.schema([*fields, ("observed", pa.float64()), ("n", pa.int64()), ("c", pa.int64())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for recording, unit, times, draws in _each(batches, seed):
+            observed = float(statistic(times))
+            values = np.array([float(statistic(_sorted_draw(surrogate, times, key))) for _, key in draws])
+            row = {KEYS[0]: recording, KEYS[1]: unit, "observed": observed, "n": len(values), "c": int(extreme(values, observed).sum())}
+            yield pa.RecordBatch.from_pylist([row], schema=schema)
+
+    counted = _blocks(trains, n).mapInArrow(count, f"{names}, observed double, n long, c long")
+    out = counted.groupBy(*KEYS).agg(F.first("observed").alias("observed"), F.sum("n").alias("n_surrogates"), F.sum("c").alias("_c"))
+    return out.select(*KEYS, "observed", "n_surrogates", F.when(~F.isnan("observed"), (1 + F.col("_c")) / (1 + F.col("n_surrogates"))).alias("p_value"))
+
+
+def _extreme(alternative: str) -> Callable:
+    if alternative not in ("two-sided", "greater", "less"):
+        raise ValueError("alternative is two-sided, greater or less")
+    return {"two-sided": lambda s, o: abs(s) >= abs(o), "greater": lambda s, o: s >= o, "less": lambda s, o: s <= o}[alternative]
+
+
+def share_close(width: float, steps: int = 1) -> Callable[[np.ndarray], float]:
+    """Statistic: share of the events whose ``steps``-th next one follows within less than ``width``."""
+
+    def statistic(times: np.ndarray) -> float:
+        gaps = times[steps:] - times[:-steps]
+        return float((gaps < width).mean()) if len(gaps) else math.nan
+
+    return statistic
 
 
 def apply_to_units(trains: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
@@ -78,8 +257,7 @@ def permutation_test(observed: DataFrame, null: DataFrame, keys: list[str], alte
 
     ``observed``: keys, statistic. ``null``: keys, replicate, statistic, a row for each draw.
     """
-    if alternative not in ("two-sided", "greater", "less"):
-        raise ValueError("alternative is two-sided, greater or less")
+    _extreme(alternative)
     s, o = F.col("_null"), F.col("observed")
     extreme = {"two-sided": F.abs(s) >= F.abs(o), "greater": s >= o, "less": s <= o}[alternative]
     rows = null.select(*keys, F.col(statistic).alias("_null")).join(observed.select(*keys, F.col(statistic).alias("observed")), keys)

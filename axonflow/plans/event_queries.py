@@ -139,59 +139,44 @@ def a12_vector(spark, d):
     return phase.mean_vector(views.phases(spark, d)).select("recording_id", F.round("theta", 6).alias("theta"), F.round("radius", 8).alias("radius"))
 
 
-def _seconds(spark, d):
-    return views.trains(spark, d).select("recording_id", "unit_id", (F.col("t") / 1_000_000).alias("t"))
+#: Span of the surrogates' support, and their largest jitter, in microseconds.
+SUPPORT, JITTER = 30.0 * DAY, HOUR / 6
+#: Two steps within an hour are close.
+CLOSE, STEPS, SEED = HOUR, 2, 3
+KINDS = {
+    "jitter": surrogate.Jitter(JITTER),
+    "shift": surrogate.Shift(0.0, SUPPORT, mode="wrap"),
+    "shuffle": surrogate.ShuffleIntervals(),
+    "poisson": surrogate.Poisson(0.0, SUPPORT),
+}
 
 
-#: Span of the surrogates' support, and their largest jitter, in seconds.
-SUPPORT, JITTER = 2_592_000.0, 600.0
+def _checksum(times):
+    """Of a draw's sorted times in whole microseconds: their number, sum, ends, weighted sum by rank, and close intervals."""
+    import numpy as np
 
+    t = np.floor(times).astype(np.int64)
+    ranked = int((np.arange(1, len(t) + 1) % 1000 * (t // 1_000_000)).sum())
+    return len(t), int(t.sum()), int(t[0]), int(t[-1]), ranked, int((np.diff(t) < HOUR // 2).sum())
 
-def _draws(rows, *checks):
-    """A row for each draw of each train: its events, and what the draw has to keep."""
-    return rows.groupBy("recording_id", "unit_id", "replicate").agg(F.count(F.lit(1)).alias("n"), *checks)
 
+def _draws(kind):
+    """A row for each draw of each train, from the draw's own times."""
 
-def _inside():
-    return F.count_if((F.col("t") >= 0) & (F.col("t") < SUPPORT)).alias("inside")
+    def query(spark, d, draws=DRAWS):
+        fields = "n long, total long, first long, last long, ranked long, close long"
+        return surrogate.surrogate_statistics(views.trains(spark, d), KINDS[kind], _checksum, fields, draws, SEED)
 
+    return query
 
-def w15(spark, d, draws=DRAWS):
-    """Of each draw: events that moved, and events within the jitter of their own time."""
-    rows = surrogate.jitter(_seconds(spark, d).withColumn("t0", F.col("t")), JITTER, draws, seed=3)
-    way = F.abs(F.col("t") - F.col("t0"))
-    return _draws(rows, F.count_if(way > 0).alias("moved"), F.count_if(way <= JITTER + 1e-6).alias("near"))
 
+def _test(kind):
+    """Permutation test of each train: are more events close to the next but one than in its surrogates?"""
 
-def w16(spark, d, draws=DRAWS):
-    """Of each draw: events inside the support, and whether all moved by one shift around it."""
-    rows = surrogate.shift(_seconds(spark, d).withColumn("t0", F.col("t")), 0.0, SUPPORT, draws, seed=3, mode="wrap")
-    way = F.pmod(F.col("t") - F.col("t0"), F.lit(SUPPORT))
-    return _draws(rows, _inside(), (F.max(way) - F.min(way) < 1e-3).alias("one_shift"))
+    def query(spark, d, draws=DRAWS):
+        return surrogate.surrogate_test(views.trains(spark, d), KINDS[kind], surrogate.share_close(CLOSE, STEPS), draws, SEED, "greater").where("p_value IS NOT NULL")
 
-
-def w17(spark, d, draws=DRAWS):
-    """Of each draw: the number, least, largest and summed intervals, which are those of the train."""
-    rows = surrogate.shuffle_intervals(views.trains(spark, d).select("recording_id", "unit_id", "t"), draws, seed=3)
-    gaps = correlogram.intervals(rows, ["recording_id", "unit_id", "replicate"])
-    return _draws(gaps, *(f("interval").cast("long").alias(n) for f, n in ((F.min, "shortest"), (F.max, "longest"), (F.sum, "summed"))))
-
-
-def w18(spark, d, draws=DRAWS):
-    """Of each draw: events inside the support."""
-    return _draws(surrogate.poisson(_seconds(spark, d), 0.0, SUPPORT, draws, seed=3), _inside())
-
-
-def _close_intervals(trains, extra):
-    """Statistic: share of intervals under half an hour."""
-    rows = correlogram.intervals(trains, [*extra, "recording_id", "unit_id"])
-    return rows.groupBy(*extra, "recording_id", "unit_id").agg(F.avg((F.col("interval") < 1800).cast("double")).alias("statistic"))
-
-
-def u2(spark, d, draws=DRAWS):
-    trains = _seconds(spark, d)
-    null = _close_intervals(surrogate.poisson(trains, 0.0, SUPPORT, draws, seed=3), ["replicate"])
-    return surrogate.permutation_test(_close_intervals(trains, []), null, ["recording_id", "unit_id"], "greater")
+    return query
 
 
 def u1(spark, d):
@@ -210,11 +195,49 @@ def j3(spark, d):
     return align.phase_at_events(events, signal).select("recording_id", "event_id", "idx", F.round("value", 6).alias("value"))
 
 
-def _draws_sql(checks: str, rows: str = "trains") -> str:
-    """What every draw of a train has to keep is the same, so it is computed once and repeated for each draw."""
-    gaps = "gaps AS (SELECT recording_id, unit_id, t - lag(t) OVER (PARTITION BY recording_id, unit_id ORDER BY t) AS x FROM trains)"
-    kept = f"kept AS (SELECT recording_id, unit_id, count(*) AS n, {checks} FROM {rows} GROUP BY ALL)"
-    return f"WITH {TRAINS}, {gaps}, {kept} SELECT kept.*, CAST(r.r AS INTEGER) AS replicate FROM kept CROSS JOIN (SELECT unnest(range(0, {DRAWS})) AS r) r"
+_MASK = "CAST(18446744073709551615 AS UHUGEINT)"
+_U = "(u / 9007199254740992.0)"
+#: Time of an event in a draw, by its own time, the draw's number of it (u) or of the train (u1), as the kinds of surrogates compute it.
+_MOVED = {
+    "jitter": f"t + (2 * {_U} - 1) * {JITTER!r}",
+    "shift": f"(t + (0.0 + (u1 / 9007199254740992.0) * {SUPPORT!r})) % {SUPPORT!r}",
+    "shuffle": "t0 + coalesce(sum(gap) OVER (PARTITION BY recording_id, unit_id, replicate ORDER BY i = 1 DESC, u, i ROWS UNBOUNDED PRECEDING), 0)",
+    "poisson": f"0.0 + {_U} * {SUPPORT!r}",
+}
+
+
+def _moved_sql(kind: str) -> str:
+    """Draws replayed: SplitMix64 from the same keys. A shuffle draws for the intervals, so an interval has the number of the event before."""
+    at = "greatest(i - 1, 1)" if kind == "shuffle" else "i"
+    z = lambda a, b, by: f"CAST(({a} * CAST({by} AS UHUGEINT)) & {_MASK} AS UHUGEINT) AS {b}"
+    return f"""WITH {TRAINS},
+ev AS (SELECT recording_id, unit_id, t, row_number() OVER w AS i, t - lag(t) OVER w AS gap, min(t) OVER (PARTITION BY recording_id, unit_id) AS t0 FROM trains WHERE t IS NOT NULL WINDOW w AS (PARTITION BY recording_id, unit_id ORDER BY t)),
+draws AS (SELECT recording_id, unit_id, CAST(r AS INTEGER) AS replicate, CAST(CAST('0x' || substr(sha256('{SEED}:' || recording_id || ':' || unit_id || ':' || r), 1, 16) AS UBIGINT) AS UHUGEINT) AS k
+  FROM (SELECT DISTINCT recording_id, unit_id FROM ev), (SELECT unnest(range(0, {DRAWS})) AS r)),
+z0 AS (SELECT ev.*, replicate, (k + CAST({at} AS UHUGEINT) * CAST(11400714819323198485 AS UHUGEINT)) & {_MASK} AS z FROM ev JOIN draws USING (recording_id, unit_id)),
+z1 AS (SELECT * EXCLUDE (z), {z("xor(z, z >> CAST(30 AS UHUGEINT))", "z", 13787848793156543929)} FROM z0),
+z2 AS (SELECT * EXCLUDE (z), {z("xor(z, z >> CAST(27 AS UHUGEINT))", "z", 10723151780598845931)} FROM z1),
+z3 AS (SELECT * EXCLUDE (z), CAST(xor(z, z >> CAST(31 AS UHUGEINT)) >> CAST(11 AS UHUGEINT) AS BIGINT) AS u FROM z2),
+first AS (SELECT recording_id AS r1, unit_id AS n1, replicate AS d1, u AS u1 FROM z3 WHERE i = 1),
+moved AS (SELECT recording_id, unit_id, replicate, CAST({_MOVED[kind]} AS {"BIGINT" if kind == "shuffle" else "DOUBLE"}) AS x
+  FROM z3{" JOIN first ON r1 = recording_id AND n1 = unit_id AND d1 = replicate" if kind == "shift" else ""})"""
+
+
+def _draws_sql(kind: str) -> str:
+    train = "PARTITION BY recording_id, unit_id, replicate ORDER BY x"
+    return f"""{_moved_sql(kind)},
+placed AS (SELECT recording_id, unit_id, replicate, CAST(floor(x) AS BIGINT) AS x FROM moved),
+ranked AS (SELECT *, row_number() OVER w AS place, x - lag(x) OVER w AS gap FROM placed WINDOW w AS ({train}))
+SELECT recording_id, unit_id, replicate, count(*) AS n, CAST(sum(x) AS BIGINT) AS total, min(x) AS first, max(x) AS last, CAST(sum(place % 1000 * CAST(floor(x / 1000000.0) AS BIGINT)) AS BIGINT) AS ranked, count(*) FILTER (WHERE gap < {HOUR // 2}) AS close
+FROM ranked GROUP BY ALL"""
+
+
+def _test_sql(kind: str) -> str:
+    return f"""{_moved_sql(kind)},
+own AS (SELECT recording_id, unit_id, count(*) AS k, count(*) FILTER (WHERE gap < {CLOSE}) AS c FROM (SELECT recording_id, unit_id, t - lag(t, {STEPS}) OVER (PARTITION BY recording_id, unit_id ORDER BY t) AS gap FROM ev) WHERE gap IS NOT NULL GROUP BY ALL),
+near AS (SELECT recording_id, unit_id, replicate, count(*) FILTER (WHERE gap < {CLOSE}) AS c FROM (SELECT recording_id, unit_id, replicate, x - lag(x, {STEPS}) OVER (PARTITION BY recording_id, unit_id, replicate ORDER BY x) AS gap FROM moved) GROUP BY ALL)
+SELECT o.recording_id, o.unit_id, o.c / o.k AS observed, count(*) AS n_surrogates, (1 + count(*) FILTER (WHERE n.c >= o.c)) / (1 + count(*)) AS p_value
+FROM own o JOIN near n ON o.recording_id = n.recording_id AND o.unit_id = n.unit_id GROUP BY o.recording_id, o.unit_id, o.c, o.k"""
 
 
 _RATES = "rates AS (SELECT recording_id, unit_id, count(*) AS n_events, CASE WHEN count(*) >= 2 AND max(t) > min(t) THEN count(*) / (max(t) - min(t)) ELSE 0.0 END AS rate FROM trains GROUP BY ALL)"
@@ -249,9 +272,12 @@ QUERIES = {
     "a12_mean_density": (a12, f"WITH {PHASES}, b AS (SELECT recording_id, unit_id, least(floor((phase + {views.math.pi!r}) / {views.math.pi / 9!r}), 17) AS bin FROM phases), c AS (SELECT recording_id, unit_id, bin, count(*) AS n FROM b GROUP BY ALL), k AS (SELECT recording_id, unit_id, sum(n) AS total FROM c GROUP BY ALL), h AS (SELECT k.recording_id, k.unit_id, g.bin, coalesce(c.n, 0) / (k.total * {views.math.pi / 9!r}) AS density FROM k CROSS JOIN (SELECT unnest(range(0, 18)) AS bin) g LEFT JOIN c ON c.recording_id = k.recording_id AND c.unit_id = k.unit_id AND c.bin = g.bin) SELECT recording_id, CAST(bin AS INTEGER) AS bin, round(avg(density), 8) AS mean_density, round(stddev_pop(density) / sqrt(count(*)), 8) AS sem FROM h GROUP BY ALL"),
     "a12_mean_vector": (a12_vector, f"WITH {PHASES}, u AS (SELECT recording_id, unit_id, avg(cos(phase)) AS c, avg(sin(phase)) AS s FROM phases GROUP BY ALL), m AS (SELECT recording_id, avg(c) AS c, avg(s) AS s FROM u GROUP BY ALL) SELECT recording_id, round(atan2(s, c), 6) AS theta, round(sqrt(c * c + s * s), 8) AS radius FROM m"),
     "u1_apply_to_units": (u1, f"WITH {TRAINS}, c AS (SELECT recording_id, unit_id, t // {DAY} AS day, count(*) AS n FROM trains GROUP BY ALL) SELECT recording_id, unit_id, CAST(sum(n) AS BIGINT) AS n, max(n) AS busiest FROM c GROUP BY ALL"),
-    "u2_permutation_test": (u2, None),
-    "w15_jitter": (w15, _draws_sql("count(*) AS moved, count(*) AS near")),
-    "w16_shift": (w16, _draws_sql("count(*) AS inside, true AS one_shift")),
-    "w17_shuffle_intervals": (w17, _draws_sql("min(x) AS shortest, max(x) AS longest, CAST(sum(x) AS BIGINT) AS summed", "gaps WHERE x IS NOT NULL")),
-    "w18_poisson": (w18, _draws_sql("count(*) AS inside")),
+    "u2_permutation_test": (_test("poisson"), _test_sql("poisson")),
+    "u2_jitter_test": (_test("jitter"), _test_sql("jitter")),
+    "u2_shift_test": (_test("shift"), _test_sql("shift")),
+    "u2_shuffle_test": (_test("shuffle"), _test_sql("shuffle")),
+    "w15_jitter": (_draws("jitter"), _draws_sql("jitter")),
+    "w16_shift": (_draws("shift"), _draws_sql("shift")),
+    "w17_shuffle_intervals": (_draws("shuffle"), _draws_sql("shuffle")),
+    "w18_poisson": (_draws("poisson"), _draws_sql("poisson")),
 }

@@ -127,25 +127,29 @@ def test_cross_correlation_finds_the_delay(spark):
 
 
 def test_bursts_are_found(spark):
-    rng, fs = np.random.default_rng(0), 1000.0
-    t = np.arange(10000) / fs
-    x = rng.normal(0, 0.05, 10000)
-    for start in (2, 5, 8):
-        on = (t >= start) & (t < start + 0.2)
-        x[on] += 1.5 * np.cos(2 * np.pi * 50 * t[on])
-    out = spectral.oscillatory_events(signal(spark, x), ["recording_id"], fs, (40.0, 60.0), (1.0, 100.0), (0.05, 0.5), 0.05).orderBy("start").collect()
-    assert len(out) == 3
-    for row, start in zip(out, (2, 5, 8), strict=True):
-        assert start - 0.05 < row["start"] < row["peak_time"] < row["end"] < start + 0.25
+    rng, fs, starts = np.random.default_rng(21), 640.0, (1.25, 3.5, 6.0, 8.75)
+    t = np.arange(7040) / fs
+    x = rng.normal(0, 0.04, len(t)) + 0.1 * np.sin(2 * np.pi * 3 * t)
+    for start in starts:
+        on = (t >= start) & (t < start + 0.25)
+        x[on] += 0.9 * np.sin(2 * np.pi * 33 * t[on])
+    out = spectral.oscillatory_events(signal(spark, x), ["recording_id"], fs, (27.0, 40.0), (1.0, 100.0), (0.05, 0.6), 0.05).orderBy("start").collect()
+    assert len(out) == len(starts)
+    for row, start in zip(out, starts, strict=True):
+        assert start - 0.06 < row["start"] < row["peak_time"] < row["end"] < start + 0.31
     assert spectral.oscillatory_events(signal(spark, [1] * 100), ["recording_id"], fs, (40.0, 60.0), (1.0, 9.0), (0.1, 0.5), 0).count() == 0
     with pytest.raises(ValueError):
         spectral.oscillatory_events(signal(spark, [1]), ["recording_id"], fs, (60.0, 40.0), (1.0, 9.0), (0.1, 0.5), 0)
 
 
+def trains_of(spark, t, unit=1):
+    return spark.createDataFrame([("r", unit, float(v)) for v in t], "recording_id string, unit_id long, t double")
+
+
 def test_surrogates_keep_what_they_promise(spark):
     rng = np.random.default_rng(5)
     t = np.cumsum(rng.exponential(0.1, 100))
-    df = spark.createDataFrame([("r", 1, float(v)) for v in t], "recording_id string, unit_id long, t double")
+    df = trains_of(spark, t)
     end = float(t[-1]) + 1
     shuffled = surrogate.shuffle_intervals(df, 3, seed=1).toPandas()
     for _, g in shuffled.groupby("replicate"):
@@ -159,12 +163,78 @@ def test_surrogates_keep_what_they_promise(spark):
     assert surrogate.poisson(df, 0.0, end, 2).count() == 200
     again = surrogate.poisson(df.repartition(3), 0.0, end, 2).orderBy("replicate", "event_idx").collect()
     assert again == surrogate.poisson(df, 0.0, end, 2).orderBy("replicate", "event_idx").collect()
+    dropped = surrogate.shift(df, 0.0, end, 4, min_shift=end / 2).toPandas()
+    assert 0 < len(dropped) < 300 and dropped["t"].between(0, end).all()
+    kept = surrogate.jitter(df, 5.0, 4, support=(1.0, 3.0)).toPandas()
+    assert kept["t"].between(1, 3).all() and kept["event_idx"].max() < 100
+    assert surrogate.poisson(df, 0.0, end, 2, events=7).count() == 14
     observed = spark.createDataFrame([(1, 2.0)], "k long, statistic double")
     null = spark.createDataFrame([(1, float(v)) for v in (-3, 1, 2, 0)], "k long, statistic double")
     p = {a: surrogate.permutation_test(observed, null, ["k"], a).first()["p_value"] for a in ("two-sided", "greater", "less")}
     assert p == {"two-sided": 3 / 5, "greater": 2 / 5, "less": 5 / 5}
 
 
+def test_random_numbers_are_even_and_fixed():
+    u = surrogate.uniforms(surrogate.stream_key(1, "r", 2, 3), 200_000)
+    assert abs(u.mean() - 0.5) < 0.003 and abs(u.std() - 12**-0.5) < 0.003 and abs(np.corrcoef(u[1:], u[:-1])[0, 1]) < 0.01
+    assert np.abs(np.histogram(u, 64, (0, 1))[0] / 200_000 * 64 - 1).max() < 0.1
+    # the published sequence of the generator from key 1234567
+    assert [int(x) for x in surrogate.bits(1234567, 3)] == [x >> 11 for x in (6457827717110365317, 3203168211198807973, 9817491932198370423)]
+
+
+def test_permutation_tests_of_any_statistic_and_surrogate(spark):
+    rng = np.random.default_rng(6)
+    bursts = np.sort(np.concatenate([c + rng.uniform(0, 0.02, 5) for c in rng.uniform(0, 100, 40)]))
+    df = trains_of(spark, bursts).union(trains_of(spark, rng.uniform(0, 100, 200), 2)).union(trains_of(spark, [1.0], 3))
+    kinds = {"jitter": surrogate.Jitter(1.0), "shift": surrogate.Shift(0.0, 100.0, "wrap"), "shuffle": surrogate.ShuffleIntervals(), "poisson": surrogate.Poisson(0.0, 100.0)}
+    found = {}
+    for name, kind in kinds.items():
+        rows = surrogate.surrogate_test(df, kind, surrogate.share_close(0.02), 199, 4, "greater").collect()
+        assert {r["n_surrogates"] for r in rows} == {199}
+        found[name] = {r["unit_id"]: r["p_value"] for r in rows}
+        assert found[name][3] is None
+    assert found["jitter"][1] == found["poisson"][1] == 1 / 200 and found["poisson"][2] > 0.02 and found["shuffle"][1] > 0.5
+    # a function of the user's own, and the same draws by statistics of each
+    spread = lambda t: float(t.max() - np.median(t))
+    test = {r["unit_id"]: r for r in surrogate.surrogate_test(df, kinds["poisson"], spread, 99, 4, "less").collect()}
+    each = surrogate.surrogate_statistics(df.repartition(8), kinds["poisson"], lambda t: (spread(t), len(t)), "s double, n long", 99, 4).collect()
+    for unit in (1, 2):
+        draws = [r["s"] for r in each if r["unit_id"] == unit]
+        assert len(draws) == 99 and math.isclose(test[unit]["p_value"], (1 + sum(s <= test[unit]["observed"] for s in draws)) / 100)
+
+
+def brute_pairs(refs, targets, half, size, units):
+    counts = {}
+    for r, s in refs:
+        for u, t in targets:
+            if units(r, u) and -half <= t - s < half:
+                counts[r, u, int((t - s + half) // size)] = counts.get((r, u, int((t - s + half) // size)), 0) + 1
+    return counts
+
+
+def test_correlograms_of_bursts_and_ties_in_blocks(spark):
+    rng = np.random.default_rng(7)
+    events = [(int(u), int(t)) for u, t in zip(rng.integers(0, 4, 900), np.concatenate([rng.integers(0, 100_000, 300), rng.integers(50_000, 50_400, 500), np.full(100, 50_200)]), strict=True)]
+    df = spark.createDataFrame([("r", u, t) for u, t in events], "recording_id string, unit_id long, t long").repartition(5)
+    refs, targets = df.withColumnRenamed("unit_id", "ref"), df.withColumnRenamed("unit_id", "target")
+    for units, test in (("any", lambda a, b: True), ("<", lambda a, b: a < b), ("=", lambda a, b: a == b)):
+        want = brute_pairs(events, events, 5 * 80 // 2, 80, test)
+        for block_rows in (40, 1 << 17):
+            rows = correlogram.correlogram(refs, targets, 80, 200, ["recording_id"], units=units, block_rows=block_rows).collect()
+            assert {(r["ref"], r["target"], r["bin"]): r["n"] for r in rows} == want and len(rows) == len(want)
+    near = [correlogram.pairs_within(refs, targets, -100, 100, ["recording_id"], block_rows=n).groupBy("delta").count().collect() for n in (50, 1 << 17)]
+    assert sorted(near[0]) == sorted(near[1]) and sum(r["count"] for r in near[0]) == sum(-100 <= b - a < 100 for _, a in events for _, b in events)
+
+
+def test_a_burst_of_a_million_events_is_counted_without_pairs():
+    n = 1_000_000
+    rng = np.random.default_rng(8)
+    train = (rng.integers(0, 2, n), np.sort(rng.integers(0, 1_000_000, n)), np.ones(n, np.int64))
+    block = tuple(x[: 1 << 17] for x in train)
+    counts = correlogram.pair_counts(block, train, 5_000_000, 2_000_000, 5)
+    assert counts[3].sum() == (1 << 17) * n
+
+
 def test_statistics_on_small_groups(spark):
     rows = spark.createDataFrame([("g", 0.1, 0.2), ("g", 0.2, 0.4), ("g", None, 0.5), ("g", 0.4, 0.3), ("g", 0.5, 0.8), ("h", 1.0, None)], "drug string, control double, treatment double")
     out = {r["drug"]: r for r in stats.population_statistics(rows, ["drug"]).collect()}
