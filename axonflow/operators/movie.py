@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from axonflow.operators import spectral
+from axonflow.operators.quantiles import exact_quantiles
 
 KEY = "recording_id"
 
+#: Pixels of a tile: a window of frames is held by tiles, so that large images do not meet in one task.
+TILE = 4096
+
 
 def frame_mean(pixels: Column) -> Column:
     return F.aggregate(pixels, F.lit(0.0), lambda a, x: a + x) / F.size(pixels)
@@ -36,20 +45,57 @@ def pixel_rows(frames: DataFrame) -> DataFrame:
     return frames.select(KEY, "frame_idx", F.posexplode("pixels").alias("pixel", "value"))
 
 
-def projections(frames: DataFrame) -> DataFrame:
+#: Values that a task holds of one tile of pixels, over all frames.
+CELLS = 1 << 23
+_PROJECTIONS = ("max", "min", "mean", "median", "std", "range")
+
+
+def _projected(tile: pa.Table) -> pa.Table:
+    """Projections of a tile's pixels; a pixel of which no frame has a value has none."""
+    stack, known = _stacked(tile.column("_x"))
+    wide, some = stack.shape[1], known.any(axis=0)
+    out = np.full((len(_PROJECTIONS), wide), np.nan)
+    for k in np.flatnonzero(some):
+        x = np.sort(stack[known[:, k], k])
+        middle = (x[(len(x) - 1) // 2] + x[len(x) // 2]) / 2
+        out[:, k] = x[-1], x[0], x.mean(), middle, x.std(), x[-1] - x[0]
+    place = tile.column("_tile")[0].as_py() * tile.column("_width")[0].as_py() + np.arange(wide)
+    columns = [pa.array(row, mask=~some) for row in out]
+    return pa.table([pa.repeat(tile.column(KEY)[0], wide), pa.array(place, pa.int32()), *columns], names=[KEY, "pixel", *_PROJECTIONS])
+
+
+def _stacked(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of numbers as rows of one array, short ones filled up, and where they have a value."""
+    flat = lists.combine_chunks()
+    sizes = flat.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    values = flat.flatten()
+    rows = np.repeat(np.arange(len(sizes)), sizes)
+    at = np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    stack, known = np.zeros((len(sizes), int(sizes.max(initial=0)))), np.zeros((len(sizes), int(sizes.max(initial=0))), bool)
+    stack[rows, at] = values.fill_null(0).to_numpy(zero_copy_only=False)
+    known[rows, at] = values.is_valid().to_numpy(zero_copy_only=False)
+    return stack, known
+
+
+def projections(frames: DataFrame, cells: int = CELLS) -> DataFrame:
     """recording_id, pixel, max, min, mean, median, std (population), range over time.
 
-    Sums and extremes are combined per partition before they are shuffled; the median needs one shuffle by pixel.
+    Frames are cut into tiles of pixels and go through one shuffle as arrays; a task holds one tile over all frames, and the
+    more frames there are, the fewer pixels a tile has, so that it holds about ``cells`` values (one pixel at least).
     """
-    x = F.col("value").cast("double")
-    out = pixel_rows(frames).groupBy(KEY, "pixel").agg(F.max(x).alias("max"), F.min(x).alias("min"), F.avg(x).alias("mean"), F.median(x).alias("median"), F.stddev_pop(x).alias("std"))
-    return out.withColumn("range", F.col("max") - F.col("min"))
+    most = frames.groupBy(KEY).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
+    width = max(1, min(TILE, cells // most))
+    starts = F.when(F.size("pixels") > 0, F.sequence(F.lit(0), F.size("pixels") - 1, F.lit(width)))
+    cut = F.transform(starts, lambda s: F.slice(F.col("pixels").cast("array<double>"), s + 1, width))
+    tiles = frames.select(KEY, F.lit(width).alias("_width"), F.posexplode(cut).alias("_tile", "_x"))
+    kind = frames.schema[KEY].dataType.simpleString()
+    return tiles.groupBy(KEY, "_tile").applyInArrow(_projected, f"`{KEY}` {kind}, pixel int, " + ", ".join(f"{c} double" for c in _PROJECTIONS))
 
 
 def detrend_median(frames: DataFrame) -> DataFrame:
     """Subtract from each frame how far its mean lies from the median of all frame means."""
     means = frames.withColumn("_mean", frame_mean(F.col("pixels")))
-    middle = means.groupBy(KEY).agg(F.median("_mean").alias("_median"))
+    middle = exact_quantiles(means, [KEY], "_mean", {"_median": 0.5})
     moved = F.transform("pixels", lambda p: p - (F.col("_mean") - F.col("_median")))
     return means.join(middle, KEY).withColumn("pixels", moved).drop("_mean", "_median")
 
@@ -73,10 +119,6 @@ def detrend_linear(frames: DataFrame) -> DataFrame:
     return frames.join(_images(lines, "_a", "_b"), KEY).select(KEY, "frame_idx", F.posexplode(level).alias("pixel", "value"))
 
 
-#: Pixels of a tile: a window of frames is held by tiles, so that large images do not meet in one task.
-TILE = 4096
-
-
 def delta_f(frames: DataFrame, window_frames: int, percentile: float = 8, method: str = "delta_f_over_f", tile: int = TILE) -> DataFrame:
     """Relative change of each pixel: recording_id, frame_idx, pixel, value = (x - base) / base, or / sqrt(base).
 
@@ -138,10 +180,50 @@ def footprint_outline(footprints: DataFrame, height: int, width: int, share: flo
     return mask.join(inner, [KEY, "unit_id", "pixel"], "left_anti")
 
 
+#: Units, pixels and frames of a block of the product of footprints and traces.
+UNITS, PIXELS, FRAMES = 128, 1024, 512
+
+
 def activity_movie(footprints: DataFrame, traces: DataFrame) -> DataFrame:
-    """recording_id, frame_idx, pixel, value: the units' footprints times their traces, summed."""
-    both = footprints.join(traces, [KEY, "unit_id"])
-    return both.groupBy(KEY, "frame_idx", "pixel").agg(F.sum(F.col("weight") * F.col("value")).alias("value"))
+    """recording_id, frame_idx, pixel, value: the units' footprints times their traces, summed.
+
+    A product of sparse matrices in blocks: footprints are packed by (block of units, tile of pixels), traces by (block of units,
+    block of frames); each pair is one product of small dense matrices, and only its pixels and frames are rows.
+    """
+    block = F.pmod(F.xxhash64("unit_id"), F.ceil(F.col("_units") / UNITS)).cast("int")
+    sizes = footprints.groupBy(KEY).agg(F.approx_count_distinct("unit_id").alias("_units"))
+    blocked = lambda df: df.join(sizes, KEY).withColumn("_u", block)
+    left = blocked(footprints).groupBy(KEY, "_u", F.floor(F.col("pixel") / PIXELS).alias("_tile")).agg(F.collect_list(F.struct("unit_id", "pixel", F.col("weight").cast("double").alias("v"))).alias("_f"))
+    right = blocked(traces).groupBy(KEY, "_u", F.floor(F.col("frame_idx") / FRAMES).alias("_time")).agg(F.collect_list(F.struct("unit_id", "frame_idx", F.col("value").cast("double").alias("v"))).alias("_t"))
+    kinds = {f.name: f.dataType for f in [*footprints.schema, *traces.schema]}
+    names = {KEY: kinds[KEY].simpleString(), "frame_idx": kinds["frame_idx"].simpleString(), "pixel": kinds["pixel"].simpleString()}
+    fields = StructType.fromDDL(", ".join(f"`{n}` {t}" for n, t in names.items()) + ", value double")
+    schema = to_arrow_schema(fields)
+
+    def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                part = lambda c, k: batch.column(c)[row].values.field(k).to_numpy(zero_copy_only=False)  # noqa: B023, E731
+                frame, pixel, value = _block_product(*(part("_f", k) for k in ("unit_id", "pixel", "v")), *(part("_t", k) for k in ("unit_id", "frame_idx", "v")))
+                head = pa.repeat(batch.column(KEY)[row], len(value))
+                yield pa.RecordBatch.from_arrays([head, pa.array(frame, schema.types[1]), pa.array(pixel, schema.types[2]), pa.array(value)], schema=schema)
+
+    rows = left.join(right, [KEY, "_u"]).select(KEY, "_f", "_t").mapInArrow(product, fields)
+    return rows.groupBy(KEY, "frame_idx", "pixel").agg(F.sum("value").alias("value"))
+
+
+def _block_product(f_unit, f_pixel, weight, t_unit, t_frame, level) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Frame, pixel and value where a unit has both; repeated entries are added up."""
+    units, at = np.unique(np.concatenate([f_unit, t_unit]), return_inverse=True)
+    pixels, p = np.unique(f_pixel, return_inverse=True)
+    times, t = np.unique(t_frame, return_inverse=True)
+    a, b = np.zeros((2, len(units), len(pixels))), np.zeros((2, len(units), len(times)))
+    for dense, rows, columns, values in ((a, at[: len(f_unit)], p, weight), (b, at[len(f_unit) :], t, level)):
+        np.add.at(dense[0], (rows, columns), np.nan_to_num(values, nan=0.0))
+        dense[1][rows, columns] = 1
+    met = (b[1].T @ a[1]) > 0
+    i, j = np.nonzero(met)
+    return times[i], pixels[j], (b[0].T @ a[0])[i, j]
 
 
 def blacked_out(frames: DataFrame, footprints: DataFrame) -> DataFrame:

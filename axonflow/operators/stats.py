@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 from axonflow.functions import statistics as kernels
 from axonflow.functions.scalars import effect_label, fisher_interval
 from axonflow.operators import buckets
+from axonflow.operators.quantiles import exact_quantiles
+from axonflow.sources.scratch import written
 
 
 def pooled_z(samples: DataFrame, keys: list[str]) -> DataFrame:
@@ -215,7 +217,10 @@ def bootstrap_interval(rows: DataFrame, keys: list[str], value: str, statistic:
         drawn = sums.join(kept.groupBy("_g").agg(F.to_json("_g").alias("text")), "text").select("_g", "draw")
     alpha = (1 - level) / 2
     ends = drawn.groupBy("_g").agg(F.percentile("draw", alpha).alias("low"), F.percentile("draw", 1 - alpha).alias("high"))
-    point = rows.groupBy(F.struct(*keys).alias("_g")).agg((F.median(value) if statistic == "median" else F.avg(value)).alias("point"))
+    if statistic == "median":
+        point = exact_quantiles(rows, keys, value, {"point": 0.5}).select(F.struct(*keys).alias("_g"), "point")
+    else:
+        point = rows.groupBy(F.struct(*keys).alias("_g")).agg(F.avg(value).alias("point"))
     return _ungrouped(point.join(ends, "_g"), keys, "point", "low", "high")
 
 
@@ -246,7 +251,8 @@ def hexagons(points: DataFrame, x0: float, x1: float, y0: float, y1: float, grid
 
 def pooled_extents(points: DataFrame, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """1st and 99th percentiles of x and y: one row."""
-    return points.agg(*(F.percentile(c, p).alias(f"{c}_{n}") for c in ("x", "y") for n, p in (("low", low), ("high", high))))
+    ends = [exact_quantiles(points, [], c, {f"{c}_low": low, f"{c}_high": high}) for c in ("x", "y")]
+    return ends[0].crossJoin(F.broadcast(ends[1]))  # one row each
 
 
 def outlier_flags(rows: DataFrame, keys: list[str], value: str = "value", limit: float = 3.0) -> DataFrame:
@@ -254,14 +260,16 @@ def outlier_flags(rows: DataFrame, keys: list[str], value: str = "value", limit:
     x = F.col(value)
     finite = F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))
     fine = rows.where(finite)
-    centre = fine.groupBy(*keys).agg(F.median(value).alias("_median"))
-    spread = fine.join(centre, keys).groupBy(*keys).agg(F.first("_median").alias("_median"), F.median(F.abs(x - F.col("_median"))).alias("_mad"))
+    centre = written(exact_quantiles(fine, keys, value, {"_median": 0.5}), "medians")
+    away = fine.join(centre, keys).withColumn("_away", F.abs(x - F.col("_median")))
+    spread = centre.join(exact_quantiles(away, keys, "_away", {"_mad": 0.5}), keys)
     out = rows.join(spread, keys, "left")
     return out.withColumn("is_outlier", ~finite | F.coalesce(F.abs(x - F.col("_median")) > limit * 1.4826 * F.col("_mad"), F.lit(True))).drop("_median", "_mad")
 
 
 def percentile_limits(rows: DataFrame, keys: list[str], value: str = "value", low: float = 5, high: float = 95) -> DataFrame:
-    return rows.groupBy(*keys).agg(F.percentile(value, low / 100).alias("low"), F.percentile(value, high / 100).alias("high"))
+    """keys, low, high: percentiles of the non-null values."""
+    return exact_quantiles(rows, keys, value, {"low": low / 100, "high": high / 100})
 
 
 def envelope(traces: DataFrame, keys: list[str], limit: int, idx: str = "idx") -> DataFrame:

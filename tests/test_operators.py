@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from axonflow.operators import align, correlogram, movie, perievent, phase, select, sequence, spectral, stats, surrogate
+from axonflow.operators.quantiles import exact_quantiles
 from axonflow.sources import raw, results, sheets
 
 
@@ -475,3 +476,52 @@ def test_filling_is_linear_in_a_long_recording(spark):
 
     seconds(1000)
     assert seconds(2_000_000) < 60  # a frame anew for each row would take hours
+
+
+def test_exact_quantiles_by_leading_bits(spark):
+    rng = np.random.default_rng(31)
+    groups = {"mixed": np.concatenate([rng.normal(0, 1e-3, 300), rng.normal(-5e8, 1e8, 300), np.zeros(50)]), "ties": np.repeat([2.5, -1.0], [400, 3]), "one": np.array([7.0]), "many": rng.integers(-50, 50, 900).astype(float), "infinite": np.array([-np.inf] * 20 + [1.0] * 5 + [np.inf] * 30)}
+    rows = [(g, float(v)) for g, x in groups.items() for v in x] + [("none", None), ("mixed", None), (None, 3.0), (None, 5.0)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(5)
+    probs = {"low": 0.05, "mid": 0.5, "high": 0.9}
+    for rest in (8, 200, 1 << 16):
+        got = {r["g"]: r for r in exact_quantiles(df, ["g"], "x", probs, rest).collect()}
+        assert got["none"]["mid"] is None and got[None]["mid"] == 4.0 and len(got) == 7
+        for g, x in groups.items():
+            for name, p in probs.items():
+                want = np.sort(x)[int(p * (len(x) - 1))] if g == "infinite" else np.quantile(x, p)
+                assert math.isclose(got[g][name], want, rel_tol=1e-12, abs_tol=1e-15), (g, name, rest)
+    whole = exact_quantiles(df, [], "x", {"mid": 0.5}, 16).first()["mid"]
+    assert whole == np.median([v for _, v in rows if v is not None])
+    assert exact_quantiles(df.limit(0), ["g"], "x", probs, 0).count() == 0
+
+
+def test_projections_in_tiles_of_any_width(spark):
+    rng = np.random.default_rng(32)
+    stack = rng.normal(0, 1, (9, 11)).astype(np.float32)
+    rows = [("m", i, [None if (i, k) in ((2, 3), (4, 3)) else float(x) for k, x in enumerate(frame)]) for i, frame in enumerate(stack)]
+    df = spark.createDataFrame([*rows, ("n", 0, [1.0]), ("n", 1, [None]), ("n", 2, None)], "recording_id string, frame_idx long, pixels array<float>")
+    for cells in (9, 40, 1 << 20):
+        got = {(r["recording_id"], r["pixel"]): r for r in movie.projections(df, cells).collect()}
+        assert len(got) == 12 and got["n", 0]["median"] == got["n", 0]["max"] == 1.0
+        for k in range(11):
+            x = np.array([r[2][k] for r in rows if r[2][k] is not None])
+            r = got["m", k]
+            assert np.allclose([r["max"], r["min"], r["mean"], r["median"], r["std"], r["range"]], [x.max(), x.min(), x.mean(), np.median(x), x.std(), np.ptp(x)])
+
+
+def test_activity_movie_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(movie, "UNITS", 3)
+    monkeypatch.setattr(movie, "PIXELS", 4)
+    monkeypatch.setattr(movie, "FRAMES", 5)
+    rng = np.random.default_rng(33)
+    feet = [("m", u, int(p), float(rng.normal())) for u in range(10) for p in rng.choice(20, 6, False)]
+    traces = [("m", u, int(f), float(rng.normal())) for u in range(10) for f in rng.choice(12, 7, False)]
+    df = movie.activity_movie(spark.createDataFrame(feet, "recording_id string, unit_id long, pixel long, weight double"), spark.createDataFrame(traces, "recording_id string, unit_id long, frame_idx long, value double"))
+    want = {}
+    for _, u, p, w in feet:
+        for _, v, f, x in traces:
+            if u == v:
+                want[f, p] = want.get((f, p), 0) + w * x
+    got = {(r["frame_idx"], r["pixel"]): r["value"] for r in df.collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-12) for k in want)
