@@ -1,8 +1,8 @@
 """Filters, phases, spectrograms, coherence, cross-correlation and wavelets over many recordings at once.
 
 Kernels run on packed chunks: runs of consecutive samples with as many neighbours (halo) on either side as the kernel
-needs, so window-local work never needs a whole recording; the halo of a recursive filter is as long as its memory. Only
-analytic signals, global by nature, take one signal a task. Products of windows are summed by Spark.
+needs, so window-local work never needs a whole recording; the halo of a recursive filter is as long as its memory.
+Analytic signals, global by nature, are transformed over many tasks where they are long. Products of windows are summed by Spark.
 """
 
 from __future__ import annotations
@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from axonflow.functions import signals as kernels
 from axonflow.functions.scalars import power_to_db
-from axonflow.operators import buckets, sequence
+from axonflow.operators import buckets, sequence, transform
+from axonflow.sources.scratch import written
 
 
 def _key_schema(df: DataFrame, keys: list[str]) -> str:
@@ -91,10 +92,14 @@ def filter_responses(cuts: DataFrame, keys: list[str], kind: str, rate: float, o
     return rows.mapInPandas(run, f"{_key_schema(cuts, keys)}, freq double, gain double")
 
 
-def phase_and_envelope(samples: DataFrame, keys: list[str], idx: str = "idx") -> DataFrame:
+#: Signals of so many samples at most are transformed whole, each in a task; longer ones over many tasks.
+WHOLE = 1 << 20
+
+
+def phase_and_envelope(samples: DataFrame, keys: list[str], idx: str = "idx", whole: int = WHOLE, cells: int = transform.CELLS) -> DataFrame:
     """keys, idx, value, phase in (-pi, pi] and envelope of the analytic signal.
 
-    The transform is one over the whole signal, in one task: about 100 bytes a sample, so 10 million samples a GB.
+    A missing value makes all phases and envelopes of its signal missing. Long signals agree with whole ones to rounding.
     """
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
@@ -102,8 +107,17 @@ def phase_and_envelope(samples: DataFrame, keys: list[str], idx: str = "idx") ->
         z = kernels.analytic(g["value"].to_numpy(float))
         return g.assign(phase=np.angle(z), envelope=np.abs(z))
 
-    kept = samples.select(*keys, idx, F.col("value").cast("double").alias("value"))
-    return kept.groupBy(*keys).applyInPandas(run, f"{_key_schema(kept, [*keys, idx, 'value'])}, phase double, envelope double")
+    kept = samples.select(*keys, idx, F.coalesce(F.col("value").cast("double"), F.lit(np.nan)).alias("value"))
+    schema = f"{_key_schema(kept, [*keys, idx, 'value'])}, phase double, envelope double"
+    sizes = written(kept.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.avg("value").alias("_mean"), F.max(F.abs("value")).alias("_scale")), "signal-sizes")
+    long = sizes.where(F.col("_n") > whole)
+    if long.isEmpty():
+        return kept.groupBy(*keys).applyInPandas(run, schema)
+    short = kept.join(sizes.where(F.col("_n") <= whole).select(*keys), keys).groupBy(*keys).applyInPandas(run, schema)
+    placed = buckets.numbered(kept.join(long.select(*keys), keys), keys, [idx], "_p")
+    y = transform.hilbert(placed.select(*keys, "_p", "value"), keys, long, cells)
+    met = placed.join(y, [*keys, "_p"])
+    return short.unionByName(met.select(*keys, idx, "value", F.atan2("_y", "value").alias("phase"), F.hypot("_y", "value").alias("envelope")))
 
 
 def _windows(values: np.ndarray, first: int, core_start: int, core: int, length: int, step: int) -> tuple[np.ndarray, np.ndarray]:

@@ -525,3 +525,17 @@ def test_activity_movie_in_blocks(spark, monkeypatch):
                 want[f, p] = want.get((f, p), 0) + w * x
     got = {(r["frame_idx"], r["pixel"]): r["value"] for r in df.collect()}
     assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-12) for k in want)
+
+
+def test_long_signals_are_transformed_over_many_tasks(spark):
+    rng = np.random.default_rng(41)
+    signals = {f"s{n}": 1e6 + 300 * np.sin(np.arange(n) / 7) + rng.normal(0, 50, n) for n in (64, 101, 1000, 997, 2049)} | {"short": rng.normal(0, 1, 12), "flat": np.full(80, 3.0)}
+    rows = [(k, 10 * i, float(v)) for k, x in signals.items() for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "recording_id string, idx long, value double").repartition(6)
+    got = spectral.phase_and_envelope(df, ["recording_id"], whole=20, cells=64).toPandas()
+    for k, x in signals.items():
+        g = got[got["recording_id"] == k].sort_values("idx")
+        z = spectral.kernels.analytic(x)
+        assert len(g) == len(x) and np.array_equal(g["value"], x)
+        assert np.abs(g["envelope"] - np.abs(z)).max() < 1e-9 * np.abs(x).max(), k
+        assert np.abs(np.exp(1j * g["phase"]) - np.exp(1j * np.angle(z))).max() < 1e-9, k
