@@ -152,3 +152,16 @@ def find_files(spark: SparkSession, folder: str, names: list[str], skip: str = "
 
 def numbered_movies(spark: SparkSession, folder: str, numbers: list[int]) -> DataFrame:
     return find_files(spark, folder, [f"{n}.avi" for n in numbers])
+
+
+def name_movies(spark: SparkSession, folder: str, column: str) -> list[int]:
+    """Rename the one file of each folder ``column=<n>`` to ``<n>.avi``; the numbers. A rename for each folder."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    fs = jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(conf)
+    numbers = []
+    for status in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{folder}/{column}=*/part-*")):
+        parent = status.getPath().getParent()
+        numbers.append(int(parent.getName().split("=")[1]))
+        if not fs.rename(status.getPath(), jvm.org.apache.hadoop.fs.Path(parent, f"{numbers[-1]}.avi")):
+            raise FileExistsError(f"{parent}/{numbers[-1]}.avi")
+    return sorted(numbers)

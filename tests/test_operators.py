@@ -398,12 +398,40 @@ def test_raw_recordings(spark, tmp_path):
     assert len(got) == 480 and np.allclose(got["value"], (data[:480, 3].astype(float) - 32768) * 0.195) and math.isclose(got["t"][3], 0.1)
     clock = raw.read_clock(spark, str(tmp_path / "clock.raw"), 30000.0)
     assert math.isclose(raw.clock_rate(clock).first()["rate"], 30.0) and math.isclose(raw.sampling_rate(clock).first()["fs"], 30.0)
-    parts = raw.read_raw(spark, str(tmp_path / "ac.raw"), "uint16", 32, range_bytes=64 * 100)
+    parts = raw.read_raw(spark, str(tmp_path / "ac.raw"), "uint16", 32, split_bytes=64 * 100)
     assert parts.rdd.getNumPartitions() == 5 and parts.count() == 500
+    with pytest.raises(ValueError, match="no whole number of records"):
+        raw.read_raw(spark, str(tmp_path / "ac.raw"), "uint64", 3)
+    with pytest.raises(FileNotFoundError):
+        raw.read_raw(spark, str(tmp_path / "none.raw"), "uint64")
     with pytest.raises(ValueError):
         raw.read_ephys(spark, "x", "y", 1.0, [40])
 
 
+def test_raw_files_keep_their_order_over_splits(spark, tmp_path):
+    sizes = [0, 1, 7, 40, 43, 100, 3]
+    numbers = iter(range(sum(sizes)))
+    for k, n in enumerate(sizes):
+        np.array([next(numbers) for _ in range(n)], "<i8").tofile(tmp_path / f"f{k}.raw")
+    (tmp_path / "_SUCCESS").write_bytes(b"x")
+    for split in (8, 80, 1 << 20):
+        rows = raw.read_raw(spark, f"file://{tmp_path}", "int64", split_bytes=split).collect()
+        assert sorted(r["at"] for r in rows) == list(range(sum(sizes))) and all(r["values"] == [r["at"]] for r in rows)
+        first = {f"f{k}.raw": sum(sizes[:k]) for k in range(len(sizes))}
+        assert all(r["idx"] == r["at"] - first[r["path"].rsplit("/", 1)[1]] for r in rows)
+
+
+def test_raw_files_are_written_and_read_back(spark, tmp_path):
+    rng = np.random.default_rng(51)
+    rows = [(i, [int(x) for x in rng.integers(0, 65536, 3)] + [int(rng.integers(0, 256))]) for i in range(700)] + [(700, [10, 0x0A0D, 0, 0])]
+    df = spark.createDataFrame(rows, "k long, v array<int>").repartition(7)
+    raw.write_raw(df, F.col("v"), "uint16", str(tmp_path / "out"), ["k"])
+    back = {r["at"]: r["values"] for r in raw.read_raw(spark, str(tmp_path / "out"), "uint16", 4, split_bytes=64).collect()}
+    assert back == dict(rows)
+    with pytest.raises(Exception, match="does not end with the byte"):
+        raw.write_raw(df.select("k", F.array(F.lit(1 << 60)).alias("v")), F.col("v"), "uint64", str(tmp_path / "bad"), ["k"])
+
+
 def test_files_and_results(spark, tmp_path):
     for p in ("a/1.avi", "b/2.avi", "saved_movies/1.avi"):
         (tmp_path / p).parent.mkdir(exist_ok=True)
