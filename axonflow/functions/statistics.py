@@ -105,6 +105,35 @@ def bootstrap(data: np.ndarray, statistic: str, draws: int, seed: int) -> np.nda
     return np.concatenate([of(data[rng.integers(0, len(data), (min(step, draws - a), len(data)))], axis=1) for a in range(0, draws, step)])
 
 
+def part_counts(n: int, part: int, size: int, draws: int, seed: int) -> np.ndarray:
+    """How many rows of each resample of ``n`` rows fall in a part, when all parts but the last hold ``size`` rows.
+
+    The resample is dealt down a binary tree of parts, at each node by a binomial number that depends on seed and node alone. So
+    each part finds its own numbers, and those of all parts add up to ``n``: a multinomial law, exactly.
+    """
+    low, high, node, counts = 0, -(-n // size), 1, np.full(draws, n)
+    rows = lambda a, b: min(b * size, n) - a * size
+    while high - low > 1:
+        middle = (low + high) // 2
+        left = np.random.default_rng([seed, 0, node]).binomial(counts, rows(low, middle) / rows(low, high))
+        if part < middle:
+            high, counts, node = middle, left, 2 * node
+        else:
+            low, counts, node = middle, counts - left, 2 * node + 1
+    return counts
+
+
+def part_sums(data: np.ndarray, counts: np.ndarray, part: int, seed: int) -> np.ndarray:
+    """Sums of as many values of a part as each resample has there, drawn with replacement, some resamples at a time."""
+    rng, sums, ends, a = np.random.default_rng([seed, 1, part]), np.zeros(len(counts)), np.cumsum(counts), 0
+    while a < len(counts):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + 1_000_000, side="right")))
+        owner = np.repeat(np.arange(b - a), counts[a:b])
+        sums[a:b] = np.bincount(owner, data[rng.integers(0, len(data), len(owner))], b - a)
+        a = b
+    return sums
+
+
 def median_places(n: int, draws: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Places (from 0) of the two values whose mean is a resample's median, among the n sorted values, for each draw.
 

@@ -50,6 +50,16 @@ def running_sum(rows: DataFrame, keys: list[str], value: Column, name: str, orde
     return summed.withColumn(name, F.col("_in") + F.coalesce("_upto", F.lit(0))).drop("_part", "_v", "_in", "_upto")
 
 
+def largest_before(rows: DataFrame, keys: list[str], value: Column, name: str, order: list[str], size=SIZE) -> DataFrame:
+    """Adds the largest ``value`` of all rows before each row in ``order``, whose first column is a number; null for the first."""
+    rows = rows.withColumn("_part", place(order[0], size)).withColumn("_v", value)
+    before, _ = _across(keys)
+    most = rows.groupBy(*keys, "_part").agg(F.max("_v").alias("_v")).withColumn("_upto", F.max("_v").over(before)).drop("_v")
+    inside = Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    scanned = rows.withColumn("_in", F.max("_v").over(inside)).join(most, [*keys, "_part"])
+    return scanned.withColumn(name, F.greatest("_in", "_upto")).drop("_part", "_v", "_in", "_upto")
+
+
 def numbered(rows: DataFrame, keys: list[str], order: list[str], name: str, size=SIZE) -> DataFrame:
     """Adds the place of each row in ``order``, from 0."""
     return running_sum(rows, keys, F.lit(1).cast("long"), name, order, size).withColumn(name, F.col(name) - 1)

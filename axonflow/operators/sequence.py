@@ -64,12 +64,14 @@ def keep_durations(intervals: DataFrame, shortest=None, longest=None) -> DataFra
     return intervals if longest is None else intervals.where(length <= longest)
 
 
-def merge_close(intervals: DataFrame, min_gap, keys: list[str]) -> DataFrame:
-    """Merge intervals whose gap to what lies before is under ``min_gap``; the end is the largest of the merged ones."""
-    w = Window.partitionBy(*keys).orderBy("start", "end")
-    rows = intervals.withColumn("_upto", F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    rows = rows.withColumn("_new", F.when(F.col("start") - F.col("_upto") < min_gap, 0).otherwise(1))
-    rows = rows.withColumn("_group", F.sum("_new").over(w))
+def merge_close(intervals: DataFrame, min_gap, keys: list[str], bucket=buckets.SIZE) -> DataFrame:
+    """Merge intervals whose gap to what lies before is under ``min_gap``; the end is the largest of the merged ones.
+
+    The running maximum of ends and the number of the merged interval are scans over buckets of ``bucket`` units of time.
+    """
+    rows = buckets.largest_before(intervals, keys, F.col("end"), "_reach", ["start", "end"], bucket)
+    new = F.when(F.col("start") - F.col("_reach") < min_gap, 0).otherwise(1)
+    rows = buckets.running_sum(rows, keys, new, "_group", ["start", "end"], bucket)
     return rows.groupBy(*keys, "_group").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_group")
 
 

@@ -196,25 +196,34 @@ def _resampled_medians(rows: DataFrame, value: str, draws: int, seed: int) -> Da
     return met.groupBy("text", "draw_id").agg(F.first("_g").alias("_g"), F.avg(value).alias("draw")).select("_g", "draw")
 
 
-def bootstrap_interval(rows: DataFrame, keys: list[str], value: str, statistic: str = "median", draws: int = 10_000, level: float = 0.95, seed: int = 0, blocks: int = 8) -> DataFrame:
-    """keys, point, low, high: percentile interval of resamples.
+#: Rows of a part of a group whose means are resampled.
+PART = 1 << 16
 
-    Medians cost the same at any size of a group. For means each of ``blocks`` tasks draws from a whole group at a time,
-    which has to fit in a task (8 bytes a row).
-    """
-    kept = rows.dropna(subset=[value]).select(F.struct(*keys).alias("_g"), F.col(value).cast("double").alias(value))
 
-    def draw(group: pd.DataFrame) -> pd.DataFrame:
-        data, b = np.sort(group[value].to_numpy(float)), int(group["_block"].iloc[0])
-        n = draws // blocks + (b < draws % blocks)
-        return pd.DataFrame({"text": group["text"].iloc[0], "draw": kernels.bootstrap(data, statistic, n, seed * 1_000_003 + b)})
+def _resampled_means(rows: DataFrame, value: str, draws: int, seed: int, part_rows: int) -> DataFrame:
+    """_g, draw: means of resamples. A group is cut into parts; each finds how many of its rows each resample holds and adds
+    up as many of its values, and only these sums are shuffled."""
+    counts = rows.groupBy("_g").agg(F.count(F.lit(1)).alias("_n")).withColumn("_seed", F.pmod(F.xxhash64(F.to_json("_g"), F.lit(seed)), F.lit(1 << 62)))
+    numbered = buckets.numbered(_spread(value, rows), ["_g"], ["_u", value], "_place", 1 / 512)
+    parts = numbered.withColumn("_part", F.floor(F.col("_place") / part_rows)).join(counts, "_g")
+    parts = parts.select(F.to_json("_g").alias("text"), "_part", "_n", "_seed", value)
 
-    if statistic == "median":
-        drawn = _resampled_medians(kept, value, draws, seed)
-    else:
-        spread = kept.select(F.to_json("_g").alias("text"), value, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
-        sums = spread.groupBy("text", "_block").applyInPandas(draw, "text string, draw double")
-        drawn = sums.join(kept.groupBy("_g").agg(F.to_json("_g").alias("text")), "text").select("_g", "draw")
+    def draw(part: pd.DataFrame) -> pd.DataFrame:
+        n, number, key = int(part["_n"].iloc[0]), int(part["_part"].iloc[0]), int(part["_seed"].iloc[0])
+        picked = kernels.part_counts(n, number, part_rows, draws, key)
+        return pd.DataFrame({"text": part["text"].iloc[0], "draw_id": np.arange(draws), "s": kernels.part_sums(np.sort(part[value].to_numpy(float)), picked, number, key)})
+
+    sums = parts.groupBy("text", "_part").applyInPandas(draw, "text string, draw_id long, s double").groupBy("text", "draw_id").agg(F.sum("s").alias("s"))
+    return sums.join(counts.withColumn("text", F.to_json("_g")), "text").select("_g", (F.col("s") / F.col("_n")).alias("draw"))
+
+
+def bootstrap_interval(rows: DataFrame, keys: list[str], value: str, statistic: str = "median", draws: int = 10_000, level: float = 0.95, seed: int = 0, part_rows: int = PART) -> DataFrame:
+    """keys, point, low, high: percentile interval of resamples; no task holds more than a part of a group.
+
+    Medians cost the same at any size of a group, means ``draws`` times its rows.
+    """
+    kept = rows.dropna(subset=[value]).select(F.struct(*keys).alias("_g"), F.col(value).cast("double").alias(value))
+    drawn = _resampled_medians(kept, value, draws, seed) if statistic == "median" else _resampled_means(kept, value, draws, seed, part_rows)
     alpha = (1 - level) / 2
     ends = drawn.groupBy("_g").agg(F.percentile("draw", alpha).alias("low"), F.percentile("draw", 1 - alpha).alias("high"))
     if statistic == "median":

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from axonflow.operators import align, correlogram, movie, perievent, phase, select, sequence, spectral, stats, surrogate
+from axonflow.functions import statistics
 from axonflow.operators.quantiles import exact_quantiles
 from axonflow.sources import raw, results, sheets
 
@@ -567,3 +568,32 @@ def test_long_signals_are_transformed_over_many_tasks(spark):
         assert len(g) == len(x) and np.array_equal(g["value"], x)
         assert np.abs(g["envelope"] - np.abs(z)).max() < 1e-9 * np.abs(x).max(), k
         assert np.abs(np.exp(1j * g["phase"]) - np.exp(1j * np.angle(z))).max() < 1e-9, k
+
+
+def test_resamples_are_dealt_to_parts_by_the_multinomial_law():
+    sizes, draws = [40, 40, 40, 23], 20_000
+    counts = np.array([statistics.part_counts(143, p, 40, draws, 9) for p in range(4)])
+    assert (counts.sum(axis=0) == 143).all()
+    share = np.array(sizes) / 143
+    assert np.abs(counts.mean(axis=1) - 143 * share).max() < 0.2
+    assert np.allclose(np.cov(counts), 143 * (np.diag(share) - np.outer(share, share)), atol=0.8)
+
+
+def test_intervals_and_merges_over_many_buckets(spark):
+    rng = np.random.default_rng(61)
+    t = np.sort(rng.choice(5000, 400)) * 10
+    df = spark.createDataFrame([("r", 1, int(v)) for v in t] + [("r", 2, 5), ("q", 1, None)], "recording_id string, unit_id long, t long").repartition(4)
+    for bucket in (7, 900, 10**9):
+        got = correlogram.intervals(df, ["recording_id", "unit_id"], bucket=bucket).select("interval").collect()
+        assert sorted(r["interval"] for r in got) == sorted(np.diff(t).tolist())
+    start = np.sort(rng.uniform(0, 300, 120))
+    spans = [(float(a), float(a + d)) for a, d in zip(start, rng.exponential(1.5, 120), strict=True)] + [(10.0, 60.0)]
+    want = []
+    for a, b in sorted(spans):
+        if want and a - want[-1][1] < 0.5:
+            want[-1][1] = max(want[-1][1], b)
+        else:
+            want.append([a, b])
+    for bucket in (3, 50, 1 << 16):
+        rows = sequence.merge_close(spark.createDataFrame([("r", a, b) for a, b in spans], "recording_id string, start double, end double"), 0.5, ["recording_id"], bucket).orderBy("start").collect()
+        assert [[r["start"], r["end"]] for r in rows] == want
