@@ -243,7 +243,7 @@ FROM own o JOIN near n ON o.recording_id = n.recording_id AND o.unit_id = n.unit
 _RATES = "rates AS (SELECT recording_id, unit_id, count(*) AS n_events, CASE WHEN count(*) >= 2 AND max(t) > min(t) THEN count(*) / (max(t) - min(t)) ELSE 0.0 END AS rate FROM trains GROUP BY ALL)"
 _BINNED = f"CAST((b.t - a.t + {HALF}) // {BIN} AS INTEGER) AS bin"
 _NEAR = f"b.t - a.t >= -{HALF} AND b.t - a.t < {HALF}"
-_HOURS = f"""{FILLED}, ev AS (SELECT recording_id, event_id, t / 1000000 AS t, CAST(round_even((t / 1000000) * {1 / 3600!r}, 0) AS BIGINT) AS at FROM trains)"""
+_HOURS = f"""{FILLED}, ends AS (SELECT recording_id, max(idx) + 1 AS n FROM filled GROUP BY ALL), ev AS (SELECT t.recording_id, event_id, t / 1000000 AS t, CAST(round_even((t / 1000000) * {1 / 3600!r}, 0) AS BIGINT) AS at, n FROM trains t JOIN ends ON ends.recording_id = t.recording_id)"""
 
 QUERIES = {
     "f1_restrict_window": (f1, f"WITH {TRAINS} SELECT event_id, recording_id, t FROM trains WHERE t BETWEEN {5 * DAY} AND {10 * DAY}"),
@@ -256,10 +256,10 @@ QUERIES = {
     "j3_phase_at_events": (j3, f"WITH {FILLED} SELECT e.recording_id, e.event_id, e.t // {HOUR} AS idx, round(f.value, 6) AS value FROM trains e JOIN filled f ON f.recording_id = e.recording_id AND f.idx = e.t // {HOUR}"),
     "j8_unit_pairs": (j8, f"WITH {TRAINS}, u AS (SELECT DISTINCT recording_id, unit_id FROM trains) SELECT a.recording_id, a.unit_id AS ref, b.unit_id AS target FROM u a JOIN u b ON a.recording_id = b.recording_id AND a.unit_id < b.unit_id"),
     "j9_pairs_within": (j9, f"WITH {TRAINS} SELECT a.recording_id, a.event_id AS ref, b.event_id AS target, b.t - a.t AS delta FROM trains a JOIN trains b ON a.recording_id = b.recording_id AND a.event_id != b.event_id AND b.t - a.t >= -{HOUR // 2} AND b.t - a.t < {HOUR // 2}"),
-    "a1_peri_event": (a1, f"WITH {_HOURS} SELECT e.recording_id, e.event_id, CAST(o AS INTEGER) AS \"offset\", round(f.value, 6) AS value FROM ev e, (SELECT unnest(range(-2, 4)) AS o), filled f WHERE e.at - 2 >= 0 AND e.at + 3 < {views.HOURS} AND f.recording_id = e.recording_id AND f.idx = e.at + o"),
+    "a1_peri_event": (a1, f"WITH {_HOURS} SELECT e.recording_id, e.event_id, CAST(o AS INTEGER) AS \"offset\", round(f.value, 6) AS value FROM ev e, (SELECT unnest(range(-2, 4)) AS o), filled f WHERE e.at - 2 >= 0 AND e.at + 3 < e.n AND f.recording_id = e.recording_id AND f.idx = e.at + o"),
     "a1_peri_event_padded": (a1_padded, f"WITH {_HOURS}, w AS (SELECT e.recording_id, e.event_id, e.at, o FROM ev e, (SELECT unnest(range(-2, 4)) AS o)) SELECT w.recording_id, w.event_id, CAST(w.o AS INTEGER) AS \"offset\", round(f.value, 6) AS value FROM w LEFT JOIN filled f ON f.recording_id = w.recording_id AND f.idx = w.at + w.o"),
-    "a2_event_triggered_average": (a2, f"WITH {_HOURS}, s AS (SELECT e.recording_id, o, f.value FROM ev e, (SELECT unnest(range(-6, 7)) AS o), filled f WHERE e.at - 6 >= 0 AND e.at + 6 < {views.HOURS} AND f.recording_id = e.recording_id AND f.idx = e.at + o) SELECT recording_id, CAST(o AS INTEGER) AS \"offset\", count(*) AS n, round(avg(value), 4) AS mean, round(CASE WHEN count(*) = 1 THEN 0 ELSE stddev_samp(value) END, 4) AS std, round(CASE WHEN count(*) = 1 THEN 0 ELSE stddev_samp(value) END / sqrt(count(*)), 4) AS sem FROM s GROUP BY ALL"),
-    "a4_frame_window_average": (a4, f"WITH {_HOURS}, k AS (SELECT recording_id, count(*) AS k FROM ev GROUP BY ALL), s AS (SELECT e.recording_id, o, f.value FROM ev e, (SELECT unnest(range(-48, 49)) AS o), filled f WHERE e.at - 48 >= 0 AND e.at + 48 < {views.HOURS} AND f.recording_id = e.recording_id AND f.idx = e.at + o) SELECT s.recording_id, CAST(o AS INTEGER) AS \"offset\", round(sum(value) / any_value(k), 4) AS mean FROM s JOIN k ON s.recording_id = k.recording_id GROUP BY s.recording_id, o"),
+    "a2_event_triggered_average": (a2, f"WITH {_HOURS}, s AS (SELECT e.recording_id, o, f.value FROM ev e, (SELECT unnest(range(-6, 7)) AS o), filled f WHERE e.at - 6 >= 0 AND e.at + 6 < e.n AND f.recording_id = e.recording_id AND f.idx = e.at + o) SELECT recording_id, CAST(o AS INTEGER) AS \"offset\", count(*) AS n, round(avg(value), 4) AS mean, round(CASE WHEN count(*) = 1 THEN 0 ELSE stddev_samp(value) END, 4) AS std, round(CASE WHEN count(*) = 1 THEN 0 ELSE stddev_samp(value) END / sqrt(count(*)), 4) AS sem FROM s GROUP BY ALL"),
+    "a4_frame_window_average": (a4, f"WITH {_HOURS}, k AS (SELECT recording_id, count(*) AS k FROM ev GROUP BY ALL), s AS (SELECT e.recording_id, o, f.value FROM ev e, (SELECT unnest(range(-48, 49)) AS o), filled f WHERE e.at - 48 >= 0 AND e.at + 48 < e.n AND f.recording_id = e.recording_id AND f.idx = e.at + o) SELECT s.recording_id, CAST(o AS INTEGER) AS \"offset\", round(sum(value) / any_value(k), 4) AS mean FROM s JOIN k ON s.recording_id = k.recording_id GROUP BY s.recording_id, o"),
     "a5_correlogram": (a5, f"WITH {TRAINS} SELECT a.recording_id, a.unit_id AS ref, b.unit_id AS target, {_BINNED}, count(*) AS n FROM trains a JOIN trains b ON a.recording_id = b.recording_id AND {_NEAR} GROUP BY ALL"),
     "a6_auto_correlogram": (a6, f"WITH {TRAINS}, {_RATES}, c AS (SELECT a.recording_id, a.unit_id, {_BINNED}, count(*) AS n FROM trains a JOIN trains b ON a.recording_id = b.recording_id AND a.unit_id = b.unit_id AND {_NEAR} GROUP BY ALL) SELECT r.recording_id, r.unit_id, CAST(g.bin AS INTEGER) AS bin, coalesce(c.n, 0) AS n, round(CASE WHEN g.bin = {BINS // 2} THEN 0.0 WHEN r.rate > 0 THEN coalesce(c.n, 0) / (r.n_events * {float(BIN)!r}) / r.rate END, 6) AS value FROM rates r CROSS JOIN (SELECT unnest(range(0, {BINS})) AS bin) g LEFT JOIN c ON c.recording_id = r.recording_id AND c.unit_id = r.unit_id AND c.bin = g.bin"),
     "a7_cross_correlogram": (a7, f"WITH {TRAINS}, {_RATES}, c AS (SELECT a.recording_id, a.unit_id AS ref, b.unit_id AS target, {_BINNED}, count(*) AS n FROM trains a JOIN trains b ON a.recording_id = b.recording_id AND a.unit_id < b.unit_id AND {_NEAR} GROUP BY ALL) SELECT a.recording_id, a.unit_id AS ref, b.unit_id AS target, CAST(g.bin AS INTEGER) AS bin, coalesce(c.n, 0) AS n, round(CASE WHEN b.rate > 0 THEN coalesce(c.n, 0) / (a.n_events * {float(BIN)!r}) / b.rate END, 6) AS value FROM rates a JOIN rates b ON a.recording_id = b.recording_id AND a.unit_id < b.unit_id CROSS JOIN (SELECT unnest(range(0, {BINS})) AS bin) g LEFT JOIN c ON c.recording_id = a.recording_id AND c.ref = a.unit_id AND c.target = b.unit_id AND c.bin = g.bin"),

@@ -286,7 +286,7 @@ QUERIES = {
     "a18_robust_correlation": (a18_all, None),
     "a26_outlier_flags": (a26, f"WITH {HOURLY}, m AS (SELECT recording_id, median(value) AS m FROM hourly GROUP BY ALL), s AS (SELECT h.recording_id, median(abs(h.value - m.m)) AS mad FROM hourly h JOIN m ON m.recording_id = h.recording_id GROUP BY ALL) SELECT h.recording_id, h.idx, coalesce(abs(h.value - m.m) > 1.4826 * s.mad, true) AS is_outlier FROM hourly h JOIN m ON m.recording_id = h.recording_id JOIN s ON s.recording_id = h.recording_id"),
     "a27_percentile_limits": (a27, f"WITH {HOURLY} SELECT recording_id, round(quantile_cont(value, 0.05), 5) AS low, round(quantile_cont(value, 0.95), 5) AS high FROM hourly GROUP BY ALL"),
-    "a28_envelope": (a28, f"WITH {FILLED}, b AS (SELECT *, idx * 30 // {HOURS} AS b FROM filled), m AS (SELECT recording_id, b, arg_min(idx, (value, idx)) AS lo, arg_max(idx, (value, -idx)) AS hi FROM b GROUP BY ALL), p AS (SELECT recording_id, lo AS idx FROM m UNION SELECT recording_id, hi FROM m) SELECT p.recording_id, p.idx, round(f.value, 6) AS value FROM p JOIN filled f ON f.recording_id = p.recording_id AND f.idx = p.idx"),
+    "a28_envelope": (a28, f"WITH {FILLED}, b AS (SELECT *, CAST(floor((idx - min(idx) OVER r) * 30 / count(*) OVER r) AS BIGINT) AS b FROM filled WINDOW r AS (PARTITION BY recording_id)), m AS (SELECT recording_id, b, arg_min(idx, (value, idx)) AS lo, arg_max(idx, (value, -idx)) AS hi FROM b GROUP BY ALL), p AS (SELECT recording_id, lo AS idx FROM m UNION SELECT recording_id, hi FROM m) SELECT p.recording_id, p.idx, round(f.value, 6) AS value FROM p JOIN filled f ON f.recording_id = p.recording_id AND f.idx = p.idx"),
     "p5_power_db": (p5, f"WITH {HOURLY} SELECT recording_id, idx, CASE WHEN value > 0 THEN round(10 * log10(value), 6) END AS db FROM hourly"),
     "p7_coherence": (p7, f"WITH {FILLED}, {_PAIR}, w AS (SELECT recording_id, k, i, x - avg(x) OVER (PARTITION BY recording_id, k) AS x, y - avg(y) OVER (PARTITION BY recording_id, k) AS y FROM (SELECT unnest(range(0, ({HOURS} - 32) // 16 + 1)) AS k), p, (SELECT unnest(range(0, 32)) AS i) WHERE p.idx = k * 16 + i), h AS (SELECT recording_id, k, i, x * (0.5 - 0.5 * cos(2 * pi() * i / 32)) AS x, y * (0.5 - 0.5 * cos(2 * pi() * i / 32)) AS y FROM w), f AS (SELECT recording_id, k, q, sum(x * cos(2 * pi() * q * i / 32)) AS xr, -sum(x * sin(2 * pi() * q * i / 32)) AS xi, sum(y * cos(2 * pi() * q * i / 32)) AS yr, -sum(y * sin(2 * pi() * q * i / 32)) AS yi FROM h, (SELECT unnest(range(0, 17)) AS q) GROUP BY ALL), s AS (SELECT recording_id, q, sum(xr * xr + xi * xi) AS xx, sum(yr * yr + yi * yi) AS yy, sum(xr * yr + xi * yi) AS re, sum(xr * yi - xi * yr) AS im FROM f GROUP BY ALL) SELECT recording_id, round(q / 32, 6) AS freq, round((re * re + im * im) / (xx * yy), 6) AS coherence FROM s"),
     "p8_cross_correlation": (p8, f"WITH {FILLED}, {_PAIR}, z AS (SELECT recording_id, idx, (x - avg(x) OVER w) / (stddev_pop(x) OVER w * count(*) OVER w + 1e-12) AS x, (y - avg(y) OVER w) / (stddev_pop(y) OVER w + 1e-12) AS y FROM p WINDOW w AS (PARTITION BY recording_id)) SELECT a.recording_id, CAST(b.idx - a.idx AS INTEGER) AS lag, round(sum(a.x * b.y), 6) AS value FROM z a JOIN z b ON a.recording_id = b.recording_id AND b.idx - a.idx BETWEEN -10 AND 10 GROUP BY a.recording_id, b.idx - a.idx"),

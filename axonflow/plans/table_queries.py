@@ -250,10 +250,21 @@ def s14(spark, d):
 
 
 def s15(spark, d):
-    events = sequence.unit_events(views.user_filled(spark, d), 1, 10.0, [R]).withColumn("unit_id", F.lit(3))
-    return results.unit_event_document(events, 30.0, 1, 10.0)
-
-
+    """Documents of groups of ten users, whose signals are the units, in pieces."""
+    user = F.col(R).cast("long")
+    events = sequence.unit_events(views.user_filled(spark, d), 1, 10.0, [R])
+    return results.unit_event_pieces(events.select(F.floor(user / 10).cast("string").alias(R), user.alias("unit_id"), "idx"), 30.0, 1, 10.0)
+
+
+_S15 = f"""WITH {views.USER_FILLED}, x AS (SELECT recording_id, idx, lead(value) OVER w - value AS v FROM filled WINDOW w AS (PARTITION BY recording_id ORDER BY idx)),
+y AS (SELECT *, lag(v) OVER w AS a, lead(v) OVER w AS b FROM x WINDOW w AS (PARTITION BY recording_id ORDER BY idx)),
+e AS (SELECT CAST(recording_id AS BIGINT) AS unit_id, idx FROM y WHERE v > a AND v > b AND v >= 10),
+u AS (SELECT unit_id // 10 AS g, unit_id, string_agg(idx, ',' ORDER BY idx) AS list FROM e GROUP BY ALL),
+p AS (SELECT g, unit_id, 1 AS kind, CASE WHEN unit_id = min(unit_id) OVER (PARTITION BY g) THEN '' ELSE ',' END || '"' || unit_id || '":[' || list || ']' AS text FROM u
+      UNION ALL SELECT DISTINCT g, NULL, 0, '{{"events":{{' FROM u
+      UNION ALL SELECT DISTINCT g, NULL, 2, '}},"frame_rate":30.0,"derivative":1,"threshold":10.0,"index":"differenced trace"}}' FROM u)
+SELECT CAST(g AS VARCHAR) AS recording_id, row_number() OVER w - 1 AS place, CAST(coalesce(sum(length(text)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset", text
+FROM p WINDOW w AS (PARTITION BY g ORDER BY kind, unit_id)"""
 _RG = "g AS (SELECT recording_id, pixel, regr_slope(value, frame_idx) AS a, regr_intercept(value, frame_idx) AS b FROM pixels GROUP BY ALL)"
 _POP = ", ".join(f"round(avg({c}) FILTER (WHERE v), 4) AS {c}_mean, round(median({c}) FILTER (WHERE v), 4) AS {c}_median, round(stddev_samp({c}) FILTER (WHERE v), 4) AS {c}_std, round(stddev_samp({c}) FILTER (WHERE v) / sqrt(count(*) FILTER (WHERE v)), 4) AS {c}_sem, round(min({c}) FILTER (WHERE v), 4) AS {c}_min, round(max({c}) FILTER (WHERE v), 4) AS {c}_max" for c in ("control", "treatment"))
 _EFFECT = "CASE WHEN abs(d) < 0.2 THEN 'negligible' WHEN abs(d) < 0.5 THEN 'small' WHEN abs(d) < 0.8 THEN 'medium' ELSE 'large' END AS effect"
@@ -294,5 +305,5 @@ QUERIES = {
     "s13_pending_work": (s13, "SELECT c_custkey AS subject FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')"),
     "s14_run_log": (s14, "WITH c AS (SELECT o_custkey, count(*) AS k FROM orders GROUP BY ALL) SELECT 'halves' AS analysis, CASE WHEN k % 2 = 0 THEN 'completed' ELSE 'skipped' END AS status, count(*) AS n FROM c GROUP BY ALL"),
     "w20_delta_f": (w20, f"WITH {PIXELS}, l AS (SELECT recording_id, min(value) AS least FROM pixels GROUP BY ALL), x AS (SELECT p.recording_id, frame_idx, pixel, frame_idx // 100 AS w, value - least(l.least, 0) + CASE WHEN greatest(l.least, 0) = 0 THEN 1 ELSE 0 END AS x FROM pixels p JOIN l ON l.recording_id = p.recording_id), b AS (SELECT recording_id, pixel, w, quantile_cont(x, 0.08::DOUBLE) AS b, avg(frame_idx) AS c FROM x GROUP BY ALL), n AS (SELECT *, lag(b) OVER v AS pb, lag(c) OVER v AS pc, lead(b) OVER v AS nb, lead(c) OVER v AS nc FROM b WINDOW v AS (PARTITION BY recording_id, pixel ORDER BY w)), y AS (SELECT x.recording_id, frame_idx, x.pixel, x, coalesce(CASE WHEN frame_idx < c THEN b + (pb - b) * (frame_idx - c) / (pc - c) ELSE b + (nb - b) * (frame_idx - c) / (nc - c) END, b) AS b FROM x JOIN n ON n.recording_id = x.recording_id AND n.pixel = x.pixel AND n.w = x.w) SELECT recording_id, frame_idx, pixel, round((x - b) / b, 6) AS value FROM y"),
-    "a22_paired_tests": (a22, None), "a23_bootstrap_interval": (a23, None), "m9_correlation_p": (m9, None), "p13_denoise": (p13, None), "s15_unit_event_document": (s15, None),
+    "a22_paired_tests": (a22, None), "a23_bootstrap_interval": (a23, None), "m9_correlation_p": (m9, None), "p13_denoise": (p13, None), "s15_unit_event_document": (s15, _S15),
 }

@@ -98,7 +98,7 @@ TRAINS = "trains AS (SELECT event_id, event_type AS recording_id, user_id % 8 AS
 
 def _hourly_sql(by: str) -> str:
     return f"""{TRAINS}, hours AS (SELECT CAST({by} AS VARCHAR) AS recording_id, (epoch_us(ts) - 1704067200000000) // {HOUR} AS idx, sum(CAST(round(value * 1000) AS BIGINT)) / count(*) / 1000 AS value FROM events GROUP BY ALL),
-grid AS (SELECT recording_id, i AS idx FROM (SELECT DISTINCT recording_id FROM hours), (SELECT unnest(range(0, {HOURS})) AS i)),
+grid AS (SELECT recording_id, unnest(range(least(min(idx), 0), greatest(max(idx), {HOURS - 1}) + 1)) AS idx FROM hours GROUP BY recording_id),
 hourly AS (SELECT grid.recording_id, grid.idx, hours.value FROM grid LEFT JOIN hours ON grid.recording_id = hours.recording_id AND grid.idx = hours.idx)"""
 
 

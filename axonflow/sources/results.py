@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from axonflow.functions.scalars import file_name_part
+from axonflow.operators import buckets
 
 
 def write_results(rows: DataFrame, path: str, by: tuple[str, ...] = ("drug", "channel"), form: str = "parquet", mode: str = "overwrite") -> None:
@@ -53,10 +54,42 @@ def log_summary(log: DataFrame) -> DataFrame:
     return log.groupBy("analysis", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Events of a piece of a document.
+PIECE = 1 << 16
+
+
+def unit_event_pieces(events: DataFrame, rate: float, derivative: int, threshold: float, idx: str = "idx", piece: int = PIECE) -> DataFrame:
+    """JSON documents in pieces: recording_id, place (from 0), offset (characters before it), text.
+
+    A document holds the events of each unit by its id, frame rate, derivative, threshold and index convention; its pieces'
+    texts in order of place are the document. A unit's events are numbered and cut every ``piece`` events, so that a recording
+    of any length is many rows, and the offsets are an index into it.
+    """
+    keys = ["recording_id", "unit_id"]
+    rows = buckets.numbered(events.select(*keys, F.col(idx).cast("long").alias("_i")), keys, ["_i"], "_n").withColumn("_piece", F.floor(F.col("_n") / piece))
+    cut = rows.groupBy(*keys, "_piece").agg(F.array_join(F.sort_array(F.collect_list("_i")), ",").alias("_list"))
+    # one row a piece from here on
+    unit, recording = Window.partitionBy(*keys), Window.partitionBy("recording_id")
+    first_unit = F.col("unit_id") == F.min("unit_id").over(recording)
+    name = F.concat(F.lit('"'), F.col("unit_id").cast("string"), F.lit('":['))
+    opened = F.when(F.col("_piece") > 0, ",").otherwise(F.concat(F.when(first_unit, "").otherwise(","), name))
+    closed = F.when(F.col("_piece") == F.max("_piece").over(unit), "]").otherwise("")
+    body = cut.select(*keys, "_piece", F.lit(1).alias("_kind"), F.concat(opened, "_list", closed).alias("text"))
+    tail = F.to_json(F.struct(F.lit(float(rate)).alias("frame_rate"), F.lit(derivative).alias("derivative"), F.lit(float(threshold)).alias("threshold"), F.lit("differenced trace").alias("index")))
+    ends = F.array(F.struct(F.lit(0).alias("k"), F.lit('{"events":{').alias("text")), F.struct(F.lit(2).alias("k"), F.concat(F.lit("},"), F.substr(tail, F.lit(2))).alias("text")))
+    edges = cut.select("recording_id").distinct().select("recording_id", F.explode(ends).alias("e")).select("recording_id", F.lit(None).cast(events.schema["unit_id"].dataType).alias("unit_id"), F.lit(0).cast("long").alias("_piece"), F.col("e.k").alias("_kind"), F.col("e.text").alias("text"))
+    order = Window.partitionBy("recording_id").orderBy("_kind", "unit_id", "_piece")
+    all_pieces = body.unionByName(edges)
+    offset = F.coalesce(F.sum(F.length("text").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    return all_pieces.select("recording_id", (F.row_number().over(order) - 1).cast("long").alias("place"), offset.alias("offset"), "text")
+
+
 def unit_event_document(events: DataFrame, rate: float, derivative: int, threshold: float, idx: str = "idx") -> DataFrame:
-    """recording_id and a JSON document: events by unit id, frame rate, derivative, threshold, index convention."""
-    units = events.groupBy("recording_id", "unit_id").agg(F.sort_array(F.collect_list(idx)).alias("events"))
-    listed = units.groupBy("recording_id").agg(F.sort_array(F.collect_list(F.struct("unit_id", "events"))).alias("units"))
-    by_unit = F.map_from_entries(F.transform("units", lambda u: F.struct(u["unit_id"].cast("string"), u["events"])))
-    body = F.struct(by_unit.alias("events"), F.lit(float(rate)).alias("frame_rate"), F.lit(derivative).alias("derivative"), F.lit(float(threshold)).alias("threshold"), F.lit("differenced trace").alias("index"))
-    return listed.select("recording_id", F.to_json(body).alias("document"))
+    """recording_id and the whole JSON document of each recording, for recordings whose document fits in a row."""
+    pieces = unit_event_pieces(events, rate, derivative, threshold, idx)
+    return pieces.groupBy("recording_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "text"))), lambda p: p["text"]), "").alias("document"))
+
+
+def write_unit_events(pieces: DataFrame, path: str) -> None:
+    """Write the pieces under ``path`` in folders by recording, as Parquet in order of place, with their offsets."""
+    pieces.repartition("recording_id", F.floor(F.col("place") / 64)).sortWithinPartitions("recording_id", "place").write.partitionBy("recording_id").parquet(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import csv
 import json
 
@@ -21,8 +22,7 @@ def read_sheet(spark: SparkSession, path: str, key: str = KEY) -> DataFrame:
     first = spark.read.text(path).limit(1).collect()
     if not first:
         raise ValueError("the sheet is empty")
-    header = spark.createDataFrame(first).select(F.from_csv("value", "array<string>")) if False else first[0]["value"].lstrip("﻿")
-    names = [c.strip('"') for c in header.rstrip("\r").split(",")]
+    names = header_names(first[0]["value"])
     named = [c for c in names if c.strip()]
     if len(set(named)) < len(named):
         raise ValueError("a column name occurs twice")
@@ -39,6 +39,11 @@ def read_sheet(spark: SparkSession, path: str, key: str = KEY) -> DataFrame:
     return rows.select(*(F.col(f"`{c}`") for c in named))
 
 
+def header_names(line: str) -> list[str]:
+    """Names in the first line of a sheet; a quoted one may hold commas, and quotes twice."""
+    return next(csv.reader([line.lstrip("\ufeff").rstrip("\r\n")]), [])
+
+
 def violations(rows: DataFrame, fields: list[str], key: str = KEY) -> DataFrame:
     """Names of the rules that the sheet breaks, one row each."""
     k = F.col(f"`{key}`")

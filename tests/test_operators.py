@@ -364,6 +364,29 @@ def test_document_of_unit_events(spark):
     assert json.loads(out[0]["document"]) == {"events": {"1": [7], "3": [4, 9]}, "frame_rate": 30.0, "derivative": 1, "threshold": 10.0, "index": "differenced trace"}
 
 
+def test_documents_of_unit_events_in_pieces(spark, tmp_path):
+    import json
+
+    rng = np.random.default_rng(71)
+    rows = [(r, u, int(i)) for r in ("a", "b") for u in (2, 10, 7) for i in rng.choice(5000, 40 + u, False)] + [("c", None, 5)]
+    df = spark.createDataFrame(rows, "recording_id string, unit_id long, idx long").repartition(5).where("unit_id IS NOT NULL")
+    for piece in (7, 1000):
+        pieces = results.unit_event_pieces(df, 20.0, 2, 1.5, piece=piece).collect()
+        for r in ("a", "b"):
+            mine = sorted((p["place"], p["offset"], p["text"]) for p in pieces if p["recording_id"] == r)
+            whole = "".join(t for *_, t in mine)
+            assert [n for n, *_ in mine] == list(range(len(mine))) and all(whole[o : o + len(t)] == t for _, o, t in mine)
+            assert json.loads(whole)["events"] == {str(u): sorted(i for q, v, i in rows if (q, v) == (r, u)) for u in (2, 7, 10)}
+    results.write_unit_events(results.unit_event_pieces(df, 20.0, 2, 1.5, piece=7), str(tmp_path / "doc"))
+    assert spark.read.parquet(str(tmp_path / "doc")).where("recording_id = 'a'").count() == len(sorted(p for p in results.unit_event_pieces(df, 20.0, 2, 1.5, piece=7).where("recording_id = 'a'").collect()))
+
+
+def test_names_in_headers_may_hold_commas(spark, tmp_path):
+    sheet = tmp_path / "s.csv"
+    sheet.write_text('line number,"a, b","say ""hi""",\n1,x,y,\n')
+    assert sheets.read_sheet(spark, str(sheet)).columns == ["line number", "a, b", 'say "hi"']
+
+
 def test_sheets(spark, tmp_path):
     good = tmp_path / "good.csv"
     good.write_text("line number,id,,date (YYMMDD),CSCs,box\n1,A,,230706,CSC1;CSC2,\"(174,391, 453,133)\"\n\n2,B,,NA,CSC3,NA\n")
