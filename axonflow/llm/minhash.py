@@ -185,6 +185,10 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Dat
     return materialize(_beside_centres(pairs, docs).mapInArrow(_confirm(words, percent), "u long, v long").distinct(), "minhash-edges")
 
 
+#: Members with one difference from a centre that a task joins with the strays that have it.
+HOT_ROWS = 4096
+
+
 def stray_candidates(members: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Pairs (u, v) that may link a stray with a member of another component around the same centre, or with the centre.
 
@@ -207,12 +211,16 @@ def stray_candidates(members: DataFrame, docs: DataFrame, words: int, percent: i
         """The rows' prefixes, one row a difference, with how many differences could still be shared after it."""
         rows = rows.select("u", "v", "component", "n", "n_v", "removed", F.size("rare").alias("size"), F.posexplode(F.slice("rare", F.lit(1), F.col(length))).alias("at", "r"))
         columns = {"u": F.col("u"), "component": F.col("component"), "left": F.col("size") - F.col("at"), "part": share * F.col("n") + F.col("removed")}
-        return rows.select(F.col("v").alias("centre"), F.col("r.e").alias("e"), "n_v", *(c.alias(f"{name}_{k}") for k, c in columns.items()))
+        shares = F.ceil(F.col("r.c") / HOT_ROWS).cast("int").alias("shares")
+        return rows.select(F.col("v").alias("centre"), F.col("r.e").alias("e"), shares, "n_v", *(c.alias(f"{name}_{k}") for k, c in columns.items()))
 
     stray, other = cut(found.where("stray AND as_stray > 0"), "as_stray", "x"), cut(found.where("as_member > 0"), "as_member", "y").drop("n_v")
+    # a difference that very many members of a centre have is dealt into shares of them, each of which meets all strays
+    stray = stray.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
+    other = other.withColumn("share", F.pmod(F.xxhash64("y_u"), F.col("shares")).cast("int")).drop("shares")
     # the first difference that a linked pair shares leaves room for all others that it has to share
     room = F.least("x_left", "y_left") >= F.col("x_part") + F.col("y_part") - F.col("n_v") - 1e-6
-    same = (stray["centre"] == other["centre"]) & (stray["e"] == other["e"])
+    same = (stray["centre"] == other["centre"]) & (stray["e"] == other["e"]) & (stray["share"] == other["share"])
     met = stray.join(other, same & (F.col("x_component") != F.col("y_component")) & room).select(F.col("x_u").alias("u"), F.col("y_u").alias("w"))
     linked = frames.where(F.col("stray") & (100 * (F.col("n_v") - F.col("removed")) >= percent * (F.col("n") + F.col("removed"))))
     return met.select("u", F.col("w").alias("v")).union(linked.select("u", "v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()

@@ -447,8 +447,9 @@ def jaccard_components(texts, k, percent):
     return [find(i) for i in range(len(texts))], [len(s) for s in sets]
 
 
-@pytest.mark.parametrize("k", [2, 5])
-def test_near_duplicates_match_brute_force(spark, k):
+@pytest.mark.parametrize(("k", "hot"), [(2, 4096), (5, 4096), (2, 2)])
+def test_near_duplicates_match_brute_force(spark, monkeypatch, k, hot):
+    monkeypatch.setattr(minhash, "HOT_ROWS", hot)
     rng = random.Random(k)
     texts = [None, "", " \t", "one", "ONE", "one two", "One  two"]
     for _ in range(12):
