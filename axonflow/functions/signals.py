@@ -258,27 +258,22 @@ def morlet(time: np.ndarray, gaussian_width: float, window_length: float) -> np.
     return envelope * np.exp(2j * np.pi * window_length * time)
 
 
-def morlet_bank(freqs, fs: float, gaussian_width: float = 1.5, window_length: float = 1.0, precision: int = 16) -> list[np.ndarray]:
+def morlet_bank(freqs, fs: float, gaussian_width: float = 1.5, window_length: float = 1.0) -> list[np.ndarray]:
     """Kernels whose convolution with a signal correlates it with the wavelet at each frequency, all of one length.
 
-    The wavelet's time is read to one of ``2**precision`` steps, rounded up from the sample's own; a kernel at scale s (in
-    samples) so holds the time-reversed conjugate at the steps of its samples 0, 1, ... within the support.
+    A kernel at scale s (samples a unit of the wavelet's time) holds the conjugate wavelet at the samples' own times, last one
+    first, within ``SUPPORT`` of its middle. Tables of the wavelet with a finite step move its times by a step at most.
     """
     freqs = np.atleast_1d(np.asarray(freqs, float))
     sizes = np.array([fs, gaussian_width, window_length, *freqs.ravel()], float)
-    if freqs.ndim != 1 or not freqs.size or not np.isfinite(sizes).all() or (sizes <= 0).any() or int(precision) != precision or precision < 1:
-        raise ValueError("frequencies, rate, widths and precision have to be positive")
-    steps = 2 ** int(precision) - 1
-    kernels = []
-    for scale in fs * window_length / freqs:
-        samples = np.arange(int(2 * SUPPORT * scale) + 1)
-        at = np.ceil(samples * steps / (2 * SUPPORT * scale))
-        time = 2 * SUPPORT * at[at <= steps] / steps - SUPPORT
-        kernels.append(np.conj(morlet(time[::-1], gaussian_width, window_length)))
-    length = max(k.size for k in kernels)
-    out = np.zeros((len(kernels), length), complex)
-    for row, k in zip(out, kernels, strict=True):
-        row[(length - k.size) // 2 :][: k.size] = k
+    if freqs.ndim != 1 or not freqs.size or not np.isfinite(sizes).all() or (sizes <= 0).any():
+        raise ValueError("frequencies, rate and widths have to be positive")
+    scales = fs * window_length / freqs
+    counts = np.floor(2 * SUPPORT * scales).astype(int) + 1
+    out = np.zeros((len(freqs), counts.max()), complex)
+    for row, scale, n in zip(out, scales, counts, strict=True):
+        before = (len(row) - n) // 2
+        row[before : before + n] = np.conj(morlet(np.arange(n - 1, -1, -1) / scale - SUPPORT, gaussian_width, window_length))
     return list(out)
 
 

@@ -244,9 +244,9 @@ def signal_statistics(pairs: DataFrame, keys: list[str], rate: float, band: tupl
     return wide.unpivot(keys, ["power_1", "power_2", "coherence", "peak", "lag"], "measurement", "value")
 
 
-def wavelet_transform(samples: DataFrame, keys: list[str], freqs: list[float], rate: float, gaussian_width: float = 1.5, window_length: float = 1.0, precision: int = 16, norm: str | None = "l1") -> DataFrame:
+def wavelet_transform(samples: DataFrame, keys: list[str], freqs: list[float], rate: float, gaussian_width: float = 1.5, window_length: float = 1.0, norm: str | None = "l1") -> DataFrame:
     """keys, idx, freq, re, im: Morlet coefficients aligned with the samples; chunks with a kernel's halo are exact."""
-    bank = kernels.morlet_bank(freqs, rate, gaussian_width, window_length, precision)
+    bank = kernels.morlet_bank(freqs, rate, gaussian_width, window_length)
     scale, size = kernels.wavelet_scale(freqs, rate, norm), len(bank[0])
     core = max(4096, size)
 

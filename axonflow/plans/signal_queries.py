@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from axonflow.functions import signals as kernels
 from axonflow.operators import align, select, sequence, spectral, stats
 from axonflow.plans import views
 from axonflow.plans.views import CLOCK, DAILY, DAY, HOUR, HOURS, TRAINS
@@ -252,6 +253,27 @@ _S = "s AS (SELECT recording_id, event_id AS idx, t, value FROM trains WHERE uni
 _NEAREST = f"{_S}, b AS (SELECT q.*, (SELECT max(struct_pack(t := s.t, i := s.idx)) FROM s WHERE s.recording_id = q.recording_id AND s.t <= q.t) AS lo, (SELECT min(struct_pack(t := s.t, i := s.idx)) FROM s WHERE s.recording_id = q.recording_id AND s.t > q.t) AS hi FROM q), nn AS (SELECT recording_id, query_id, t, CASE WHEN hi IS NULL OR (lo IS NOT NULL AND t - lo.t <= hi.t - t) THEN lo ELSE hi END AS s FROM b)"
 _PAIR = "p AS (SELECT a.recording_id, a.idx, a.value AS x, b.value AS y FROM filled a JOIN filled b ON a.idx = b.idx AND CAST(b.recording_id AS BIGINT) = CAST(a.recording_id AS BIGINT) + 1)"
 
+_P3 = f"""WITH {FILLED}, n AS (SELECT recording_id, count(*) AS n FROM filled GROUP BY ALL),
+k AS (SELECT n, m, CASE WHEN n % 2 = 0 THEN CASE WHEN m % 2 = 1 THEN 2.0 / n / tan(pi() * m / n) ELSE 0.0 END ELSE (cos(pi() * m / n) - CASE WHEN m % 2 = 1 THEN -1.0 ELSE 1.0 END) / sin(pi() * m / n) / n END AS h
+  FROM (SELECT n, unnest(range(1, n)) AS m FROM (SELECT DISTINCT n FROM n))),
+y AS (SELECT t.recording_id, t.idx, any_value(t.value) AS value, sum(s.value * k.h) AS y FROM filled t JOIN n ON n.recording_id = t.recording_id JOIN filled s ON s.recording_id = t.recording_id AND s.idx <> t.idx AND s.value <> 0
+  JOIN k ON k.n = n.n AND k.h <> 0 AND k.m = (t.idx - s.idx + n.n) % n.n GROUP BY t.recording_id, t.idx)
+SELECT f.recording_id, f.idx, round(atan2(coalesce(y.y, 0.0), f.value), 6) AS phase, round(sqrt(f.value ** 2 + coalesce(y.y, 0.0) ** 2), 6) AS envelope FROM filled f LEFT JOIN y ON y.recording_id = f.recording_id AND y.idx = f.idx"""
+#: Tapers of 48 samples, as a table of the SQL.
+_TAPERS = ", ".join(f"({k}, {i}, {float(v)!r}::DOUBLE)" for k, taper in enumerate(kernels.slepian(48, 2.0, 3)[0]) for i, v in enumerate(taper))
+_P4 = f"""WITH {FILLED}, tapers(k, i, v) AS (VALUES {_TAPERS}),
+basis AS (SELECT k, i, q, v * cos(2 * pi() * q * i / 64) AS c, v * sin(2 * pi() * q * i / 64) AS s FROM tapers, (SELECT unnest(range(0, 33)) AS q)),
+starts AS (SELECT recording_id, unnest(range(0, max(idx) - 46, 24)) AS a FROM filled GROUP BY recording_id),
+x AS (SELECT f.recording_id, a, f.idx - a AS i, value - avg(value) OVER (PARTITION BY f.recording_id, a) AS v FROM filled f JOIN starts s ON s.recording_id = f.recording_id AND f.idx BETWEEN a AND a + 47),
+f AS (SELECT recording_id, a, q, k, sum(x.v * c) ** 2 + sum(x.v * s) ** 2 AS p FROM x JOIN basis ON basis.i = x.i GROUP BY ALL),
+spectrum AS (SELECT recording_id, a + 24.0 AS t, q / 64 AS freq, avg(p) * CASE WHEN q IN (0, 32) THEN 1 ELSE 2 END AS power FROM f GROUP BY recording_id, a, q)"""
+_P11 = f"""WITH {FILLED}, w(freq, scale) AS (VALUES (0.05::DOUBLE, 20.0::DOUBLE), (0.1, 10.0), (0.2, 5.0)),
+sizes AS (SELECT *, CAST(floor(16 * scale) AS BIGINT) + 1 AS n, (SELECT CAST(floor(16 * max(scale)) AS BIGINT) + 1 FROM w) AS size FROM w),
+k AS (SELECT freq, (size - n) // 2 + j AS k, size, (n - 1 - j) / scale - 8 AS t FROM (SELECT *, unnest(range(0, n)) AS j FROM sizes)),
+kernel AS (SELECT freq, (size - 1) // 2 - k AS ahead, freq * exp(-t * t / 1.5) / pow(pi() * 1.5, 0.25) * cos(2 * pi() * t) AS re, -freq * exp(-t * t / 1.5) / pow(pi() * 1.5, 0.25) * sin(2 * pi() * t) AS im FROM k)
+SELECT f.recording_id, f.idx - ahead AS idx, freq, round(sum(value * re), 6) + 0.0 AS re, round(sum(value * im), 6) + 0.0 AS im FROM filled f, kernel
+WHERE f.idx - ahead >= 0 AND f.idx - ahead <= (SELECT max(idx) FROM filled) GROUP BY f.recording_id, f.idx - ahead, freq"""
+
 QUERIES = {
     "f2_slice_periods": (f2, f"WITH {FILLED}, {WINDOWS} SELECT recording_id AS subject, period, idx, round(value, 6) AS value FROM filled, w WHERE idx >= start_min AND idx < end_min"),
     "f3_trim_edges": (f3, f"WITH {FILLED} SELECT recording_id, idx, round(value, 6) AS value FROM filled WHERE idx BETWEEN 100 AND {HOURS - 101}"),
@@ -291,6 +313,8 @@ QUERIES = {
     "p7_coherence": (p7, f"WITH {FILLED}, {_PAIR}, w AS (SELECT recording_id, k, i, x - avg(x) OVER (PARTITION BY recording_id, k) AS x, y - avg(y) OVER (PARTITION BY recording_id, k) AS y FROM (SELECT unnest(range(0, ({HOURS} - 32) // 16 + 1)) AS k), p, (SELECT unnest(range(0, 32)) AS i) WHERE p.idx = k * 16 + i), h AS (SELECT recording_id, k, i, x * (0.5 - 0.5 * cos(2 * pi() * i / 32)) AS x, y * (0.5 - 0.5 * cos(2 * pi() * i / 32)) AS y FROM w), f AS (SELECT recording_id, k, q, sum(x * cos(2 * pi() * q * i / 32)) AS xr, -sum(x * sin(2 * pi() * q * i / 32)) AS xi, sum(y * cos(2 * pi() * q * i / 32)) AS yr, -sum(y * sin(2 * pi() * q * i / 32)) AS yi FROM h, (SELECT unnest(range(0, 17)) AS q) GROUP BY ALL), s AS (SELECT recording_id, q, sum(xr * xr + xi * xi) AS xx, sum(yr * yr + yi * yi) AS yy, sum(xr * yr + xi * yi) AS re, sum(xr * yi - xi * yr) AS im FROM f GROUP BY ALL) SELECT recording_id, round(q / 32, 6) AS freq, round((re * re + im * im) / (xx * yy), 6) AS coherence FROM s"),
     "p8_cross_correlation": (p8, f"WITH {FILLED}, {_PAIR}, z AS (SELECT recording_id, idx, (x - avg(x) OVER w) / (stddev_pop(x) OVER w * count(*) OVER w + 1e-12) AS x, (y - avg(y) OVER w) / (stddev_pop(y) OVER w + 1e-12) AS y FROM p WINDOW w AS (PARTITION BY recording_id)) SELECT a.recording_id, CAST(b.idx - a.idx AS INTEGER) AS lag, round(sum(a.x * b.y), 6) AS value FROM z a JOIN z b ON a.recording_id = b.recording_id AND b.idx - a.idx BETWEEN -10 AND 10 GROUP BY a.recording_id, b.idx - a.idx"),
     "p10_coherogram": (p10, f"WITH {FILLED}, {_PAIR}, w AS (SELECT recording_id, k, i, x - avg(x) OVER v AS x, y - avg(y) OVER v AS y FROM (SELECT unnest(range(0, ({HOURS} - 48) // 24 + 1)) AS k), p, (SELECT unnest(range(0, 48)) AS i) WHERE p.idx = k * 24 + i WINDOW v AS (PARTITION BY recording_id, k)), h AS (SELECT recording_id, k, i, x * (0.5 - 0.5 * cos(2 * pi() * i / 48)) AS x, y * (0.5 - 0.5 * cos(2 * pi() * i / 48)) AS y FROM w), f AS (SELECT recording_id, k, q, sum(x * cos(2 * pi() * q * i / 48)) AS xr, -sum(x * sin(2 * pi() * q * i / 48)) AS xi, sum(y * cos(2 * pi() * q * i / 48)) AS yr, -sum(y * sin(2 * pi() * q * i / 48)) AS yi FROM h, (SELECT unnest(range(0, 25)) AS q) GROUP BY ALL), s AS (SELECT recording_id, k, q, avg(xr * xr + xi * xi) OVER n AS xx, avg(yr * yr + yi * yi) OVER n AS yy, avg(xr * yr + xi * yi) OVER n AS re, avg(xr * yi - xi * yr) OVER n AS im FROM f WINDOW n AS (PARTITION BY recording_id, q ORDER BY k ROWS BETWEEN 3 PRECEDING AND 4 FOLLOWING)) SELECT recording_id, CAST(k * 24 + 24 AS DOUBLE) AS t, round(q / 48, 6) AS freq, round((re * re + im * im) / (xx * yy), 6) AS coherence FROM s"),
-    "p1_zero_phase": (p1, None), "p1_zero_phase_fir": (p1_fir, None), "p3_phase_and_envelope": (p3, None), "p4_multitaper_spectrogram": (p4, None), "p6_band_power": (p6, None),
-    "p9_signal_statistics": (p9, None), "p11_wavelet_transform": (p11, None), "p12_oscillatory_events": (p12, None),
+    "p1_zero_phase": (p1, None), "p1_zero_phase_fir": (p1_fir, None), "p3_phase_and_envelope": (p3, _P3),
+    "p4_multitaper_spectrogram": (p4, f"{_P4} SELECT recording_id, t, round(freq, 6) AS freq, round(power, 6) AS power FROM spectrum"),
+    "p6_band_power": (p6, f"{_P4} SELECT recording_id, round(avg(10 * log10(power)), 6) AS power_db FROM spectrum WHERE freq BETWEEN 0.03 AND 0.06 AND power > 0 GROUP BY ALL"),
+    "p9_signal_statistics": (p9, None), "p11_wavelet_transform": (p11, _P11), "p12_oscillatory_events": (p12, None),
 }
