@@ -7,10 +7,16 @@ Analytic signals, global by nature, are transformed over many tasks where they a
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from types import SimpleNamespace
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from axonflow.functions import signals as kernels
 from axonflow.functions.scalars import power_to_db
@@ -39,18 +45,43 @@ def chunks(samples: DataFrame, keys: list[str], core: int, left: int, right: int
     return packed.select(*keys, "chunk", F.col(f"_rows.{idx}")[0].alias("first"), *(F.col(f"_rows.{v}").alias(v) for v in values))
 
 
-def _by_chunk(packed: DataFrame, keys: list[str], schema: str, fn) -> DataFrame:
-    """``fn(row) -> dict of arrays`` over packed rows; the keys are repeated for each output row."""
+#: Rows that a task gathers before it hands them on.
+_ROWS = 1 << 16
 
-    def run(batches):
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                out = fn(row)
-                n = len(next(iter(out.values())))
-                if n:
-                    yield pd.DataFrame({k: [getattr(row, k)] * n for k in keys} | out)
 
-    return packed.mapInPandas(run, f"{_key_schema(packed, keys)}, {schema}")
+def _by_chunk(packed: DataFrame, keys: list[str], schema: str, fn) -> DataFrame:
+    """``fn(row) -> dict of arrays`` over packed rows, whose arrays are numpy arrays (missing numbers NaN); the keys are
+    repeated for each output row. The output of many chunks goes on as one batch."""
+    fields = StructType.fromDDL(f"{_key_schema(packed, keys)}, {schema}")
+    types = to_arrow_schema(fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = {}
+            for name, column in zip(batch.schema.names, batch.columns, strict=True):
+                if pa.types.is_list(column.type):
+                    ends, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+                    columns[name] = [values[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)]
+                elif name not in keys:
+                    columns[name] = column.to_pylist()
+            made, rows, held = [], [], 0
+            for i in range(batch.num_rows):
+                out = fn(SimpleNamespace(**{name: values[i] for name, values in columns.items()}))
+                made.append(out)
+                rows.append(i)
+                held += len(next(iter(out.values())))
+                if held >= _ROWS or i == batch.num_rows - 1:
+                    if held:
+                        yield gathered(batch, made, rows)
+                    made, rows, held = [], [], 0
+
+    def gathered(batch: pa.RecordBatch, made: list[dict], rows: list[int]) -> pa.RecordBatch:
+        names = types.names[len(keys) :]
+        repeated = pa.array(np.repeat(rows, [len(out[names[0]]) for out in made]))
+        values = [pa.array(np.concatenate([np.asarray(out[n]) for out in made if len(out[n])]), types.field(n).type) for n in names]
+        return pa.RecordBatch.from_arrays([*(batch.column(k).take(repeated) for k in keys), *values], schema=types)
+
+    return packed.mapInArrow(run, fields)
 
 
 def zero_phase(samples: DataFrame, keys: list[str], order: int, cut, kind: str, rate: float, family: str = "butter", idx: str = "idx", core: int = buckets.SIZE) -> DataFrame:
@@ -66,7 +97,7 @@ def zero_phase(samples: DataFrame, keys: list[str], order: int, cut, kind: str,
     kinds = {f.name: f.dataType.simpleString() for f in kept.schema}
 
     def run(row) -> dict:
-        x = np.array([np.nan if v is None else v for v in row.value], float)
+        x = np.asarray(row.value, float)
         try:
             y = kernels.zero_phase(x, order, cut, kind, rate, family)
         except ValueError:
@@ -142,7 +173,7 @@ def multitaper_spectrogram(samples: DataFrame, keys: list[str], rate: float, win
     core = per_chunk * hop
 
     def run(row) -> dict:
-        values = np.array([np.nan if v is None else v for v in row.value], float)
+        values = np.asarray(row.value, float)
         starts, windows = _windows(values, row.first, row.chunk * core, core, length, hop)
         power = kernels.multitaper(windows, rate, bank, concentration, nfft, keep, detrend, weighting)
         return {"t": np.repeat((starts + round(length / 2)) / rate, keep.sum()), "freq": np.tile(freqs[keep], len(starts)), "power": power.ravel()}
@@ -158,8 +189,11 @@ def band_power(samples: DataFrame, keys: list[str], rate: float, band: tuple[flo
     return spectrum.where(F.col("freq").between(*band)).groupBy(*keys).agg(F.avg(power_to_db(F.col("power"))).alias("power_db"))
 
 
-def window_products(pairs: DataFrame, keys: list[str], rate: float, length: int, hop: int | None = None, per_chunk: int = 64) -> DataFrame:
-    """keys, window, freq, pxx, pyy, re, im of each Hann window of x and y (constant trend removed)."""
+def window_products(pairs: DataFrame, keys: list[str], rate: float, length: int, hop: int | None = None, per_chunk: int = 64, fold: bool = False) -> DataFrame:
+    """keys, window, freq, pxx, pyy, re, im of each Hann window of x and y (constant trend removed).
+
+    With ``fold`` the windows of a chunk are added up where they are, under the number of the first of them.
+    """
     hop = hop or length - length // 2
     taper = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(length) / length)
     freqs, core = np.fft.rfftfreq(length, 1 / rate), per_chunk * hop
@@ -174,10 +208,10 @@ def window_products(pairs: DataFrame, keys: list[str], rate: float, length: int,
         _, y = _windows(np.asarray(row.y, float), row.first, row.chunk * core, core, length, hop)
         fx, fy = (np.fft.rfft(kernels.detrended(v, "constant") * taper) for v in (x, y))
         cross = fx.conj() * fy * scale
-        return {
-            "window": np.repeat(starts // hop, len(freqs)), "freq": np.tile(freqs, len(starts)), "pxx": (np.abs(fx) ** 2 * scale).ravel(),
-            "pyy": (np.abs(fy) ** 2 * scale).ravel(), "re": cross.real.ravel(), "im": cross.imag.ravel(),
-        }
+        products = {"pxx": np.abs(fx) ** 2 * scale, "pyy": np.abs(fy) ** 2 * scale, "re": cross.real, "im": cross.imag}
+        if fold and len(starts):
+            starts, products = starts[:1], {k: v.sum(axis=0) for k, v in products.items()}
+        return {"window": np.repeat(starts // hop, len(freqs)), "freq": np.tile(freqs, len(starts))} | {k: v.ravel() for k, v in products.items()}
 
     packed = chunks(pairs, keys, core, 0, max(length - hop, 0), ("x", "y"))
     return _by_chunk(packed, keys, "window long, freq double, pxx double, pyy double, re double, im double", run)
@@ -185,7 +219,7 @@ def window_products(pairs: DataFrame, keys: list[str], rate: float, length: int,
 
 def coherence(pairs: DataFrame, keys: list[str], rate: float, seconds: float | None = None) -> DataFrame:
     """keys, freq, coherence: magnitude-squared coherence over Welch windows, half of which overlap."""
-    products = window_products(pairs, keys, rate, int(rate * seconds) if seconds else 256)
+    products = window_products(pairs, keys, rate, int(rate * seconds) if seconds else 256, fold=True)
     sums = products.groupBy(*keys, "freq").agg(*(F.sum(c).alias(c) for c in ("pxx", "pyy", "re", "im")))
     return sums.select(*keys, "freq", ((F.col("re") ** 2 + F.col("im") ** 2) / F.nullif(F.col("pxx") * F.col("pyy"), F.lit(0.0))).alias("coherence"))
 

@@ -105,9 +105,15 @@ def population_statistics(rows: DataFrame, keys: list[str]) -> DataFrame:
     out = {"n_total": F.count(F.lit(1)), "n_valid": valid}
     for c in ("control", "treatment"):
         x = use(c)
-        out |= {f"{c}_mean": F.avg(x), f"{c}_median": F.median(x), f"{c}_std": F.stddev_samp(x), f"{c}_sem": F.stddev_samp(x) / F.sqrt(valid), f"{c}_min": F.min(x), f"{c}_max": F.max(x)}
-    out |= {"mean_difference": F.avg(difference), "median_difference": F.median(difference)}
-    figures = rows.groupBy(*keys).agg(*(c.alias(k) for k, c in out.items()))
+        out |= {f"{c}_mean": F.avg(x), f"{c}_median": None, f"{c}_std": F.stddev_samp(x), f"{c}_sem": F.stddev_samp(x) / F.sqrt(valid), f"{c}_min": F.min(x), f"{c}_max": F.max(x)}
+    out |= {"mean_difference": F.avg(difference), "median_difference": None}
+    figures = rows.groupBy(F.struct(*keys).alias("_g")).agg(*(c.alias(k) for k, c in out.items() if c is not None))
+    # medians of all three by one exact selection
+    sides = {"control_median": F.col("control"), "treatment_median": F.col("treatment"), "median_difference": F.col("treatment") - F.col("control")}
+    long = rows.where(fine).select(F.struct(*keys).alias("_g"), F.explode(F.array(*(F.struct(F.lit(k).alias("k"), c.cast("double").alias("x")) for k, c in sides.items()))).alias("s"))
+    middle = exact_quantiles(long.select("_g", F.col("s.k").alias("_k"), F.col("s.x").alias("_x")), ["_g", "_k"], "_x", {"_m": 0.5})
+    middle = middle.groupBy("_g").agg(*(F.max(F.when(F.col("_k") == k, F.col("_m"))).alias(k) for k in sides))
+    figures = _ungrouped(figures.join(middle, "_g", "left"), keys, *out)
     enough = F.col("n_valid") >= 2
     blank = [k for k in out if not k.startswith("n_")]
     return figures.select(*keys, "n_total", "n_valid", *(F.when(enough, F.col(k)).alias(k) for k in blank), F.when(~enough, "fewer than 2 valid pairs").alias("error"))

@@ -274,6 +274,26 @@ kernel AS (SELECT freq, (size - 1) // 2 - k AS ahead, freq * exp(-t * t / 1.5) /
 SELECT f.recording_id, f.idx - ahead AS idx, freq, round(sum(value * re), 6) + 0.0 AS re, round(sum(value * im), 6) + 0.0 AS im FROM filled f, kernel
 WHERE f.idx - ahead >= 0 AND f.idx - ahead <= (SELECT max(idx) FROM filled) GROUP BY f.recording_id, f.idx - ahead, freq"""
 
+#: Effective numbers of samples.
+_EFFECTIVE = f"WITH {DAILY}, {_NUMBERED}, c AS (SELECT subject, i, x - avg(x) OVER w AS x, y - avg(y) OVER w AS y, count(*) OVER w AS k FROM n WINDOW w AS (PARTITION BY subject)), l AS (SELECT a.subject, b.i - a.i AS lag, sum(a.x * b.x) AS sx, sum(a.y * b.y) AS sy, any_value(a.k) AS k FROM c a JOIN c b ON a.subject = b.subject AND b.i - a.i BETWEEN 0 AND least(20, a.k // 4) GROUP BY ALL), z AS (SELECT subject, sx, sy FROM l WHERE lag = 0), s AS (SELECT l.subject, any_value(k) AS n, sum(CASE WHEN lag > 0 THEN (l.sx / z.sx) * (l.sy / z.sy) END) AS s FROM l JOIN z ON z.subject = l.subject GROUP BY l.subject)"
+
+
+def p_values_sql(rows: str) -> str:
+    """Common table expressions that end in ``p`` (subject, kind, p): two-sided p of Student's t for ``rows`` (subject, kind, t,
+    df), by the series of the incomplete beta function, all of whose terms are positive."""
+    return f"""pv AS (SELECT subject, kind, df / 2 AS a, t * t / (df + t * t) AS y FROM ({rows}) WHERE df > 0),
+terms AS (SELECT subject, kind, a, y, sum(exp(lgamma(a + 0.5 + k) - lgamma(a + 0.5) - lgamma(1.5 + k) + lgamma(1.5) + CASE WHEN k = 0 THEN 0.0 ELSE k * ln(greatest(y, 1e-300)) END)) AS s FROM pv, (SELECT unnest(range(0, 600)) AS k) GROUP BY ALL),
+p AS (SELECT subject, kind, 1 - sqrt(y) * pow(1 - y, a) * 2 * exp(lgamma(a + 0.5) - lgamma(0.5) - lgamma(a)) * s AS p FROM terms)"""
+
+
+_ROBUST = f"""{_EFFECTIVE}, e AS (SELECT subject, greatest(3.0, least(n / (1 + 2 * greatest(0.0, coalesce(s, 0.0))), n)) AS ne FROM s),
+g AS (SELECT subject, count(*) AS n, CASE WHEN count(*) >= 10 AND max(x) > min(x) AND max(y) > min(y) THEN corr(y, x) END AS r FROM daily GROUP BY subject),
+b AS (SELECT g.*, e.ne FROM g JOIN e ON e.subject = g.subject),
+{p_values_sql("SELECT subject, 'plain' AS kind, r * sqrt((n - 2) / (1 - r * r)) AS t, n - 2.0::DOUBLE AS df FROM b WHERE r IS NOT NULL UNION ALL SELECT subject, 'corrected', r * sqrt((ne - 2) / (1 - r * r + 1e-10)), ne - 2 FROM b WHERE r IS NOT NULL")}
+SELECT b.subject, b.n, CAST(floor(ne) AS BIGINT) AS n_effective, round(r, 6) AS r, round(p1.p, 6) AS p_value, round(p2.p, 6) AS p_value_corrected,
+  CASE WHEN ne > 3 THEN round(tanh(atanh(r) - 1.959963984540054 / sqrt(ne - 3)), 6) END AS ci_lower, CASE WHEN ne > 3 THEN round(tanh(atanh(r) + 1.959963984540054 / sqrt(ne - 3)), 6) END AS ci_upper
+FROM b LEFT JOIN p p1 ON p1.subject = b.subject AND p1.kind = 'plain' LEFT JOIN p p2 ON p2.subject = b.subject AND p2.kind = 'corrected'"""
+
 QUERIES = {
     "f2_slice_periods": (f2, f"WITH {FILLED}, {WINDOWS} SELECT recording_id AS subject, period, idx, round(value, 6) AS value FROM filled, w WHERE idx >= start_min AND idx < end_min"),
     "f3_trim_edges": (f3, f"WITH {FILLED} SELECT recording_id, idx, round(value, 6) AS value FROM filled WHERE idx BETWEEN 100 AND {HOURS - 101}"),
@@ -304,8 +324,8 @@ QUERIES = {
     "a15_pooled_z": (a15, f"WITH {HOURLY} SELECT recording_id, idx, round((value - avg(value) OVER w) / stddev_pop(value) OVER w, 5) AS z FROM hourly WINDOW w AS (PARTITION BY recording_id)"),
     "a16_block_z": (a16, f"WITH {FILLED} SELECT recording_id, idx, round(CASE WHEN max(value) OVER w = min(value) OVER w THEN 0.0 ELSE (value - avg(value) OVER w) / stddev_pop(value) OVER w END, 5) AS z FROM filled WINDOW w AS (PARTITION BY recording_id, idx // 100)"),
     "a17_regression": (a17, f"WITH {DAILY} SELECT subject, count(*) AS n, round(corr(y, x), 6) AS r, round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 5) AS intercept FROM daily GROUP BY ALL"),
-    "a18_effective_n": (a18, f"WITH {DAILY}, {_NUMBERED}, c AS (SELECT subject, i, x - avg(x) OVER w AS x, y - avg(y) OVER w AS y, count(*) OVER w AS k FROM n WINDOW w AS (PARTITION BY subject)), l AS (SELECT a.subject, b.i - a.i AS lag, sum(a.x * b.x) AS sx, sum(a.y * b.y) AS sy, any_value(a.k) AS k FROM c a JOIN c b ON a.subject = b.subject AND b.i - a.i BETWEEN 0 AND least(20, a.k // 4) GROUP BY ALL), z AS (SELECT subject, sx, sy FROM l WHERE lag = 0), s AS (SELECT l.subject, any_value(k) AS n, sum(CASE WHEN lag > 0 THEN (l.sx / z.sx) * (l.sy / z.sy) END) AS s FROM l JOIN z ON z.subject = l.subject GROUP BY l.subject) SELECT subject, n, round(greatest(3.0, least(n / (1 + 2 * greatest(0.0, s)), n)), 4) AS n_effective FROM s"),
-    "a18_robust_correlation": (a18_all, None),
+    "a18_effective_n": (a18, f"{_EFFECTIVE} SELECT subject, n, round(greatest(3.0, least(n / (1 + 2 * greatest(0.0, s)), n)), 4) AS n_effective FROM s"),
+    "a18_robust_correlation": (a18_all, _ROBUST),
     "a26_outlier_flags": (a26, f"WITH {HOURLY}, m AS (SELECT recording_id, median(value) AS m FROM hourly GROUP BY ALL), s AS (SELECT h.recording_id, median(abs(h.value - m.m)) AS mad FROM hourly h JOIN m ON m.recording_id = h.recording_id GROUP BY ALL) SELECT h.recording_id, h.idx, coalesce(abs(h.value - m.m) > 1.4826 * s.mad, true) AS is_outlier FROM hourly h JOIN m ON m.recording_id = h.recording_id JOIN s ON s.recording_id = h.recording_id"),
     "a27_percentile_limits": (a27, f"WITH {HOURLY} SELECT recording_id, round(quantile_cont(value, 0.05), 5) AS low, round(quantile_cont(value, 0.95), 5) AS high FROM hourly GROUP BY ALL"),
     "a28_envelope": (a28, f"WITH {FILLED}, b AS (SELECT *, CAST(floor((idx - min(idx) OVER r) * 30 / count(*) OVER r) AS BIGINT) AS b FROM filled WINDOW r AS (PARTITION BY recording_id)), m AS (SELECT recording_id, b, arg_min(idx, (value, idx)) AS lo, arg_max(idx, (value, -idx)) AS hi FROM b GROUP BY ALL), p AS (SELECT recording_id, lo AS idx FROM m UNION SELECT recording_id, hi FROM m) SELECT p.recording_id, p.idx, round(f.value, 6) AS value FROM p JOIN filled f ON f.recording_id = p.recording_id AND f.idx = p.idx"),

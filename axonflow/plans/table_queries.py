@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from axonflow.functions import scalars
 from axonflow.operators import align, movie, select, sequence, stats, surrogate
 from axonflow.plans import views
+from axonflow.plans.signal_queries import p_values_sql
 from axonflow.plans.views import DAILY, FRAMES, PIXELS, TRAINS, table
 from axonflow.plans.views import USER_FILLED as FILLED
 from axonflow.sources import results, sheets
@@ -270,6 +271,10 @@ _POP = ", ".join(f"round(avg({c}) FILTER (WHERE v), 4) AS {c}_mean, round(median
 _EFFECT = "CASE WHEN abs(d) < 0.2 THEN 'negligible' WHEN abs(d) < 0.5 THEN 'small' WHEN abs(d) < 0.8 THEN 'medium' ELSE 'large' END AS effect"
 _NY = 11
 
+_M9 = f"""WITH {DAILY}, g AS (SELECT subject, count(*) AS n, CASE WHEN count(*) >= 10 AND max(x) > min(x) AND max(y) > min(y) THEN corr(y, x) END AS r FROM daily GROUP BY subject),
+{p_values_sql("SELECT subject, 'plain' AS kind, r * sqrt((n - 2) / (1 - r * r)) AS t, n - 2.0::DOUBLE AS df FROM g WHERE r IS NOT NULL")}
+SELECT g.subject, round(p.p, 6) AS p_value FROM g LEFT JOIN p ON p.subject = g.subject"""
+
 QUERIES = {
     "f9_crop_frames": (f9, f"WITH {FRAMES} SELECT recording_id, frame_idx, list_concat(list_concat(pixels[35:38], pixels[43:46]), pixels[51:54]) AS pixels FROM frames"),
     "f10_every_kth_frame": (f10, f"WITH {FRAMES}, k AS (SELECT recording_id, greatest(count(*) // 10, 1) AS k FROM frames GROUP BY ALL) SELECT f.recording_id, frame_idx FROM frames f JOIN k ON k.recording_id = f.recording_id WHERE frame_idx % k.k = 0"),
@@ -305,5 +310,5 @@ QUERIES = {
     "s13_pending_work": (s13, "SELECT c_custkey AS subject FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')"),
     "s14_run_log": (s14, "WITH c AS (SELECT o_custkey, count(*) AS k FROM orders GROUP BY ALL) SELECT 'halves' AS analysis, CASE WHEN k % 2 = 0 THEN 'completed' ELSE 'skipped' END AS status, count(*) AS n FROM c GROUP BY ALL"),
     "w20_delta_f": (w20, f"WITH {PIXELS}, l AS (SELECT recording_id, min(value) AS least FROM pixels GROUP BY ALL), x AS (SELECT p.recording_id, frame_idx, pixel, frame_idx // 100 AS w, value - least(l.least, 0) + CASE WHEN greatest(l.least, 0) = 0 THEN 1 ELSE 0 END AS x FROM pixels p JOIN l ON l.recording_id = p.recording_id), b AS (SELECT recording_id, pixel, w, quantile_cont(x, 0.08::DOUBLE) AS b, avg(frame_idx) AS c FROM x GROUP BY ALL), n AS (SELECT *, lag(b) OVER v AS pb, lag(c) OVER v AS pc, lead(b) OVER v AS nb, lead(c) OVER v AS nc FROM b WINDOW v AS (PARTITION BY recording_id, pixel ORDER BY w)), y AS (SELECT x.recording_id, frame_idx, x.pixel, x, coalesce(CASE WHEN frame_idx < c THEN b + (pb - b) * (frame_idx - c) / (pc - c) ELSE b + (nb - b) * (frame_idx - c) / (nc - c) END, b) AS b FROM x JOIN n ON n.recording_id = x.recording_id AND n.pixel = x.pixel AND n.w = x.w) SELECT recording_id, frame_idx, pixel, round((x - b) / b, 6) AS value FROM y"),
-    "a22_paired_tests": (a22, None), "a23_bootstrap_interval": (a23, None), "m9_correlation_p": (m9, None), "p13_denoise": (p13, None), "s15_unit_event_document": (s15, _S15),
+    "a22_paired_tests": (a22, None), "a23_bootstrap_interval": (a23, None), "m9_correlation_p": (m9, _M9), "p13_denoise": (p13, None), "s15_unit_event_document": (s15, _S15),
 }

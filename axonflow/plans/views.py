@@ -75,11 +75,12 @@ def phases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """subject (order priority), idx (day), x (orders), y (mean price in hundreds)."""
+    """subject (order priority and hundred of customers, so that subjects grow with the orders), idx (day), x (orders), y (mean
+    price in hundreds)."""
     orders = table(spark, sf_dir, "orders")
     day = F.floor(_micros("o_orderdate", "1992-01-01") / DAY)
     cents = F.sum(F.round(F.col("o_totalprice") * 100).cast("long"))
-    return orders.groupBy(F.col("o_orderpriority").alias("subject"), day.alias("idx")).agg(F.count(F.lit(1)).cast("double").alias("x"), (cents / F.count(F.lit(1)) / 10000).alias("y"))
+    return orders.groupBy(F.concat("o_orderpriority", F.lit(" "), F.floor(F.col("o_custkey") / 100).cast("string")).alias("subject"), day.alias("idx")).agg(F.count(F.lit(1)).cast("double").alias("x"), (cents / F.count(F.lit(1)) / 10000).alias("y"))
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,7 +108,7 @@ HOURLY, USER_HOURLY = _hourly_sql("event_type"), _hourly_sql("user_id")
 FILLED, USER_FILLED = f"{HOURLY}, {_FILL}", f"{USER_HOURLY}, {_FILL}"
 CLOCK = f"{TRAINS}, clock AS (SELECT CAST(user_id AS VARCHAR) AS recording_id, event_id, epoch_us(ts) - 1704067200000000 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame_idx FROM events)"
 PHASES = f"{TRAINS}, phases AS (SELECT *, (t % {DAY}) * {2 * math.pi / DAY!r} - {math.pi!r} AS phase FROM trains)"
-DAILY = f"""daily AS (SELECT o_orderpriority AS subject, CAST((epoch_us(o_orderdate) - 694224000000000) // {DAY} AS BIGINT) AS idx, CAST(count(*) AS DOUBLE) AS x,
+DAILY = f"""daily AS (SELECT o_orderpriority || ' ' || (o_custkey // 100) AS subject, CAST((epoch_us(o_orderdate) - 694224000000000) // {DAY} AS BIGINT) AS idx, CAST(count(*) AS DOUBLE) AS x,
 sum(CAST(round(o_totalprice * 100) AS BIGINT)) / count(*) / 10000 AS y FROM orders GROUP BY ALL)"""
 FRAMES = "frames AS (SELECT CAST(label AS VARCHAR) AS recording_id, vec_id AS frame_idx, embedding AS pixels FROM embeddings)"
 PIXELS = f"{FRAMES}, pixels AS (SELECT recording_id, frame_idx, CAST(i - 1 AS INTEGER) AS pixel, CAST(pixels[i] AS DOUBLE) AS value FROM frames, (SELECT unnest(range(1, 65)) AS i))"
