@@ -8,10 +8,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from axonflow.operators import buckets
+from axonflow.operators.chunked import by_chunk, chunks
+from axonflow.sources.scratch import written
 
 
 def fill_missing(samples: DataFrame, max_gap: int, keys: list[str], idx: str = "idx") -> DataFrame:
@@ -83,20 +86,52 @@ def differences(traces: DataFrame, order: int, keys: list[str], idx: str = "idx"
     return buckets.own(rows, idx)
 
 
-def peaks(traces: DataFrame, height: float, keys: list[str], idx: str = "idx") -> DataFrame:
-    """Local maxima of at least ``height``: keys, idx. A flat top counts once, at its middle (lower) sample; ends never."""
-    rows, w = buckets.haloed(traces, keys, 1, 0, idx)
-    rows = buckets.own(rows.withColumn("_new", F.when(F.lag("value").over(w) == F.col("value"), 0).otherwise(1)), idx)
-    rows = buckets.running_sum(rows, keys, F.col("_new"), "_island", [idx])
-    tops = rows.groupBy(*keys, "_island").agg(F.min(idx).alias("_a"), F.max(idx).alias("_b"), F.first("value").alias("value"))
-    tops, v = buckets.haloed(tops, keys, 1, 1, "_island")
-    higher = (F.col("value") > F.lag("value").over(v)) & (F.col("value") > F.lead("value").over(v))
-    return buckets.own(tops.withColumn("_peak", higher), "_island").where(F.col("_peak") & (F.col("value") >= height)).select(*keys, F.floor((F.col("_a") + F.col("_b")) / 2).alias(idx), "value")
+def _runs(order: int, core: int):
+    """Of a chunk: runs of equal values of its differences. Those inside that are peaks, and the two at its ends."""
+
+    def runs_of(row) -> dict:
+        x = np.asarray(row.value, float)
+        at = np.asarray(row.at)
+        for _ in range(order):
+            x, at = x[1:] - x[:-1], at[:-1]
+            x, at = x[~np.isnan(x)], at[~np.isnan(x)]
+        own = at < (row.chunk + 1) * core
+        x, at = x[own], at[own]
+        first = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, int)
+        last = np.append(first[1:], len(x)) - 1 if len(x) else first
+        v, n = x[first], len(first)
+        left, right = np.append(np.nan, v[:-1]), np.append(v[1:], np.nan)
+        begins, ends = np.arange(n) == 0, np.arange(n) == n - 1
+        kept = begins | ends | ((v > left) & (v > right))
+        out = {"a": at[first], "b": at[last], "value": v, "left": left[:n], "right": right[:n], "begins": begins, "ends": ends}
+        return {name: values[kept] for name, values in out.items()}
+
+    return runs_of
+
+
+def peaks(traces: DataFrame, height: float, keys: list[str], idx: str = "idx", order: int = 0, core: int = buckets.SIZE) -> DataFrame:
+    """Local maxima of at least ``height``: keys, idx, value. A flat top counts once, at its middle (lower) sample; ends never.
+
+    With ``order`` the trace is differenced first, as by :func:`differences`. One shuffle packs the trace in chunks; a chunk
+    finds the peaks inside it, and only its first and last run of equal values meet those of other chunks.
+    """
+    packed = chunks(traces.select(*keys, idx, F.col(idx).alias("at"), F.col("value").cast("double").alias("value")), keys, core, 0, order, ("value", "at"), idx)
+    schema = "a long, b long, value double, left double, right double, begins boolean, ends boolean"
+    runs_ = written(by_chunk(packed, keys, schema, _runs(order, core)), "peaks")  # read twice, inside and at the ends of chunks
+    middle = F.floor((F.col("a") + F.col("b")) / 2).alias(idx)
+    inside = runs_.where("NOT begins AND NOT ends")
+    w = Window.partitionBy(*keys).orderBy("a")
+    edges = runs_.where("begins OR ends").withColumns({"left": F.when(F.col("begins"), F.lag("value").over(w)).otherwise(F.col("left")), "right": F.when(F.col("ends"), F.lead("value").over(w)).otherwise(F.col("right")), "_on": F.lag("ends").over(w) & F.col("begins") & (F.lag("value").over(w) == F.col("value"))})
+    edges = edges.withColumn("_run", F.count_if(~F.coalesce("_on", F.lit(False))).over(w))
+    whole = edges.groupBy(*keys, "_run").agg(F.min_by("left", "a").alias("left"), F.max_by("right", "a").alias("right"), F.first("value").alias("value"), F.min("a").alias("a"), F.max("b").alias("b"))
+    whole = whole.where((F.col("value") > F.col("left")) & (F.col("value") > F.col("right")))
+    both = inside.select(*keys, "a", "b", "value").unionByName(whole.select(*keys, "a", "b", "value"))
+    return both.where(F.col("value") >= height).select(*keys, middle, "value")
 
 
 def unit_events(traces: DataFrame, derivative: int, height: float, keys: list[str], idx: str = "idx") -> DataFrame:
     """Unit events: peaks of the trace or of its first or second difference, indexed in the differenced series."""
-    return peaks(differences(traces, derivative, keys, idx), height, keys, idx)
+    return peaks(traces, height, keys, idx, derivative)
 
 
 def spike_events(spikes: DataFrame) -> DataFrame:

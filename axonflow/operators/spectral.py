@@ -7,83 +7,23 @@ Analytic signals, global by nature, are transformed over many tasks where they a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from types import SimpleNamespace
-
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
 
 from axonflow.functions import signals as kernels
 from axonflow.functions.scalars import power_to_db
 from axonflow.operators import buckets, sequence, transform
+from axonflow.operators.chunked import by_chunk, chunks, key_schema
 from axonflow.sources.scratch import written
 
 
-def _key_schema(df: DataFrame, keys: list[str]) -> str:
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    return ", ".join(f"`{k}` {kinds[k]}" for k in keys)
-
-
 def numbered(samples: DataFrame, keys: list[str], idx: str = "idx") -> DataFrame:
     """Samples numbered without gaps from 0 within each group, as ``idx``."""
     return buckets.numbered(samples, keys, [idx], "_place").withColumn(idx, F.col("_place")).drop("_place")
 
 
-def chunks(samples: DataFrame, keys: list[str], core: int, left: int, right: int, values: tuple[str, ...] = ("value",), idx: str = "idx") -> DataFrame:
-    """keys, chunk, first (index of the first packed sample), and an array per value column, in order of idx.
-
-    Chunk c holds the samples [c * core - left, (c + 1) * core + right) that exist.
-    """
-    low, high = F.floor((F.col(idx) - right) / core), F.floor((F.col(idx) + left) / core)
-    rows = samples.withColumn("chunk", F.explode(F.sequence(F.greatest(low, F.lit(0).cast("long")), high)))
-    packed = rows.groupBy(*keys, "chunk").agg(F.sort_array(F.collect_list(F.struct(idx, *values))).alias("_rows"))
-    return packed.select(*keys, "chunk", F.col(f"_rows.{idx}")[0].alias("first"), *(F.col(f"_rows.{v}").alias(v) for v in values))
-
-
-#: Rows that a task gathers before it hands them on.
-_ROWS = 1 << 16
-
-
-def _by_chunk(packed: DataFrame, keys: list[str], schema: str, fn) -> DataFrame:
-    """``fn(row) -> dict of arrays`` over packed rows, whose arrays are numpy arrays (missing numbers NaN); the keys are
-    repeated for each output row. The output of many chunks goes on as one batch."""
-    fields = StructType.fromDDL(f"{_key_schema(packed, keys)}, {schema}")
-    types = to_arrow_schema(fields)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = {}
-            for name, column in zip(batch.schema.names, batch.columns, strict=True):
-                if pa.types.is_list(column.type):
-                    ends, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
-                    columns[name] = [values[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)]
-                elif name not in keys:
-                    columns[name] = column.to_pylist()
-            made, rows, held = [], [], 0
-            for i in range(batch.num_rows):
-                out = fn(SimpleNamespace(**{name: values[i] for name, values in columns.items()}))
-                made.append(out)
-                rows.append(i)
-                held += len(next(iter(out.values())))
-                if held >= _ROWS or i == batch.num_rows - 1:
-                    if held:
-                        yield gathered(batch, made, rows)
-                    made, rows, held = [], [], 0
-
-    def gathered(batch: pa.RecordBatch, made: list[dict], rows: list[int]) -> pa.RecordBatch:
-        names = types.names[len(keys) :]
-        repeated = pa.array(np.repeat(rows, [len(out[names[0]]) for out in made]))
-        values = [pa.array(np.concatenate([np.asarray(out[n]) for out in made if len(out[n])]), types.field(n).type) for n in names]
-        return pa.RecordBatch.from_arrays([*(batch.column(k).take(repeated) for k in keys), *values], schema=types)
-
-    return packed.mapInArrow(run, fields)
-
-
 def zero_phase(samples: DataFrame, keys: list[str], order: int, cut, kind: str, rate: float, family: str = "butter", idx: str = "idx", core: int = buckets.SIZE) -> DataFrame:
     """keys, idx, value: each signal filtered forwards and backwards; signals shorter than the padding give no rows.
 
@@ -107,7 +47,7 @@ def zero_phase(samples: DataFrame, keys: list[str], order: int, cut, kind: str,
 
     placed = buckets.numbered(kept, keys, ["_idx"], "_n")
     packed = chunks(placed, keys, core, halo, halo, ("value", "_idx"), "_n").where(F.col("chunk") * core <= F.col("first") + F.size("value") - 1)
-    return _by_chunk(packed.withColumnRenamed("_idx", "at"), keys, f"`{idx}` {kinds['_idx']}, value double", run)
+    return by_chunk(packed.withColumnRenamed("_idx", "at"), keys, f"`{idx}` {kinds['_idx']}, value double", run)
 
 
 def filter_responses(cuts: DataFrame, keys: list[str], kind: str, rate: float, order: int = 2, points: int = 8000, family: str = "butter") -> DataFrame:
@@ -120,7 +60,7 @@ def filter_responses(cuts: DataFrame, keys: list[str], kind: str, rate: float, o
                 freq, gain = kernels.magnitude_response(cut, kind, rate, order, g["_k"].to_numpy(float), points, family)
                 yield g[keys].assign(freq=freq, gain=gain)
 
-    return rows.mapInPandas(run, f"{_key_schema(cuts, keys)}, freq double, gain double")
+    return rows.mapInPandas(run, f"{key_schema(cuts, keys)}, freq double, gain double")
 
 
 #: Signals of so many samples at most are transformed whole, each in a task; longer ones over many tasks.
@@ -139,7 +79,7 @@ def phase_and_envelope(samples: DataFrame, keys: list[str], idx: str = "idx", wh
         return g.assign(phase=np.angle(z), envelope=np.abs(z))
 
     kept = samples.select(*keys, idx, F.coalesce(F.col("value").cast("double"), F.lit(np.nan)).alias("value"))
-    schema = f"{_key_schema(kept, [*keys, idx, 'value'])}, phase double, envelope double"
+    schema = f"{key_schema(kept, [*keys, idx, 'value'])}, phase double, envelope double"
     sizes = written(kept.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.avg("value").alias("_mean"), F.max(F.abs("value")).alias("_scale")), "signal-sizes")
     long = sizes.where(F.col("_n") > whole)
     if long.isEmpty():
@@ -179,7 +119,7 @@ def multitaper_spectrogram(samples: DataFrame, keys: list[str], rate: float, win
         return {"t": np.repeat((starts + round(length / 2)) / rate, keep.sum()), "freq": np.tile(freqs[keep], len(starts)), "power": power.ravel()}
 
     packed = chunks(samples, keys, core, 0, max(length - hop, 0))
-    out = _by_chunk(packed, keys, "t double, freq double, power double", run)
+    out = by_chunk(packed, keys, "t double, freq double, power double", run)
     return out.withColumn("power", F.nanvl("power", F.lit(None).cast("double")))
 
 
@@ -214,7 +154,7 @@ def window_products(pairs: DataFrame, keys: list[str], rate: float, length: int,
         return {"window": np.repeat(starts // hop, len(freqs)), "freq": np.tile(freqs, len(starts))} | {k: v.ravel() for k, v in products.items()}
 
     packed = chunks(pairs, keys, core, 0, max(length - hop, 0), ("x", "y"))
-    return _by_chunk(packed, keys, "window long, freq double, pxx double, pyy double, re double, im double", run)
+    return by_chunk(packed, keys, "window long, freq double, pxx double, pyy double, re double, im double", run)
 
 
 def coherence(pairs: DataFrame, keys: list[str], rate: float, seconds: float | None = None) -> DataFrame:
@@ -260,7 +200,7 @@ def cross_correlation(pairs: DataFrame, keys: list[str], rate: float, max_lag: f
         wide = np.concatenate([np.zeros(most), y, np.zeros(most)])
         return {"lag": lags, "value": np.correlate(wide, mine, "valid")}
 
-    parts = _by_chunk(chunks(scaled, keys, core, most, most, ("x", "y")).where(F.col("chunk") * core <= F.col("first") + F.size("x") - 1), keys, "lag int, value double", run)
+    parts = by_chunk(chunks(scaled, keys, core, most, most, ("x", "y")).where(F.col("chunk") * core <= F.col("first") + F.size("x") - 1), keys, "lag int, value double", run)
     return parts.groupBy(*keys, "lag").agg(F.sum("value").alias("value"))
 
 
@@ -299,7 +239,7 @@ def wavelet_transform(samples: DataFrame, keys: list[str], freqs: list[float], r
         return {"idx": np.tile(np.arange(start, start + n), len(bank)), "freq": np.repeat(np.asarray(freqs, float), n), "re": z.real.ravel(), "im": z.imag.ravel()}
 
     packed = chunks(samples, keys, core, size, size).where(F.col("chunk") * core <= F.col("first") + F.size("value") - 1)
-    return _by_chunk(packed, keys, "idx long, freq double, re double, im double", run)
+    return by_chunk(packed, keys, "idx long, freq double, re double, im double", run)
 
 
 def oscillatory_events(samples: DataFrame, keys: list[str], rate: float, band: tuple[float, float], threshold: tuple[float, float], duration: tuple[float, float], min_gap: float, smooth: int = 11, order: int = 2, t_start: float = 0.0) -> DataFrame:

@@ -620,3 +620,26 @@ def test_intervals_and_merges_over_many_buckets(spark):
     for bucket in (3, 50, 1 << 16):
         rows = sequence.merge_close(spark.createDataFrame([("r", a, b) for a, b in spans], "recording_id string, start double, end double"), 0.5, ["recording_id"], bucket).orderBy("start").collect()
         assert [[r["start"], r["end"]] for r in rows] == want
+
+
+def plain_peaks(x, height):
+    """Flat tops once, at their lower middle sample, ends never."""
+    out, i = [], 1
+    while i < len(x) - 1:
+        j = i
+        while j < len(x) - 1 and x[j + 1] == x[i]:
+            j += 1
+        if x[i - 1] < x[i] and j < len(x) - 1 and x[j + 1] < x[i] and x[i] >= height:
+            out.append(((i + j) // 2, x[i]))
+        i = j + 1
+    return out
+
+
+@pytest.mark.parametrize("core", [3, 7, 1 << 16])
+def test_peaks_and_plateaus_over_chunks(spark, core):
+    rng = np.random.default_rng(81)
+    signals = {f"s{k}": np.repeat(rng.integers(0, 4, 60), rng.integers(1, 9, 60)).astype(float) for k in range(3)} | {"rise": np.arange(9.0), "flat": np.full(20, 2.0), "one": np.array([5.0])}
+    df = spark.createDataFrame([(r, i, float(v)) for r, x in signals.items() for i, v in enumerate(x)], "recording_id string, idx long, value double").repartition(3)
+    for order in (0, 1, 2):
+        got = sorted((r["recording_id"], r["idx"], r["value"]) for r in sequence.peaks(df, 1.0, ["recording_id"], order=order, core=core).collect())
+        assert got == sorted((r, i, v) for r, x in signals.items() for i, v in plain_peaks(np.diff(x, n=order), 1.0))
