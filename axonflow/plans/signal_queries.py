@@ -294,6 +294,28 @@ SELECT b.subject, b.n, CAST(floor(ne) AS BIGINT) AS n_effective, round(r, 6) AS
   CASE WHEN ne > 3 THEN round(tanh(atanh(r) - 1.959963984540054 / sqrt(ne - 3)), 6) END AS ci_lower, CASE WHEN ne > 3 THEN round(tanh(atanh(r) + 1.959963984540054 / sqrt(ne - 3)), 6) END AS ci_upper
 FROM b LEFT JOIN p p1 ON p1.subject = b.subject AND p1.kind = 'plain' LEFT JOIN p p2 ON p2.subject = b.subject AND p2.kind = 'corrected'"""
 
+_P1_FIR = f"""WITH {FILLED}, raw AS (SELECT k, CASE WHEN k = 15 THEN 0.2 ELSE sin(0.2 * pi() * (k - 15)) / (pi() * (k - 15)) END * (0.54 - 0.46 * cos(2 * pi() * k / 30)) AS h FROM (SELECT unnest(range(0, 31)) AS k)),
+taps AS (SELECT k, h / (SELECT sum(h) FROM raw) AS h FROM raw),
+n AS (SELECT recording_id, count(*) AS n, arg_min(value, idx) AS v0, arg_max(value, idx) AS v1 FROM filled GROUP BY ALL),
+e AS (SELECT f.recording_id, f.idx AS m, value FROM filled f
+      UNION ALL SELECT f.recording_id, -f.idx, 2 * v0 - value FROM filled f JOIN n ON n.recording_id = f.recording_id WHERE f.idx BETWEEN 1 AND 93
+      UNION ALL SELECT f.recording_id, 2 * (n - 1) - f.idx, 2 * v1 - value FROM filled f JOIN n ON n.recording_id = f.recording_id WHERE f.idx BETWEEN n - 94 AND n - 2),
+ahead AS MATERIALIZED (SELECT recording_id, m, greatest(m - k, -93) AS at, h FROM e CROSS JOIN taps),
+once AS MATERIALIZED (SELECT a.recording_id, a.m, sum(h * b.value) AS value FROM ahead a JOIN e b ON b.recording_id = a.recording_id AND b.m = a.at GROUP BY ALL),
+back AS MATERIALIZED (SELECT o.recording_id, m, least(m + k, n + 92) AS at, h FROM once o JOIN n ON n.recording_id = o.recording_id CROSS JOIN taps WHERE m BETWEEN 0 AND n - 1),
+twice AS (SELECT a.recording_id, a.m, sum(h * b.value) AS value FROM back a JOIN once b ON b.recording_id = a.recording_id AND b.m = a.at GROUP BY ALL)
+SELECT recording_id, m AS idx, round(value, 6) + 0.0 AS value FROM twice"""
+#: Products of spectra by frequency, and z-scored pairs.
+_PRODUCTS = f"WITH {FILLED}, {_PAIR}, w AS (SELECT recording_id, k, i, x - avg(x) OVER (PARTITION BY recording_id, k) AS x, y - avg(y) OVER (PARTITION BY recording_id, k) AS y FROM (SELECT unnest(range(0, ({HOURS} - 32) // 16 + 1)) AS k), p, (SELECT unnest(range(0, 32)) AS i) WHERE p.idx = k * 16 + i), h AS (SELECT recording_id, k, i, x * (0.5 - 0.5 * cos(2 * pi() * i / 32)) AS x, y * (0.5 - 0.5 * cos(2 * pi() * i / 32)) AS y FROM w), f AS (SELECT recording_id, k, q, sum(x * cos(2 * pi() * q * i / 32)) AS xr, -sum(x * sin(2 * pi() * q * i / 32)) AS xi, sum(y * cos(2 * pi() * q * i / 32)) AS yr, -sum(y * sin(2 * pi() * q * i / 32)) AS yi FROM h, (SELECT unnest(range(0, 17)) AS q) GROUP BY ALL), s AS (SELECT recording_id, q, sum(xr * xr + xi * xi) AS xx, sum(yr * yr + yi * yi) AS yy, sum(xr * yr + xi * yi) AS re, sum(xr * yi - xi * yr) AS im FROM f GROUP BY ALL)"
+_SCORES = f"WITH {FILLED}, {_PAIR}, z AS (SELECT recording_id, idx, (x - avg(x) OVER w) / (stddev_pop(x) OVER w * count(*) OVER w + 1e-12) AS x, (y - avg(y) OVER w) / (stddev_pop(y) OVER w + 1e-12) AS y FROM p WINDOW w AS (PARTITION BY recording_id))"
+_P9 = f"""WITH pw AS ({_P4} SELECT CAST(recording_id AS BIGINT) AS id, avg(10 * log10(power)) AS db FROM spectrum WHERE freq BETWEEN 0.03 AND 0.2 AND power > 0 GROUP BY ALL),
+co AS ({_PRODUCTS} SELECT CAST(recording_id AS BIGINT) AS id, avg((re * re + im * im) / nullif(xx * yy, 0)) AS c FROM s WHERE q / 32 BETWEEN 0.03 AND 0.2 GROUP BY ALL),
+cc AS ({_SCORES}, v AS (SELECT a.recording_id, b.idx - a.idx AS lag, sum(a.x * b.y) AS value FROM z a JOIN z b ON a.recording_id = b.recording_id AND b.idx - a.idx BETWEEN -10 AND 10 GROUP BY ALL)
+  SELECT CAST(recording_id AS BIGINT) AS id, max({{'value': value, 'minus': -lag}}) AS b FROM v GROUP BY ALL),
+w AS (SELECT co.id, p1.db AS power_1, p2.db AS power_2, co.c AS coherence, cc.b.value AS peak, CAST(-cc.b.minus AS DOUBLE) AS lag FROM co JOIN cc ON cc.id = co.id JOIN pw p1 ON p1.id = co.id JOIN pw p2 ON p2.id = co.id + 1)
+SELECT CAST(id AS VARCHAR) AS recording_id, measurement, round(CASE measurement WHEN 'power_1' THEN power_1 WHEN 'power_2' THEN power_2 WHEN 'coherence' THEN coherence WHEN 'peak' THEN peak ELSE lag END, 5) AS value
+FROM w, (VALUES ('power_1'), ('power_2'), ('coherence'), ('peak'), ('lag')) m(measurement)"""
+
 QUERIES = {
     "f2_slice_periods": (f2, f"WITH {FILLED}, {WINDOWS} SELECT recording_id AS subject, period, idx, round(value, 6) AS value FROM filled, w WHERE idx >= start_min AND idx < end_min"),
     "f3_trim_edges": (f3, f"WITH {FILLED} SELECT recording_id, idx, round(value, 6) AS value FROM filled WHERE idx BETWEEN 100 AND {HOURS - 101}"),
@@ -330,11 +352,11 @@ QUERIES = {
     "a27_percentile_limits": (a27, f"WITH {HOURLY} SELECT recording_id, round(quantile_cont(value, 0.05), 5) AS low, round(quantile_cont(value, 0.95), 5) AS high FROM hourly GROUP BY ALL"),
     "a28_envelope": (a28, f"WITH {FILLED}, b AS (SELECT *, CAST(floor((idx - min(idx) OVER r) * 30 / count(*) OVER r) AS BIGINT) AS b FROM filled WINDOW r AS (PARTITION BY recording_id)), m AS (SELECT recording_id, b, arg_min(idx, (value, idx)) AS lo, arg_max(idx, (value, -idx)) AS hi FROM b GROUP BY ALL), p AS (SELECT recording_id, lo AS idx FROM m UNION SELECT recording_id, hi FROM m) SELECT p.recording_id, p.idx, round(f.value, 6) AS value FROM p JOIN filled f ON f.recording_id = p.recording_id AND f.idx = p.idx"),
     "p5_power_db": (p5, f"WITH {HOURLY} SELECT recording_id, idx, CASE WHEN value > 0 THEN round(10 * log10(value), 6) END AS db FROM hourly"),
-    "p7_coherence": (p7, f"WITH {FILLED}, {_PAIR}, w AS (SELECT recording_id, k, i, x - avg(x) OVER (PARTITION BY recording_id, k) AS x, y - avg(y) OVER (PARTITION BY recording_id, k) AS y FROM (SELECT unnest(range(0, ({HOURS} - 32) // 16 + 1)) AS k), p, (SELECT unnest(range(0, 32)) AS i) WHERE p.idx = k * 16 + i), h AS (SELECT recording_id, k, i, x * (0.5 - 0.5 * cos(2 * pi() * i / 32)) AS x, y * (0.5 - 0.5 * cos(2 * pi() * i / 32)) AS y FROM w), f AS (SELECT recording_id, k, q, sum(x * cos(2 * pi() * q * i / 32)) AS xr, -sum(x * sin(2 * pi() * q * i / 32)) AS xi, sum(y * cos(2 * pi() * q * i / 32)) AS yr, -sum(y * sin(2 * pi() * q * i / 32)) AS yi FROM h, (SELECT unnest(range(0, 17)) AS q) GROUP BY ALL), s AS (SELECT recording_id, q, sum(xr * xr + xi * xi) AS xx, sum(yr * yr + yi * yi) AS yy, sum(xr * yr + xi * yi) AS re, sum(xr * yi - xi * yr) AS im FROM f GROUP BY ALL) SELECT recording_id, round(q / 32, 6) AS freq, round((re * re + im * im) / (xx * yy), 6) AS coherence FROM s"),
-    "p8_cross_correlation": (p8, f"WITH {FILLED}, {_PAIR}, z AS (SELECT recording_id, idx, (x - avg(x) OVER w) / (stddev_pop(x) OVER w * count(*) OVER w + 1e-12) AS x, (y - avg(y) OVER w) / (stddev_pop(y) OVER w + 1e-12) AS y FROM p WINDOW w AS (PARTITION BY recording_id)) SELECT a.recording_id, CAST(b.idx - a.idx AS INTEGER) AS lag, round(sum(a.x * b.y), 6) AS value FROM z a JOIN z b ON a.recording_id = b.recording_id AND b.idx - a.idx BETWEEN -10 AND 10 GROUP BY a.recording_id, b.idx - a.idx"),
+    "p7_coherence": (p7, f"{_PRODUCTS} SELECT recording_id, round(q / 32, 6) AS freq, round((re * re + im * im) / (xx * yy), 6) AS coherence FROM s"),
+    "p8_cross_correlation": (p8, f"{_SCORES} SELECT a.recording_id, CAST(b.idx - a.idx AS INTEGER) AS lag, round(sum(a.x * b.y), 6) AS value FROM z a JOIN z b ON a.recording_id = b.recording_id AND b.idx - a.idx BETWEEN -10 AND 10 GROUP BY a.recording_id, b.idx - a.idx"),
     "p10_coherogram": (p10, f"WITH {FILLED}, {_PAIR}, w AS (SELECT recording_id, k, i, x - avg(x) OVER v AS x, y - avg(y) OVER v AS y FROM (SELECT unnest(range(0, ({HOURS} - 48) // 24 + 1)) AS k), p, (SELECT unnest(range(0, 48)) AS i) WHERE p.idx = k * 24 + i WINDOW v AS (PARTITION BY recording_id, k)), h AS (SELECT recording_id, k, i, x * (0.5 - 0.5 * cos(2 * pi() * i / 48)) AS x, y * (0.5 - 0.5 * cos(2 * pi() * i / 48)) AS y FROM w), f AS (SELECT recording_id, k, q, sum(x * cos(2 * pi() * q * i / 48)) AS xr, -sum(x * sin(2 * pi() * q * i / 48)) AS xi, sum(y * cos(2 * pi() * q * i / 48)) AS yr, -sum(y * sin(2 * pi() * q * i / 48)) AS yi FROM h, (SELECT unnest(range(0, 25)) AS q) GROUP BY ALL), s AS (SELECT recording_id, k, q, avg(xr * xr + xi * xi) OVER n AS xx, avg(yr * yr + yi * yi) OVER n AS yy, avg(xr * yr + xi * yi) OVER n AS re, avg(xr * yi - xi * yr) OVER n AS im FROM f WINDOW n AS (PARTITION BY recording_id, q ORDER BY k ROWS BETWEEN 3 PRECEDING AND 4 FOLLOWING)) SELECT recording_id, CAST(k * 24 + 24 AS DOUBLE) AS t, round(q / 48, 6) AS freq, round((re * re + im * im) / (xx * yy), 6) AS coherence FROM s"),
-    "p1_zero_phase": (p1, None), "p1_zero_phase_fir": (p1_fir, None), "p3_phase_and_envelope": (p3, _P3),
+    "p1_zero_phase": (p1, None), "p1_zero_phase_fir": (p1_fir, _P1_FIR), "p3_phase_and_envelope": (p3, _P3),
     "p4_multitaper_spectrogram": (p4, f"{_P4} SELECT recording_id, t, round(freq, 6) AS freq, round(power, 6) AS power FROM spectrum"),
     "p6_band_power": (p6, f"{_P4} SELECT recording_id, round(avg(10 * log10(power)), 6) AS power_db FROM spectrum WHERE freq BETWEEN 0.03 AND 0.06 AND power > 0 GROUP BY ALL"),
-    "p9_signal_statistics": (p9, None), "p11_wavelet_transform": (p11, _P11), "p12_oscillatory_events": (p12, None),
+    "p9_signal_statistics": (p9, _P9), "p11_wavelet_transform": (p11, _P11), "p12_oscillatory_events": (p12, None),
 }
