@@ -152,15 +152,17 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
 
 #: A feature is used if at least so many positives have it, and so many standard deviations more than expected.
 LEAST_POSITIVE, LEAST_Z = 5, 4.0
-#: Weight of recall beside precision where the cut is set; folds of the models that have not seen what they are cut by.
-BETA, FOLDS = 2.0, 3
+#: Weight of recall beside precision where the cut is set; folds of the models that have not seen what they are cut by; and
+#: the precision under which no cut is taken, so that never more fine rows than toxic ones are rejected for the sake of recall.
+BETA, FOLDS, LEAST_PRECISION = 2.0, 3, 0.5
 
 
 def cut(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, size: int, beta: float = BETA, folds: int = FOLDS) -> float:
     """The margin with the best F-measure, estimated from models of the other folds without any negative label.
 
     Recall is the share of positives above a margin, precision ``prior * recall`` over the share of unlabelled rows above it.
-    The class estimator ranks well but its zero lies where the loss puts it, which with few positives is too high.
+    The class estimator ranks well but its zero lies where the loss puts it, which with few positives is too high. Where no
+    margin sets the positives apart, the zero stays.
     """
     if len(positive) < 2 * folds or len(unlabelled) < 2 * folds:
         return 0.0
@@ -173,7 +175,8 @@ def cut(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     recall = 1 - np.searchsorted(p, p) / len(p)
     share = 1 - np.searchsorted(u, p) / len(u)
     precision = np.minimum(1, prior * recall / np.maximum(share, 1e-9))
-    return float(p[np.argmax((1 + beta**2) * precision * recall / (beta**2 * precision + recall))])
+    measure = np.where(precision >= LEAST_PRECISION, (1 + beta**2) * precision * recall / (beta**2 * precision + recall), 0.0)
+    return float(p[np.argmax(measure)]) if measure.any() else 0.0
 
 
 def held_out() -> F.Column:

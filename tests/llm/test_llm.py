@@ -576,6 +576,8 @@ def test_the_cut_balances_recall_and_precision():
     score = lambda rows: toxicity._margin(weights, intercept - least, *toxicity._flat(rows)) >= 0
     assert score([bad() for _ in range(500)]).mean() >= 0.9 and score([fine() for _ in range(500)]).mean() <= 0.1
     assert toxicity.cut(positive[:3], unlabelled, 0.1, 60) == 0.0
+    nothing = [np.zeros(0, np.int64)]
+    assert toxicity.cut(nothing * 20, nothing * 90, 0.3, 0) == 0.0  # no feature sets positives apart: all rows must not go
 
 
 def test_scores_and_risk_match_brute_force():
@@ -672,3 +674,34 @@ def test_shared_folder_is_the_session_s(spark):
     kept = common.materialize(spark.range(3), "test")
     assert kept.count() == 3
     common.drop_table(kept)
+
+
+# --- very long texts and empty tables
+
+
+def test_bpe_of_a_very_long_text(spark):
+    rng = random.Random(91)
+    texts = [words(rng, 60_000, 5000) + "  \n\n é€😀 " * 300, "x" * 5000, "", None]
+    enc = tiktoken_encoding()
+    for r in bpe.encode(docs(spark, texts)).collect():
+        assert np.frombuffer(bytes(r["ids"]), "<u4").tolist() == enc.encode_ordinary(texts[r["doc_id"]] or "")
+
+
+def test_a_document_over_many_windows_is_packed_whole(spark):
+    rng = random.Random(92)
+    texts = [words(rng, 15_000, 9000), "short", words(rng, 9000, 50), None]
+    pieces = packing.pack(docs(spark, texts).repartition(2)).collect()
+    for i in range(4):
+        rows = sorted((r for r in pieces if r["doc_id"] == i), key=lambda r: r["start"])
+        assert [r["start"] for r in rows] == np.cumsum([0, *(r["length"] for r in rows)])[:-1].tolist()
+        assert sum(r["length"] for r in rows) == rows[0]["doc_tokens"] and max(r["length"] for r in rows) <= 4096
+    assert len([r for r in pieces if r["doc_id"] == 0]) >= 4
+    filled = collections.Counter()
+    for r in pieces:
+        filled[r["sequence_id"]] += r["length"]
+    assert sorted(filled.values())[1:] == [4096] * (len(filled) - 1)
+
+
+def test_hamming_query_of_nothing(spark, tmp_path):
+    spark.createDataFrame([], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert hamming.op2_hamming_top_k(spark, str(tmp_path)).count() == 0
