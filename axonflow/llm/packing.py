@@ -28,7 +28,7 @@ from axonflow.llm.common import materialize, slices, table
 
 LENGTH, END_ID = 4096, 2
 #: Chunks of a generation of a worker's memory, which holds two.
-GENERATION = 200_000
+GENERATION = 50_000
 TOKEN_SCHEMA = "part int, local_start long, doc_id long, n long, ids binary"
 PIECE_SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
