@@ -28,7 +28,7 @@ from axonflow.llm.common import materialize, slices, table
 
 LENGTH, END_ID = 4096, 2
 #: Chunks of a generation of a worker's memory, which holds two.
-GENERATION = 50_000
+GENERATION = 200_000
 TOKEN_SCHEMA = "part int, local_start long, doc_id long, n long, ids binary"
 PIECE_SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -140,9 +140,9 @@ class WordEncoder:
             text = text.replace(". ", " . ").replace(", ", " , ")
         return text.split()
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def encode(self, texts: list[str | None], remembered: int | None = None) -> list[bytes]:
         memory, out, open_ = self.memory, [], []
-        memory.turn(GENERATION)
+        memory.turn(GENERATION if remembered is None else remembered)
         for text in texts:
             if not text:
                 out.append(b"")
@@ -174,7 +174,7 @@ def vocabulary_text(path: str | None = None) -> str:
         return f.read()
 
 
-def _tokenise(vocabulary, end_id: int):
+def _tokenise(vocabulary, end_id: int, remembered: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
@@ -185,7 +185,7 @@ def _tokenise(vocabulary, end_id: int):
         encoder, part, at = _workers["word"][1], TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u4").tobytes()
         for some in slices(batches, 512):
-            ids = [x + end for x in encoder.encode(some.column("text").to_pylist())]
+            ids = [x + end for x in encoder.encode(some.column("text").to_pylist(), remembered)]
             n = np.array([len(x) // 4 for x in ids], np.int64)
             starts = at + np.cumsum(n) - n
             at += int(n.sum())
@@ -196,6 +196,7 @@ def _tokenise(vocabulary, end_id: int):
 
 def _cut(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _workers.clear()  # the vocabulary and the words of the first pass, in workers that live on
         for batch in slices(batches):
             first, n = batch.column("first").to_numpy(), batch.column("n").to_numpy()
             begin, last = first // length, (first + n - 1) // length
@@ -212,11 +213,14 @@ def _cut(length: int):
     return run
 
 
-def pack(docs: DataFrame, length: int = LENGTH, end_id: int = END_ID, vocabulary: str | None = None) -> DataFrame:
-    """Pieces of all documents (doc_id, text) with their ids (binary, little-endian unsigned 32-bit)."""
+def pack(docs: DataFrame, length: int = LENGTH, end_id: int = END_ID, vocabulary: str | None = None, remembered: int | None = None) -> DataFrame:
+    """Pieces of all documents (doc_id, text) with their ids (binary, little-endian unsigned 32-bit).
+
+    ``remembered``: chunks of a generation of a worker's memory; fewer take less memory and more time.
+    """
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(vocabulary_text(vocabulary))
-    tokens = materialize(docs.select("doc_id", "text").mapInArrow(_tokenise(sent, end_id), TOKEN_SCHEMA), "pack-tokens")
+    tokens = materialize(docs.select("doc_id", "text").mapInArrow(_tokenise(sent, end_id, remembered), TOKEN_SCHEMA), "pack-tokens")
     # one row per partition of pass one: bounded by the number of tasks, not by the data
     totals = tokens.groupBy("part").agg(F.sum("n").alias("total")).orderBy("part").collect()
     firsts, at = [], 0
