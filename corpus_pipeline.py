@@ -52,8 +52,8 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of 4096 ids, one row a piece (operator 6)."""
-    return pack(docs)
+    """Token sequences of 4096 ids, one row a piece (operator 6); workers that ran all other stages remember fewer words."""
+    return pack(docs, remembered=50_000)
 
 
 STAGES = [
