@@ -271,6 +271,17 @@ _POP = ", ".join(f"round(avg({c}) FILTER (WHERE v), 4) AS {c}_mean, round(median
 _EFFECT = "CASE WHEN abs(d) < 0.2 THEN 'negligible' WHEN abs(d) < 0.5 THEN 'small' WHEN abs(d) < 0.8 THEN 'medium' ELSE 'large' END AS effect"
 _NY = 11
 
+#: Signed ranks: exact for up to 50 differences without ties and zeros, by counting the subsets of ranks, else normal.
+_A22 = f"""WITH RECURSIVE ways(n, s, c) AS (SELECT 0, 0, 1.0::DOUBLE UNION ALL SELECT n + 1, s + e * (n + 1), sum(c) FROM ways, (VALUES (0), (1)) t(e) WHERE n < 50 GROUP BY n + 1, s + e * (n + 1)),
+{SUBJECTS}, d AS (SELECT drug, treatment - control AS d FROM subjects WHERE control IS NOT NULL AND treatment IS NOT NULL),
+r AS (SELECT drug, d, count(*) OVER (PARTITION BY drug, abs(d)) AS c, rank() OVER (PARTITION BY drug ORDER BY abs(d)) AS first FROM d WHERE d <> 0),
+g AS (SELECT drug, count(*) AS k, coalesce(sum(first + (c - 1) / 2) FILTER (WHERE d > 0), 0) AS plus, sum(c * c - 1) AS ties FROM r GROUP BY drug),
+w AS (SELECT g.*, n, zeros, least(plus, k * (k + 1) / 2 - plus) AS w, k * (k + 1) * (2 * k + 1) / 24 - ties / 48 AS v FROM g JOIN (SELECT drug, count(*) AS n, count(*) FILTER (WHERE d = 0) AS zeros FROM d GROUP BY drug) a ON a.drug = g.drug),
+exact AS (SELECT w.drug, least(1.0, 2 * sum(c) / pow(2, any_value(k))) AS p FROM w JOIN ways ON ways.n = w.k AND ways.s <= floor(w.w) WHERE k <= 50 AND zeros = 0 AND ties = 0 GROUP BY w.drug),
+x AS (SELECT drug, abs(w - k * (k + 1) / 4) / sqrt(2 * v) AS x FROM w),
+normal AS (SELECT drug, 1 - exp(-x * x) * sum(exp((2 * i + 1) * ln(greatest(x, 1e-300)) - lgamma(i + 1.5))) AS p FROM x, (SELECT unnest(range(0, 200)) AS i) GROUP BY drug, x)
+SELECT w.drug, w.n, w.w AS statistic, round(coalesce(exact.p, normal.p), 6) AS p_value, 'Wilcoxon signed-rank' AS test FROM w LEFT JOIN exact ON exact.drug = w.drug LEFT JOIN normal ON normal.drug = w.drug WHERE w.n >= 4"""
+
 _M9 = f"""WITH {DAILY}, g AS (SELECT subject, count(*) AS n, CASE WHEN count(*) >= 10 AND max(x) > min(x) AND max(y) > min(y) THEN corr(y, x) END AS r FROM daily GROUP BY subject),
 {p_values_sql("SELECT subject, 'plain' AS kind, r * sqrt((n - 2) / (1 - r * r)) AS t, n - 2.0::DOUBLE AS df FROM g WHERE r IS NOT NULL")}
 SELECT g.subject, round(p.p, 6) AS p_value FROM g LEFT JOIN p ON p.subject = g.subject"""
@@ -310,5 +321,5 @@ QUERIES = {
     "s13_pending_work": (s13, "SELECT c_custkey AS subject FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')"),
     "s14_run_log": (s14, "WITH c AS (SELECT o_custkey, count(*) AS k FROM orders GROUP BY ALL) SELECT 'halves' AS analysis, CASE WHEN k % 2 = 0 THEN 'completed' ELSE 'skipped' END AS status, count(*) AS n FROM c GROUP BY ALL"),
     "w20_delta_f": (w20, f"WITH {PIXELS}, l AS (SELECT recording_id, min(value) AS least FROM pixels GROUP BY ALL), x AS (SELECT p.recording_id, frame_idx, pixel, frame_idx // 100 AS w, value - least(l.least, 0) + CASE WHEN greatest(l.least, 0) = 0 THEN 1 ELSE 0 END AS x FROM pixels p JOIN l ON l.recording_id = p.recording_id), b AS (SELECT recording_id, pixel, w, quantile_cont(x, 0.08::DOUBLE) AS b, avg(frame_idx) AS c FROM x GROUP BY ALL), n AS (SELECT *, lag(b) OVER v AS pb, lag(c) OVER v AS pc, lead(b) OVER v AS nb, lead(c) OVER v AS nc FROM b WINDOW v AS (PARTITION BY recording_id, pixel ORDER BY w)), y AS (SELECT x.recording_id, frame_idx, x.pixel, x, coalesce(CASE WHEN frame_idx < c THEN b + (pb - b) * (frame_idx - c) / (pc - c) ELSE b + (nb - b) * (frame_idx - c) / (nc - c) END, b) AS b FROM x JOIN n ON n.recording_id = x.recording_id AND n.pixel = x.pixel AND n.w = x.w) SELECT recording_id, frame_idx, pixel, round((x - b) / b, 6) AS value FROM y"),
-    "a22_paired_tests": (a22, None), "a23_bootstrap_interval": (a23, None), "m9_correlation_p": (m9, _M9), "p13_denoise": (p13, None), "s15_unit_event_document": (s15, _S15),
+    "a22_paired_tests": (a22, _A22), "a23_bootstrap_interval": (a23, None), "m9_correlation_p": (m9, _M9), "p13_denoise": (p13, None), "s15_unit_event_document": (s15, _S15),
 }
