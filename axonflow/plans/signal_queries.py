@@ -294,9 +294,10 @@ SELECT b.subject, b.n, CAST(floor(ne) AS BIGINT) AS n_effective, round(r, 6) AS
   CASE WHEN ne > 3 THEN round(tanh(atanh(r) - 1.959963984540054 / sqrt(ne - 3)), 6) END AS ci_lower, CASE WHEN ne > 3 THEN round(tanh(atanh(r) + 1.959963984540054 / sqrt(ne - 3)), 6) END AS ci_upper
 FROM b LEFT JOIN p p1 ON p1.subject = b.subject AND p1.kind = 'plain' LEFT JOIN p p2 ON p2.subject = b.subject AND p2.kind = 'corrected'"""
 
-def _zero_phase_sql(taps: str, pad: int) -> str:
-    """Filter forwards and backwards by an impulse response (``taps``: k, h), from the steady state of the odd-padded signal."""
-    return f"""WITH {FILLED}, {taps},
+def zero_phase_sql(taps: str, pad: int, source: str = FILLED, value: str = "round(value, 6) + 0.0") -> str:
+    """Filter ``filled`` of ``source`` forwards and backwards by an impulse response (``taps``: k, h), from the steady state of the
+    odd-padded signal."""
+    return f"""WITH {source}, {taps},
 n AS (SELECT recording_id, count(*) AS n, arg_min(value, idx) AS v0, arg_max(value, idx) AS v1 FROM filled GROUP BY ALL),
 e AS (SELECT f.recording_id, f.idx AS m, value FROM filled f
       UNION ALL SELECT f.recording_id, -f.idx, 2 * v0 - value FROM filled f JOIN n ON n.recording_id = f.recording_id WHERE f.idx BETWEEN 1 AND {pad}
@@ -305,13 +306,13 @@ ahead AS MATERIALIZED (SELECT recording_id, m, greatest(m - k, -{pad}) AS at, su
 once AS MATERIALIZED (SELECT a.recording_id, a.m, sum(h * b.value) AS value FROM ahead a JOIN e b ON b.recording_id = a.recording_id AND b.m = a.at GROUP BY ALL),
 back AS MATERIALIZED (SELECT o.recording_id, m, least(m + k, n + {pad - 1}) AS at, h FROM once o JOIN n ON n.recording_id = o.recording_id CROSS JOIN taps WHERE m BETWEEN 0 AND n - 1),
 twice AS (SELECT a.recording_id, a.m, sum(h * b.value) AS value FROM back a JOIN once b ON b.recording_id = a.recording_id AND b.m = a.at GROUP BY ALL)
-SELECT recording_id, m AS idx, round(value, 6) + 0.0 AS value FROM twice"""
+SELECT recording_id, m AS idx, {value} AS value FROM twice"""
 
 
-def _impulse_response(n: int) -> str:
-    """The first ``n`` samples of the band filter's impulse response, by its difference equations, as a table of the SQL."""
+def impulse_response(n: int, *design) -> str:
+    """The first ``n`` samples of a filter's impulse response, by its difference equations, as a table of the SQL."""
     x = [1.0] + [0.0] * (n - 1)
-    for b, a in kernels.butterworth(2, [0.05, 0.2], "band", 1.0):
+    for b, a in kernels.butterworth(*design):
         y: list[float] = []
         for i in range(n):
             past = sum(b[j] * x[i - j] for j in range(3) if i >= j) - sum(a[j] * y[i - j] for j in (1, 2) if i >= j)
@@ -372,7 +373,7 @@ QUERIES = {
     "p7_coherence": (p7, f"{_PRODUCTS} SELECT recording_id, round(q / 32, 6) AS freq, round((re * re + im * im) / (xx * yy), 6) AS coherence FROM s"),
     "p8_cross_correlation": (p8, f"{_SCORES} SELECT a.recording_id, CAST(b.idx - a.idx AS INTEGER) AS lag, round(sum(a.x * b.y), 6) AS value FROM z a JOIN z b ON a.recording_id = b.recording_id AND b.idx - a.idx BETWEEN -10 AND 10 GROUP BY a.recording_id, b.idx - a.idx"),
     "p10_coherogram": (p10, f"WITH {FILLED}, {_PAIR}, w AS (SELECT recording_id, k, i, x - avg(x) OVER v AS x, y - avg(y) OVER v AS y FROM (SELECT unnest(range(0, ({HOURS} - 48) // 24 + 1)) AS k), p, (SELECT unnest(range(0, 48)) AS i) WHERE p.idx = k * 24 + i WINDOW v AS (PARTITION BY recording_id, k)), h AS (SELECT recording_id, k, i, x * (0.5 - 0.5 * cos(2 * pi() * i / 48)) AS x, y * (0.5 - 0.5 * cos(2 * pi() * i / 48)) AS y FROM w), f AS (SELECT recording_id, k, q, sum(x * cos(2 * pi() * q * i / 48)) AS xr, -sum(x * sin(2 * pi() * q * i / 48)) AS xi, sum(y * cos(2 * pi() * q * i / 48)) AS yr, -sum(y * sin(2 * pi() * q * i / 48)) AS yi FROM h, (SELECT unnest(range(0, 25)) AS q) GROUP BY ALL), s AS (SELECT recording_id, k, q, avg(xr * xr + xi * xi) OVER n AS xx, avg(yr * yr + yi * yi) OVER n AS yy, avg(xr * yr + xi * yi) OVER n AS re, avg(xr * yi - xi * yr) OVER n AS im FROM f WINDOW n AS (PARTITION BY recording_id, q ORDER BY k ROWS BETWEEN 3 PRECEDING AND 4 FOLLOWING)) SELECT recording_id, CAST(k * 24 + 24 AS DOUBLE) AS t, round(q / 48, 6) AS freq, round((re * re + im * im) / (xx * yy), 6) AS coherence FROM s"),
-    "p1_zero_phase": (p1, _zero_phase_sql(_impulse_response(192), 15)), "p1_zero_phase_fir": (p1_fir, _zero_phase_sql(_SINC, 93)), "p3_phase_and_envelope": (p3, _P3),
+    "p1_zero_phase": (p1, zero_phase_sql(impulse_response(192, 2, [0.05, 0.2], "band", 1.0), 15)), "p1_zero_phase_fir": (p1_fir, zero_phase_sql(_SINC, 93)), "p3_phase_and_envelope": (p3, _P3),
     "p4_multitaper_spectrogram": (p4, f"{_P4} SELECT recording_id, t, round(freq, 6) AS freq, round(power, 6) AS power FROM spectrum"),
     "p6_band_power": (p6, f"{_P4} SELECT recording_id, round(avg(10 * log10(power)), 6) AS power_db FROM spectrum WHERE freq BETWEEN 0.03 AND 0.06 AND power > 0 GROUP BY ALL"),
     "p9_signal_statistics": (p9, _P9), "p11_wavelet_transform": (p11, _P11), "p12_oscillatory_events": (p12, None),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from axonflow.functions import scalars
 from axonflow.operators import align, movie, select, sequence, stats, surrogate
 from axonflow.plans import views
-from axonflow.plans.signal_queries import p_values_sql
+from axonflow.plans.signal_queries import impulse_response, p_values_sql, zero_phase_sql
 from axonflow.plans.views import DAILY, FRAMES, PIXELS, TRAINS, table
 from axonflow.plans.views import USER_FILLED as FILLED
 from axonflow.sources import results, sheets
@@ -271,6 +271,23 @@ _POP = ", ".join(f"round(avg({c}) FILTER (WHERE v), 4) AS {c}_mean, round(median
 _EFFECT = "CASE WHEN abs(d) < 0.2 THEN 'negligible' WHEN abs(d) < 0.5 THEN 'small' WHEN abs(d) < 0.8 THEN 'medium' ELSE 'large' END AS effect"
 _NY = 11
 
+_P13_FRAMES = f"{PIXELS}, px AS (SELECT recording_id, frame_idx, pixel, value * 10 + 100 AS v FROM pixels)"
+_P13_SMOOTH = zero_phase_sql(
+    impulse_response(192, 6, 3.0, "low", 20.0), 21,
+    f"{_P13_FRAMES}, filled AS (SELECT recording_id, row_number() OVER (PARTITION BY recording_id ORDER BY frame_idx) - 1 AS idx, avg(v) AS value FROM px GROUP BY recording_id, frame_idx)", "value",
+)
+#: The mask of spatial frequencies as a convolution of 8 by 8 pixels, round the edges.
+_P13 = f"""WITH {_P13_FRAMES},
+f AS (SELECT a, CASE WHEN a < 4 THEN a ELSE a - 8 END AS w FROM (SELECT unnest(range(0, 8)) AS a)),
+k AS (SELECT y.a AS dy, x.a AS dx, sum(cos(2 * pi() * (u.w * y.a + v.w * x.a) / 8)) / 64 AS h FROM f y, f x, f u, f v
+      WHERE sqrt(u.w * u.w + v.w * v.w) <= 3.0 AND NOT (abs(v.w) <= 0.5 AND abs(u.w) > 1) GROUP BY y.a, x.a),
+c AS (SELECT p.recording_id, p.frame_idx, t.pixel, sum(h * v) AS v FROM px p, (SELECT DISTINCT pixel FROM px) t, k
+      WHERE dy = (t.pixel // 8 - p.pixel // 8 + 8) % 8 AND dx = (t.pixel % 8 - p.pixel % 8 + 8) % 8 GROUP BY ALL),
+m AS (SELECT recording_id, frame_idx, avg(v) AS own, row_number() OVER (PARTITION BY recording_id ORDER BY frame_idx) - 1 AS idx FROM c GROUP BY recording_id, frame_idx),
+s AS ({_P13_SMOOTH})
+SELECT c.recording_id, c.frame_idx, round(avg(least(greatest(c.v * CASE WHEN own <> 0 THEN s.value / own ELSE 1 END, 0), 255)), 5) AS mean
+FROM c JOIN m ON m.recording_id = c.recording_id AND m.frame_idx = c.frame_idx JOIN s ON s.recording_id = m.recording_id AND s.idx = m.idx GROUP BY c.recording_id, c.frame_idx"""
+
 #: Signed ranks: exact for up to 50 differences without ties and zeros, by counting the subsets of ranks, else normal.
 _A22 = f"""WITH RECURSIVE ways(n, s, c) AS (SELECT 0, 0, 1.0::DOUBLE UNION ALL SELECT n + 1, s + e * (n + 1), sum(c) FROM ways, (VALUES (0), (1)) t(e) WHERE n < 50 GROUP BY n + 1, s + e * (n + 1)),
 {SUBJECTS}, d AS (SELECT drug, treatment - control AS d FROM subjects WHERE control IS NOT NULL AND treatment IS NOT NULL),
@@ -321,5 +338,5 @@ QUERIES = {
     "s13_pending_work": (s13, "SELECT c_custkey AS subject FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')"),
     "s14_run_log": (s14, "WITH c AS (SELECT o_custkey, count(*) AS k FROM orders GROUP BY ALL) SELECT 'halves' AS analysis, CASE WHEN k % 2 = 0 THEN 'completed' ELSE 'skipped' END AS status, count(*) AS n FROM c GROUP BY ALL"),
     "w20_delta_f": (w20, f"WITH {PIXELS}, l AS (SELECT recording_id, min(value) AS least FROM pixels GROUP BY ALL), x AS (SELECT p.recording_id, frame_idx, pixel, frame_idx // 100 AS w, value - least(l.least, 0) + CASE WHEN greatest(l.least, 0) = 0 THEN 1 ELSE 0 END AS x FROM pixels p JOIN l ON l.recording_id = p.recording_id), b AS (SELECT recording_id, pixel, w, quantile_cont(x, 0.08::DOUBLE) AS b, avg(frame_idx) AS c FROM x GROUP BY ALL), n AS (SELECT *, lag(b) OVER v AS pb, lag(c) OVER v AS pc, lead(b) OVER v AS nb, lead(c) OVER v AS nc FROM b WINDOW v AS (PARTITION BY recording_id, pixel ORDER BY w)), y AS (SELECT x.recording_id, frame_idx, x.pixel, x, coalesce(CASE WHEN frame_idx < c THEN b + (pb - b) * (frame_idx - c) / (pc - c) ELSE b + (nb - b) * (frame_idx - c) / (nc - c) END, b) AS b FROM x JOIN n ON n.recording_id = x.recording_id AND n.pixel = x.pixel AND n.w = x.w) SELECT recording_id, frame_idx, pixel, round((x - b) / b, 6) AS value FROM y"),
-    "a22_paired_tests": (a22, _A22), "a23_bootstrap_interval": (a23, None), "m9_correlation_p": (m9, _M9), "p13_denoise": (p13, None), "s15_unit_event_document": (s15, _S15),
+    "a22_paired_tests": (a22, _A22), "a23_bootstrap_interval": (a23, None), "m9_correlation_p": (m9, _M9), "p13_denoise": (p13, _P13), "s15_unit_event_document": (s15, _S15),
 }
