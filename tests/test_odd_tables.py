@@ -39,3 +39,53 @@ def test_subjects_of_few_days_or_constant_sides(spark, tmp_path, name):
             rows.append((len(rows), 100 * g, 100.25 if g % 4 == 0 else 50.0 + len(rows) * 37 % 101, start + datetime.timedelta(days=day), "1-URGENT"))
     con = view(spark, tmp_path, "orders", rows, "o_orderkey long, o_custkey long, o_totalprice double, o_orderdate timestamp, o_orderpriority string")
     assert len(check(spark, tmp_path, name, con)) == 14
+
+
+EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double"
+
+
+def hours(pairs, kind="a"):
+    """Events at hours of users from 2024-01-01: (user, hour, value)."""
+    return [(i, datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=h, minutes=10 if h > 0 else 0), u, kind, v) for i, (u, h, v) in enumerate(pairs)]
+
+
+def laid_out_under_broadcasts(df) -> int:
+    """Broadcasts in the first plan of rows that ``explode`` has laid out, whose number Spark does not foresee."""
+    lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    found = 0
+    for i, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            below = []
+            for other in lines[i + 1 :]:
+                if depth(other) <= depth(line):
+                    break
+                if "Aggregate" in other:
+                    break
+                below.append(other)
+            found += any("Generate explode(sequence" in b for b in below)
+    return found
+
+
+@pytest.mark.parametrize("name", ["a4_frame_window_average", "a1_peri_event", "p9_signal_statistics", "p8_cross_correlation", "f13_complete_pairs"])
+def test_rows_laid_out_are_not_broadcast(spark, name):
+    assert laid_out_under_broadcasts(registry.queries()[name](spark, "/root/testdata/sf0.001")) == 0
+
+
+def test_neighbours_share_the_hours_that_both_have(spark, tmp_path):
+    rows = hours([(1, -3, 2.0), (1, 5, 3.0), (2, -2, 5.0), (2, 725, 1.0), (3, 730, 4.0), (3, 722, 9.0), (7, 1, 1.0)])
+    con = view(spark, tmp_path, "events", rows, EVENTS)
+    from axonflow.plans import views
+
+    both = views.user_neighbours(spark, str(tmp_path))
+    found = {(r["recording_id"], r["idx"]): (r["x"], r["y"]) for r in both.collect()}
+    want = con.execute(f"WITH {views.USER_FILLED} SELECT a.recording_id, a.idx, a.value, b.value FROM filled a JOIN filled b ON a.idx = b.idx AND CAST(b.recording_id AS BIGINT) = CAST(a.recording_id AS BIGINT) + 1").fetchall()
+    assert both.count() == len(want) and found == {(r, i): (x, y) for r, i, x, y in want}
+    check(spark, tmp_path, "f13_complete_pairs", con)
+
+
+def test_many_events_on_one_sample_keep_their_deviation(spark, tmp_path):
+    rows = hours([(1, h, 1e6 + h % 7) for h in range(0, 60, 2)] + [(1, 30, 1e6 + 2)] * 5)
+    con = view(spark, tmp_path, "events", rows, EVENTS)
+    check(spark, tmp_path, "a4_frame_window_average", con)
+    assert len(check(spark, tmp_path, "a2_event_triggered_average", con)) == 13
