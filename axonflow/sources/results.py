@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from axonflow.functions.scalars import file_name_part
 from axonflow.operators import buckets
@@ -34,15 +39,53 @@ def guarded(rows: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame], pd.Da
     Returns the columns of ``schema`` (keys first) and analysis, status ('completed' or 'skipped') and reason.
     """
     names = [c.strip().split(" ")[0] for c in schema.split(",")]
+    fields = StructType.fromDDL(schema)
+    types = to_arrow_schema(fields)
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
+    def guard(g: pa.Table) -> tuple[pa.Table, str, str | None]:
         try:
-            out, status, reason = fn(g), "completed", None
+            out = fn(g.to_pandas()).reindex(columns=names)
+            return pa.Table.from_pandas(out, types, preserve_index=False), "completed", None
         except Exception as e:  # the point of the log
-            out, status, reason = pd.DataFrame([{k: g[k].iloc[0] for k in keys}]), "skipped", f"{type(e).__name__}: {e}"
-        return out.reindex(columns=names).assign(analysis=analysis, status=status, reason=reason)
-
-    return rows.groupBy(*keys).applyInPandas(run, f"{schema}, analysis string, status string, reason string")
+            head = g.slice(0, 1)
+            row = [head.column(n).cast(types.field(n).type) if n in keys else pa.nulls(1, types.field(n).type) for n in names]
+            return pa.table(row, schema=types), "skipped", f"{type(e).__name__}: {e}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the last group so far, which the next batch may go on with
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = pa.concat_tables([held, table]).combine_chunks() if held is not None else table
+            starts = [0, *_changes(table, keys)]
+            yield from logged([table.slice(a, b - a) for a, b in zip(starts, starts[1:], strict=False)])
+            held = table.slice(starts[-1]) if table.num_rows else None
+        yield from logged([held] if held is not None else [])
+
+    def logged(groups: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+        made = [guard(g) for g in groups]
+        if made:
+            each = [len(out) for out, *_ in made]
+            said = [pa.array([x for x, n in zip(text, each, strict=True) for _ in range(n)], pa.string()) for text in zip(*((s, r) for _, s, r in made), strict=True)]
+            out = pa.concat_tables([out for out, *_ in made])
+            columns = [*out.columns, pa.repeat(pa.scalar(analysis), len(out)), *said]
+            yield from pa.table(columns, names=[*names, "analysis", "status", "reason"]).combine_chunks().to_batches()
+
+    # groups follow each other within sorted parts: a batch for each group would cost more than most groups' work; the number
+    # of parts is fixed, since small rows may stand for much work
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys).mapInArrow(run, f"{schema}, analysis string, status string, reason string")
+
+
+def _changes(table: pa.Table, keys: list[str]) -> list[int]:
+    """Rows whose keys are not those of the row before."""
+    n = max(table.num_rows - 1, 0)
+    changed = np.zeros(n, bool)
+    for k in keys:
+        a, b = table.column(k).slice(0, n), table.column(k).slice(1)
+        other = pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.xor(pc.is_null(a), pc.is_null(b)))
+        if pa.types.is_floating(a.type):
+            other = pc.and_not(other, pc.fill_null(pc.and_(pc.is_nan(a), pc.is_nan(b)), False))
+        changed |= other.to_numpy() if n else changed
+    return (np.flatnonzero(changed) + 1).tolist()
 
 
 def run_log(results: DataFrame, keys: list[str]) -> DataFrame:

@@ -97,3 +97,23 @@ def test_unit_events_of_flat_differences_and_long_ids(spark, tmp_path, name):
     rows = hours([(u, h, v) for u in (1, 12, far + 9, far + 10) for h, v in ((3, 20.0), (4, 40.0), (9, 30.0), (15, 12.5), (16, 25.0))])
     con = view(spark, tmp_path, "events", rows, EVENTS)
     assert check(spark, tmp_path, name, con)
+
+
+def test_groups_over_many_batches_are_each_guarded(spark):
+    from axonflow.sources import results
+
+    def half(g):
+        if len(g) % 2:
+            raise ValueError("odd")
+        return g.assign(n=len(g))[["subject", "n"]].head(1)
+
+    sizes = {None: 3, 1: 2500, 2: 7, 3: 2000, 10**17 + 1: 4}
+    rows = spark.createDataFrame([(k,) for k, n in sizes.items() for _ in range(n)], "subject long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    try:
+        plan = results.guarded(rows, ["subject"], half, "subject long, n long", "halves")
+        got = {r["subject"]: (r["n"], r["status"], r["reason"]) for r in plan.collect()}
+        assert "FlatMapGroups" not in plan._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {k: (n, "completed", None) if n % 2 == 0 else (None, "skipped", "ValueError: odd") for k, n in sizes.items()}
