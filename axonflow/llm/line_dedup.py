@@ -86,20 +86,22 @@ def probe_keys(rows: DataFrame, edits: int) -> DataFrame:
 
 
 def rare_pair_keys(rows: DataFrame, edits: int) -> DataFrame:
-    """id and key of each pair of the ``GRAM * edits + 2`` rarest substrings of the lines (id, line, n).
+    """key of each pair of the ``GRAM * edits + 2`` rarest substrings of the lines (id, line, n), and all columns but the line.
 
-    Equal substrings of a line are numbered; rarity is counted over ``rows``, ties fall by the text.
+    Equal substrings of a line are numbered; rarity is counted over ``rows``, ties fall by the text. The other columns go along, so
+    that the pairs, dozens a line, need not be joined with the lines again.
     """
-    grams = rows.select("id", F.explode(F.transform(F.sequence(F.lit(1), F.col("n") - GRAM + 1), lambda i: F.substr("line", i, F.lit(GRAM)))).alias("gram"))
-    times = grams.groupBy("id", "gram").agg(F.count(F.lit(1)).cast("int").alias("k"))
-    each = times.select("id", "gram", F.explode(F.sequence(F.lit(1), F.col("k"))).alias("k"))
+    own = [c for c in rows.columns if c != "line"]
+    grams = rows.select(*own, F.explode(F.transform(F.sequence(F.lit(1), F.col("n") - GRAM + 1), lambda i: F.substr("line", i, F.lit(GRAM)))).alias("gram"))
+    times = grams.groupBy(*own, "gram").agg(F.count(F.lit(1)).cast("int").alias("k"))
+    each = times.select(*own, "gram", F.explode(F.sequence(F.lit(1), F.col("k"))).alias("k"))
     counted = each.join(each.groupBy("gram", "k").agg(F.count(F.lit(1)).alias("c")), ["gram", "k"])
     most = GRAM * edits + 2
-    rare = counted.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct("c", "gram", "k"))), 1, most).alias("rare"))
+    rare = counted.groupBy(*own).agg(F.slice(F.sort_array(F.collect_list(F.struct("c", "gram", "k"))), 1, most).alias("rare"))
     both = F.lit([i * most + j for i in range(most) for j in range(i + 1, most)])
-    pairs = rare.select("id", "rare", F.explode(both).alias("p"))
+    pairs = rare.select(*own, "rare", F.explode(both).alias("p"))
     first, second = F.get("rare", F.floor(F.col("p") / most).cast("int")), F.get("rare", F.col("p") % most)
-    return pairs.where(second.isNotNull()).select("id", F.xxhash64(first["gram"], first["k"], second["gram"], second["k"]).alias("key"))
+    return pairs.where(second.isNotNull()).select(*own, F.xxhash64(first["gram"], first["k"], second["gram"], second["k"]).alias("key"))
 
 
 def parity(line: Column) -> Column:
@@ -207,7 +209,7 @@ def candidates(rows: DataFrame, edits: int, min_chars: int) -> tuple[DataFrame,
     texts = materialize(texts.select("id", "line", "n", "hot", parity(F.col("line")).alias("parity")), "line-texts")
     signed = broadcast_if_small(texts.select("id", "parity", "n"))
     busy = members.where("NOT hot").join(signed, "id")
-    rare = rare_pair_keys(texts.where("hot"), edits).join(signed, "id")
+    rare = rare_pair_keys(texts.where("hot").drop("hot"), edits)
 
     def paired(left: DataFrame, right: DataFrame, extra) -> DataFrame:
         left, right = (d.select("key", *(F.col(c).alias(f"{c}_{s}") for c in d.columns if c != "key")) for d, s in ((left, 1), (right, 2)))

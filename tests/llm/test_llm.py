@@ -185,6 +185,12 @@ def test_numbered_lines_are_not_paired_with_each_other(spark):
     assert pairs[1000] < 4000 and pairs[4000] < 0.01 * 4000**2 / 2
 
 
+def test_keys_of_hot_lines_bring_what_pairs_are_thinned_by(spark):
+    rows = spark.createDataFrame(list(enumerate(numbered(40))), "id long, line string").withColumns({"n": F.length("line"), "parity": line_dedup.parity(F.col("line"))})
+    keys = line_dedup.rare_pair_keys(rows, 2)
+    assert set(keys.columns) == {"id", "n", "parity", "key"} and keys.join(rows, ["id", "n", "parity"]).count() == keys.count() == 28 * rows.count()
+
+
 def test_line_dedup_of_very_long_lines(spark):
     long = "".join(random.Random(2).choice("abcdefgh ") for _ in range(10_000))
     out = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs(spark, [long, long[:5000] + "X" + long[5001:], long[1:], long[3:]])).collect()}
