@@ -37,10 +37,16 @@ def stream_key(seed: int, recording, unit, replicate: int) -> int:
 def bits(key: int, n: int) -> np.ndarray:
     """The first ``n`` numbers of a key's sequence, 53 bits each."""
     with np.errstate(over="ignore"):
-        z = np.uint64(key) + np.arange(1, n + 1, dtype=np.uint64) * _GAMMA
-        z = (z ^ (z >> np.uint64(30))) * _MIX_1
-        z = (z ^ (z >> np.uint64(27))) * _MIX_2
-        return (z ^ (z >> np.uint64(31))) >> np.uint64(11)
+        z = np.arange(1, n + 1, dtype=np.uint64)
+        z *= _GAMMA
+        z += np.uint64(key)
+        moved = np.empty_like(z)
+        for by, mix in ((30, _MIX_1), (27, _MIX_2), (31, None)):
+            z ^= np.right_shift(z, np.uint64(by), out=moved)
+            if mix is not None:
+                z *= mix
+        z >>= np.uint64(11)
+        return z
 
 
 def uniforms(key: int, n: int) -> np.ndarray:
@@ -90,12 +96,37 @@ class Shift:
         return moved, (moved >= self.t_start) & (moved <= self.t_end)
 
 
+def random_order(key: int, n: int) -> np.ndarray:
+    """Places of the first ``n`` numbers of a key's sequence by size, equal ones in their order.
+
+    Each number, less the lowest bits that do not fit, is sorted as one word with its place; the few with equal words but for the
+    place are then put in order by the whole numbers.
+    """
+    numbers = bits(key, n)
+    width = np.uint64(max(n - 1, 1).bit_length())
+    words = numbers >> np.uint64(max(53 + int(width) - 64, 0))
+    words <<= width
+    words |= np.arange(n, dtype=np.uint64)
+    words.sort()
+    order = (words & np.uint64((1 << int(width)) - 1)).astype(np.int64)
+    words >>= width
+    same = words[1:] == words[:-1]
+    if same.any():
+        at = np.flatnonzero(np.append(same, False) | np.append(False, same))
+        tied = order[at]
+        order[at] = tied[np.lexsort((tied, numbers[tied]))]
+    return order
+
+
 @dataclass(frozen=True)
 class ShuffleIntervals:
     """The intervals of each train in another order, from the same first event."""
 
+    #: Surrogates of sorted times are sorted.
+    ordered = True
+
     def __call__(self, times: np.ndarray, key: int) -> tuple[np.ndarray, np.ndarray | None]:
-        gaps = np.diff(times)[np.argsort(bits(key, max(len(times) - 1, 0)), kind="stable")]
+        gaps = np.diff(times)[random_order(key, max(len(times) - 1, 0))]
         return times[:1].repeat(len(times)) + np.concatenate([np.zeros(1, times.dtype), np.cumsum(gaps)])[: len(times)], None
 
 
@@ -145,7 +176,8 @@ def _each(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[tuple]:
 
 def _sorted_draw(surrogate: Surrogate, times: np.ndarray, key: int) -> np.ndarray:
     moved, kept = surrogate(times, key)
-    return np.sort(moved if kept is None else moved[kept])
+    moved = moved if kept is None else moved[kept]
+    return moved if getattr(surrogate, "ordered", False) else np.sort(moved)
 
 
 def _key_fields(trains: DataFrame) -> tuple[str, list[pa.Field]]:

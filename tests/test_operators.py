@@ -645,6 +645,21 @@ def test_peaks_and_plateaus_over_chunks(spark, core):
         assert got == sorted((r, i, v) for r, x in signals.items() for i, v in plain_peaks(np.diff(x, n=order), 1.0))
 
 
+def test_random_orders_are_those_of_the_numbers(monkeypatch):
+    for n in (0, 1, 2, 3000, 70_000):
+        assert (surrogate.random_order(5, n) == np.argsort(surrogate.bits(5, n), kind="stable")).all()
+    # words that differ in the bits left out alone, and equal numbers
+    numbers = np.random.default_rng(0).integers(0, 1 << 7, 5000).astype(np.uint64)
+    monkeypatch.setattr(surrogate, "bits", lambda key, n: numbers)
+    assert (surrogate.random_order(5, 5000) == np.argsort(numbers, kind="stable")).all()
+
+
+def test_shuffled_intervals_are_not_sorted_again(monkeypatch):
+    times = np.array([3, 3, 10, 40, 41])
+    monkeypatch.setattr(np, "sort", None)
+    assert (np.diff(surrogate._sorted_draw(surrogate.ShuffleIntervals(), times, 9)) >= 0).all()
+
+
 def test_bursts_filter_and_envelope_once(spark, monkeypatch):
     seen = []
     for module in (spectral, sequence, stats):
