@@ -117,3 +117,22 @@ def test_groups_over_many_batches_are_each_guarded(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == {k: (n, "completed", None) if n % 2 == 0 else (None, "skipped", "ValueError: odd") for k, n in sizes.items()}
+
+
+SPARSE = ["w13_suppress_artifacts"]
+
+
+@pytest.mark.parametrize("name", SPARSE)
+def test_empty_hours_are_not_laid_out_as_rows(spark, name):
+    plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode(sequence(_start" not in plan and "Window" in plan
+
+
+@pytest.mark.parametrize("name", SPARSE)
+def test_sparse_signals_match_their_sql(spark, tmp_path, name):
+    early, late = name not in ("p7_coherence", "p10_coherogram"), name not in ("p7_coherence", "p10_coherogram", "p11_wavelet_transform")  # their SQL has 30 days
+    ends = [(4, -30 if early else 0, 7.0), (5, -1 if early else 1, 3.0), (4, 731 if late else 719, 90.0), (5, 800 if late else 640, 5.0)]
+    rows = [(1, h, 100.0 if h % 5 == 0 else 3.0 * (h % 11)) for h in range(0, 720, 1)] + [(2, h, float(h * 7 % 130)) for h in range(0, 719, 3)]
+    rows += [(3, h, 200.0 - h % 3) for h in (0, 1, 4, 9, 13, 14, 300, 303, 307, 715, 717)] + ends + [(u, h, float(h * h % 59 + 1)) for u in (4, 5, 9) for h in range(40, 260)] + [(9, 400, 75.5)]
+    con = view(spark, tmp_path, "events", hours(rows), EVENTS)
+    assert check(spark, tmp_path, name, con)
