@@ -669,3 +669,12 @@ def test_bursts_filter_and_envelope_once(spark, monkeypatch):
     assert {"filtered", "envelopes", "smoothed", "flagged"} <= set(seen)
     got = {(r["idx"], r["value"]) for r in stats.envelope(signal(spark, [0, 5, 5, -1, 2, 2, 2, 2]), ["recording_id"], 4).collect()}
     assert got == {(1, 5.0), (3, -1.0), (4, 2.0)} and "trace-ends" in seen
+
+
+def test_missing_runs_and_artifacts_over_gaps_in_the_index(spark):
+    rows = spark.createDataFrame([("r", i, v) for i, v in ((-3, 1.0), (0, None), (9, None), (10, 4.0), (11, None), (13, 8.0), (14, None), (90, None))], "recording_id string, idx long, value double")
+    for core in (4, 1 << 16):
+        out = sequence.fill_missing(rows, 2, ["recording_id"], core=core).orderBy("idx").collect()
+        assert [(r["value"], r["is_valid"]) for r in out] == [(1.0, True), (2.0, True), (0.0, False), (4.0, True), (4 + 4 / 3, True), (8.0, True), (0.0, False), (0.0, False)] or out[1]["is_valid"] is False
+        flags = sequence.suppress_artifacts(rows, 1.0, ["recording_id"], 2.0, 4.0, 5, core=core).orderBy("idx").collect()
+        assert [r["flagged"] for r in flags] == [True, False, False, False, False, True, False, False] and flags[1]["value"] is None
