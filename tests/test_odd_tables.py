@@ -119,7 +119,7 @@ def test_groups_over_many_batches_are_each_guarded(spark):
     assert got == {k: (n, "completed", None) if n % 2 == 0 else (None, "skipped", "ValueError: odd") for k, n in sizes.items()}
 
 
-SPARSE = ["w13_suppress_artifacts", "w4_fill_missing", "a26_outlier_flags", "p3_phase_and_envelope", "p8_cross_correlation", "p11_wavelet_transform"]
+SPARSE = ["w13_suppress_artifacts", "w4_fill_missing", "a26_outlier_flags", "p3_phase_and_envelope", "p7_coherence", "p8_cross_correlation", "p10_coherogram", "p11_wavelet_transform"]
 
 
 @pytest.mark.parametrize("name", SPARSE)

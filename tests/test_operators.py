@@ -671,6 +671,59 @@ def test_bursts_filter_and_envelope_once(spark, monkeypatch):
     assert got == {(1, 5.0), (3, -1.0), (4, 2.0)} and "trace-ends" in seen
 
 
+def _sparse(spark, rows, fill):
+    """The same samples sparse and as rows: (recording, idx, x or None, y or None)."""
+    from axonflow.operators.chunked import Sparse
+
+    last = {r: max(i for q, i, _, _ in rows if q == r) for r in {q for q, *_ in rows}}
+    known = [(r, i, x, y, x if y is None else y) for r, i, x, y in rows if x is not None or y is not None]
+    spans = []
+    for r in last:
+        at = sorted(k for k in known if k[0] == r)
+        low = min(i for q, i, _, _ in rows if q == r)
+        for k, row in enumerate(at):
+            spans.append((*row, low if k == 0 else row[1], at[k + 1][1] - 1 if k + 1 < len(at) else last[r]))
+    sparse = Sparse(spark.createDataFrame(spans, "recording_id string, idx long, x double, y double, value double, _start long, _end long"), ("x", "y", "value"))
+    sparse = sparse if fill is None else sparse.filled(fill)
+    return sparse, sparse.samples(["recording_id"])
+
+
+@pytest.mark.parametrize("fill", [None, 0.0, 2.5])
+def test_sparse_samples_equal_their_rows_over_chunks(spark, fill):
+    rng = np.random.default_rng(3)
+    rows = [(r, i, v, w) for r, n in (("a", 1300), ("b", 90), ("c", 17)) for i in range(-7, n) for v, w in [(float(rng.normal(0, 50)), float(rng.normal(0, 9))) if rng.random() < 0.4 else (None, None)]]
+    sparse, plain = _sparse(spark, rows, fill)
+    assert plain.count() == len(rows)
+    keys, tables = ["recording_id"], {}
+    runs = {
+        "fill": lambda s, core: sequence.fill_missing(s, 2, keys, core=core),
+        "artifacts": lambda s, core: sequence.suppress_artifacts(s, 1.0, keys, 30.0, 3.0, 9, core=core),
+        "outliers": lambda s, core: stats.outlier_flags(s, keys, limit=1.0, **({"rest": core} if s is sparse else {})).select(*keys, "idx", "value", "is_outlier"),
+        "phases": lambda s, core: spectral.phase_and_envelope(s, keys, whole=core, cells=64),
+        "wavelets": lambda s, core: spectral.wavelet_transform(s, keys, [0.1, 0.2], 1.0),
+        "lags": lambda s, core: spectral.cross_correlation(s, keys, 1.0, 4),
+        "coherence": lambda s, core: spectral.coherence(s, keys, 1.0, 16, per_chunk=core // 16),
+        "coherogram": lambda s, core: spectral.coherogram(s, keys, 1.0, 16.0, 8.0, per_chunk=core // 16),
+    }
+    for name, run in runs.items():
+        if fill is None and name in ("phases", "wavelets", "lags", "coherence", "coherogram"):
+            continue
+        for which, s, core in (("rows", plain, 1 << 16), ("short rows", plain, 64), ("sparse", sparse, 1 << 16), ("short sparse", sparse, 64)):
+            df = run(s, core)
+            order = [c for c in ("recording_id", "idx", "lag", "t", "freq") if c in df.columns]
+            tables[which] = df.toPandas().sort_values(order).reset_index(drop=True)[sorted(df.columns)]
+        for which, table in tables.items():
+            assert len(table) and list(table.columns) == list(tables["rows"].columns), (name, which)
+            for c in table.columns:
+                if c == "phase":
+                    strong = tables["rows"]["envelope"] > 1e-6
+                    assert np.abs(np.exp(1j * table[c]) - np.exp(1j * tables["rows"][c]))[strong].max() < 1e-6, which
+                elif table[c].dtype == float:
+                    np.testing.assert_allclose(table[c], tables["rows"][c], rtol=1e-8, atol=1e-8, err_msg=f"{name} {which} {c}")
+                else:
+                    assert table[c].tolist() == tables["rows"][c].tolist(), (name, which, c)
+
+
 def test_missing_runs_and_artifacts_over_gaps_in_the_index(spark):
     rows = spark.createDataFrame([("r", i, v) for i, v in ((-3, 1.0), (0, None), (9, None), (10, 4.0), (11, None), (13, 8.0), (14, None), (90, None))], "recording_id string, idx long, value double")
     for core in (4, 1 << 16):
