@@ -228,6 +228,35 @@ def test_correlograms_of_bursts_and_ties_in_blocks(spark):
     assert sorted(near[0]) == sorted(near[1]) and sum(r["count"] for r in near[0]) == sum(-100 <= b - a < 100 for _, a in events for _, b in events)
 
 
+def test_pairs_of_repeated_times_are_written_in_runs(spark):
+    rng = np.random.default_rng(9)
+    times = np.repeat(rng.integers(0, 3000, 24), 30)
+    rows = [("r", int(i), int(times[i])) for i in rng.permutation(len(times))] + [("r", -1, None), (None, -2, 5), ("alone", -3, 5)]
+    df = spark.createDataFrame(rows, "recording_id string, event_id long, t long").repartition(5)
+    refs, targets = df.withColumnRenamed("event_id", "ref"), df.withColumnRenamed("event_id", "target")
+    want = {(i, k, int(times[k] - times[i])) for i in range(len(times)) for k in range(len(times)) if -500 <= times[k] - times[i] < 500}
+    for block_rows in (200, 1 << 17):
+        got = [tuple(r) for r in correlogram.pairs_within(refs, targets, -500, 500, ["recording_id"], block_rows=block_rows).where("recording_id = 'r'").select("ref", "target", "delta").collect()]
+        assert len(got) == len(want) and set(got) == want
+    runs = [sum(a[c] != b[c] for a, b in zip(got, got[1:], strict=False)) + 1 for c in (1, 2)]  # of targets and of distances
+    assert runs[0] <= len(got) // 25 and runs[1] <= len(got) // 500
+
+
+@pytest.mark.parametrize("kind", [np.int64, np.float64])
+def test_places_of_pairs_within_a_range(kind, monkeypatch):
+    rng = np.random.default_rng(10)
+    refs, targets = (np.sort(np.concatenate([rng.integers(0, 400, n), np.full(90, 77)]).astype(kind) / kind(1 if kind is np.int64 else 10)) for n in (150, 200))
+    refs, targets = refs.astype(kind), targets.astype(kind)
+    low, high = (-5, 9) if kind is np.int64 else (-0.3, 0.7)
+    delta = targets[None, :] - refs[:, None]
+    want = set(zip(*(x.tolist() for x in np.nonzero((delta >= low) & (delta < high))), strict=True))
+    for batch in (7, 1 << 18):
+        monkeypatch.setattr(correlogram, "_BATCH", batch)
+        got = [p for r, t in correlogram.pair_places(refs, targets, low, high) for p in zip(r.tolist(), t.tolist(), strict=True)]
+        assert len(got) == len(want) and set(got) == want
+    assert not list(correlogram.pair_places(refs[:0], targets, low, high)) and not list(correlogram.pair_places(refs, targets[:0], low, high))
+
+
 def test_a_burst_of_a_million_events_is_counted_without_pairs():
     n = 1_000_000
     rng = np.random.default_rng(8)
