@@ -72,6 +72,17 @@ def test_rows_laid_out_are_not_broadcast(spark, name):
     assert laid_out_under_broadcasts(registry.queries()[name](spark, "/root/testdata/sf0.001")) == 0
 
 
+def test_samples_of_bursts_are_not_broadcast(spark):
+    from axonflow.operators import spectral
+
+    for recording in (spark.range(0, 3000), spark.range(-1500, 1500)):
+        samples = recording.selectExpr("'r' AS recording_id", "id AS idx", "IF(pmod(id, 400) < 60, sin(id * 0.6), 0) + sin(id * id) / 9 AS value")
+        found = spectral.oscillatory_events(samples, ["recording_id"], 1.0, (0.05, 0.2), (1.0, 10.0), (2.0, 90.0), 2.0)
+        assert laid_out_under_broadcasts(found) == 0
+        rows = found.collect()
+        assert len(rows) >= 5 and all(r["start"] <= r["peak_time"] <= r["end"] for r in rows)
+
+
 def test_neighbours_share_the_hours_that_both_have(spark, tmp_path):
     rows = hours([(1, -3, 2.0), (1, 5, 3.0), (2, -2, 5.0), (2, 725, 1.0), (3, 730, 4.0), (3, 722, 9.0), (7, 1, 1.0)])
     con = view(spark, tmp_path, "events", rows, EVENTS)

@@ -753,6 +753,22 @@ def test_sparse_samples_equal_their_rows_over_chunks(spark, fill):
                     assert table[c].tolist() == tables["rows"][c].tolist(), (name, which, c)
 
 
+@pytest.mark.parametrize("whole", [1 << 20, 700])
+def test_bursts_of_sparse_signals_take_one_pass(spark, monkeypatch, whole):
+    rng, keys = np.random.default_rng(5), ["recording_id"]
+    value = lambda i: float(9 * (i % 150 < 40) * np.sin(0.6 * i) + rng.normal())
+    rows = [(r, i, value(i) if rng.random() < 0.6 else None, None) for r, low, n in (("a", -200, 900), ("b", 0, 500), ("c", 0, 12)) for i in range(low, n)]
+    rows += [("d", i, 4.0 if i % 3 == 0 else None, None) for i in range(90)] + [("e", i, 0.0, None) for i in range(90)]
+    sparse, plain = _sparse(spark, rows, 0.0)
+    bursts = lambda s, **more: spectral.oscillatory_events(s, keys, 1.0, (0.05, 0.2), (0.4, 10.0), (2.0, 60.0), 4.0, **more)
+    want = bursts(plain.select("recording_id", "idx", "value")).toPandas().sort_values(["recording_id", "start"]).reset_index(drop=True)
+    seen = []
+    monkeypatch.setattr(spectral, "written", lambda df, name, real=spectral.written: seen.append(name) or real(df, name))
+    got = bursts(sparse, whole=whole).toPandas().sort_values(["recording_id", "start"]).reset_index(drop=True)
+    assert set(want["recording_id"]) >= {"a", "b"} and want["start"].min() < 0 and ("filtered" in seen) == (whole == 700)
+    pd.testing.assert_frame_equal(got, want, rtol=1e-9)
+
+
 def test_missing_runs_and_artifacts_over_gaps_in_the_index(spark):
     rows = spark.createDataFrame([("r", i, v) for i, v in ((-3, 1.0), (0, None), (9, None), (10, 4.0), (11, None), (13, 8.0), (14, None), (90, None))], "recording_id string, idx long, value double")
     for core in (4, 1 << 16):
