@@ -242,6 +242,21 @@ def test_pairs_of_repeated_times_are_written_in_runs(spark):
     assert runs[0] <= len(got) // 25 and runs[1] <= len(got) // 500
 
 
+def test_pairs_of_single_times_are_written_in_runs_by_many_tasks(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    times = np.sort(rng.choice(6000, 500, replace=False))
+    for kind, low, high in (("long", -500, 500), ("double", -499.5, 500.25)):
+        df = spark.createDataFrame([("r", int(i), times[i].item()) for i in rng.permutation(len(times))], "recording_id string, event_id long, t long").withColumn("t", F.col("t").cast(kind))
+        pairs = lambda: correlogram.pairs_within(df.withColumnRenamed("event_id", "ref"), df.withColumnRenamed("event_id", "target"), low, high, ["recording_id"])  # noqa: B023, E731
+        got = [tuple(r) for r in pairs().select("ref", "target", "delta").collect()]
+        delta = times[None, :] - times[:, None]
+        want = {(i, k, delta[i, k]) for i, k in zip(*np.nonzero((delta >= low) & (delta < high)), strict=True)}
+        assert len(got) == len(want) and set(got) == want
+        assert sum(a[1] != b[1] for a, b in zip(got, got[1:], strict=False)) < len(got) / 5
+    monkeypatch.setattr(correlogram, "_PART_ROWS", 20)
+    assert pairs().rdd.getNumPartitions() >= 50 and pairs().count() == len(got)
+
+
 @pytest.mark.parametrize("kind", [np.int64, np.float64])
 def test_places_of_pairs_within_a_range(kind, monkeypatch):
     rng = np.random.default_rng(10)
